@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The surveys this library reports on arrive once a year as a closed set of
+sheets; a new year is a batch write of one partition (see
+``rosterfold.sources.sinks.write_year``).
+"""
