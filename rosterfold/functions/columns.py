@@ -1,7 +1,9 @@
 """Naming and selecting columns whose names are data.
 
-Survey columns carry dots, percent signs, spaces and hyphens, so every access
-goes through :func:`col_q`.
+Survey columns carry dots, percent signs, spaces and hyphens, so every name
+that goes into an expression is quoted. Expressions are SQL text throughout
+the library: a report has hundreds of columns, and text costs the driver one
+parse per column where nested ``Column`` calls cost one call per operator.
 """
 
 from __future__ import annotations
@@ -18,11 +20,25 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def literal(value: str) -> str:
+    """``value`` as a SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def named(expression: str, name: str) -> str:
+    return f"{expression} AS {quoted(name)}"
+
+
 def col_q(name: str) -> Column:
     """Column reference that is safe for any name."""
     return F.col(quoted(name))
 
 
+def group_by(df: DataFrame, keys: Sequence[str], aggregates: Sequence[str]) -> DataFrame:
+    """``GROUP BY keys`` with SQL aggregates; no keys give one row."""
+    return df.groupBy(*map(quoted, keys)).agg(*map(F.expr, aggregates))
+
+
 def as_names(names: str | Iterable[str]) -> list[str]:
     """One name or many, as a list without repeats, first occurrence kept."""
     return [names] if isinstance(names, str) else list(dict.fromkeys(names))

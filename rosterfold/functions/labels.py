@@ -1,41 +1,39 @@
-"""Number-to-text labels. A NULL number gives a NULL label unless told otherwise."""
+"""Number-to-text labels, as SQL text. A NULL number gives a NULL label unless told otherwise."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from rosterfold.functions.columns import literal
 
 
-def pattern_text(x: Column, pattern: str) -> Column:
-    """``x`` in a decimal format pattern, ties to even."""
-    return F.call_function("format_number", x, F.lit(pattern))
-
-
-def number_text(x: Column, digits: int = 1) -> Column:
+def number_text(x: str, digits: int = 1) -> str:
     """Shortest text with at most ``digits`` decimals: ``12``, ``12.3``, never ``-0``."""
-    r = F.round(x, digits)
-    plain = F.when(r == 0, F.lit(0.0)).otherwise(r)
-    return pattern_text(plain, "0" if digits == 0 else "0." + "#" * digits)
+    rounded = f"round({x}, {digits})"
+    pattern = "0" if digits == 0 else "0." + "#" * digits
+    return f"format_number(IF({rounded} = 0, 0.0D, {rounded}), '{pattern}')"
 
 
-def signed_label(x: Column, suffix: str, digits: int = 1, na_text: str | None = None) -> Column:
+def signed_label(x: str, suffix: str, digits: int = 1, na_text: str | None = None) -> str:
     """``+12.3<suffix>`` / ``-4<suffix>``; zero counts as positive."""
-    sign = F.when(F.round(x, digits) >= 0, F.lit("+")).otherwise(F.lit(""))
-    label = F.concat(sign, number_text(x, digits), F.lit(suffix))
-    return label if na_text is None else F.coalesce(label, F.lit(na_text + suffix))
+    sign = f"IF(round({x}, {digits}) >= 0, '+', '')"
+    label = f"concat({sign}, {number_text(x, digits)}, {literal(suffix)})"
+    return label if na_text is None else f"coalesce({label}, {literal(na_text + suffix)})"
+
+
+def amount_text(x: str) -> str:
+    """``1,235``, rounded half-even to whole units, never ``-0``."""
+    text = f"format_number({x}, 0)"
+    return f"IF({text} = '-0', '0', {text})"
 
 
-def money_label(x: Column, width: Column | None = None) -> Column:
-    """``$1,235``, rounded half-even to whole units; ``width`` pads the amount."""
-    amount = F.format_number(x, 0)
-    # -0.4 rounds to "-0"
-    amount = F.when(amount == "-0", F.lit("0")).otherwise(amount)
+def money_label(x: str, width: str | None = None) -> str:
+    """``$1,235``; ``width`` right-aligns the amount."""
+    amount = amount_text(x)
     if width is not None:
-        amount = F.when(F.length(amount) < width, F.lpad(amount, width, " ")).otherwise(amount)
-    return F.concat(F.lit("$"), amount)
+        amount = f"lpad({amount}, greatest({width}, length({amount})), ' ')"
+    return f"concat('$', {amount})"
 
 
-def count_pct_label(n: Column, total: Column) -> Column:
+def count_pct_label(n: str, total: str) -> str:
     """``7 (25.0%)``, the percentage rounded half-even to one decimal."""
-    share = pattern_text(F.try_divide(F.lit(100.0) * n, total), "0.0")
-    return F.concat(n.cast("string"), F.lit(" ("), F.coalesce(share, F.lit("-")), F.lit("%)"))
+    share = f"format_number(try_divide(100.0D * {n}, {total}), '0.0')"
+    return f"concat(CAST({n} AS STRING), ' (', coalesce({share}, '-'), '%)')"

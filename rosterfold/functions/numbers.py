@@ -1,4 +1,4 @@
-"""Null-safe arithmetic.
+"""Null-safe arithmetic, as SQL text.
 
 A missing, suppressed, NaN or infinite value is one thing here: SQL NULL.
 """
@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # A plain decimal number, optionally signed and with an exponent. Anything else
@@ -16,61 +14,54 @@ from pyspark.sql import types as T
 PLAIN_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def finite(x: Column) -> Column:
-    """NULL for NaN and the infinities, else the value."""
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+def finite(x: str) -> str:
+    """NULL for NaN (which Spark orders above all numbers) and the infinities."""
+    return f"IF(abs({x}) < double('Infinity'), {x}, NULL)"
 
 
-def to_number(x: Column, dtype: T.DataType) -> Column:
+def to_number(x: str, dtype: T.DataType) -> str:
     """Double from a column of type ``dtype``; text that is no number is NULL."""
     if isinstance(dtype, T.StringType):
-        return finite(F.when(x.rlike(PLAIN_NUMBER), F.trim(x).try_cast("double")))
+        return finite(f"IF({x} RLIKE r'{PLAIN_NUMBER}', try_cast(trim({x}) AS DOUBLE), NULL)")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return finite(x.cast("double"))
-    return x.cast("double")
+        return finite(f"CAST({x} AS DOUBLE)")
+    return f"CAST({x} AS DOUBLE)"
 
 
-def to_text(x: Column, dtype: T.DataType) -> Column:
+def to_text(x: str, dtype: T.DataType) -> str:
     """Text from a column of type ``dtype``; whole floats lose their ``.0``."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-        return F.when(whole, x.try_cast("bigint").cast("string")).otherwise(x.cast("string"))
-    return x.cast("string")
+        whole = f"{x} = floor({x}) AND abs({x}) < 1e15"
+        return f"IF({whole}, CAST(try_cast({x} AS BIGINT) AS STRING), CAST({x} AS STRING))"
+    return f"CAST({x} AS STRING)"
 
 
-def or_zero(x: Column) -> Column:
-    return F.coalesce(x, F.lit(0))
+def or_zero(x: str) -> str:
+    return f"coalesce({x}, 0)"
 
 
-def safe_div(numerator: Column, denominator: Column) -> Column:
+def safe_div(numerator: str, denominator: str) -> str:
     """Quotient, NULL when the denominator is zero or either side is NULL."""
-    return F.try_divide(numerator, denominator)
+    return f"try_divide({numerator}, {denominator})"
 
 
-def row_sum(columns: Sequence[Column]) -> Column:
+def row_sum(columns: Sequence[str]) -> str:
     """Sum across columns with NULL counting as zero."""
     if not columns:
         raise ValueError("row_sum needs at least one column")
-    total = or_zero(columns[0])
-    for c in columns[1:]:
-        total = total + or_zero(c)
-    return total
+    return "(" + " + ".join(map(or_zero, columns)) + ")"
 
 
-def exactly(x: Column, places: int | None) -> Column:
-    """``x`` as a decimal with ``places`` digits, or unchanged for ``None``.
+def exact_sum(x: str, places: int | None = None) -> str:
+    """Sum as a double, NULL for no values.
 
-    Decimal sums do not depend on the order in which partitions are merged;
-    double sums do.
+    With ``places`` the addends are decimals, whose sum does not depend on the
+    order in which partitions are merged; that of doubles does.
     """
-    return x if places is None else x.cast(T.DecimalType(18, places))
+    addend = x if places is None else f"CAST({x} AS DECIMAL(18, {places}))"
+    return f"CAST(sum({addend}) AS DOUBLE)"
 
 
-def exact_sum(x: Column, places: int | None = None) -> Column:
-    """Sum as a double, NULL for no values; order-independent with ``places``."""
-    return F.sum(exactly(x, places)).cast("double")
-
-
-def pct(numerator: Column, denominator: Column, digits: int = 1) -> Column:
+def pct(numerator: str, denominator: str, digits: int = 1) -> str:
     """Percentage rounded to ``digits``; multiplies first so ties are decimal ties."""
-    return F.round(safe_div(F.lit(100.0) * numerator, denominator), digits)
+    return f"round(try_divide(100.0D * ({numerator}), {denominator}), {digits})"

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from rosterfold.functions.columns import as_names, col_q
+from rosterfold.functions.columns import as_names, group_by, literal, named, quoted
 from rosterfold.functions.labels import signed_label
 from rosterfold.functions.numbers import pct
+from rosterfold.operators.roster import period_filter
 
 
 def pivot_years(
@@ -26,27 +26,26 @@ def pivot_years(
     there is no extra job, and one conditional aggregation per year needs only
     one shuffle.
     """
-    keys = as_names(key)
     cells = [
-        F.max(F.when(col_q(year) == str(y), col_q(value))).alias(f"{prefix}{y}") for y in years
+        named(f"max(IF({quoted(year)} = {literal(str(y))}, {quoted(value)}, NULL))", f"{prefix}{y}")
+        for y in years
     ]
-    wanted = df.where(col_q(year).isin([str(y) for y in years]))
-    return wanted.groupBy(*[col_q(k) for k in keys]).agg(*cells)
+    return group_by(period_filter(df, year, *years), as_names(key), cells)
 
 
-def growth_pct(old: Column, new: Column, digits: int = 1) -> Column:
-    """Relative change in percent."""
-    return pct(new - old, old, digits)
+def growth_pct(old: str, new: str, digits: int = 1) -> str:
+    """Relative change in percent, as SQL text."""
+    return pct(f"{new} - {old}", old, digits)
 
 
-def change_points(old: Column, new: Column, digits: int = 1) -> Column:
-    """Difference of two ratios in percentage points."""
-    return F.round((new - old) * 100, digits)
+def change_points(old: str, new: str, digits: int = 1) -> str:
+    """Difference of two ratios in percentage points, as SQL text."""
+    return f"round(({new} - {old}) * 100, {digits})"
 
 
-def growth_label(change: Column, since: str, na_text: str | None = None) -> Column:
+def growth_label(change: str, since: str, na_text: str | None = None) -> str:
     return signed_label(change, f"% since {since}", na_text=na_text)
 
 
-def points_label(change: Column, old: str, new: str, na_text: str | None = None) -> Column:
+def points_label(change: str, old: str, new: str, na_text: str | None = None) -> str:
     return signed_label(change, f" pts ({old}-{new})", na_text=na_text)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterfold.functions.columns import col_q, require_columns
+from rosterfold.functions.columns import (
+    col_q,
+    group_by,
+    literal,
+    named,
+    quoted,
+    require_columns,
+)
 from rosterfold.functions.labels import count_pct_label
 from rosterfold.functions.numbers import safe_div
 
@@ -41,35 +48,39 @@ def crosstab(
     require_columns(df, [row, column], "crosstab")
     if values is None:
         values = column_values(df, column)
-    cell = col_q(column).cast("string")
+    cell = f"CAST({quoted(column)} AS STRING)"
     counts = [
-        F.count_if(cell.isNull() if v == MISSING else cell == v).alias(v)
+        named(f"count_if({cell} IS NULL)" if v == MISSING else f"count_if({cell} = {literal(v)})", v)
         for v in dict.fromkeys(values)
     ]
     if total is not None:
-        counts.append(F.count(F.lit(1)).alias(total))
-    return df.groupBy(col_q(row)).agg(*counts)
+        counts.append(named("count(1)", total))
+    return group_by(df, [row], counts)
 
 
 def with_row_total(table: DataFrame, row: str, total: str = "Total") -> DataFrame:
     """Add the sum of all counts of a row."""
-    cells = [col_q(c) for c in table.columns if c != row]
-    return table.withColumn(total, sum(cells[1:], cells[0]))
+    cells = " + ".join(quoted(c) for c in table.columns if c != row)
+    return table.selectExpr("*", named(cells, total))
+
+
+def _each_count(table: DataFrame, row: str, make: Callable[[str], str]) -> DataFrame:
+    return table.selectExpr(
+        quoted(row), *[named(make(quoted(c)), c) for c in table.columns if c != row]
+    )
 
 
 def row_percentages(table: DataFrame, row: str, total: str = "Total") -> DataFrame:
     """Each count as a fraction of its row's total."""
-    shares = [safe_div(col_q(c), col_q(total)).alias(c) for c in table.columns if c != row]
-    return table.select(col_q(row), *shares)
+    return _each_count(table, row, lambda n: safe_div(n, quoted(total)))
 
 
 def count_percent_labels(table: DataFrame, row: str, total: str = "Total") -> DataFrame:
     """Each count as ``n (p%)`` of its row's total."""
-    labels = [count_pct_label(col_q(c), col_q(total)).alias(c) for c in table.columns if c != row]
-    return table.select(col_q(row), *labels)
+    return _each_count(table, row, lambda n: count_pct_label(n, quoted(total)))
 
 
 def order_by_count(df: DataFrame, column: str, n: str = "n") -> DataFrame:
-    """Values with their counts and rank, most to least; equal counts by value."""
-    counts = df.groupBy(col_q(column)).agg(F.count(F.lit(1)).alias(n))
+    """Values with their counts, most to least; equal counts by value."""
+    counts = group_by(df, [column], [named("count(1)", n)])
     return counts.orderBy(F.desc(n), col_q(column).asc_nulls_last())

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rosterfold.functions.columns import as_names, col_q
+from rosterfold.functions.columns import as_names, group_by, named, quoted
 from rosterfold.functions.numbers import exact_sum, pct, safe_div
 from rosterfold.operators.measures import Measure
 from rosterfold.operators.quantiles import ACCURACY, attach, cells, quantile_passes
@@ -18,15 +17,18 @@ def six_number_summary(
     df: DataFrame, column: str, places: int | None = None, accuracy: int = ACCURACY
 ) -> DataFrame:
     """One row: min, q1, median, mean, q3, max."""
-    _, rows = cells(df, column, [])
-    v = F.col("__v")
-    ends = [
-        ("min", F.min(v)),
-        ("mean", safe_div(exact_sum(v, places), F.count(v))),
-        ("max", F.max(v)),
-    ]
+    ends = {
+        "min": "min(__v)",
+        "mean": safe_div(exact_sum("__v", places), "count(__v)"),
+        "max": "max(__v)",
+    }
     found = quantile_passes(
-        rows, [], [0.25, 0.5, 0.75], ["q1", "median", "q3"], accuracy, second=ends
+        cells(df, column, [])[1],
+        [],
+        [0.25, 0.5, 0.75],
+        ["q1", "median", "q3"],
+        accuracy,
+        second=ends,
     )
     return found.select("min", "q1", "median", "mean", "q3", "max")
 
@@ -34,35 +36,28 @@ def six_number_summary(
 def histogram_bins(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
     """Equal-width bins from minimum to maximum: bin, lower, upper, n; empty bins are kept.
 
-    Bins are closed on the left, the last on both sides.
+    Bins are closed on the left, the last on both sides. If all values are
+    equal there is no width, and everything is in the first bin.
     """
     rows = cells(df, column, [])[1].where("__v IS NOT NULL")
-    v, low, high = F.col("__v"), F.col("__min"), F.col("__max")
-    extent = rows.agg(F.min(v).alias("__min"), F.max(v).alias("__max"))
-    bucket = F.least(F.width_bucket(v, low, high, F.lit(bins)), F.lit(bins))
-    # all values equal: there is no width, everything is in the first bin
-    bucket = F.when(low == high, F.lit(1)).otherwise(bucket)
-    width = (high - low) / bins
-    counted = (
-        attach(rows, extent, [])
-        .withColumn("__bin", bucket)
-        .agg(
-            F.any_value("__min").alias("__min"),
-            F.any_value("__max").alias("__max"),
-            *[F.count_if(F.col("__bin") == b).alias(f"__n{b}") for b in range(1, bins + 1)],
-        )
-        .where(low.isNotNull())
-    )
-    entries = [
-        F.struct(
-            F.lit(b).alias("bin"),
-            (low + width * (b - 1)).alias("lower"),
-            (high if b == bins else low + width * b).alias("upper"),
-            F.col(f"__n{b}").alias("n"),
-        )
+    extent = group_by(rows, [], ["min(__v) AS __min", "max(__v) AS __max"])
+    bucket = f"IF(__min = __max, 1, least(width_bucket(__v, __min, __max, {bins}), {bins}))"
+    counted = group_by(
+        attach(rows, extent, []).selectExpr("__min", "__max", f"{bucket} AS __bin"),
+        [],
+        [
+            "any_value(__min) AS __min",
+            "any_value(__max) AS __max",
+            *[f"count_if(__bin = {b}) AS __n{b}" for b in range(1, bins + 1)],
+        ],
+    ).where("__min IS NOT NULL")
+    width = f"((__max - __min) / {bins})"
+    entries = ", ".join(
+        f"struct({b} AS bin, __min + {width} * {b - 1} AS lower,"
+        f" {'__max' if b == bins else f'__min + {width} * {b}'} AS upper, __n{b} AS n)"
         for b in range(1, bins + 1)
-    ]
-    return counted.select(F.inline(F.array(*entries)))
+    )
+    return counted.selectExpr(f"inline(array({entries}))")
 
 
 def share_of_universe(
@@ -78,14 +73,9 @@ def share_of_universe(
     One scan and one aggregation: roster rows are flagged, not read again.
     """
     flagged = roster_flag(df, key, roster, "__on")
-    keys = [col_q(k) for k in as_names(by)]
-    both = []
+    both, shares = [], []
     for m in measures:
-        both.append(m.expression(F.col("__on")).alias(f"{m.name}_roster"))
-        both.append(m.expression().alias(f"{m.name}_universe"))
-    counted = flagged.groupBy(*keys).agg(*both)
-    shares = [
-        pct(col_q(f"{m.name}_roster"), col_q(f"{m.name}_universe"), digits).alias(f"{m.name}_pct")
-        for m in measures
-    ]
-    return counted.select("*", *shares)
+        mine, all_ = f"{m.name}_roster", f"{m.name}_universe"
+        both += [named(m.sql("__on"), mine), named(m.sql(), all_)]
+        shares.append(named(pct(quoted(mine), quoted(all_), digits), f"{m.name}_pct"))
+    return group_by(flagged, as_names(by), both).selectExpr("*", *shares)

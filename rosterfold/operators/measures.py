@@ -10,10 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from rosterfold.functions.columns import as_names, col_q, require_columns
+from pyspark.sql import DataFrame
+
+from rosterfold.functions.columns import (
+    as_names,
+    col_q,
+    group_by,
+    literal,
+    named,
+    quoted,
+    require_columns,
+)
 from rosterfold.functions.numbers import exact_sum, or_zero, row_sum, safe_div
 
 # Digits kept of each row's term in a weighted ratio, when sums are exact.
@@ -50,17 +57,15 @@ class Measure:
     strict: bool = False
     yes: str = "Yes"
 
-    def expression(self, when: Column | None = None) -> Column:
-        """The aggregate, restricted to rows where ``when`` holds."""
+    def sql(self, when: str | None = None) -> str:
+        """The aggregate as SQL, restricted to rows where ``when`` holds."""
         if self.kind not in _KINDS:
             raise ValueError(f"measure {self.name}: unknown kind {self.kind}")
-        cells = [col_q(c) for c in self.columns]
+        cells = [quoted(c) for c in self.columns]
         if when is not None:
-            cells = [F.when(when, c) for c in cells]
+            cells = [f"IF({when}, {c}, NULL)" for c in cells]
         value = _KINDS[self.kind](self, cells, when)
-        if self.digits is not None:
-            value = F.round(value, self.digits)
-        return value.alias(self.name)
+        return value if self.digits is None else f"round({value}, {self.digits})"
 
 
 def total(name: str, column: str, places: int | None = None) -> Measure:
@@ -106,58 +111,56 @@ def gap(name: str, total_column: str, components: Iterable[str], places: int | N
     return Measure(name, "gap", (total_column, *as_names(components)), places)
 
 
-def _total(m: Measure, cells: list[Column], when: Column | None) -> Column:
-    return F.coalesce(exact_sum(cells[0], m.places), F.lit(0.0))
+def _zero_if_none(total_: str) -> str:
+    return f"coalesce({total_}, 0D)"
+
+
+def _total(m: Measure, cells: list[str], when: str | None) -> str:
+    return _zero_if_none(exact_sum(cells[0], m.places))
 
 
-def _row_total(m: Measure, cells: list[Column], when: Column | None) -> Column:
-    return F.coalesce(exact_sum(row_sum(cells), m.places), F.lit(0.0))
+def _row_total(m: Measure, cells: list[str], when: str | None) -> str:
+    return _zero_if_none(exact_sum(row_sum(cells), m.places))
 
 
-def _mean(m: Measure, cells: list[Column], when: Column | None) -> Column:
-    return safe_div(exact_sum(cells[0], m.places), F.count(cells[0]))
+def _mean(m: Measure, cells: list[str], when: str | None) -> str:
+    return safe_div(exact_sum(cells[0], m.places), f"count({cells[0]})")
 
 
-def _reported(m: Measure, cells: list[Column], when: Column | None) -> Column:
-    return F.count(cells[0])
+def _reported(m: Measure, cells: list[str], when: str | None) -> str:
+    return f"count({cells[0]})"
 
 
-def _suppressed(m: Measure, cells: list[Column], when: Column | None) -> Column:
-    missing = col_q(m.columns[0]).isNull()
-    return F.count_if(missing if when is None else missing & when)
+def _suppressed(m: Measure, cells: list[str], when: str | None) -> str:
+    missing = f"{quoted(m.columns[0])} IS NULL"
+    return f"count_if({missing})" if when is None else f"count_if(({when}) AND {missing})"
 
 
-def _rows(m: Measure, cells: list[Column], when: Column | None) -> Column:
-    return F.count(F.lit(1)) if when is None else F.count_if(when)
+def _rows(m: Measure, cells: list[str], when: str | None) -> str:
+    return "count(1)" if when is None else f"count_if({when})"
 
 
-def _yes_cells(m: Measure, cells: list[Column], when: Column | None) -> Column:
-    if not cells:
-        return F.count_if(F.lit(False))
-    per_row = row_sum([(c == m.yes).cast("int") for c in cells])
-    return F.coalesce(F.sum(per_row.cast("bigint")), F.lit(0).cast("bigint"))
+def _yes_cells(m: Measure, cells: list[str], when: str | None) -> str:
+    yes = [f"CAST({c} = {literal(m.yes)} AS INT)" for c in cells]
+    return f"coalesce(sum(CAST({row_sum(yes)} AS BIGINT)), 0L)" if cells else "count_if(false)"
 
 
-def _yes_rows(m: Measure, cells: list[Column], when: Column | None) -> Column:
-    if not cells:
-        return F.count_if(F.lit(False))
-    return F.count_if(F.greatest(F.lit(False), *[c == m.yes for c in cells]))
+def _yes_rows(m: Measure, cells: list[str], when: str | None) -> str:
+    return f"count_if({' OR '.join(f'{c} = {literal(m.yes)}' for c in cells) or 'false'})"
 
 
-def _ratio(m: Measure, cells: list[Column], when: Column | None) -> Column:
+def _ratio(m: Measure, cells: list[str], when: str | None) -> str:
     part, base, weight = cells
-    term = safe_div(part, base) * weight
+    term = f"{safe_div(part, base)} * {weight}"
     if m.strict:
-        weight = F.when(term.isNotNull(), weight)
-    term_places = None if m.places is None else TERM_PLACES
-    numerator = F.coalesce(exact_sum(term, term_places), F.lit(0.0))
+        weight = f"IF({term} IS NOT NULL, {weight}, NULL)"
+    numerator = _zero_if_none(exact_sum(term, None if m.places is None else TERM_PLACES))
     return safe_div(numerator, exact_sum(weight, m.places))
 
 
-def _gap(m: Measure, cells: list[Column], when: Column | None) -> Column:
+def _gap(m: Measure, cells: list[str], when: str | None) -> str:
     whole, *parts = cells
-    difference = row_sum(parts) - or_zero(whole)
-    return F.coalesce(exact_sum(difference, m.places), F.lit(0.0))
+    return _zero_if_none(exact_sum(f"{row_sum(parts)} - {or_zero(whole)}", m.places))
 
 
 _KINDS = {
@@ -189,7 +192,7 @@ def summarise(
     require_columns(df, keys, "grouping")
     for m in measures:
         require_columns(df, m.columns, f"measure {m.name}")
-    return df.groupBy(*[col_q(k) for k in keys]).agg(*[m.expression() for m in measures])
+    return group_by(df, keys, [named(m.sql(), m.name) for m in measures])
 
 
 def available(df: DataFrame, measures: Sequence[Measure]) -> list[Measure]:
@@ -207,8 +210,8 @@ def long_form(wide: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     """One row per group and measure: ``measure``, ``value`` (double)."""
     ids = as_names(keys)
     values = [c for c in wide.columns if c not in ids]
-    numbers = wide.select(
-        *[col_q(k) for k in ids], *[col_q(c).cast("double").alias(c) for c in values]
+    numbers = wide.selectExpr(
+        *map(quoted, ids), *[named(f"CAST({quoted(c)} AS DOUBLE)", c) for c in values]
     )
     return numbers.unpivot(
         [col_q(k) for k in ids], [col_q(c) for c in values], "measure", "value"
@@ -223,10 +226,12 @@ def suppression_check(df: DataFrame, by: str | Sequence[str], columns: Sequence[
         measures += [reported(f"{c}_reported", c), suppressed(f"{c}_suppressed", c)]
     counted = summarise(df, keys, measures)
     complete = [
-        (col_q(f"{c}_reported") + col_q(f"{c}_suppressed") == F.col("members")).alias(f"{c}_complete")
+        named(
+            f"{quoted(c + '_reported')} + {quoted(c + '_suppressed')} = members", f"{c}_complete"
+        )
         for c in columns
     ]
-    return counted.select("*", *complete)
+    return counted.selectExpr("*", *complete)
 
 
 def reconcile_total(

@@ -9,7 +9,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterfold.functions.columns import as_names, col_q, require_columns
+from rosterfold.functions.columns import (
+    as_names,
+    col_q,
+    group_by,
+    literal,
+    named,
+    quoted,
+    require_columns,
+)
 from rosterfold.operators.roster import Roster, roster_filter
 
 # One bit of a bigint per sheet.
@@ -62,32 +70,30 @@ def outer_merge(
         for i, df in enumerate(sheets.values())
     ]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    if roster is not None:
+        stacked = roster_filter(stacked, key, roster)
     # keys are unique per sheet: combining before the shuffle would find nothing
-    folded = stacked.repartition(col_q(key)).groupBy(col_q(key)).agg(
-        *[F.max(col_q(c)).alias(c) for c in values],
-        F.count(F.lit(1)).alias("__rows"),
-        F.bit_count(F.bit_or("__sheet")).alias("__sheets"),
+    folded = group_by(
+        stacked.repartition(col_q(key)),
+        [key],
+        [
+            *[named(f"max({quoted(c)})", c) for c in values],
+            "count(1) AS __rows",
+            "bit_count(bit_or(__sheet)) AS __sheets",
+        ],
     )
-    if roster is not None:
-        folded = roster_filter(folded, key, roster)
-    return _stop_on_repeats(folded, key).select(*[col_q(c) for c in [key, *values]])
+    return _stop_on_repeats(folded, key).selectExpr(*map(quoted, [key, *values]))
 
 
 def _with_key(df: DataFrame, key: str, keep_null_key: bool) -> DataFrame:
-    return df if keep_null_key else df.where(col_q(key).isNotNull())
+    return df if keep_null_key else df.where(f"{quoted(key)} IS NOT NULL")
 
 
 def _stop_on_repeats(folded: DataFrame, key: str) -> DataFrame:
     """Keep rows that saw each sheet once; any other row raises when it is read."""
-    message = F.concat(
-        F.lit(f"key {key} occurs more than once in a sheet: "),
-        F.coalesce(col_q(key).cast("string"), F.lit("NULL")),
-    )
-    return folded.where(
-        F.when(F.col("__rows") == F.col("__sheets"), F.lit(True)).otherwise(
-            F.raise_error(message).cast("boolean")
-        )
-    )
+    what = literal(f"key {key} occurs more than once in a sheet: ")
+    message = f"concat({what}, coalesce(CAST({quoted(key)} AS STRING), 'NULL'))"
+    return folded.where(f"IF(__rows = __sheets, true, CAST(raise_error({message}) AS BOOLEAN))")
 
 
 def _chained_full_join(

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from rosterfold.functions.columns import as_names, col_q
+from rosterfold.functions.columns import as_names, group_by, quoted
 from rosterfold.functions.numbers import exact_sum, safe_div
 from rosterfold.operators.quantiles import ACCURACY, cells, named_groups, quantile_passes
 
@@ -19,11 +18,10 @@ HISTOGRAM_BINS = 5
 RAW_TEXT_LENGTH = 64
 
 
-def _identity(text: Column) -> Column:
+def _identity(text: str) -> str:
     """A short value that is equal exactly when the texts are (SHA-256 for long ones)."""
-    return F.when(F.length(text) <= RAW_TEXT_LENGTH, F.concat(F.lit("="), text)).otherwise(
-        F.concat(F.lit("#"), F.sha2(text, 256))
-    )
+    short = f"length({text}) <= {RAW_TEXT_LENGTH}"
+    return f"IF({short}, concat('=', {text}), concat('#', sha2({text}, 256)))"
 
 
 def profile_text(df: DataFrame, column: str, by: str | Sequence[str] = ()) -> DataFrame:
@@ -32,35 +30,42 @@ def profile_text(df: DataFrame, column: str, by: str | Sequence[str] = ()) -> Da
     Distinct values are first reduced by (group, value), which spreads even a
     single hot group over all tasks.
     """
-    keys = as_names(by)
-    x = col_q(column).cast("string")
-    return df.groupBy(*[col_q(k) for k in keys]).agg(
-        F.count_if(x.isNull()).alias("n_missing"),
-        safe_div(F.count(x), F.count(F.lit(1))).alias("complete_rate"),
-        F.min(F.length(x)).alias("min_length"),
-        F.max(F.length(x)).alias("max_length"),
-        F.count_if(x == "").alias("empty"),
-        F.count_distinct(_identity(x)).alias("n_unique"),
-        F.count_if(x.rlike(r"^\s+$")).alias("whitespace"),
+    x = f"CAST({quoted(column)} AS STRING)"
+    return group_by(
+        df,
+        as_names(by),
+        [
+            f"count_if({x} IS NULL) AS n_missing",
+            f"{safe_div(f'count({x})', 'count(1)')} AS complete_rate",
+            f"min(length({x})) AS min_length",
+            f"max(length({x})) AS max_length",
+            f"count_if({x} = '') AS empty",
+            f"count(DISTINCT {_identity(x)}) AS n_unique",
+            f"count_if({x} RLIKE r'^\\s+$') AS whitespace",
+        ],
     )
 
 
-def _bars(counts: list[Column]) -> Column:
+def _bars(counts: Sequence[str]) -> str:
     """One bar per count, its height in sixths of the largest; NULL without values."""
-    top = F.greatest(*counts)
-    level = [F.greatest(F.lit(1), F.ceil(safe_div(c * len(BARS), top))) for c in counts]
-    bars = [F.substring(F.lit(BARS), lv.cast("int"), F.lit(1)) for lv in level]
-    return F.when(top > 0, F.concat(*bars))
+    top = f"greatest({', '.join(counts)})"
+    bars = [
+        f"substring('{BARS}', greatest(1, CAST(ceil(try_divide({c} * {len(BARS)}, {top})) AS INT)), 1)"
+        for c in counts
+    ]
+    return f"IF({top} > 0, concat({', '.join(bars)}), NULL)"
 
 
-def _bin_counts(v: Column) -> list[tuple[str, Column]]:
+def _bin_counts() -> dict[str, str]:
     """Counts in equal-width bins between ``__min`` and ``__max``, closed on the right."""
-    low, high = F.col("__min"), F.col("__max")
-    width = (high - low) / HISTOGRAM_BINS
-    over = [(v > low + width * k).cast("int") for k in range(1, HISTOGRAM_BINS)]
-    bin_ = F.when(low == high, F.lit(HISTOGRAM_BINS // 2)).otherwise(sum(over[1:], over[0]))
-    filled = F.when(v.isNotNull(), bin_)
-    return [(f"__b{k}", F.count_if(filled == k)) for k in range(HISTOGRAM_BINS)]
+    width = f"((__max - __min) / {HISTOGRAM_BINS})"
+    over = " + ".join(
+        f"CAST(__v > __min + {width} * {k} AS INT)" for k in range(1, HISTOGRAM_BINS)
+    )
+    bin_ = f"IF(__min = __max, {HISTOGRAM_BINS // 2}, {over})"
+    return {
+        f"__b{k}": f"count_if(__v IS NOT NULL AND {bin_} = {k})" for k in range(HISTOGRAM_BINS)
+    }
 
 
 def profile_numeric(
@@ -72,42 +77,35 @@ def profile_numeric(
 ) -> DataFrame:
     """Per group: missing, complete rate, mean, sd, five quantiles, bar sketch.
 
-    A group without any value keeps its row, with NULL statistics.
+    A group without any value keeps its row, with NULL statistics. The first
+    of three passes runs at once, see :func:`quantile_passes`.
     """
     keys = as_names(by)
     group, rows = cells(df, column, keys)
-    v = F.col("__v")
-    extent = [("__min", F.min(v)), ("__max", F.max(v))]
-    moments = [
-        ("n_missing", F.count_if(v.isNull())),
-        ("complete_rate", safe_div(F.count(v), F.count(F.lit(1)))),
-        ("mean", safe_div(exact_sum(v, places), F.count(v))),
-        ("sd", F.when(F.count(v) > 1, F.stddev_samp(v))),
-    ]
-    bins = _bin_counts(v)
+    moments = {
+        "n_missing": "count_if(__v IS NULL)",
+        "complete_rate": safe_div("count(__v)", "count(1)"),
+        "mean": safe_div(exact_sum("__v", places), "count(__v)"),
+        "sd": "IF(count(__v) > 1, stddev_samp(__v), NULL)",
+    }
+    bins = _bin_counts()
     found = quantile_passes(
         rows,
         group,
         [0.25, 0.5, 0.75],
         ["p25", "p50", "p75"],
         accuracy,
-        extent,
-        [*moments, *bins],
+        first={"__min": "min(__v)", "__max": "max(__v)"},
+        second={**moments, **bins},
     )
-    return named_groups(
-        found.select(
-            *group,
-            "n_missing",
-            "complete_rate",
-            "mean",
-            "sd",
-            F.col("__min").alias("p0"),
-            "p25",
-            "p50",
-            "p75",
-            F.col("__max").alias("p100"),
-            _bars([F.col(n) for n, _ in bins]).alias("hist"),
-        ),
-        group,
-        keys,
+    shown = found.selectExpr(
+        *group,
+        *moments,
+        "__min AS p0",
+        "p25",
+        "p50",
+        "p75",
+        "__max AS p100",
+        f"{_bars(list(bins))} AS hist",
     )
+    return named_groups(shown, group, keys)

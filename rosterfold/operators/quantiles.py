@@ -10,12 +10,12 @@ would be wider, not wrong.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterfold.functions.columns import as_names, col_q
+from rosterfold.functions.columns import as_names, group_by, named, quoted
 from rosterfold.sources.pinning import pinned
 
 ACCURACY = 10_000
@@ -35,28 +35,24 @@ def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str], few: bool = F
     """
     extra = [c for c in per_group.columns if c not in by]
     if not by:
-        one = per_group.select(F.struct(*extra)).scalar()
-        with_one = df.withColumn("__one", one)
-        return with_one.select(*df.columns, *[F.col("__one")[c].alias(c) for c in extra])
-    right = per_group.select(
-        *[col_q(k).alias(f"__by{i}") for i, k in enumerate(by)], *[F.col(c) for c in extra]
-    )
+        one = per_group.selectExpr(f"struct({', '.join(extra)}) AS one").scalar()
+        return df.withColumn("__one", one).selectExpr(
+            *df.columns, *[f"__one.{c} AS {c}" for c in extra]
+        )
+    right = per_group.selectExpr(*[f"{k} AS __by{i}" for i, k in enumerate(by)], *extra)
     if few:
         right = F.broadcast(right)
-    same = [col_q(k).eqNullSafe(F.col(f"__by{i}")) for i, k in enumerate(by)]
-    return df.join(right, same, "inner").drop(*[f"__by{i}" for i in range(len(by))])
-
-
-Named = Sequence[tuple[str, Column]]
+    same = " AND ".join(f"{k} <=> __by{i}" for i, k in enumerate(by))
+    return df.join(right, F.expr(same), "inner").drop(*[f"__by{i}" for i in range(len(by))])
 
 
 def _greatest(terms: Sequence[str]) -> str:
     return f"greatest(0L, {', '.join(terms)})"
 
 
-def _keep(columns: Sequence[str]) -> list[Column]:
+def _keep(columns: Sequence[str]) -> list[str]:
     """Columns that are constant within the group."""
-    return [F.expr(f"any_value({c}) AS {c}") for c in columns]
+    return [f"any_value({c}) AS {c}" for c in columns]
 
 
 def quantile_passes(
@@ -65,12 +61,12 @@ def quantile_passes(
     probabilities: Sequence[float],
     names: Sequence[str],
     accuracy: int = ACCURACY,
-    first: Named = (),
-    second: Named = (),
+    first: Mapping[str, str] | None = None,
+    second: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Quantiles plus any other statistics, in three passes over ``rows``.
 
-    ``rows`` and ``group`` come from :func:`cells`. ``first`` are named
+    ``rows`` and ``group`` come from :func:`cells`. ``first`` are named SQL
     aggregates for the first pass; ``second`` may also use their results as
     columns. Every group gets a row; without values its quantiles are NULL.
 
@@ -79,81 +75,84 @@ def quantile_passes(
     group, is pinned: a sketch may come out differently when a lost task is
     repeated, and its row count decides whether later passes may broadcast.
     """
+    first, second = dict(first or {}), dict(second or {})
     margin = 2.0 / accuracy
     cut_at = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-margin, margin)]
     cuts = [f"__cut{i}" for i in range(len(cut_at))]
     ends = [f"__end{i}" for i in range(len(cut_at))]
 
     # pass 1: sketch
-    sketch = F.percentile_approx("__v", F.array(*map(F.lit, cut_at)), F.lit(accuracy))
+    sketch = f"percentile_approx(__v, array({', '.join(f'{c!r}D' for c in cut_at)}), {accuracy})"
     proposed = pinned(
-        rows.groupBy(*group)
-        .agg(F.count("__v").alias("__n"), sketch.alias("__cuts"), *[a.alias(n) for n, a in first])
-        .select(
-            *group,
-            "__n",
-            *[F.expr(f"get(__cuts, {i}) AS {c}") for i, c in enumerate(cuts)],
-            *[n for n, _ in first],
-        )
+        group_by(
+            rows,
+            group,
+            [
+                "count(__v) AS __n",
+                f"{sketch} AS __cuts",
+                *[f"{x} AS {n}" for n, x in first.items()],
+            ],
+        ).selectExpr(*group, "__n", *[f"get(__cuts, {i}) AS {c}" for i, c in enumerate(cuts)], *first)
     )
-    few = proposed.count() <= BROADCAST_GROUPS
+    few = bool(group) and proposed.count() <= BROADCAST_GROUPS
 
     # pass 2: values below the lower edge, and up to the upper edge, of each bracket
     past = [f"__v {'>=' if i % 2 == 0 else '>'} {c}" for i, c in enumerate(cuts)]
-    counted = (
-        attach(rows, proposed, group, few)
-        .groupBy(*group)
-        .agg(
-            *_keep(["__n", *cuts, *[n for n, _ in first]]),
-            *[F.expr(f"count_if(NOT {test}) AS {e}") for test, e in zip(past, ends)],
-            *[a.alias(n) for n, a in second],
-        )
+    counted = group_by(
+        attach(rows, proposed, group, few),
+        group,
+        [
+            *_keep(["__n", *cuts, *first]),
+            *[f"count_if(NOT {test}) AS {e}" for test, e in zip(past, ends)],
+            *[f"{x} AS {n}" for n, x in second.items()],
+        ],
     )
 
     # pass 3: order the slices that hold a wanted rank. A slice is known by the
     # number of values before it: the largest count among the edges it is past.
     ranks = [f"__rank{i}" for i in range(2 * len(probabilities))]
     homes = [f"__home{i}" for i in range(len(ranks))]
-    ranked = counted
-    for i, p in enumerate(probabilities):
-        below = f"floor((__n - 1) * {float(p)!r}D)"
-        ranked = ranked.select(
-            "*",
-            F.expr(f"{below} + 1 AS {ranks[2 * i]}"),
-            F.expr(f"least({below} + 2, __n) AS {ranks[2 * i + 1]}"),
-        )
-    targets = ranked.select(
+    below = [f"floor((__n - 1) * {float(p)!r}D)" for p in probabilities]
+    rank_values = [x for b in below for x in (f"{b} + 1", f"least({b} + 2, __n)")]
+    targets = counted.selectExpr(
+        "*", *[f"{x} AS {r}" for x, r in zip(rank_values, ranks)]
+    ).selectExpr(
         "*",
         *[
-            F.expr(_greatest([f"if({e} < {r}, {e}, 0L)" for e in ends])).alias(h)
+            f"{_greatest([f'IF({e} < {r}, {e}, 0L)' for e in ends])} AS {h}"
             for h, r in zip(homes, ranks)
         ],
     )
-    before = _greatest([f"if({test}, {e}, 0L)" for test, e in zip(past, ends)])
-    kept = ["__n", *ranks, *[n for n, _ in (*first, *second)]]
-    running = "sum(__c) OVER (PARTITION BY {} ORDER BY __v ROWS UNBOUNDED PRECEDING)".format(
-        ", ".join([*group, "__before"])
-    )
-    ordered = (
+    before = _greatest([f"IF({test}, {e}, 0L)" for test, e in zip(past, ends)])
+    kept = ["__n", *first, *second]
+    sliced = group_by(
         attach(rows, targets, group, few)
         .withColumn("__before", F.expr(before))
-        .where(f"(__v IS NOT NULL AND __before IN ({', '.join(homes)})) OR __n = 0")
-        .groupBy(*group, "__before", "__v")
-        .agg(F.count(F.lit(1)).alias("__c"), *_keep(kept))
-        .withColumn("__to", F.expr(f"__before + {running}"))
+        .where(f"(__v IS NOT NULL AND __before IN ({', '.join(homes)})) OR __n = 0"),
+        [*group, "__before", "__v"],
+        ["count(1) AS __c", *_keep([*kept, *ranks])],
+    )
+    slice_keys = ", ".join([*group, "__before"])
+    running = f"sum(__c) OVER (PARTITION BY {slice_keys} ORDER BY __v ROWS UNBOUNDED PRECEDING)"
+    picked = group_by(
+        sliced.withColumn("__to", F.expr(f"__before + {running}")),
+        group,
+        [
+            *_keep(kept),
+            *[
+                f"max(IF(__to - __c < {r} AND {r} <= __to, __v, NULL)) AS {r}_v"
+                for r in ranks
+            ],
+        ],
     )
-    at_rank = [
-        F.expr(f"max(if(__to - __c < {r} AND {r} <= __to, __v, NULL)) AS {r}_v") for r in ranks
-    ]
-    picked = ordered.groupBy(*group).agg(*_keep(["__n", *kept[1 + len(ranks) :]]), *at_rank)
     quantiles = []
     for i, (p, name) in enumerate(zip(probabilities, names)):
         low, high = f"{ranks[2 * i]}_v", f"{ranks[2 * i + 1]}_v"
         position = f"((__n - 1) * {float(p)!r}D)"
         share = f"({position} - floor({position}))"
         between = f"{low} * (1 - {share}) + {high} * {share}"
-        quantiles.append(F.expr(f"if({low} = {high}, {low}, {between})").alias(name))
-    return picked.select(*group, *[n for n, _ in (*first, *second)], *quantiles)
+        quantiles.append(named(f"IF({low} = {high}, {low}, {between})", name))
+    return picked.selectExpr(*group, *first, *second, *quantiles)
 
 
 def exact_quantiles(
@@ -168,17 +167,19 @@ def exact_quantiles(
     keys = as_names(by)
     group, rows = cells(df, value, keys)
     out = list(names or [f"q{p:g}" for p in probabilities])
-    result = quantile_passes(rows, group, probabilities, out, accuracy)
-    return named_groups(result, group, keys)
+    return named_groups(quantile_passes(rows, group, probabilities, out, accuracy), group, keys)
 
 
 def cells(df: DataFrame, value: str, keys: Sequence[str]) -> tuple[list[str], DataFrame]:
     """Only the group columns, under plain names, and the value as a double ``__v``."""
     group = [f"__g{i}" for i in range(len(keys))]
-    named = [col_q(k).alias(g) for k, g in zip(keys, group)]
-    return group, df.select(*named, col_q(value).cast("double").alias("__v"))
+    return group, df.selectExpr(
+        *[f"{quoted(k)} AS {g}" for k, g in zip(keys, group)],
+        f"CAST({quoted(value)} AS DOUBLE) AS __v",
+    )
 
 
 def named_groups(result: DataFrame, group: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    rest = [col_q(c) for c in result.columns if c not in group]
-    return result.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], *rest)
+    """Group columns under their own names again."""
+    rest = [quoted(c) for c in result.columns if c not in group]
+    return result.selectExpr(*[named(g, k) for g, k in zip(group, keys)], *rest)

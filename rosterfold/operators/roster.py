@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import Union
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterfold.functions.columns import col_q
+from rosterfold.functions.columns import col_q, literal, named, quoted
 
 # Either literal ids, or a DataFrame whose first column holds the ids.
 Roster = Union[Iterable, DataFrame]
@@ -24,6 +24,10 @@ def literal_ids(roster: Iterable) -> list:
     return ids
 
 
+def _ids(roster: DataFrame, key: str) -> DataFrame:
+    return roster.selectExpr(named(quoted(roster.columns[0]), key))
+
+
 def roster_filter(df: DataFrame, key: str, roster: Roster) -> DataFrame:
     """Rows whose key is on the roster; repeated ids never multiply rows.
 
@@ -33,34 +37,30 @@ def roster_filter(df: DataFrame, key: str, roster: Roster) -> DataFrame:
     when it is not.
     """
     if isinstance(roster, DataFrame):
-        ids = roster.select(col_q(roster.columns[0]).alias(key))
-        return df.join(ids, key, "left_semi")
+        return df.join(_ids(roster, key), key, "left_semi")
     return df.where(col_q(key).isin(literal_ids(roster)))
 
 
 def roster_flag(df: DataFrame, key: str, roster: Roster, name: str = "on_roster") -> DataFrame:
     """All rows, with a boolean that says whether the key is on the roster."""
     if isinstance(roster, DataFrame):
-        ids = (
-            roster.select(col_q(roster.columns[0]).alias(key))
-            .distinct()
-            .withColumn(name, F.lit(True))
-        )
-        return df.join(ids, key, "left").withColumn(name, F.coalesce(col_q(name), F.lit(False)))
+        ids = _ids(roster, key).distinct().withColumn(name, F.lit(True))
+        return df.join(ids, key, "left").withColumn(name, F.expr(f"coalesce({quoted(name)}, false)"))
     on_roster = col_q(key).isin(literal_ids(roster))
     return df.withColumn(name, F.coalesce(on_roster, F.lit(False)))
 
 
-def is_real_key(key: Column, placeholder: str = "^-,$") -> Column:
-    """True for a key that is present and not the placeholder."""
-    return key.isNotNull() & ~key.rlike(placeholder)
-
-
 def key_cleanup(df: DataFrame, key: str, placeholder: str = "^-,$") -> DataFrame:
     """Drop rows with a missing or placeholder key."""
-    return df.where(is_real_key(col_q(key), placeholder))
+    k = quoted(key)
+    return df.where(f"{k} IS NOT NULL AND NOT {k} RLIKE {literal(placeholder)}")
+
+
+def in_years(year: str, *years: str) -> str:
+    """SQL test on a year column; the year is text, so it is compared as text."""
+    return f"{quoted(year)} IN ({', '.join(literal(str(y)) for y in years)})"
 
 
 def period_filter(df: DataFrame, year: str, *years: str) -> DataFrame:
-    """Rows of the given years; the year is text, so it is compared as text."""
-    return df.where(col_q(year).isin([str(y) for y in years]))
+    """Rows of the given years."""
+    return df.where(in_years(year, *years))

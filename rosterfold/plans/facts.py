@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterfold.functions.columns import as_names, col_q
-from rosterfold.functions.labels import money_label
+from rosterfold.functions.columns import group_by, named, quoted
+from rosterfold.functions.labels import amount_text, money_label
 from rosterfold.functions.numbers import pct, safe_div
 from rosterfold.operators.change import (
     change_points,
@@ -20,13 +21,14 @@ from rosterfold.operators.change import (
 from rosterfold.operators.measures import (
     Measure,
     row_total,
-    rows,
     summarise,
     total,
     weighted_ratio,
 )
 from rosterfold.operators.merge import fact_join
-from rosterfold.operators.roster import period_filter
+from rosterfold.operators.projection import computed_columns
+from rosterfold.operators.quantiles import attach
+from rosterfold.operators.roster import in_years, period_filter
 
 
 @dataclass(frozen=True)
@@ -72,18 +74,18 @@ def org_year_grain(df: DataFrame, facts: FactColumns) -> DataFrame:
     return summarise(df, [facts.key, facts.year], facts.measures())
 
 
-def complement_ratio(ratio: Column) -> Column:
-    return F.lit(1) - ratio
+def complement_ratio(ratio: str) -> str:
+    return f"(1 - {ratio})"
 
 
-def composite_score(control: Column, uncontrolled: Column) -> Column:
-    """Mean of two ratios; NULL if either is."""
-    return (control + complement_ratio(uncontrolled)) / 2
+def composite_score(control: str, uncontrolled: str) -> str:
+    """Mean of a ratio and the complement of another; NULL if either is."""
+    return f"({control} + {complement_ratio(uncontrolled)}) / 2"
 
 
 def with_quality_score(grain: DataFrame) -> DataFrame:
-    score = composite_score(F.col("control_ratio"), F.col("uncontrolled_ratio"))
-    return grain.withColumn("quality_score", score)
+    score = composite_score("control_ratio", "uncontrolled_ratio")
+    return grain.withColumn("quality_score", F.expr(score))
 
 
 def patient_trend(
@@ -91,33 +93,33 @@ def patient_trend(
 ) -> DataFrame:
     """Patients of both years, growth in percent, and its label."""
     wide = pivot_years(grain, facts.key, facts.year, "patient_count", [old, new], "patients_")
-    growth = growth_pct(col_q(f"patients_{old}"), col_q(f"patients_{new}"))
-    return wide.withColumn("growth_pct", growth).withColumn(
-        "patient_growth_trend", growth_label(F.col("growth_pct"), old, na_text)
+    return computed_columns(
+        wide,
+        {
+            "growth_pct": growth_pct(f"patients_{old}", f"patients_{new}"),
+            "patient_growth_trend": growth_label("growth_pct", old, na_text),
+        },
     )
 
 
 def fact_patients(grain: DataFrame, facts: FactColumns, old: str, new: str, na_text: str | None = None) -> DataFrame:
     """Current patients and the growth label."""
-    return patient_trend(grain, facts, old, new, na_text).select(
-        col_q(facts.key),
-        col_q(f"patients_{new}").alias("patient_count_display"),
-        "patient_growth_trend",
+    return patient_trend(grain, facts, old, new, na_text).selectExpr(
+        quoted(facts.key), f"patients_{new} AS patient_count_display", "patient_growth_trend"
     )
 
 
-def _of_year(grain: DataFrame, facts: FactColumns, year: str, **columns: Column) -> DataFrame:
+def _of_year(grain: DataFrame, facts: FactColumns, year: str, **columns: str) -> DataFrame:
     chosen = period_filter(grain, facts.year, year)
-    return chosen.select(col_q(facts.key), *[c.alias(n) for n, c in columns.items()])
+    return chosen.selectExpr(quoted(facts.key), *[named(x, n) for n, x in columns.items()])
 
 
 def fact_minority(grain: DataFrame, facts: FactColumns, year: str) -> DataFrame:
-    count = F.col("minority_patient_count")
-    return _of_year(grain, facts, year, minority_patient_count=count)
+    return _of_year(grain, facts, year, minority_patient_count="minority_patient_count")
 
 
-def _share(total_column: str) -> Column:
-    return pct(F.col(total_column), F.col("patient_count"))
+def _share(total_column: str) -> str:
+    return pct(total_column, "patient_count")
 
 
 def fact_insurance(grain: DataFrame, facts: FactColumns, year: str) -> DataFrame:
@@ -144,34 +146,36 @@ def quality_trend(
     """Quality score of both years, change in points, and its label."""
     scored = with_quality_score(grain)
     wide = pivot_years(scored, facts.key, facts.year, "quality_score", [old, new], "quality_")
-    change = change_points(col_q(f"quality_{old}"), col_q(f"quality_{new}"))
-    return wide.withColumn("quality_change_pts", change).withColumn(
-        "quality_measure_change", points_label(F.col("quality_change_pts"), old, new, na_text)
+    return computed_columns(
+        wide,
+        {
+            "quality_change_pts": change_points(f"quality_{old}", f"quality_{new}"),
+            "quality_measure_change": points_label("quality_change_pts", old, new, na_text),
+        },
     )
 
 
 def fact_quality_change(grain: DataFrame, facts: FactColumns, old: str, new: str, na_text: str | None = None) -> DataFrame:
-    return quality_trend(grain, facts, old, new, na_text).select(
-        col_q(facts.key), "quality_measure_change"
+    return quality_trend(grain, facts, old, new, na_text).selectExpr(
+        quoted(facts.key), "quality_measure_change"
     )
 
 
-def _cost_per_head() -> Column:
-    return safe_div(F.col("total_cost"), F.col("patient_count"))
+COST_PER_HEAD = safe_div("total_cost", "patient_count")
 
 
 def fact_cost(grain: DataFrame, facts: FactColumns, year: str, pad: bool = False) -> DataFrame:
     """Cost per patient as a label; ``pad`` right-aligns all amounts to the widest."""
-    raw = _of_year(grain, facts, year, cost_per_patient_raw=_cost_per_head())
-    amount = F.col("cost_per_patient_raw")
+    raw = _of_year(grain, facts, year, cost=COST_PER_HEAD)
     width = None
     if pad:
-        width = raw.agg(F.max(F.length(F.format_number(amount, 0)))).scalar()
-    return raw.select(col_q(facts.key), money_label(amount, width).alias("cost_per_patient"))
+        widest = group_by(raw, [], [f"max(length({amount_text('cost')})) AS width"])
+        raw, width = attach(raw, widest, []), "width"
+    return raw.selectExpr(quoted(facts.key), named(money_label("cost", width), "cost_per_patient"))
 
 
 def fact_fte(grain: DataFrame, facts: FactColumns, year: str) -> DataFrame:
-    return _of_year(grain, facts, year, fte_total=F.col("fte_total"))
+    return _of_year(grain, facts, year, fte_total="fte_total")
 
 
 def joined_fact_sheet(
@@ -202,42 +206,36 @@ def fact_sheet(
     one of the old year, so the joins reduce to that condition: one scan, one
     shuffle, no join.
     """
-    old, new = str(old), str(new)
-    both = period_filter(df, facts.year, old, new)
-    is_old, is_new = col_q(facts.year) == old, col_q(facts.year) == new
     by_name = {m.name: m for m in facts.measures()}
 
-    def at(when: Column, suffix: str, *names: str) -> list[Column]:
-        return [by_name[n].expression(when).alias(f"{n}{suffix}") for n in names]
+    def at(year: str, suffix: str, names: Iterable[str]) -> list[str]:
+        when = in_years(facts.year, year)
+        rows_ = named(f"count_if({when})", f"__rows{suffix}")
+        return [rows_, *[named(by_name[n].sql(when), n + suffix) for n in names]]
 
     two_year = ("patient_count", "control_ratio", "uncontrolled_ratio")
-    one_year = [n for n in by_name if n not in two_year]
-    grain = (
-        both.groupBy(*[col_q(k) for k in as_names(facts.key)])
-        .agg(
-            rows("__old_rows").expression(is_old),
-            rows("__new_rows").expression(is_new),
-            *at(is_old, "_old", *two_year),
-            *at(is_new, "", *two_year, *one_year),
-        )
-        .where("__new_rows > 0")
-    )
-    old_patients = F.when(F.col("__old_rows") > 0, F.col("patient_count_old"))
-    growth = growth_pct(old_patients, F.col("patient_count"))
+    grain = group_by(
+        period_filter(df, facts.year, old, new),
+        [facts.key],
+        [*at(old, "_old", two_year), *at(new, "", by_name)],
+    ).where("__rows > 0")
+    growth = growth_pct("IF(__rows_old > 0, patient_count_old, NULL)", "patient_count")
     change = change_points(
-        composite_score(F.col("control_ratio_old"), F.col("uncontrolled_ratio_old")),
-        composite_score(F.col("control_ratio"), F.col("uncontrolled_ratio")),
+        composite_score("control_ratio_old", "uncontrolled_ratio_old"),
+        composite_score("control_ratio", "uncontrolled_ratio"),
     )
-    return grain.select(
-        col_q(facts.key),
-        F.col("patient_count").alias("patient_count_display"),
-        growth_label(growth, old, na_text).alias("patient_growth_trend"),
+    return grain.selectExpr(
+        "*", named(growth, "__growth"), named(change, "__change")
+    ).selectExpr(
+        quoted(facts.key),
+        "patient_count AS patient_count_display",
+        named(growth_label("__growth", old, na_text), "patient_growth_trend"),
         "minority_patient_count",
-        _share("public_insurance_total").alias("pct_public_insurance"),
-        _share("uninsured_total").alias("pct_uninsured"),
-        _share("fpl_over_100_total").alias("pct_100_fpl"),
-        _share("LOE_total").alias("pct_LOE"),
-        points_label(change, old, new, na_text).alias("quality_measure_change"),
-        money_label(_cost_per_head()).alias("cost_per_patient"),
+        named(_share("public_insurance_total"), "pct_public_insurance"),
+        named(_share("uninsured_total"), "pct_uninsured"),
+        named(_share("fpl_over_100_total"), "pct_100_fpl"),
+        named(_share("LOE_total"), "pct_LOE"),
+        named(points_label("__change", old, new, na_text), "quality_measure_change"),
+        named(money_label(COST_PER_HEAD), "cost_per_patient"),
         "fte_total",
     )

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterfold.functions.columns import as_names, col_q
+from rosterfold.functions.columns import as_names, literal, quoted
 from rosterfold.operators.merge import outer_merge, stack_years
 from rosterfold.operators.projection import coerce_types
 from rosterfold.operators.roster import Roster, key_cleanup
@@ -31,19 +31,18 @@ def load_year(
     year of the workbook; a sheet that states another year stops the job.
     """
     text = as_names([key, year_column, *text_columns])
-    clean = {
-        name: coerce_types(key_cleanup(df.withColumn(key, col_q(key).cast("string")), key, placeholder), text)
-        for name, df in sheets.items()
-    }
+    clean = {name: key_cleanup(coerce_types(df, text), key, placeholder) for name, df in sheets.items()}
     merged = outer_merge(clean, key, roster, unique_keys=unique_keys)
+    this_year = literal(str(year))
     if year_column not in merged.columns:
-        return merged.withColumn(year_column, F.lit(str(year)))
-    stated = col_q(year_column)
-    wrong = F.concat(F.lit(f"workbook {year} holds rows of year "), stated)
-    checked = F.when(stated.isNull() | (stated == str(year)), F.lit(str(year))).otherwise(
-        F.raise_error(wrong).cast("string")
+        return merged.withColumn(year_column, F.expr(this_year))
+    stated = quoted(year_column)
+    wrong = f"concat({literal(f'workbook {year} holds rows of year ')}, {stated})"
+    checked = (
+        f"IF({stated} IS NULL OR {stated} = {this_year}, {this_year},"
+        f" CAST(raise_error({wrong}) AS STRING))"
     )
-    return merged.withColumn(year_column, checked)
+    return merged.withColumn(year_column, F.expr(checked))
 
 
 def load_all_years(

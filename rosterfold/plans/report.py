@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterfold.functions.columns import col_q
+from rosterfold.functions.columns import named, quoted
 from rosterfold.functions.numbers import row_sum
 from rosterfold.operators import badges as b
 from rosterfold.operators.crosstab import count_percent_labels, crosstab, row_percentages
@@ -49,7 +49,8 @@ def survey_report(
     """Published tables by name. All yearly measures come from one aggregation."""
     states = crosstab(survey, c.YEAR, c.STATE, c.STATE_ORDER, total="Total")
     yearly = summarise(survey, c.YEAR, available(survey, c.YEARLY))
-    totals = survey.withColumn("row_total", row_sum([col_q(x) for x in c.ROW_TOTAL_COLUMNS]))
+    row_total = named(row_sum([quoted(x) for x in c.ROW_TOTAL_COLUMNS]), "row_total")
+    totals = survey.selectExpr(row_total)
     return {
         "yearly_measures": yearly,
         "yearly_measures_long": long_form(yearly, c.YEAR),

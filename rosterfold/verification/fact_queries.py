@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from rosterfold.functions.labels import money_label, number_text
-from rosterfold.functions.numbers import pct, safe_div
+from rosterfold.functions.numbers import pct
 from rosterfold.operators.change import change_points, growth_pct, pivot_years
 from rosterfold.operators.checks import ordered_report
 from rosterfold.operators.crosstab import order_by_count
 from rosterfold.operators.measures import long_form, row_total, summarise
+from rosterfold.operators.merge import fact_join
 from rosterfold.plans import facts as f
 from rosterfold.verification import standin as s
 from rosterfold.verification.registry import registered
@@ -36,8 +35,8 @@ def pivoted(spark, sf):
 @registered("growth_pct", f"WITH {s.GRAIN_SQL}, {_PATIENTS} SELECT *, {_GROWTH} AS growth FROM p")
 def growth(spark, sf):
     wide = pivot_years(_grain(spark, sf), "org", "yr", "patient_count", [OLD, NEW], "patients_")
-    change = growth_pct(F.col(f"patients_{OLD}"), F.col(f"patients_{NEW}"))
-    return wide.withColumn("growth", change)
+    change = growth_pct(f"patients_{OLD}", f"patients_{NEW}")
+    return wide.selectExpr("*", f"{change} AS growth")
 
 
 @registered(
@@ -46,8 +45,8 @@ def growth(spark, sf):
 def points(spark, sf):
     scored = f.with_quality_score(_grain(spark, sf))
     wide = pivot_years(scored, "org", "yr", "quality_score", [OLD, NEW], "quality_")
-    change = change_points(F.col(f"quality_{OLD}"), F.col(f"quality_{NEW}"))
-    return wide.withColumn("change", change)
+    change = change_points(f"quality_{OLD}", f"quality_{NEW}")
+    return wide.selectExpr("*", f"{change} AS change")
 
 
 @registered(
@@ -80,15 +79,13 @@ def states_by_count(spark, sf):
 )
 def signed_labels(spark, sf):
     grain = _grain(spark, sf)
-    trend = f.patient_trend(grain, s.FACTS, OLD, NEW).select(
-        "org", "growth_pct", F.col("patient_growth_trend").alias("growth_label")
+    trend = f.patient_trend(grain, s.FACTS, OLD, NEW).selectExpr(
+        "org", "growth_pct", "patient_growth_trend AS growth_label"
     )
-    quality = f.quality_trend(grain, s.FACTS, OLD, NEW).select(
-        "org",
-        F.col("quality_change_pts").alias("change_pts"),
-        F.col("quality_measure_change").alias("points_label"),
+    quality = f.quality_trend(grain, s.FACTS, OLD, NEW).selectExpr(
+        "org", "quality_change_pts AS change_pts", "quality_measure_change AS points_label"
     )
-    return f.fact_join(trend, quality, "org")
+    return fact_join(trend, quality, "org")
 
 
 @registered(
@@ -97,9 +94,10 @@ def signed_labels(spark, sf):
     regexp_replace(printf('%.1f', round(o_totalprice, 1)), '\\.0$', '') AS plain FROM orders""",
 )
 def money(spark, sf):
-    price = F.col("o_totalprice")
-    return s.table(spark, sf, "orders").select(
-        "o_orderkey", money_label(price).alias("money"), number_text(price).alias("plain")
+    return s.table(spark, sf, "orders").selectExpr(
+        "o_orderkey",
+        f"{money_label('o_totalprice')} AS money",
+        f"{number_text('o_totalprice')} AS plain",
     )
 
 
@@ -108,8 +106,8 @@ def money(spark, sf):
     f"WITH {s.GRAIN_SQL} SELECT org, yr, 1 - uncontrolled_ratio AS controlled_ratio FROM grain",
 )
 def complement(spark, sf):
-    controlled = f.complement_ratio(F.col("uncontrolled_ratio"))
-    return _grain(spark, sf).select("org", "yr", controlled.alias("controlled_ratio"))
+    controlled = f.complement_ratio("uncontrolled_ratio")
+    return _grain(spark, sf).selectExpr("org", "yr", f"{controlled} AS controlled_ratio")
 
 
 @registered(
@@ -126,8 +124,8 @@ def composite(spark, sf):
     {s.pct_sql("uninsured_total", "patient_count")} AS pct_uninsured FROM grain""",
 )
 def percent_of_base(spark, sf):
-    share = pct(F.col("uninsured_total"), F.col("patient_count"))
-    return _grain(spark, sf).select("org", "yr", share.alias("pct_uninsured"))
+    share = pct("uninsured_total", "patient_count")
+    return _grain(spark, sf).selectExpr("org", "yr", f"{share} AS pct_uninsured")
 
 
 @registered(
@@ -135,8 +133,7 @@ def percent_of_base(spark, sf):
     f"WITH {s.GRAIN_SQL} SELECT org, yr, total_cost / nullif(patient_count, 0) AS cost FROM grain",
 )
 def cost_per_head(spark, sf):
-    cost = safe_div(F.col("total_cost"), F.col("patient_count"))
-    return _grain(spark, sf).select("org", "yr", cost.alias("cost"))
+    return _grain(spark, sf).selectExpr("org", "yr", f"{f.COST_PER_HEAD} AS cost")
 
 
 @registered(

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
-
-from rosterfold.functions.numbers import safe_div
+from rosterfold.functions.columns import group_by
+from rosterfold.functions.numbers import exact_sum, safe_div
 from rosterfold.operators.badges import merge_badges
 from rosterfold.operators.checks import row_count_check
 from rosterfold.operators.measures import row_total, rows, summarise, total
@@ -52,10 +51,9 @@ def registry_of_years(spark, sf):
     for year, path in files.items():
         df = scan_sheet(spark, path, "lineitem", columns=["l_shipdate"])
         inside = df.where(
-            (F.col("l_shipdate") >= f"{year}-01-01")
-            & (F.col("l_shipdate") < f"{int(year) + 1}-01-01")
+            f"l_shipdate >= '{year}-01-01' AND l_shipdate < '{int(year) + 1}-01-01'"
         )
-        parts.append(inside.select(F.lit(year).alias("yr")))
+        parts.append(inside.selectExpr(f"'{year}' AS yr"))
     return summarise(stack_years(parts), "yr", [rows("n")])
 
 
@@ -132,12 +130,11 @@ _RAW_KEY_SQL = """raw AS (SELECT CASE WHEN l_discount = 0 THEN NULL WHEN l_tax =
     f"WITH {_RAW_KEY_SQL} SELECT k, l_quantity FROM raw WHERE k IS NOT NULL AND k <> '-,'",
 )
 def cleaned_keys(spark, sf):
-    key = (
-        F.when(F.col("l_discount") == 0, F.lit(None))
-        .when(F.col("l_tax") == 0, F.lit("-,"))
-        .otherwise(F.col("l_suppkey").cast("string"))
+    raw = s.table(spark, sf, "lineitem").selectExpr(
+        """CASE WHEN l_discount = 0 THEN NULL WHEN l_tax = 0 THEN '-,'
+        ELSE CAST(l_suppkey AS STRING) END AS k""",
+        "l_quantity",
     )
-    raw = s.table(spark, sf, "lineitem").select(key.alias("k"), "l_quantity")
     return key_cleanup(raw, "k")
 
 
@@ -214,11 +211,11 @@ def by_suffix(spark, sf):
 )
 def rounded(spark, sf):
     w = s.wide(spark, sf)
-    shares = w.select(
+    shares = w.selectExpr(
         "org",
         "yr",
-        safe_div(F.lit(100.0) * F.col("qua_AF"), F.col("qua_all")).alias("share_a"),
-        safe_div(F.lit(100.0) * F.col("qua_NO"), F.col("qua_all")).alias("share_n"),
+        f"{safe_div('100.0D * qua_AF', 'qua_all')} AS share_a",
+        f"{safe_div('100.0D * qua_NO', 'qua_all')} AS share_n",
     )
     return round_numeric(shares, 2, skip=["org"])
 
@@ -240,13 +237,12 @@ def column_set(spark, sf):
     FROM lineitem""",
 )
 def coerced(spark, sf):
-    raw = s.table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("org"),
-        F.when(F.col("l_discount") > 0, F.col("l_quantity").cast("string")).otherwise("-").alias("m1"),
-        F.when(F.col("l_tax") > 0, F.col("l_extendedprice").cast("string"))
-        .otherwise(F.concat(F.col("l_linenumber").cast("string"), F.lit("d")))
-        .alias("m2"),
-        F.col("l_linenumber").alias("m3"),
+    raw = s.table(spark, sf, "lineitem").selectExpr(
+        "l_suppkey AS org",
+        "IF(l_discount > 0, CAST(l_quantity AS STRING), '-') AS m1",
+        """IF(l_tax > 0, CAST(l_extendedprice AS STRING),
+        concat(CAST(l_linenumber AS STRING), 'd')) AS m2""",
+        "l_linenumber AS m3",
     )
     return coerce_types(raw, ["org"])
 
@@ -260,8 +256,8 @@ def computed(spark, sf):
     added = computed_columns(
         s.table(spark, sf, "lineitem"),
         {
-            "unit_price": safe_div(F.col("l_extendedprice"), F.col("l_quantity")),
-            "doubled": F.col("unit_price") * 2,
+            "unit_price": safe_div("l_extendedprice", "l_quantity"),
+            "doubled": "unit_price * 2",
         },
     )
     return added.select("l_orderkey", "l_linenumber", "unit_price", "doubled")
@@ -269,18 +265,13 @@ def computed(spark, sf):
 
 def _five_sheets(spark, sf):
     """Per-part sheets; each but the first lacks some parts."""
-    items = s.table(spark, sf, "lineitem")
-    key = F.col("l_partkey").alias("part")
+    items = s.table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "part")
 
     def sheet(name, condition, column):
-        return (
-            items.where(condition)
-            .groupBy(key)
-            .agg(F.sum(F.col(column).cast("decimal(18,2)")).cast("double").alias(name))
-        )
+        return group_by(items.where(condition), ["part"], [f"{exact_sum(column, 2)} AS {name}"])
 
     return {
-        "sheet1": s.table(spark, sf, "part").select(F.col("p_partkey").alias("part"), "p_size"),
+        "sheet1": s.table(spark, sf, "part").selectExpr("p_partkey AS part", "p_size"),
         "sheet2": sheet("qty_a", "l_returnflag = 'A'", "l_quantity"),
         "sheet3": sheet("qty_n", "l_returnflag = 'N' AND l_discount = 0", "l_quantity"),
         "sheet4": sheet("price_r", "l_returnflag = 'R' AND l_tax = 0", "l_extendedprice"),
@@ -329,7 +320,7 @@ def badges(spark, sf):
 )
 def joined(spark, sf):
     newest = period_filter(s.wide(spark, sf), "yr", s.NEW).select("org", "n")
-    names = s.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("org"), "s_name")
+    names = s.table(spark, sf, "supplier").selectExpr("s_suppkey AS org", "s_name")
     return fact_join(newest, names, "org")
 
 
@@ -356,17 +347,13 @@ def joined_on_two(spark, sf):
 )
 def stacked(spark, sf):
     orders = s.table(spark, sf, "orders")
-    date = F.col("o_orderdate")
+    in_1997 = orders.where("o_orderdate >= '1997-01-01' AND o_orderdate < '1998-01-01'")
+    in_1998 = orders.where("o_orderdate >= '1998-01-01' AND o_orderdate < '1999-01-01'")
+    others = orders.where("o_orderdate >= '1999-01-01' OR o_orderdate < '1997-01-01'")
     return stack_years(
         [
-            orders.where((date >= "1997-01-01") & (date < "1998-01-01")).select(
-                "o_orderkey", "o_totalprice"
-            ),
-            orders.where((date >= "1998-01-01") & (date < "1999-01-01")).select(
-                "o_orderstatus", "o_orderkey"
-            ),
-            orders.where((date >= "1999-01-01") | (date < "1997-01-01")).select(
-                "o_totalprice", "o_orderkey", "o_orderstatus"
-            ),
+            in_1997.select("o_orderkey", "o_totalprice"),
+            in_1998.select("o_orderstatus", "o_orderkey"),
+            others.select("o_totalprice", "o_orderkey", "o_orderstatus"),
         ]
     )

@@ -138,11 +138,11 @@ _SPARSE = "CASE WHEN l_discount > 0.02 THEN l_extendedprice END"
     FROM cells GROUP BY yr""",
 )
 def weighted_ratio_strict(spark, sf):
-    cells = s.table(spark, sf, "lineitem").select(
-        F.year("l_shipdate").cast("string").alias("yr"),
-        F.col("l_quantity").alias("w"),
-        (F.col("l_extendedprice") * F.col("l_tax")).alias("part"),
-        F.expr(_SPARSE).alias("base"),
+    cells = s.table(spark, sf, "lineitem").selectExpr(
+        f"{s.YEAR_TEXT} AS yr",
+        "l_quantity AS w",
+        "l_extendedprice * l_tax AS part",
+        f"{_SPARSE} AS base",
     )
     return m.summarise(
         cells,
@@ -245,9 +245,8 @@ def text_profile(spark, sf):
     {_text_profile_sql("k", "yr", "keys")}""",
 )
 def text_profile_by_year(spark, sf):
-    keys = s.table(spark, sf, "lineitem").select(
-        F.year("l_shipdate").cast("string").alias("yr"),
-        F.when(F.col("l_discount") > 0, F.col("l_suppkey").cast("string")).alias("k"),
+    keys = s.table(spark, sf, "lineitem").selectExpr(
+        f"{s.YEAR_TEXT} AS yr", "IF(l_discount > 0, CAST(l_suppkey AS STRING), NULL) AS k"
     )
     return profile_text(keys, "k", "yr")
 

@@ -17,9 +17,9 @@ badges                 order priorities a customer used in a year
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from rosterfold.functions.columns import group_by, named, quoted
 from rosterfold.functions.numbers import exact_sum
 from rosterfold.operators.merge import fact_join
 from rosterfold.plans.facts import FactColumns
@@ -43,30 +43,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return scan_sheet(spark, sf_dir, name)
 
 
-def _year_text(date: str) -> Column:
-    return F.year(date).cast("string")
+YEAR_TEXT = "CAST(year(l_shipdate) AS STRING)"
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item as a survey row; absent categories are NULL."""
 
-    def only(column: str, value: str) -> Column:
-        return F.when(F.col(column) == value, F.col("l_quantity"))
-
-    price = F.col("l_extendedprice")
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("org"),
-        _year_text("l_shipdate").alias("yr"),
-        F.col("l_quantity").alias("qty"),
-        price.alias("price"),
-        only("l_linestatus", "F").alias("qty_f"),
-        only("l_linestatus", "O").alias("qty_o"),
-        only("l_returnflag", "A").alias("qty_a"),
-        only("l_returnflag", "N").alias("qty_n"),
-        only("l_returnflag", "R").alias("qty_r"),
-        F.col("l_discount").alias("disc"),
-        (price * F.col("l_discount")).alias("disc_part"),
-        (price * F.col("l_tax")).alias("tax_part"),
+    def only(column: str, value: str) -> str:
+        return f"IF({column} = '{value}', l_quantity, NULL)"
+
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey AS org",
+        f"{YEAR_TEXT} AS yr",
+        "l_quantity AS qty",
+        "l_extendedprice AS price",
+        f"{only('l_linestatus', 'F')} AS qty_f",
+        f"{only('l_linestatus', 'O')} AS qty_o",
+        f"{only('l_returnflag', 'A')} AS qty_a",
+        f"{only('l_returnflag', 'N')} AS qty_n",
+        f"{only('l_returnflag', 'R')} AS qty_r",
+        "l_discount AS disc",
+        "l_extendedprice * l_discount AS disc_part",
+        "l_extendedprice * l_tax AS tax_part",
     )
 
 
@@ -83,28 +81,28 @@ LINES_SQL = """lines AS (
     FROM lineitem)"""
 
 
-def _cells(column: str) -> list[Column]:
+def _cells(column: str) -> list[str]:
     out = []
     for f in FLAGS:
         for s in STATUSES:
-            inside = (F.col("l_returnflag") == f) & (F.col("l_linestatus") == s)
-            n = F.count_if(inside)
-            value = exact_sum(F.when(inside, F.col(column)), PLACES)
-            out.append(F.when(n >= MIN_ROWS, value).alias(f"{column[2:5]}_{f}{s}"))
+            inside = f"l_returnflag = '{f}' AND l_linestatus = '{s}'"
+            value = exact_sum(f"IF({inside}, {column}, NULL)", PLACES)
+            shown = f"IF(count_if({inside}) >= {MIN_ROWS}, {value}, NULL)"
+            out.append(f"{shown} AS {column[2:5]}_{f}{s}")
     return out
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per organisation and year: ``n`` and suppressed quantity cells."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_suppkey").alias("org"), _year_text("l_shipdate").alias("yr"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            exact_sum(F.col("l_quantity"), PLACES).alias("qua_all"),
-            *_cells("l_quantity"),
-        )
+    items = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey AS org",
+        f"{YEAR_TEXT} AS yr",
+        "l_quantity",
+        "l_returnflag",
+        "l_linestatus",
     )
+    all_quantity = f"{exact_sum('l_quantity', PLACES)} AS qua_all"
+    return group_by(items, ["org", "yr"], ["count(1) AS n", all_quantity, *_cells("l_quantity")])
 
 
 def _cell_sql(column: str, f: str, s: str) -> str:
@@ -125,10 +123,10 @@ WIDE_SQL = f"""wide AS (
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Organisation and its state."""
-    supplier = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("org"), F.col("s_nationkey").alias("n_nationkey")
+    supplier = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS org", "s_nationkey AS n_nationkey"
     )
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("state"))
+    nation = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_name AS state")
     return fact_join(supplier, nation, "n_nationkey").select("org", "state")
 
 
@@ -222,19 +220,15 @@ def pivot_sql(value: str, prefix: str, source: str = "grain") -> str:
 
 def badge_sheet(spark: SparkSession, sf_dir: str, year: str) -> DataFrame:
     """Customers with an order in the year, and their badges."""
-    in_year = (F.col("o_orderdate") >= f"{year}-01-01") & (
-        F.col("o_orderdate") < f"{int(year) + 1}-01-01"
+    in_year = table(spark, sf_dir, "orders").where(
+        f"o_orderdate >= '{year}-01-01' AND o_orderdate < '{int(year) + 1}-01-01'"
     )
     badges = [
-        F.when(F.bool_or(F.col("o_orderpriority") == priority), "Yes").alias(BADGE.format(level))
+        named(f"IF(bool_or(o_orderpriority = '{priority}'), 'Yes', NULL)", BADGE.format(level))
         for level, priority in LEVELS.items()
     ]
-    return (
-        table(spark, sf_dir, "orders")
-        .where(in_year)
-        .groupBy(F.col("o_custkey").alias(BADGE_KEY))
-        .agg(F.count(F.lit(1)).alias("HC Type - orders"), *badges)
-    )
+    customers = in_year.selectExpr(named("o_custkey", BADGE_KEY), "o_orderpriority")
+    return group_by(customers, [BADGE_KEY], [named("count(1)", "HC Type - orders"), *badges])
 
 
 def badge_sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -273,42 +267,48 @@ KEY = "GrantNumber"
 INFO_TEXT = ("GrantNumber", "ReportingYear", "HealthCenterName", "HealthCenterState")
 
 
-def _text_cells(column: str, prefix: str) -> list[Column]:
+def _text_cells(column: str, prefix: str) -> list[str]:
     out = []
     for f in FLAGS:
         for s in STATUSES:
-            inside = (F.col("l_returnflag") == f) & (F.col("l_linestatus") == s)
-            value = F.sum(F.when(inside, F.col(column).cast("decimal(18,2)"))).cast("string")
-            shown = F.when(F.count_if(inside) >= MIN_ROWS, value).otherwise(F.lit("-"))
-            out.append(shown.alias(f"{prefix}_L{f}.{s}_Ca"))
+            inside = f"l_returnflag = '{f}' AND l_linestatus = '{s}'"
+            value = f"sum(IF({inside}, CAST({column} AS DECIMAL(18,2)), NULL))"
+            shown = f"IF(count_if({inside}) >= {MIN_ROWS}, CAST({value} AS STRING), '-')"
+            out.append(named(shown, f"{prefix}_L{f}.{s}_Ca"))
     return out
 
 
 def workbook(spark: SparkSession, sf_dir: str, year: str) -> dict[str, DataFrame]:
     """The sheets of one year, every cell text."""
-    key = F.col("l_suppkey").cast("string").alias(KEY)
-    of_year = table(spark, sf_dir, "lineitem").where(
-        (F.col("l_shipdate") >= f"{year}-01-01") & (F.col("l_shipdate") < f"{int(year) + 1}-01-01")
+    of_year = (
+        table(spark, sf_dir, "lineitem")
+        .where(f"l_shipdate >= '{year}-01-01' AND l_shipdate < '{int(year) + 1}-01-01'")
+        .selectExpr(
+            "l_suppkey AS org", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"
+        )
     )
-    supplier = table(spark, sf_dir, "supplier")
-    named = supplier.select(F.col("s_suppkey").alias("org"), "s_name", "s_acctbal")
-    info = fact_join(named, states(spark, sf_dir), "org").select(
-        F.col("org").cast("string").alias(KEY),
-        F.lit(year).alias("ReportingYear"),
-        F.col("s_name").alias("HealthCenterName"),
-        F.col("state").alias("HealthCenterState"),
-        F.col("s_acctbal").cast("decimal(18,2)").cast("string").alias("FundingCHC"),
+    key = f"CAST(org AS STRING) AS {KEY}"
+
+    def sheet(cells: list[str]) -> DataFrame:
+        return group_by(of_year, ["org"], ["count(1) AS __n", *cells])
+
+    def shown(df: DataFrame) -> DataFrame:
+        return df.selectExpr(key, *[quoted(c) for c in df.columns if c not in ("org", "__n")])
+
+    named_orgs = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS org", "s_name", "s_acctbal"
     )
-    prices = (
-        of_year.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("__n"), *_text_cells("l_extendedprice", "T8"))
-        .where(f"__n >= {PRICE_MIN}")
-        .drop("__n")
+    info = fact_join(named_orgs, states(spark, sf_dir), "org").selectExpr(
+        key,
+        f"'{year}' AS ReportingYear",
+        "s_name AS HealthCenterName",
+        "state AS HealthCenterState",
+        "CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS STRING) AS FundingCHC",
     )
     return {
         "HealthCenterInfo": info,
-        "Table3": of_year.groupBy(key).agg(*_text_cells("l_quantity", "T3")),
-        "Table8": prices,
+        "Table3": shown(sheet(_text_cells("l_quantity", "T3"))),
+        "Table8": shown(sheet(_text_cells("l_extendedprice", "T8")).where(f"__n >= {PRICE_MIN}")),
     }
 
 
@@ -340,4 +340,4 @@ def workbook_sql(year: str) -> str:
 
 
 def text_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roster(spark, sf_dir).select(F.col("s_suppkey").cast("string").alias(KEY))
+    return roster(spark, sf_dir).selectExpr(f"CAST(s_suppkey AS STRING) AS {KEY}")
