@@ -52,14 +52,27 @@ def row_sum(columns: Sequence[str]) -> str:
     return "(" + " + ".join(map(or_zero, columns)) + ")"
 
 
+# Whole units that surely fit a BIGINT.
+MAX_UNITS = "9e18D"
+
+
 def exact_sum(x: str, places: int | None = None) -> str:
     """Sum as a double, NULL for no values.
 
-    With ``places`` the addends are decimals, whose sum does not depend on the
-    order in which partitions are merged; that of doubles does.
+    Double sums depend on the order in which partitions are merged. With
+    ``places`` each addend is rounded (half away from zero) to whole units of
+    the last place, and the units are summed as BIGINT: that does not depend on
+    the order, and is several times faster than a decimal sum. Where addends or
+    sum are too large for it, the double sum is the result; at that size it is
+    as precise as a double can be.
     """
-    addend = x if places is None else f"CAST({x} AS DECIMAL(18, {places}))"
-    return f"CAST(sum({addend}) AS DOUBLE)"
+    plain = f"sum(CAST({x} AS DOUBLE))"
+    if places is None:
+        return plain
+    unit = f"1e{places}D"
+    units = f"IF(({x}) < 0, ceil(({x}) * {unit} - 0.5D), floor(({x}) * {unit} + 0.5D))"
+    exact = f"CAST(try_sum({units}) AS DOUBLE) / {unit}"
+    return f"IF(max(abs({x})) * {unit} < {MAX_UNITS}, coalesce({exact}, {plain}), {plain})"
 
 
 def pct(numerator: str, denominator: str, digits: int = 1) -> str:
