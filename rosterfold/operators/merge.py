@@ -66,10 +66,10 @@ def outer_merge(
 
     values = [c for df in sheets.values() for c in df.columns if c != key]
     tagged = [
-        _with_key(df, key, keep_null_key).withColumn("__sheet", F.lit(1 << i).cast("bigint"))
+        _with_key(df, key, keep_null_key).withColumn("__sheet", F.expr(f"{1 << i}L"))
         for i, df in enumerate(sheets.values())
     ]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    stacked = stack_years(tagged)
     if roster is not None:
         stacked = roster_filter(stacked, key, roster)
     # keys are unique per sheet: combining before the shuffle would find nothing
@@ -113,8 +113,20 @@ def _chained_full_join(
 
 
 def stack_years(frames: Sequence[DataFrame]) -> DataFrame:
-    """Stack by column name, keep duplicates, NULL where a year lacks a column."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """Stack by column name, keep duplicates, NULL where a year lacks a column.
+
+    Neighbours are paired until one is left: every frame is then realigned a
+    few times, where a left-to-right chain would realign the first ones again
+    for each frame that follows.
+    """
+    frames = list(frames)
+    while len(frames) > 1:
+        pairs = [frames[i : i + 2] for i in range(0, len(frames), 2)]
+        frames = [
+            p[0].unionByName(p[1], allowMissingColumns=True) if len(p) == 2 else p[0]
+            for p in pairs
+        ]
+    return frames[0]
 
 
 def fact_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str]) -> DataFrame:
