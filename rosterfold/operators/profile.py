@@ -77,8 +77,8 @@ def profile_numeric(
 ) -> DataFrame:
     """Per group: missing, complete rate, mean, sd, five quantiles, bar sketch.
 
-    A group without any value keeps its row, with NULL statistics. The first
-    of three passes runs at once, see :func:`quantile_passes`.
+    A group without any value keeps its row, with NULL statistics. Group sizes
+    are counted at once, see :func:`quantile_passes`.
     """
     keys = as_names(by)
     group, rows = cells(df, column, keys)

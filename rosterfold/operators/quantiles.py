@@ -1,11 +1,12 @@
 """Exact grouped quantiles that never gather a whole group.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
-task's memory. Here a bounded sketch only *proposes* cut points on both sides
-of each wanted rank; exact counts then say between which cuts each rank lies,
-and only the rows of those narrow slices are counted by value and ordered. The
-sketch decides how much is ordered, never the result: were it off, a slice
-would be wider, not wrong.
+task's memory, so it is used only when a count has shown that every group is
+small. Otherwise a bounded sketch *proposes* cut points on both sides of each
+wanted rank; exact counts then say between which cuts each rank lies, and only
+the rows of those narrow slices are counted by value and ordered. The sketch
+decides how much is ordered, never the result: were it off, a slice would be
+wider, not wrong.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from rosterfold.sources.pinning import pinned
 ACCURACY = 10_000
 
 
+# Groups up to this many values may be held in one task's memory, each.
+SMALL_GROUP = 100_000
+
 # Per-group tables up to this many rows are broadcast (a few hundred bytes each).
 BROADCAST_GROUPS = 20_000
 
@@ -64,18 +68,67 @@ def quantile_passes(
     first: Mapping[str, str] | None = None,
     second: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Quantiles plus any other statistics, in three passes over ``rows``.
+    """Quantiles plus any other statistics.
 
     ``rows`` and ``group`` come from :func:`cells`. ``first`` are named SQL
-    aggregates for the first pass; ``second`` may also use their results as
-    columns. Every group gets a row; without values its quantiles are NULL.
+    aggregates; ``second`` may also use their results as columns. Every group
+    gets a row; without values its quantiles are NULL.
 
-    Only scalars travel with the rows, so that the aggregations over all rows
-    stay hash-based. The first pass runs at once and its result, one row per
-    group, is pinned: a sketch may come out differently when a lost task is
-    repeated, and its row count decides whether later passes may broadcast.
+    Group sizes are counted at once. They decide whether groups are small, and
+    whether per-group tables may be broadcast.
     """
     first, second = dict(first or {}), dict(second or {})
+    sizes = group_by(rows, group, ["count(__v) AS __n"])
+    largest, groups = sizes.agg(F.max("__n"), F.count("__n")).first()
+    few = bool(group) and groups <= BROADCAST_GROUPS
+    if (largest or 0) <= SMALL_GROUP:
+        return _small_groups(rows, group, probabilities, names, first, second, few)
+    return _sliced_groups(rows, group, probabilities, names, accuracy, first, second, few)
+
+
+def _small_groups(
+    rows: DataFrame,
+    group: Sequence[str],
+    probabilities: Sequence[float],
+    names: Sequence[str],
+    first: Mapping[str, str],
+    second: Mapping[str, str],
+    few: bool,
+) -> DataFrame:
+    """Two passes, or one if nothing is needed first."""
+    if first:
+        extent = group_by(rows, group, [f"{x} AS {n}" for n, x in first.items()])
+        rows = attach(rows, extent, group, few)
+    wanted = ", ".join(f"{float(p)!r}D" for p in probabilities)
+    return group_by(
+        rows,
+        group,
+        [
+            *_keep(list(first)),
+            *[f"{x} AS {n}" for n, x in second.items()],
+            f"percentile(__v, array({wanted})) AS __q",
+        ],
+    ).selectExpr(
+        *group, *first, *second, *[named(f"get(__q, {i})", n) for i, n in enumerate(names)]
+    )
+
+
+def _sliced_groups(
+    rows: DataFrame,
+    group: Sequence[str],
+    probabilities: Sequence[float],
+    names: Sequence[str],
+    accuracy: int,
+    first: Mapping[str, str],
+    second: Mapping[str, str],
+    few: bool,
+) -> DataFrame:
+    """Three passes: sketch, counts, slices.
+
+    Only scalars travel with the rows, so that the aggregations over all rows
+    stay hash-based. The sketches, one row per group, are computed at once and
+    pinned: a sketch may come out differently when a lost task is repeated.
+    """
     margin = 2.0 / accuracy
     cut_at = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-margin, margin)]
     cuts = [f"__cut{i}" for i in range(len(cut_at))]
@@ -94,8 +147,6 @@ def quantile_passes(
             ],
         ).selectExpr(*group, "__n", *[f"get(__cuts, {i}) AS {c}" for i, c in enumerate(cuts)], *first)
     )
-    few = bool(group) and proposed.count() <= BROADCAST_GROUPS
-
     # pass 2: values below the lower edge, and up to the upper edge, of each bracket
     past = [f"__v {'>=' if i % 2 == 0 else '>'} {c}" for i, c in enumerate(cuts)]
     counted = group_by(

@@ -49,7 +49,10 @@ def expect_quantiles(df, data, by, **options):
     ),
     st.sampled_from([2, 10, 10_000]),
 )
-def test_quantiles_match_numpy_at_any_sketch_accuracy(frame, data, accuracy):
+def test_quantiles_match_numpy_at_any_sketch_accuracy(frame, monkeypatch, data, accuracy):
+    monkeypatch.setattr(q, "SMALL_GROUP", 100_000)
+    expect_quantiles(frame("g string, x double", data), data, ["g"])
+    monkeypatch.setattr(q, "SMALL_GROUP", 0)
     expect_quantiles(frame("g string, x double", data), data, ["g"], accuracy=accuracy)
 
 
@@ -57,6 +60,7 @@ def test_quantiles_match_numpy_at_any_sketch_accuracy(frame, data, accuracy):
 @pytest.mark.parametrize("few", [0, 20_000])
 def test_quantiles_of_a_hot_group_with_frequent_values(spark, monkeypatch, accuracy, few):
     monkeypatch.setattr(q, "BROADCAST_GROUPS", few)
+    monkeypatch.setattr(q, "SMALL_GROUP", 1000)
     rng = np.random.default_rng(1)
     hot = np.concatenate([rng.lognormal(0, 3, 4000), np.zeros(3000), rng.normal(-9, 1, 2000)])
     data = [("hot", float(x)) for x in hot] + [(f"g{i % 50}", float(i)) for i in range(500)]
@@ -64,14 +68,18 @@ def test_quantiles_of_a_hot_group_with_frequent_values(spark, monkeypatch, accur
     expect_quantiles(df, data, ["g"], accuracy=accuracy)
 
 
-def test_quantiles_without_groups(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_quantiles_without_groups(spark, monkeypatch, small):
+    monkeypatch.setattr(q, "SMALL_GROUP", small)
     data = [(float(i * i % 997),) for i in range(3000)]
     df = spark.createDataFrame(data, "x double").repartition(5)
     expect_quantiles(df, data, [], accuracy=50)
     expect_quantiles(df.where("false"), [(None,)], [])
 
 
-def test_numeric_profile(frame):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_numeric_profile(frame, monkeypatch, small):
+    monkeypatch.setattr(q, "SMALL_GROUP", small)
     df = frame(
         "yr string, `x.y` double",
         [("one", 5.0), ("none", None), ("none", None)]
@@ -131,7 +139,9 @@ def test_crosstab_finds_its_values(frame):
     ]
 
 
-def test_six_numbers(frame):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_six_numbers(frame, monkeypatch, small):
+    monkeypatch.setattr(q, "SMALL_GROUP", small)
     df = frame("x double", [(v,) for v in (8.0, 1.0, None, 4.0, 2.0)])
     assert rows(six_number_summary(df, "x", 2)) == [(1.0, 1.75, 3.0, 3.75, 5.0, 8.0)]
 
