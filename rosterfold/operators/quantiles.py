@@ -23,19 +23,29 @@ ACCURACY = 10_000
 
 
 # Groups up to this many values may be held in one task's memory, each.
-SMALL_GROUP = 100_000
+SMALL_GROUP = 20_000
 
 # Per-group tables up to this many rows are broadcast (a few hundred bytes each).
 BROADCAST_GROUPS = 20_000
 
+# A group with more than this share of all rows is hot; at most 1,000 can be.
+HOT_SHARE = 0.001
 
-def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str], few: bool = False) -> DataFrame:
+
+def attach(
+    df: DataFrame,
+    per_group: DataFrame,
+    by: Sequence[str],
+    few: bool = False,
+    hot: DataFrame | None = None,
+) -> DataFrame:
     """Add per-group columns to every row; every group of ``df`` is in ``per_group``.
 
     Without groups ``per_group`` is one row and arrives as a scalar subquery.
-    Otherwise it is joined, and broadcast only if the caller has counted its
-    rows (``few``); else Spark shuffles and AQE splits hot groups. NULL groups
-    match.
+    Otherwise it is joined, and broadcast if the caller has counted its rows
+    (``few``). If there are many groups, those listed in ``hot`` are joined by
+    broadcast and only the others are shuffled, so no task receives a hot
+    group. NULL groups match.
     """
     extra = [c for c in per_group.columns if c not in by]
     if not by:
@@ -43,11 +53,21 @@ def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str], few: bool = F
         return df.withColumn("__one", one).selectExpr(
             *df.columns, *[f"__one.{c} AS {c}" for c in extra]
         )
-    right = per_group.selectExpr(*[f"{k} AS __by{i}" for i, k in enumerate(by)], *extra)
+    keys = [f"__by{i}" for i in range(len(by))]
+    renamed = [f"{k} AS {r}" for k, r in zip(by, keys)]
+    same = F.expr(" AND ".join(f"{k} <=> {r}" for k, r in zip(by, keys)))
+    right = per_group.selectExpr(*renamed, *extra)
     if few:
-        right = F.broadcast(right)
-    same = " AND ".join(f"{k} <=> __by{i}" for i, k in enumerate(by))
-    return df.join(right, F.expr(same), "inner").drop(*[f"__by{i}" for i in range(len(by))])
+        joined = df.join(F.broadcast(right), same, "inner")
+    elif hot is None:
+        joined = df.join(right, same, "inner")
+    else:
+        hot_keys = F.broadcast(hot.selectExpr(*renamed))
+        hot_right = per_group.join(hot_keys, same, "left_semi").selectExpr(*renamed, *extra)
+        joined = df.join(F.broadcast(hot_right), same, "inner").union(
+            df.join(hot_keys, same, "left_anti").join(right, same, "inner")
+        )
+    return joined.drop(*keys)
 
 
 def _greatest(terms: Sequence[str]) -> str:
@@ -78,12 +98,15 @@ def quantile_passes(
     whether per-group tables may be broadcast.
     """
     first, second = dict(first or {}), dict(second or {})
-    sizes = group_by(rows, group, ["count(__v) AS __n"])
-    largest, groups = sizes.agg(F.max("__n"), F.count("__n")).first()
+    sizes = group_by(rows, group, ["count(1) AS __rows"])
+    largest, groups, all_rows = sizes.agg(F.max("__rows"), F.count("__rows"), F.sum("__rows")).first()
     few = bool(group) and groups <= BROADCAST_GROUPS
     if (largest or 0) <= SMALL_GROUP:
         return _small_groups(rows, group, probabilities, names, first, second, few)
-    return _sliced_groups(rows, group, probabilities, names, accuracy, first, second, few)
+    hot = None
+    if group and not few:
+        hot = pinned(sizes.where(f"__rows > {all_rows * HOT_SHARE!r}D").select(*group))
+    return _sliced_groups(rows, group, probabilities, names, accuracy, first, second, few, hot)
 
 
 def _small_groups(
@@ -122,6 +145,7 @@ def _sliced_groups(
     first: Mapping[str, str],
     second: Mapping[str, str],
     few: bool,
+    hot: DataFrame | None,
 ) -> DataFrame:
     """Three passes: sketch, counts, slices.
 
@@ -150,7 +174,7 @@ def _sliced_groups(
     # pass 2: values below the lower edge, and up to the upper edge, of each bracket
     past = [f"__v {'>=' if i % 2 == 0 else '>'} {c}" for i, c in enumerate(cuts)]
     counted = group_by(
-        attach(rows, proposed, group, few),
+        attach(rows, proposed, group, few, hot),
         group,
         [
             *_keep(["__n", *cuts, *first]),
@@ -174,10 +198,13 @@ def _sliced_groups(
             for h, r in zip(homes, ranks)
         ],
     )
+    if hot is not None:
+        # read twice below, once for hot groups and once for the others
+        targets = pinned(targets)
     before = _greatest([f"IF({test}, {e}, 0L)" for test, e in zip(past, ends)])
     kept = ["__n", *first, *second]
     sliced = group_by(
-        attach(rows, targets, group, few)
+        attach(rows, targets, group, few, hot)
         .withColumn("__before", F.expr(before))
         .where(f"(__v IS NOT NULL AND __before IN ({', '.join(homes)})) OR __n = 0"),
         [*group, "__before", "__v"],
