@@ -29,7 +29,7 @@ _SPACED = re.compile(
 _LOWERED = re.compile(f"{_SHORT}|[a-z{_MORE}]+|[0-9]|[^{_SPACE}a-z{_MORE}0-9]+")
 
 #: Pieces an encoder remembers; later ones are encoded each time they are met.
-MEMORY = 900_000
+MEMORY = 400_000
 
 _ENCODERS: dict = {}
 

@@ -44,7 +44,7 @@ MASK = 0xA282EAD8
 INDEX = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("known", "u1"), ("tokens", "<u4"), ("start", "<u8")])
 
 #: Bytes of text that go to one file.
-FILE_BYTES = 1 << 24
+FILE_BYTES = 1 << 23
 
 _LIST = "shard int, file string, n_records bigint, n_ids bigint"
 
