@@ -99,7 +99,7 @@ def token_filters(docs: DataFrame, n: int, nbytes: int, tokens_of, above: tuple[
         for batch in slices(batches, limit=1 << 22):
             held.append(tokens_of(texts(batch.column("text"))))
             kept += len(held[-1])
-            if kept > 4_000_000:
+            if kept > 2_000_000:
                 yield flush()
                 held, kept = [], 0
         if kept:
@@ -139,3 +139,31 @@ def token_filters(docs: DataFrame, n: int, nbytes: int, tokens_of, above: tuple[
             whole[row.bucket * size // 8 : (row.bucket + 1) * size // 8] = row[name]
         out.append(bytes(whole))
     return out[0], out[1]
+
+
+def member_filter(tokens: DataFrame, n: int, nbytes: int) -> tuple[bytes, int]:
+    """A filter (bits, number of slices) of a column ``token`` of 64-bit numbers; its size follows ``nbytes`` up to an eighth of ``BITS``."""
+    bits = 1 << 20
+    while bits < min(BITS >> 3, nbytes // 16):
+        bits *= 2
+    size = max(64, bits // n // 8 * 8)
+
+    def deal(batches):
+        for batch in batches:
+            token = batch.column("token").to_numpy().view(np.uint64)
+            yield pa.record_batch({"bucket": pa.array(bucket_of(mix(token), n)[0], pa.int32()), "token": batch.column("token")})
+
+    def slice_of(group):
+        bucket = group.column("bucket")[0].as_py()
+        low = bucket_of(mix(group.column("token").to_numpy().view(np.uint64)), n)[1]
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([Filter.slice(bucket, low, size)], pa.binary())})
+
+    whole = bytearray(n * size // 8)
+    for row in (
+        tokens.mapInArrow(deal, "bucket int, token bigint")
+        .groupBy("bucket")
+        .applyInArrow(slice_of, "bucket int, bits binary")
+        .collect()
+    ):
+        whole[row.bucket * size // 8 : (row.bucket + 1) * size // 8] = row.bits
+    return bytes(whole), n

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from rosterfold.llm.common import blob, parts, pin, prepare, slices, text_bytes, texts
 from rosterfold.llm.components import components
-from rosterfold.llm.filters import Filter, token_filters
+from rosterfold.llm.filters import Filter, member_filter, token_filters
 from rosterfold.llm.words import is_space, joined, lower, mix, prefix_hashes, runs, span_hashes
 
 WIDTH = 5
@@ -116,15 +116,21 @@ def keys_of(tokens: np.ndarray, common: np.ndarray, repeated: np.ndarray, thresh
     return np.concatenate(keys), np.concatenate(places), np.concatenate(often)
 
 
-_SETS = "kind int, doc_id bigint, n bigint, key bigint, bucket int, keys binary, nodes binary, sizes binary, places binary, often binary"
+_INDEX = "kind int, doc_id bigint, n bigint, key bigint, bucket int, keys binary, nodes binary, sizes binary, places binary, often binary"
+
+
+def node_of(tokens: np.ndarray, mixed: np.ndarray) -> int:
+    """One number for a set: equal sets are one node."""
+    both = mixed.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(tokens)
+    return int((mix(np.array([both])) + np.uint64(len(tokens))).view(np.int64)[0])
 
 
 def index(docs: DataFrame, n: int, filters, width: int, threshold: int) -> DataFrame:
-    """Kind 0: each document's node and size. Kind 1: a node's set. Kind 2: keys with their nodes, by bucket."""
+    """Kind 0: each document's node and size. Kind 1: keys with their nodes, by bucket."""
 
     def build(batches):
         repeated, common = (Filter(bits, n) for bits in filters.value)
-        names = [c.split()[0] for c in _SETS.split(", ")]
+        names = [c.split()[0] for c in _INDEX.split(", ")]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
         seen: set[int] = set()
         held: list[tuple] = []
@@ -142,7 +148,7 @@ def index(docs: DataFrame, n: int, filters, width: int, threshold: int) -> DataF
                 if e > s:
                     some = order[s:e]
                     yield table(
-                        [(2, None, None, None, b, blob(keys[some]), blob(nodes[some]), blob(sizes[some].astype("<u4")), blob(places[some].astype("<u4")), blob(often[some]))]
+                        [(1, None, None, None, b, blob(keys[some]), blob(nodes[some]), blob(sizes[some].astype("<u4")), blob(places[some].astype("<u4")), blob(often[some]))]
                     )
 
         for batch in slices(batches, limit=1 << 22):
@@ -154,18 +160,17 @@ def index(docs: DataFrame, n: int, filters, width: int, threshold: int) -> DataF
                 if s == e:
                     rows.append((0, doc_id, 0, None, None, None, None, None, None, None))
                     continue
-                node = int((mix(np.array([mixed[s:e].sum(dtype=np.uint64)]) ^ np.bitwise_xor.reduce(tokens[s:e])) + np.uint64(e - s)).view(np.int64)[0])
+                node = node_of(tokens[s:e], mixed[s:e])
                 rows.append((0, doc_id, int(e - s), node, None, None, None, None, None, None))
                 if node in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(node)
                 keys, places, often = keys_of(tokens[s:e], is_common[s:e], is_repeated[s:e], threshold)
                 if len(keys):
-                    rows.append((1, None, int(e - s), node, None, blob(tokens[s:e].view(np.uint8).reshape(-1, 8)[:, :5]), None, None, None, None))
                     held.append((keys, np.full(len(keys), node, np.int64), np.full(len(keys), e - s), places, often))
                     kept += len(keys)
-                if kept > 2_000_000:
+                if kept > 500_000:
                     yield from flush()
                     held.clear()
                     kept = 0
@@ -173,7 +178,7 @@ def index(docs: DataFrame, n: int, filters, width: int, threshold: int) -> DataF
         if kept:
             yield from flush()
 
-    return pin(docs.select("doc_id", "text").mapInArrow(build, _SETS))
+    return pin(docs.select("doc_id", "text").mapInArrow(build, _INDEX))
 
 
 def _linkable(n1: np.ndarray, n2: np.ndarray, overlap: np.ndarray, threshold: int) -> np.ndarray:
@@ -217,13 +222,40 @@ def candidates(found: DataFrame, threshold: int) -> DataFrame:
         )
 
     return pin(
-        found.where("kind = 2")
+        found.where("kind = 1")
         .select("bucket", "keys", "nodes", "sizes", "places", "often")
         .groupBy("bucket")
         .applyInArrow(meet, "kind int, a bigint, b bigint, n bigint")
     )
 
 
+def sets_of(docs: DataFrame, nodes: DataFrame, n: int, nbytes: int, width: int) -> DataFrame:
+    """key, keys: the sets of these nodes (key), each token by 40 of its bits; pinned."""
+    wanted = docs.sparkSession.sparkContext.broadcast(
+        member_filter(nodes.select(F.col("key").alias("token")), n, nbytes)
+    )
+
+    def build(batches):
+        wants = Filter(*wanted.value)
+        seen: set[int] = set()
+        for batch in slices(batches, limit=1 << 22):
+            tokens, cuts = shingle_sets(texts(batch.column("text")), width)
+            mixed = mix(tokens)
+            some = [(s, e) for s, e in zip(cuts[:-1], cuts[1:], strict=True) if e > s]
+            own = np.array([node_of(tokens[s:e], mixed[s:e]) for s, e in some], np.int64)
+            rows = []
+            for node, (s, e), good in zip(own.tolist(), some, wants.has(mix(own.view(np.uint64))), strict=True):
+                if good and node not in seen:
+                    if len(seen) < 200_000:
+                        seen.add(node)
+                    rows.append((node, blob(tokens[s:e].view(np.uint8).reshape(-1, 8)[:, :5])))
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["key", "keys"])
+
+    found = docs.select("text").mapInArrow(build, "key bigint, keys binary")
+    return pin(found.join(nodes, "key", "left_semi").groupBy("key").agg(F.any_value("keys").alias("keys")))
+
+
 def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sets are linked."""
 
@@ -253,12 +285,16 @@ def _tokens(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def links(found: DataFrame, threshold: int) -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, n: int, nbytes: int, width: int, threshold: int) -> DataFrame:
     """Links (a, b) between nodes that give the same components as all links."""
     met = candidates(found, threshold)
-    sets = found.where("kind = 1").groupBy("key").agg(F.any_value("keys").alias("keys"))
-    linked = pin(verify(met.where("kind = 0"), sets, threshold))
+    rare = met.where("kind = 0").select("a", "b").distinct()
     often = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
+    often_nodes = often.select(F.col("node").alias("key")).distinct()
+    paired = rare.select(F.explode(F.array("a", "b")).alias("key"))
+    sets = sets_of(docs, pin(paired.union(often_nodes).distinct()), n, nbytes, width)
+    linked = pin(verify(rare, sets, threshold))
+    sets = pin(sets.join(often_nodes, "key", "left_semi"))
     for round_ in range(HUB_ROUNDS + 1):
         if not often.take(1):
             break
@@ -297,7 +333,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     filters = spark.sparkContext.broadcast(token_filters(docs, n, nbytes, lambda found: shingle_sets(found, width)[0], (1, COMMON)))
     found = index(docs, n, filters, width, threshold)
     own = found.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "key")
-    label = components(links(found, threshold))
+    label = components(links(docs, found, n, nbytes, width, threshold))
     labelled = (
         own.where("key IS NOT NULL")
         .join(label.withColumnRenamed("node", "key"), "key", "left")
