@@ -163,49 +163,66 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -
 
     ``start`` and ``past`` are byte places of what matched; ``exact`` is false where slots were filled anew.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    items = benchmark.select("item_id", "text").where("char_length(text) > 0")
-    n = parts(text_bytes(items), BLOCK_BYTES, least=1)
-    schema = (
-        "doc_id bigint, item_id bigint, n_hits bigint, n_windows bigint, coverage double, exact boolean,"
-        " start bigint, past bigint"
-    )
-    names = [c.split()[0] for c in schema.split(",")]
+    prepare(docs.sparkSession)
+    names = [c.split()[0] for c in _HITS.split(",")]
     out = None
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        block = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text.encode() for r in rows]))
+    for block in _blocks(benchmark):
 
-        def search(batches, block=block):
+        def report(batches, block=block):
             queries = Benchmark(*block.value)
             for batch in slices(batches, limit=1 << 22):
                 ids = batch.column("doc_id").to_pylist()
-                found = texts(batch.column("text"))
-                templates = Templates(found)
-                base = np.cumsum([0, *(len(t) + 1 for t in found)])
-                result = []
-                for (d, i), hits in queries.hits(templates).items():
-                    covered, exact, low, high = queries.judge(templates, hits)
-                    total = int(queries.n_windows[i])
-                    if covered and len(covered) >= share * total:
-                        result.append(
-                            (ids[d], queries.ids[i], len(covered), total, len(covered) / total, exact,
-                             int(templates.starts[low] - base[d]), int(templates.ends[high] - base[d]))
-                        )
-                if result:
-                    yield pa.record_batch(
-                        [
-                            pa.array(c, t)
-                            for c, t in zip(
-                                zip(*result, strict=True),
-                                [pa.int64()] * 4 + [pa.float64(), pa.bool_()] + [pa.int64()] * 2,
-                                strict=True,
-                            )
-                        ],
-                        names=names,
-                    )
-
-        part = docs.select("doc_id", "text").mapInArrow(search, schema)
+                rows = [(ids[d], *hit) for d, hit in search(queries, texts(batch.column("text")), share)]
+                if rows:
+                    kinds = [pa.int64()] * 4 + [pa.float64(), pa.bool_()] + [pa.int64()] * 2
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        part = docs.select("doc_id", "text").mapInArrow(report, _HITS)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item."""
+    prepare(docs.sparkSession)
+    place = docs.columns.index("text")
+    for block in _blocks(benchmark):
+
+        def keep(batches, block=block):
+            queries = Benchmark(*block.value)
+            for batch in slices(batches, limit=1 << 22):
+                good = np.ones(batch.num_rows, bool)
+                good[[d for d, _ in search(queries, texts(batch.column(place)), share)]] = False
+                yield batch.filter(pa.array(good))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
+_HITS = (
+    "doc_id bigint, item_id bigint, n_hits bigint, n_windows bigint, coverage double, exact boolean,"
+    " start bigint, past bigint"
+)
+
+
+def search(queries: Benchmark, found: list[bytes], share: float):
+    """(number of the text, (item_id, hits, windows, coverage, exact, start, past)) of each item found."""
+    templates = Templates(found)
+    base = np.cumsum([0, *(len(t) + 1 for t in found)])
+    for (d, i), hits in queries.hits(templates).items():
+        covered, exact, low, high = queries.judge(templates, hits)
+        total = int(queries.n_windows[i])
+        if covered and len(covered) >= share * total:
+            start, past = int(templates.starts[low] - base[d]), int(templates.ends[high] - base[d])
+            yield d, (queries.ids[i], len(covered), total, len(covered) / total, exact, start, past)
+
+
+def _blocks(benchmark: DataFrame) -> list:
+    """The items in broadcast blocks of about ``BLOCK_BYTES`` of text each."""
+    items = benchmark.select("item_id", "text").where("char_length(text) > 0")
+    n = parts(text_bytes(items), BLOCK_BYTES, least=1)
+    out = []
+    for k in range(n):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        out.append(items.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.text.encode() for r in rows])))
+    return out

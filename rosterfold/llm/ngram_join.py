@@ -343,3 +343,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     return labelled.join(least, "component").select("doc_id", "n_shingles", "component_id").unionByName(
         own.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     )
+
+
+def representatives(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """One document of each component, the one with the smallest id, with all its columns.
+
+    Rows that repeat an id are one document; rows with a null id cannot be told
+    apart by it and stay.
+    """
+    labels = near_duplicates(docs.select("doc_id", "text"), width, threshold)
+    stays = labels.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))

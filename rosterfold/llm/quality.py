@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rosterfold.llm.common import prepare, slices, texts
 from rosterfold.llm.words import is_space, joined, mix, prefix_hashes, runs, span_hashes
@@ -139,6 +140,24 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.withColumn("failed", failed)
 
 
+def passing(docs: DataFrame, policy: str) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the policy keeps."""
+    prepare(docs.sparkSession)
+    columns = docs.columns
+    names = {m: f"__{m}" for m in MEASURES}
+
+    def evaluate(batches):
+        for batch in slices(batches, limit=1 << 22):
+            found = measure(texts(batch.column(columns.index("text"))))
+            yield pa.record_batch([*batch.columns, *(pa.array(found[m]) for m in MEASURES)], names=[*columns, *names.values()])
+
+    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names.values())])
+    fails = " OR ".join(f"({RULES[rule]})" for rule in POLICIES[policy])
+    for name, hidden in names.items():
+        fails = re.sub(rf"\b{name}\b", hidden, fails)
+    return docs.mapInArrow(evaluate, schema).where(f"NOT ({fails})").select(*columns)
+
+
 def mask(rules: tuple[str, ...]) -> int:
     """The bits of these rules."""
     names = list(RULES)

@@ -261,59 +261,105 @@ def mark(docs: DataFrame, n: int, bits, length: int) -> DataFrame:
         )
 
     return (
-        docs.mapInArrow(collect, _REGIONS)
+        docs.select("row", "text").mapInArrow(collect, _REGIONS)
         .groupBy("bucket")
         .applyInArrow(sort, "row bigint, first bigint, past bigint")
     )
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, kept (the bytes that stay), n_bytes, n_removed, spans (removed byte ranges, maximal) of every document."""
-    spark = docs.sparkSession
+def spans_of(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """row, spans (first, past; not merged) of the texts of ``rows`` (row, text) that hold repeated strings."""
+    spark = rows.sparkSession
     prepare(spark)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     nbytes = text_bytes(rows)
     n = parts(nbytes, ANCHOR_BYTES)
     first, _ = token_filters(rows, n, nbytes, lambda found: anchors(found, length), (1, 1))
     bits = spark.sparkContext.broadcast((first, n))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    long = rows.where(F.octet_length("text") >= length).select("row", "text")
-    marked = mark(long, parts(nbytes, REGION_BYTES), bits, length)
-    spans = marked.groupBy("row").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+    marked = mark(rows.where(F.octet_length("text") >= length), parts(nbytes, REGION_BYTES), bits, length)
+    return marked.groupBy("row").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+
+
+def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Overlapping and touching spans as one."""
+    out: list[tuple[int, int]] = []
+    for first, past in sorted((s["first"], s["past"]) for s in spans or ()):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], past))
+        else:
+            out.append((first, past))
+    return out
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    stays, at = [], 0
+    for first, past in spans:
+        stays.append(text[at:first])
+        at = past
+    return b"".join([*stays, text[at:]])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+
+
+def _spanned(docs: DataFrame, length: int) -> DataFrame:
+    """``docs`` with their repeated spans as ``__spans``."""
+    keyed = _keyed(docs)
+    found = spans_of(keyed.select(F.col("__row").alias("row"), F.coalesce("text", F.lit("")).alias("text")), length)
+    return keyed.join(found.select(F.col("row").alias("__row"), F.col("spans").alias("__spans")), "__row", "left").drop("__row")
+
+
+def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, kept (the bytes that stay), n_bytes, n_removed, spans (removed byte ranges, maximal) of every document."""
 
     def cut(batches):
         for batch in slices(batches, limit=1 << 22):
-            kept, removed, out = [], [], []
-            for text, some in zip(texts(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-                own = []
-                for s in sorted((s["first"], s["past"]) for s in some or ()):
-                    if own and s[0] <= own[-1][1]:
-                        own[-1] = (own[-1][0], max(own[-1][1], s[1]))
-                    else:
-                        own.append(s)
-                stays, at = [], 0
-                for i, j in own:
-                    stays.append(text[at:i])
-                    at = j
-                kept.append(b"".join([*stays, text[at:]]))
-                removed.append(sum(j - i for i, j in own))
-                out.append([{"first": i, "past": j} for i, j in own])
+            found = texts(batch.column("text"))
+            spans = [merged(s) for s in batch.column("__spans").to_pylist()]
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
-                    "kept": pa.array(kept, pa.binary()),
-                    "n_bytes": pa.array([len(k) + r for k, r in zip(kept, removed, strict=True)], pa.int64()),
-                    "n_removed": pa.array(removed, pa.int64()),
-                    "spans": pa.array(out, pa.list_(pa.struct({"first": pa.int64(), "past": pa.int64()}))),
+                    "kept": pa.array([without(t, s) for t, s in zip(found, spans, strict=True)], pa.binary()),
+                    "n_bytes": pa.array([len(t) for t in found], pa.int64()),
+                    "n_removed": pa.array([sum(j - i for i, j in s) for s in spans], pa.int64()),
+                    "spans": pa.array(
+                        [[{"first": i, "past": j} for i, j in s] for s in spans],
+                        pa.list_(pa.struct({"first": pa.int64(), "past": pa.int64()})),
+                    ),
                 }
             )
 
-    return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(
+    return _spanned(docs.select("doc_id", "text"), length).select("doc_id", "text", "__spans").mapInArrow(
         cut,
         "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, spans array<struct<first:bigint,past:bigint>>",
     )
 
 
+def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with repeated strings cut from ``text``; rows without a word left go.
+
+    Bytes of a character that was cut in two go with it. ``n_chars`` follows the
+    text where there is such a column.
+    """
+    columns, place = docs.columns, docs.columns.index("text")
+
+    def cut(batches):
+        for batch in slices(batches, limit=1 << 22):
+            kept = [
+                t if not s else without(t.encode(), merged(s)).decode(errors="ignore")
+                for t, s in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)
+            ]
+            arrays = [*batch.columns[:place], pa.array(kept, pa.string()), *batch.columns[place + 1 : len(columns)]]
+            yield pa.record_batch(arrays, names=columns)
+
+    out = _spanned(docs, length).select(*columns, "__spans").mapInArrow(cut, docs.schema)
+    out = out.where(r"text RLIKE '[^\\x20\\x09-\\x0D]'")
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.char_length("text").cast(kind))
+    return out
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The digest columns of ``dedup_substrings``: counts, and the sha256 of what stays."""
     return found.select(
