@@ -6,6 +6,9 @@ pre-token pattern and looks each piece up; a piece not met before is encoded by
 the library. Characters on whose class two Unicode tables could differ (all but
 ASCII and the letters of Latin-1) are never split here: the library gets the
 whole white-space delimited stretch or text around them.
+
+Lower-cased texts are cut and looked up as arrays: pieces are told apart by 64-bit
+hashes, within a batch and in what an encoder remembers.
 """
 
 from __future__ import annotations
@@ -13,6 +16,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import repeat
+
+import numpy as np
+
+from rosterfold.llm.words import joined, prefix_hashes, span_hashes
 
 #: Letters beyond ASCII that NFC, lower-casing and every Unicode table treat alike.
 _MORE = "À-ÖØ-öø-ÿ"
@@ -26,11 +34,13 @@ _SAFE = re.compile(f"[\\x00-\\x1b\\x20-\\x7f{_MORE}]*")
 _SPACED = re.compile(
     f"{_SHORT}| ?[{_LETTER}]+| ?[0-9]+| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
-_LOWERED = re.compile(f"{_SHORT}|[a-z{_MORE}]+|[0-9]|[^{_SPACE}a-z{_MORE}0-9]+")
 
 #: Pieces an encoder remembers; later ones are encoded each time they are met.
 MEMORY = 400_000
 
+#: The same for lower-cased pieces, which are remembered by hash.
+ROWS = 700_000
+
 _ENCODERS: dict = {}
 
 
@@ -62,7 +72,11 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             about = json.load(file)
         self.kind = _kind(about)
-        self.known: dict[str | bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        # of lower-cased pieces: the row of each hash, and of each row the number of its ids among all ids
+        self.rows: dict[int, int] = {}
+        self.sizes = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [
@@ -70,22 +84,13 @@ class Encoder:
             for e in self.library.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
-    def _look_up(self, pieces: list, split=None) -> list[bytes]:
-        """Ids of each piece; ``split`` cuts a new piece into smaller ones first."""
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece."""
         known = self.known
         found = list(map(known.get, pieces))
         if None in found:
             new = list({p for p, f in zip(pieces, found, strict=True) if f is None})
-            if split is None:
-                ids = self._library(new)
-            else:
-                cut = [split(p) for p in new]
-                flat = self._look_up([c for cs in cut for c in cs])
-                ids, at = [], 0
-                for cs in cut:
-                    ids.append(b"".join(flat[at : at + len(cs)]))
-                    at += len(cs)
-            more = dict(zip(new, ids, strict=True))
+            more = dict(zip(new, self._library(new), strict=True))
             for p, i in more.items():
                 if len(known) >= MEMORY:
                     break
@@ -94,6 +99,36 @@ class Encoder:
             found = [more[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
         return found
 
+    def _lowered(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text for a vocabulary of lower-cased texts."""
+        data, first, last = joined([t.lower() for t in texts])
+        starts, ends = _cut(data)
+        if not len(starts):
+            return [b""] * len(texts)
+        keys, place, number = np.unique(
+            span_hashes(prefix_hashes(data), starts, ends), return_index=True, return_inverse=True
+        )
+        row = np.fromiter(map(self.rows.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(row < 0)
+        whole = data.tobytes()
+        at = place[new]
+        added = self._library([whole[i:j].decode() for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        sizes = np.array([len(i) >> 2 for i in added], np.int64)
+        row[new] = len(self.sizes) + np.arange(len(new))
+        ids = np.concatenate((self.ids, np.frombuffer(b"".join(added), np.uint32)))
+        length = np.concatenate((self.sizes, sizes))
+        begin = np.cumsum(length) - length
+        room = max(0, min(len(new), ROWS - len(self.sizes)))
+        if room:
+            self.rows.update(zip(keys[new[:room]].tolist(), row[new[:room]].tolist(), strict=True))
+            self.sizes = length[: len(self.sizes) + room]
+            self.ids = ids[: int(self.sizes.sum())]
+        n, base = length[row][number], begin[row][number]
+        past = np.cumsum(n)
+        out = ids[np.repeat(base - (past - n), n) + np.arange(int(past[-1]))].tobytes()
+        edge = 4 * np.concatenate(([0], past))[np.searchsorted(starts, np.append(first, len(data)))]
+        return [out[i:j] for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
     def spans(self, text: str) -> list[str]:
         """Pre-tokens of a ``spaced`` text; the whole text where it may not be split here."""
         return _SPACED.findall(text) if self.kind == "spaced" and _SAFE.fullmatch(text) else [text]
@@ -101,12 +136,9 @@ class Encoder:
     def batch(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text, encoded together so that new pieces meet the library once."""
         if self.kind == "lowered":
-            split = [t.lower().split() for t in texts]
-            cut = _words
-        else:
-            split = [self.spans(t.decode()) for t in texts]
-            cut = None
-        flat = self._look_up([p for s in split for p in s], cut)
+            return self._lowered(texts)
+        split = [self.spans(t.decode()) for t in texts]
+        flat = self._look_up([p for s in split for p in s])
         out, at = [], 0
         for s in split:
             out.append(b"".join(flat[at : at + len(s)]))
@@ -118,10 +150,33 @@ class Encoder:
         return [len(i) >> 2 for i in self._look_up(pieces)]
 
 
-def _words(word: bytes) -> list[str]:
-    """Pre-tokens of a lower-cased stretch without white space; itself where it may not be split here."""
-    text = word.decode()
-    return _LOWERED.findall(text.lower()) if _SAFE.fullmatch(text) else [text]
+#: Classes of bytes: white space, letters, digits, other ASCII, and what only the library may split.
+_SPACE_, _LETTER_, _DIGIT_, _OTHER_, _ODD_ = range(5)
+_CLASS = np.full(256, _ODD_, np.uint8)
+_CLASS[0:0x1C] = _CLASS[0x21:0x80] = _OTHER_
+_CLASS[9:14] = _CLASS[32] = _SPACE_
+_CLASS[97:123] = _LETTER_
+_CLASS[48:58] = _DIGIT_
+_CLASS[39] = _ODD_  # an apostrophe may open a contraction
+
+
+def _cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pre-tokens of lower-cased (A-Z) text; a stretch between white space that holds anything odd is one piece."""
+    kind = _CLASS[data]
+    lead = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & ((data[1:] & 0x1F) != 0x17))
+    kind[lead] = kind[lead + 1] = _LETTER_
+    turn = np.ones(len(data), bool)
+    turn[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT_)
+    odd = np.concatenate(([0], np.cumsum(kind == _ODD_)))
+    gap = kind == _SPACE_
+    opens = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+    closes = np.flatnonzero(gap & np.concatenate(([False], ~gap[:-1])))
+    for i, j in zip(*(x[odd[closes] > odd[opens]].tolist() for x in (opens, closes)), strict=True):
+        turn[i + 1 : j] = False
+    begin = np.flatnonzero(turn)
+    end = np.append(begin[1:], len(data))
+    some = ~gap[begin]
+    return begin[some], end[some]
 
 
 def _kind(about: dict) -> str:

@@ -100,7 +100,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
         index, offset, start = [], len(MAGIC) + 1, 0
         with store.open_output_stream(f"{base}/_{name}.seq") as out:
             out.write(MAGIC + bytes([width]))
-            for batch in slices(batches):
+            for batch in slices(batches, limit=1 << 21):
                 ids = own.batch(texts(batch.column("text")))
                 done = []
                 for doc_id, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
@@ -129,7 +129,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
             }
         )
 
-    ordered = rows.repartitionByRange(n, F.asc_nulls_first("doc_id"), "text").sortWithinPartitions(
+    ordered = rows.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(
         F.asc_nulls_first("doc_id"), "text"
     )
     return pin(ordered.mapInArrow(save, _LIST))

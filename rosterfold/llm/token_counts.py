@@ -168,7 +168,7 @@ def splice(chunks: DataFrame) -> DataFrame:
     order = Window.partitionBy("row").orderBy("k")
     next_lefts = F.lead("lefts").over(order)
     common = F.expr(
-        "CASE WHEN last THEN rights[0].at ELSE array_min(array_intersect(transform(rights, x -> x.at), transform(next_lefts, x -> x.at))) END"
+        "CASE WHEN last THEN get(rights, 0).at ELSE array_min(array_intersect(transform(rights, x -> x.at), transform(next_lefts, x -> x.at))) END"
     )
     placed = (
         chunks.withColumn("next_lefts", next_lefts)
@@ -176,7 +176,7 @@ def splice(chunks: DataFrame) -> DataFrame:
         .withColumn("from", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.lag("to").over(order)))
     )
     tokens = F.expr(
-        "filter(rights, x -> x.at = `to`)[0].before - filter(lefts, x -> x.at = `from`)[0].before"
+        "get(filter(rights, x -> x.at = `to`), 0).before - get(filter(lefts, x -> x.at = `from`), 0).before"
     )
     return placed.groupBy("row").agg(
         F.count(F.lit(1)).cast("int").alias("n_chunks"),
