@@ -20,16 +20,31 @@ def finite(x: str) -> str:
 
 
 def to_number(x: str, dtype: T.DataType) -> str:
-    """Double from a column of type ``dtype``; text that is no number is NULL."""
+    """Double from a column of type ``dtype``; text that is no number is NULL.
+
+    Dates are days, points in time seconds since 1970-01-01; types without a
+    number (binary, nested) are NULL.
+    """
     if isinstance(dtype, T.StringType):
         return finite(f"IF({x} RLIKE r'{PLAIN_NUMBER}', try_cast(trim({x}) AS DOUBLE), NULL)")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return finite(f"CAST({x} AS DOUBLE)")
-    return f"CAST({x} AS DOUBLE)"
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return f"CAST({x} AS DOUBLE)"
+    if isinstance(dtype, T.DateType):
+        return f"CAST(unix_date({x}) AS DOUBLE)"
+    if isinstance(dtype, T.TimestampType):
+        return f"unix_micros({x}) / 1e6D"
+    if isinstance(dtype, T.TimestampNTZType):
+        return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {x}) / 1e6D"
+    return "CAST(NULL AS DOUBLE)"
 
 
 def to_text(x: str, dtype: T.DataType) -> str:
-    """Text from a column of type ``dtype``; whole floats lose their ``.0``."""
+    """Text from a column of type ``dtype``; whole floats under 1e15 lose their ``.0``.
+
+    Larger ones are shown with an exponent, as a double shows them.
+    """
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         whole = f"{x} = floor({x}) AND abs({x}) < 1e15"
         return f"IF({whole}, CAST(try_cast({x} AS BIGINT) AS STRING), CAST({x} AS STRING))"
@@ -52,8 +67,9 @@ def row_sum(columns: Sequence[str]) -> str:
     return "(" + " + ".join(map(or_zero, columns)) + ")"
 
 
-# Whole units that surely fit a BIGINT.
+# Whole units that surely fit a BIGINT, and the units that are summed apart from the rest.
 MAX_UNITS = "9e18D"
+LOW_UNITS = 1_000_000_000
 
 
 def exact_sum(x: str, places: int | None = None) -> str:
@@ -61,18 +77,21 @@ def exact_sum(x: str, places: int | None = None) -> str:
 
     Double sums depend on the order in which partitions are merged. With
     ``places`` each addend is rounded (half away from zero) to whole units of
-    the last place, and the units are summed as BIGINT: that does not depend on
-    the order, and is several times faster than a decimal sum. Where addends or
-    sum are too large for it, the double sum is the result; at that size it is
-    as precise as a double can be.
+    the last place, and whole billions of units and the rest are summed as two
+    BIGINTs: that does not depend on the order, is several times faster than a
+    decimal sum, and holds sums a billion times as large as a BIGINT. An addend of
+    9e18 units or more, which no double states to the unit, is an error.
     """
     plain = f"sum(CAST({x} AS DOUBLE))"
     if places is None:
         return plain
     unit = f"1e{places}D"
     units = f"IF(({x}) < 0, ceil(({x}) * {unit} - 0.5D), floor(({x}) * {unit} + 0.5D))"
-    exact = f"CAST(try_sum({units}) AS DOUBLE) / {unit}"
-    return f"IF(max(abs({x})) * {unit} < {MAX_UNITS}, coalesce({exact}, {plain}), {plain})"
+    too_large = f"raise_error(concat('too large for an exact sum: ', CAST({x} AS STRING)))"
+    checked = f"IF(abs({x}) * {unit} >= {MAX_UNITS}, CAST({too_large} AS BIGINT), {units})"
+    high = f"CAST(sum({checked} DIV {LOW_UNITS}L) AS DECIMAL(38,0))"
+    low = f"sum({checked} % {LOW_UNITS}L)"
+    return f"CAST({high} * {LOW_UNITS} + {low} AS DOUBLE) / {unit}"
 
 
 def pct(numerator: str, denominator: str, digits: int = 1) -> str:

@@ -17,16 +17,20 @@ def merge_badges(
     key: str,
     drop_prefixes: Sequence[str] = ("HC Type",),
     keep_null_key: bool = True,
+    unique_keys: bool = True,
 ) -> DataFrame:
     """Outer merge of ``{year: sheet}``; value columns get ``_<year>`` appended.
 
-    Dropping columns by prefix first keeps them out of the shuffle.
+    Dropping columns by prefix first keeps them out of the shuffle. NULL keys match
+    each other unless ``keep_null_key`` is off. A key that a sheet repeats is an
+    error; with ``unique_keys=False`` full joins are chained, where repeated keys,
+    NULL among them, multiply.
     """
     renamed = {
         year: suffix_columns(drop_by_prefix(sheet, *drop_prefixes), f"_{year}", key)
         for year, sheet in sheets.items()
     }
-    return outer_merge(renamed, key, keep_null_key=keep_null_key)
+    return outer_merge(renamed, key, keep_null_key=keep_null_key, unique_keys=unique_keys)
 
 
 def badge_count(df: DataFrame, columns: Sequence[str], yes: str = "Yes") -> DataFrame:

@@ -22,14 +22,18 @@ def pivot_years(
 ) -> DataFrame:
     """One row per key, one column per year; NULL where the key lacks the year.
 
-    The input has one row per key and year. Years are given, not discovered, so
+    The input has one row per key and year; a second one is an error. Years are given, not discovered, so
     there is no extra job, and one conditional aggregation per year needs only
     one shuffle.
     """
-    cells = [
-        named(f"max(IF({quoted(year)} = {literal(str(y))}, {quoted(value)}, NULL))", f"{prefix}{y}")
-        for y in years
-    ]
+
+    def cell(y: str) -> str:
+        of_year = f"{quoted(year)} = {literal(str(y))}"
+        twice = f"raise_error({literal(f'more than one row of a key in {y}')})"
+        only = f"max(IF({of_year}, {quoted(value)}, NULL))"
+        return f"IF(count_if({of_year}) > 1, {twice}, {only})"
+
+    cells = [named(cell(y), f"{prefix}{y}") for y in years]
     return group_by(period_filter(df, year, *years), as_names(key), cells)
 
 

@@ -18,11 +18,12 @@ from rosterfold.functions.columns import (
 from rosterfold.functions.labels import count_pct_label
 from rosterfold.functions.numbers import safe_div
 
+# Column name for NULL cells; more underscores follow where a value has that name.
 MISSING = "NA_"
 
 
-def column_values(df: DataFrame, column: str, limit: int = 10_000) -> list[str]:
-    """Distinct values of a column as text, most frequent first.
+def column_values(df: DataFrame, column: str, limit: int = 10_000) -> list[str | None]:
+    """Distinct values of a column as text (None for NULL), most frequent first.
 
     Runs a job. The values become columns, so more than ``limit`` is an error.
     """
@@ -30,32 +31,48 @@ def column_values(df: DataFrame, column: str, limit: int = 10_000) -> list[str]:
     found = counts.orderBy(F.desc("count"), F.asc_nulls_last("value")).limit(limit + 1).collect()
     if len(found) > limit:
         raise ValueError(f"{column} has more than {limit} values, too many for columns")
-    return [MISSING if r["value"] is None else r["value"] for r in found]
+    return [r["value"] for r in found]
 
 
 def crosstab(
     df: DataFrame,
     row: str,
     column: str,
-    values: Sequence[str] | None = None,
+    values: Sequence[str | None] | None = None,
     total: str | None = None,
+    limit: int = 10_000,
 ) -> DataFrame:
     """Counts of ``column`` values per ``row`` value, zero where none occur.
 
-    ``values`` are the columns in output order (``NA_`` counts NULLs). With
+    ``values`` are the columns in output order; None counts NULLs, under the name
+    ``NA_``. Without ``values`` all are found first, at most ``limit``. With
     ``total`` a column of that name counts every row, listed value or not.
+
+    Rows are counted by row and value first, so that the wide part only sees
+    one line for each of these.
     """
     require_columns(df, [row, column], "crosstab")
     if values is None:
-        values = column_values(df, column)
-    cell = f"CAST({quoted(column)} AS STRING)"
-    counts = [
-        named(f"count_if({cell} IS NULL)" if v == MISSING else f"count_if({cell} = {literal(v)})", v)
-        for v in dict.fromkeys(values)
+        values = column_values(df, column, limit)
+    values = list(dict.fromkeys(values))
+    missing = MISSING
+    while missing in values:
+        missing += "_"
+    names = [missing if v is None else v for v in values]
+    taken = [row, *names, *([] if total is None else [total])]
+    clash = sorted({n for n in taken if taken.count(n) > 1})
+    if clash:
+        raise ValueError(f"column(s) named twice in a crosstab: {', '.join(clash)}")
+    counted = df.selectExpr(
+        f"{quoted(row)} AS __row", f"CAST({quoted(column)} AS STRING) AS __value"
+    ).groupBy("__row", "__value").agg(F.count(F.lit(1)).alias("__n"))
+    cells = [
+        named(f"sum(IF(__value <=> {'NULL' if v is None else literal(v)}, __n, 0L))", n)
+        for v, n in zip(values, names)
     ]
     if total is not None:
-        counts.append(named("count(1)", total))
-    return group_by(df, [row], counts)
+        cells.append(named("sum(__n)", total))
+    return group_by(counted, ["__row"], cells).withColumnRenamed("__row", row)
 
 
 def with_row_total(table: DataFrame, row: str, total: str = "Total") -> DataFrame:

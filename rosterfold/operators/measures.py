@@ -23,10 +23,6 @@ from rosterfold.functions.columns import (
 )
 from rosterfold.functions.numbers import exact_sum, or_zero, row_sum, safe_div
 
-# Digits kept of each row's term in a weighted ratio, when sums are exact.
-TERM_PLACES = 6
-
-
 @dataclass(frozen=True)
 class Measure:
     """One named aggregate.
@@ -44,8 +40,10 @@ class Measure:
     gap         total, then components  sum(components) - sum(total)
 
     ``places`` makes sums exact decimals with that many digits; leave it None
-    for columns with an unknown number of decimals. ``digits`` rounds the
-    result. ``strict`` makes a ratio's denominator use only rows that its
+    for columns with an unknown number of decimals. A ratio's terms are quotients,
+    so ``places`` is for its weights alone; its terms are summed as they are unless
+    ``term_places`` says to how many digits each may be rounded. ``digits`` rounds
+    the result. ``strict`` makes a ratio's denominator use only rows that its
     numerator used.
     """
 
@@ -56,6 +54,7 @@ class Measure:
     digits: int | None = None
     strict: bool = False
     yes: str = "Yes"
+    term_places: int | None = None
 
     def sql(self, when: str | None = None) -> str:
         """The aggregate as SQL, restricted to rows where ``when`` holds."""
@@ -102,9 +101,17 @@ def yes_rows(name: str, columns: Iterable[str], yes: str = "Yes") -> Measure:
 
 
 def weighted_ratio(
-    name: str, part: str, base: str, weight: str, places: int | None = None, strict: bool = False
+    name: str,
+    part: str,
+    base: str,
+    weight: str,
+    places: int | None = None,
+    strict: bool = False,
+    digits: int | None = None,
+    term_places: int | None = None,
 ) -> Measure:
-    return Measure(name, "ratio", (part, base, weight), places, strict=strict)
+    columns = (part, base, weight)
+    return Measure(name, "ratio", columns, places, digits, strict, term_places=term_places)
 
 
 def gap(name: str, total_column: str, components: Iterable[str], places: int | None = None) -> Measure:
@@ -154,7 +161,7 @@ def _ratio(m: Measure, cells: list[str], when: str | None) -> str:
     term = f"{safe_div(part, base)} * {weight}"
     if m.strict:
         weight = f"IF({term} IS NOT NULL, {weight}, NULL)"
-    numerator = _zero_if_none(exact_sum(term, None if m.places is None else TERM_PLACES))
+    numerator = _zero_if_none(exact_sum(term, m.term_places))
     return safe_div(numerator, exact_sum(weight, m.places))
 
 
@@ -195,12 +202,6 @@ def summarise(
     return group_by(df, keys, [named(m.sql(), m.name) for m in measures])
 
 
-def available(df: DataFrame, measures: Sequence[Measure]) -> list[Measure]:
-    """Measures whose columns all exist, for inputs that lack some sheets."""
-    present = set(df.columns)
-    return [m for m in measures if present.issuperset(m.columns)]
-
-
 def with_places(measures: Sequence[Measure], places: int | None) -> list[Measure]:
     """The same measures with exact sums of ``places`` digits."""
     return [replace(m, places=places) for m in measures]

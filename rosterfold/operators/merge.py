@@ -20,9 +20,6 @@ from rosterfold.functions.columns import (
 )
 from rosterfold.operators.roster import Roster, roster_filter
 
-# One bit of a bigint per sheet.
-SHEETS_PER_FOLD = 60
-
 
 def _check_names(sheets: Mapping[str, DataFrame], key: str) -> None:
     for name, df in sheets.items():
@@ -54,19 +51,9 @@ def outer_merge(
     _check_names(sheets, key)
     if not unique_keys:
         return _chained_full_join(sheets, key, roster, keep_null_key)
-    names = list(sheets)
-    if len(names) > SHEETS_PER_FOLD:
-        folds = {
-            f"fold{i}": outer_merge(
-                {n: sheets[n] for n in names[i : i + SHEETS_PER_FOLD]}, key, roster, keep_null_key
-            )
-            for i in range(0, len(names), SHEETS_PER_FOLD)
-        }
-        return outer_merge(folds, key, roster, keep_null_key)
-
     values = [c for df in sheets.values() for c in df.columns if c != key]
     tagged = [
-        _with_key(df, key, keep_null_key).withColumn("__sheet", F.expr(f"{1 << i}L"))
+        _with_key(df, key, keep_null_key).withColumn("__sheet", F.lit(i))
         for i, df in enumerate(sheets.values())
     ]
     stacked = stack_years(tagged)
@@ -78,8 +65,7 @@ def outer_merge(
         [key],
         [
             *[named(f"max({quoted(c)})", c) for c in values],
-            "count(1) AS __rows",
-            "bit_count(bit_or(__sheet)) AS __sheets",
+            f"greatest({', '.join(['0L', *(f'count_if(__sheet = {i})' for i in range(len(tagged)))])}) AS __most",
         ],
     )
     return _stop_on_repeats(folded, key).selectExpr(*map(quoted, [key, *values]))
@@ -90,10 +76,10 @@ def _with_key(df: DataFrame, key: str, keep_null_key: bool) -> DataFrame:
 
 
 def _stop_on_repeats(folded: DataFrame, key: str) -> DataFrame:
-    """Keep rows that saw each sheet once; any other row raises when it is read."""
+    """Keep rows that saw no sheet twice; any other row raises when it is read."""
     what = literal(f"key {key} occurs more than once in a sheet: ")
     message = f"concat({what}, coalesce(CAST({quoted(key)} AS STRING), 'NULL'))"
-    return folded.where(f"IF(__rows = __sheets, true, CAST(raise_error({message}) AS BOOLEAN))")
+    return folded.where(f"IF(__most <= 1, true, CAST(raise_error({message}) AS BOOLEAN))")
 
 
 def _chained_full_join(

@@ -14,14 +14,10 @@ from rosterfold.operators.quantiles import ACCURACY, cells, named_groups, quanti
 BARS = "▁▂▃▅▆▇"
 HISTOGRAM_BINS = 5
 
-# Longer texts are compared by digest, so long cells are not shuffled.
-RAW_TEXT_LENGTH = 64
-
 
 def _identity(text: str) -> str:
-    """A short value that is equal exactly when the texts are (SHA-256 for long ones)."""
-    short = f"length({text}) <= {RAW_TEXT_LENGTH}"
-    return f"IF({short}, concat('=', {text}), concat('#', sha2({text}, 256)))"
+    """What texts are compared by: a digest, so that long cells are not shuffled."""
+    return f"sha2({text}, 256)"
 
 
 def profile_text(df: DataFrame, column: str, by: str | Sequence[str] = ()) -> DataFrame:
@@ -77,8 +73,8 @@ def profile_numeric(
 ) -> DataFrame:
     """Per group: missing, complete rate, mean, sd, five quantiles, bar sketch.
 
-    A group without any value keeps its row, with NULL statistics. Group sizes
-    are counted at once, see :func:`quantile_passes`.
+    A group without any value keeps its row, with NULL statistics. Runs a job for
+    the sketches, see :func:`quantile_passes`.
     """
     keys = as_names(by)
     group, rows = cells(df, column, keys)

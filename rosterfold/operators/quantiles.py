@@ -1,12 +1,11 @@
 """Exact grouped quantiles that never gather a whole group.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one
-task's memory, so it is used only when a count has shown that every group is
-small. Otherwise a bounded sketch *proposes* cut points on both sides of each
-wanted rank; exact counts then say between which cuts each rank lies, and only
-the rows of those narrow slices are counted by value and ordered. The sketch
-decides how much is ordered, never the result: were it off, a slice would be
-wider, not wrong.
+A bounded sketch *proposes* cut points on both sides of each wanted rank; exact
+counts then say between which cuts each rank lies, and only the rows of those
+narrow slices are counted by value and ordered. The sketch decides how much is
+ordered, never the result: were it off, a slice would be wider, not wrong. A
+slice is about ``4 / accuracy`` of its group's rows, so what one task orders
+follows the group's different values divided by ``accuracy / 4``.
 """
 
 from __future__ import annotations
@@ -22,30 +21,13 @@ from rosterfold.sources.pinning import pinned
 ACCURACY = 10_000
 
 
-# Groups up to this many values may be held in one task's memory, each.
-SMALL_GROUP = 20_000
-
-# Per-group tables up to this many rows are broadcast (a few hundred bytes each).
-BROADCAST_GROUPS = 20_000
-
-# A group with more than this share of all rows is hot; at most 1,000 can be.
-HOT_SHARE = 0.001
-
-
-def attach(
-    df: DataFrame,
-    per_group: DataFrame,
-    by: Sequence[str],
-    few: bool = False,
-    hot: DataFrame | None = None,
-) -> DataFrame:
+def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add per-group columns to every row; every group of ``df`` is in ``per_group``.
 
     Without groups ``per_group`` is one row and arrives as a scalar subquery.
-    Otherwise it is joined, and broadcast if the caller has counted its rows
-    (``few``). If there are many groups, those listed in ``hot`` are joined by
-    broadcast and only the others are shuffled, so no task receives a hot
-    group. NULL groups match.
+    Otherwise it is joined, without a hint: Spark broadcasts it when its size
+    allows, and else splits a hot group's rows as it does in any join with skew.
+    NULL groups match.
     """
     extra = [c for c in per_group.columns if c not in by]
     if not by:
@@ -54,20 +36,9 @@ def attach(
             *df.columns, *[f"__one.{c} AS {c}" for c in extra]
         )
     keys = [f"__by{i}" for i in range(len(by))]
-    renamed = [f"{k} AS {r}" for k, r in zip(by, keys)]
+    right = per_group.selectExpr(*[f"{k} AS {r}" for k, r in zip(by, keys)], *extra)
     same = F.expr(" AND ".join(f"{k} <=> {r}" for k, r in zip(by, keys)))
-    right = per_group.selectExpr(*renamed, *extra)
-    if few:
-        joined = df.join(F.broadcast(right), same, "inner")
-    elif hot is None:
-        joined = df.join(right, same, "inner")
-    else:
-        hot_keys = F.broadcast(hot.selectExpr(*renamed))
-        hot_right = per_group.join(hot_keys, same, "left_semi").selectExpr(*renamed, *extra)
-        joined = df.join(F.broadcast(hot_right), same, "inner").union(
-            df.join(hot_keys, same, "left_anti").join(right, same, "inner")
-        )
-    return joined.drop(*keys)
+    return df.join(right, same, "inner").drop(*keys)
 
 
 def _greatest(terms: Sequence[str]) -> str:
@@ -88,71 +59,17 @@ def quantile_passes(
     first: Mapping[str, str] | None = None,
     second: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Quantiles plus any other statistics.
+    """Quantiles plus any other statistics, in three passes: sketch, counts, slices.
 
     ``rows`` and ``group`` come from :func:`cells`. ``first`` are named SQL
     aggregates; ``second`` may also use their results as columns. Every group
     gets a row; without values its quantiles are NULL.
 
-    Group sizes are counted at once. They decide whether groups are small, and
-    whether per-group tables may be broadcast.
-    """
-    first, second = dict(first or {}), dict(second or {})
-    sizes = group_by(rows, group, ["count(1) AS __rows"])
-    largest, groups, all_rows = sizes.agg(F.max("__rows"), F.count("__rows"), F.sum("__rows")).first()
-    few = bool(group) and groups <= BROADCAST_GROUPS
-    if (largest or 0) <= SMALL_GROUP:
-        return _small_groups(rows, group, probabilities, names, first, second, few)
-    hot = None
-    if group and not few:
-        hot = pinned(sizes.where(f"__rows > {all_rows * HOT_SHARE!r}D").select(*group))
-    return _sliced_groups(rows, group, probabilities, names, accuracy, first, second, few, hot)
-
-
-def _small_groups(
-    rows: DataFrame,
-    group: Sequence[str],
-    probabilities: Sequence[float],
-    names: Sequence[str],
-    first: Mapping[str, str],
-    second: Mapping[str, str],
-    few: bool,
-) -> DataFrame:
-    """Two passes, or one if nothing is needed first."""
-    if first:
-        extent = group_by(rows, group, [f"{x} AS {n}" for n, x in first.items()])
-        rows = attach(rows, extent, group, few)
-    wanted = ", ".join(f"{float(p)!r}D" for p in probabilities)
-    return group_by(
-        rows,
-        group,
-        [
-            *_keep(list(first)),
-            *[f"{x} AS {n}" for n, x in second.items()],
-            f"percentile(__v, array({wanted})) AS __q",
-        ],
-    ).selectExpr(
-        *group, *first, *second, *[named(f"get(__q, {i})", n) for i, n in enumerate(names)]
-    )
-
-
-def _sliced_groups(
-    rows: DataFrame,
-    group: Sequence[str],
-    probabilities: Sequence[float],
-    names: Sequence[str],
-    accuracy: int,
-    first: Mapping[str, str],
-    second: Mapping[str, str],
-    few: bool,
-    hot: DataFrame | None,
-) -> DataFrame:
-    """Three passes: sketch, counts, slices.
-
     Only scalars travel with the rows, so that the aggregations over all rows
     stay hash-based. The sketches, one row per group, are computed at once and
     pinned: a sketch may come out differently when a lost task is repeated.
     """
+    first, second = dict(first or {}), dict(second or {})
     margin = 2.0 / accuracy
     cut_at = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-margin, margin)]
     cuts = [f"__cut{i}" for i in range(len(cut_at))]
@@ -174,7 +91,7 @@ def _sliced_groups(
     # pass 2: values below the lower edge, and up to the upper edge, of each bracket
     past = [f"__v {'>=' if i % 2 == 0 else '>'} {c}" for i, c in enumerate(cuts)]
     counted = group_by(
-        attach(rows, proposed, group, few, hot),
+        attach(rows, proposed, group),
         group,
         [
             *_keep(["__n", *cuts, *first]),
@@ -198,13 +115,10 @@ def _sliced_groups(
             for h, r in zip(homes, ranks)
         ],
     )
-    if hot is not None:
-        # read twice below, once for hot groups and once for the others
-        targets = pinned(targets)
     before = _greatest([f"IF({test}, {e}, 0L)" for test, e in zip(past, ends)])
     kept = ["__n", *first, *second]
     sliced = group_by(
-        attach(rows, targets, group, few, hot)
+        attach(rows, targets, group)
         .withColumn("__before", F.expr(before))
         .where(f"(__v IS NOT NULL AND __before IN ({', '.join(homes)})) OR __n = 0"),
         [*group, "__before", "__v"],

@@ -11,7 +11,7 @@ from rosterfold.functions.numbers import row_sum
 from rosterfold.operators import badges as b
 from rosterfold.operators.crosstab import count_percent_labels, crosstab, row_percentages
 from rosterfold.operators.distribution import histogram_bins, six_number_summary
-from rosterfold.operators.measures import available, long_form, reconcile_total, rows, summarise
+from rosterfold.operators.measures import long_form, reconcile_total, rows, summarise
 from rosterfold.operators.profile import profile_numeric, profile_text
 from rosterfold.operators.roster import Roster, roster_filter
 from rosterfold.plans import catalog as c
@@ -44,11 +44,20 @@ def load_badges(
 
 
 def survey_report(
-    survey: DataFrame, old: str = c.YEARS[0], new: str = c.YEARS[-1]
+    survey: DataFrame,
+    old: str = c.YEARS[0],
+    new: str = c.YEARS[-1],
+    with_table_9d: bool = False,
 ) -> dict[str, DataFrame]:
-    """Published tables by name. All yearly measures come from one aggregation."""
+    """Published tables by name. All yearly measures come from one aggregation.
+
+    A column that the survey lacks is an error. Table 9D is not among the loaded
+    sheets, so its measures are only there if asked for.
+    """
     states = crosstab(survey, c.YEAR, c.STATE, c.STATE_ORDER, total="Total")
-    yearly = summarise(survey, c.YEAR, available(survey, c.YEARLY))
+    yearly = summarise(
+        survey, c.YEAR, [m for m in c.YEARLY if with_table_9d or m not in c.TABLE_9D]
+    )
     row_total = named(row_sum([quoted(x) for x in c.ROW_TOTAL_COLUMNS]), "row_total")
     totals = survey.selectExpr(row_total)
     return {

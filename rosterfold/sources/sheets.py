@@ -15,6 +15,10 @@ from rosterfold.operators.projection import positional_projection
 from rosterfold.operators.roster import Roster, roster_filter
 from rosterfold.functions.columns import col_q, require_columns
 
+# Quoted cells may hold line breaks and doubled quotes; a line with a cell too many or too few is an
+# error. Files with line breaks in cells cannot be split: export large sheets as Parquet.
+CSV = {"header": True, "multiLine": True, "escape": '"', "mode": "FAILFAST"}
+
 
 def year_registry(root: str, years: Iterable[str], pattern: str = "{root}/{year}") -> dict[str, str]:
     """Year label to workbook directory."""
@@ -37,7 +41,7 @@ def scan_sheet(
     if fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt == "csv":
-        df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        df = spark.read.options(**CSV).option("inferSchema", False).csv(path)
     else:
         raise ValueError(f"unsupported sheet format: {fmt}")
     if columns is None:
@@ -49,7 +53,7 @@ def scan_sheet(
 def scan_text_sheet(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """CSV sheet under an explicit all-text schema; no file is read to plan it."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+    return spark.read.options(**CSV).option("enforceSchema", False).schema(schema).csv(path)
 
 
 def roster_sheet(

@@ -247,6 +247,18 @@ def coerced(spark, sf):
     return coerce_types(raw, ["org"])
 
 
+@registered(
+    "coerce_types_all",
+    """SELECT CAST(l_suppkey AS VARCHAR) AS l_suppkey, * EXCLUDE (l_suppkey, l_returnflag, l_linestatus,
+    l_shipdate, l_orderkey, l_partkey, l_linenumber), CAST(l_orderkey AS DOUBLE) AS l_orderkey,
+    CAST(l_partkey AS DOUBLE) AS l_partkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber,
+    CAST(NULL AS DOUBLE) AS l_returnflag, CAST(NULL AS DOUBLE) AS l_linestatus,
+    CAST(epoch(l_shipdate) AS DOUBLE) AS l_shipdate FROM lineitem""",
+)
+def coerced_all(spark, sf):
+    return coerce_types(s.table(spark, sf, "lineitem"), ["l_suppkey"])
+
+
 @registered(
     "computed_columns",
     """SELECT l_orderkey, l_linenumber, l_extendedprice / nullif(l_quantity, 0) AS unit_price,
@@ -296,6 +308,11 @@ _FIVE_SQL = " ".join(
     )
 )
 _MERGE_SQL = f"SELECT * FROM (SELECT p_partkey AS part, p_size FROM part) {_FIVE_SQL}"
+_REPEATED_SQL = f"""WITH offered AS (SELECT CASE WHEN l_partkey % 100 = 0 THEN NULL ELSE l_partkey END AS part,
+    l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY ALL),
+    sizes AS (SELECT CASE WHEN p_partkey % 100 = 0 THEN NULL ELSE p_partkey END AS part, p_size FROM part)
+    SELECT coalesce(o.part, z.part) AS part, flag, n, p_size
+    FROM offered o FULL JOIN sizes z ON o.part IS NOT DISTINCT FROM z.part"""
 
 
 @registered("outer_merge", _MERGE_SQL)
@@ -303,11 +320,28 @@ def merged(spark, sf):
     return outer_merge(_five_sheets(spark, sf), "part")
 
 
-@registered("outer_merge_repeated_keys", _MERGE_SQL)
-def merged_by_joins(spark, sf):
+def chained_full_joins(spark, sf):
+    """The plan that a fold of unique keys avoids, for comparison."""
     return outer_merge(_five_sheets(spark, sf), "part", unique_keys=False)
 
 
+@registered("outer_merge_repeated_keys", _REPEATED_SQL)
+def merged_by_joins(spark, sf):
+    """Several rows of a key in a sheet, and keys that are missing in both."""
+    offered = group_by(
+        s.table(spark, sf, "lineitem").selectExpr(
+            "IF(l_partkey % 100 = 0, NULL, l_partkey) AS part", "l_returnflag AS flag"
+        ),
+        ["part", "flag"],
+        ["count(1) AS n"],
+    )
+    sizes = s.table(spark, sf, "part").selectExpr(
+        "IF(p_partkey % 100 = 0, NULL, p_partkey) AS part", "p_size"
+    )
+    sheets = {"offered": offered, "sizes": sizes}
+    return outer_merge(sheets, "part", keep_null_key=True, unique_keys=False)
+
+
 @registered("badge_merge", f"WITH {s.BADGES_SQL} SELECT * FROM badges")
 def badges(spark, sf):
     return merge_badges(s.badge_sheets(spark, sf), s.BADGE_KEY)

@@ -116,12 +116,13 @@ def mean_table(spark, sf):
     return m.summarise(s.wide(spark, sf), "yr", means)
 
 
-_RATIO = s.ratio_sql("disc_part", "price", "qty")
+RATIO_DIGITS = 9
+_RATIO = s.rounded_ratio_sql("disc_part", "price", "qty", RATIO_DIGITS)
 
 
 @registered("weighted_ratio", f"WITH {s.LINES_SQL} SELECT yr, {_RATIO} AS ratio FROM lines GROUP BY yr")
 def weighted_ratio(spark, sf):
-    ratio = m.weighted_ratio("ratio", "disc_part", "price", "qty", P)
+    ratio = m.weighted_ratio("ratio", "disc_part", "price", "qty", P, digits=RATIO_DIGITS)
     return m.summarise(s.lines(spark, sf), "yr", [ratio])
 
 
@@ -132,9 +133,9 @@ _SPARSE = "CASE WHEN l_discount > 0.02 THEN l_extendedprice END"
     "weighted_ratio_strict",
     f"""WITH cells AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS yr, l_quantity AS w,
     l_extendedprice * l_tax AS part, {_SPARSE} AS base FROM lineitem)
-    SELECT yr, {s.ratio_sql("part", "base", "w")} AS loose,
-    coalesce(CAST(sum(CAST(part / base * w AS DECIMAL(18,6))) AS DOUBLE), 0)
-    / nullif(CAST(sum(CAST(CASE WHEN base IS NOT NULL THEN w END AS DECIMAL(18,2))) AS DOUBLE), 0) AS strict
+    SELECT yr, {s.rounded_ratio_sql("part", "base", "w", RATIO_DIGITS)} AS loose,
+    round(coalesce(sum(part / base * w), 0)
+    / nullif(CAST(sum(CAST(CASE WHEN base IS NOT NULL THEN w END AS DECIMAL(18,2))) AS DOUBLE), 0), {RATIO_DIGITS}) AS strict
     FROM cells GROUP BY yr""",
 )
 def weighted_ratio_strict(spark, sf):
@@ -148,8 +149,8 @@ def weighted_ratio_strict(spark, sf):
         cells,
         "yr",
         [
-            m.weighted_ratio("loose", "part", "base", "w", P),
-            m.weighted_ratio("strict", "part", "base", "w", P, strict=True),
+            m.weighted_ratio("loose", "part", "base", "w", P, digits=RATIO_DIGITS),
+            m.weighted_ratio("strict", "part", "base", "w", P, strict=True, digits=RATIO_DIGITS),
         ],
     )
 
@@ -159,7 +160,7 @@ def weighted_ratio_strict(spark, sf):
     f"WITH {s.LINES_SQL} SELECT org, yr, {_RATIO} AS ratio FROM lines GROUP BY org, yr",
 )
 def weighted_ratio_by_org(spark, sf):
-    ratio = m.weighted_ratio("ratio", "disc_part", "price", "qty", P)
+    ratio = m.weighted_ratio("ratio", "disc_part", "price", "qty", P, digits=RATIO_DIGITS)
     return m.summarise(s.lines(spark, sf), ["org", "yr"], [ratio])
 
 
@@ -391,9 +392,50 @@ def histogram(spark, sf):
     return histogram_bins(s.table(spark, sf, "orders"), "o_totalprice", 15)
 
 
-@registered("org_year_grain", f"WITH {s.GRAIN_SQL} SELECT * FROM grain")
+@registered(
+    "org_year_grain",
+    f"""WITH {s.GRAIN_SQL} SELECT * REPLACE (round(control_ratio, {RATIO_DIGITS}) AS control_ratio,
+    round(uncontrolled_ratio, {RATIO_DIGITS}) AS uncontrolled_ratio) FROM grain""",
+)
 def grain(spark, sf):
-    return org_year_grain(s.lines(spark, sf), s.FACTS)
+    found = org_year_grain(s.lines(spark, sf), s.FACTS)
+    return found.withColumns(
+        {c: F.round(c, RATIO_DIGITS) for c in ("control_ratio", "uncontrolled_ratio")}
+    )
+
+
+@registered(
+    "weighted_ratio_small_terms",
+    f"""WITH small AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS yr, l_tax * 1e-9 AS part,
+    l_extendedprice AS base, l_quantity AS w FROM lineitem)
+    SELECT yr, round(1e15 * {s.ratio_sql("part", "base", "w")}, 3) AS ratio FROM small GROUP BY yr""",
+)
+def weighted_ratio_small_terms(spark, sf):
+    small = s.table(spark, sf, "lineitem").selectExpr(
+        f"{s.YEAR_TEXT} AS yr", "l_tax * 1e-9D AS part", "l_extendedprice AS base", "l_quantity AS w"
+    )
+    ratio = m.weighted_ratio("ratio", "part", "base", "w", P)
+    return m.summarise(small, "yr", [ratio]).withColumn("ratio", F.round(F.col("ratio") * 1e15, 3))
+
+
+_STATE_CELL = """CASE WHEN n_nationkey = 3 THEN NULL WHEN n_nationkey = 4 THEN 'NA_' ELSE n_name END"""
+
+
+@registered(
+    "crosstab_missing_values",
+    f"""WITH c AS (SELECT n_regionkey AS region, {_STATE_CELL} AS cell FROM lineitem
+    JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+    SELECT region, count(*) FILTER (cell IS NULL) AS "NA__", count(*) FILTER (cell = 'NA_') AS "NA_",
+    count(*) FILTER (cell = 'NATION_0') AS "NATION_0", count(*) AS "Total" FROM c GROUP BY region""",
+)
+def crosstab_missing_values(spark, sf):
+    cells = (
+        s.table(spark, sf, "lineitem")
+        .join(s.table(spark, sf, "supplier"), F.expr("l_suppkey = s_suppkey"))
+        .join(s.table(spark, sf, "nation"), F.expr("s_nationkey = n_nationkey"))
+        .selectExpr("n_regionkey AS region", f"{_STATE_CELL} AS cell")
+    )
+    return crosstab(cells, "region", "cell", [None, "NA_", "NATION_0"], total="Total")
 
 
 def _catalogue() -> list[tuple[m.Measure, str]]:
@@ -406,7 +448,10 @@ def _catalogue() -> list[tuple[m.Measure, str]]:
             (m.mean(f"mean_{c}", x, P), mean_sql(x)),
             (m.reported(f"reported_{c}", x), f"count({x})"),
             (m.suppressed(f"suppressed_{c}", x), f"count(*) - count({x})"),
-            (m.weighted_ratio(f"ratio_{c}", x, "qua_all", "n", P), s.ratio_sql(x, "qua_all", "n")),
+            (
+                m.weighted_ratio(f"ratio_{c}", x, "qua_all", "n", P, digits=RATIO_DIGITS),
+                s.rounded_ratio_sql(x, "qua_all", "n", RATIO_DIGITS),
+            ),
         ]
     for f in s.FLAGS:
         pair = [f"qua_{f}{t}" for t in s.STATUSES]

@@ -177,11 +177,15 @@ def row_sum_sql(*columns: str) -> str:
 
 
 def ratio_sql(part: str, base: str, weight: str) -> str:
-    term = f"CAST({part} / nullif({base}, 0) * {weight} AS DECIMAL(18,6))"
-    numerator = f"coalesce(CAST(sum({term}) AS DOUBLE), 0)"
+    numerator = f"coalesce(sum({part} / nullif({base}, 0) * {weight}), 0)"
     return f"{numerator} / nullif({sum_sql(weight, zero=False)}, 0)"
 
 
+def rounded_ratio_sql(part: str, base: str, weight: str, digits: int) -> str:
+    """Sums of quotients depend on their order in the last bits, so results are compared rounded."""
+    return f"round({ratio_sql(part, base, weight)}, {digits})"
+
+
 def pct_sql(n: str, total: str, digits: int = 1) -> str:
     return f"round(100.0 * {n} / nullif({total}, 0), {digits})"
 

@@ -49,18 +49,12 @@ def expect_quantiles(df, data, by, **options):
     ),
     st.sampled_from([2, 10, 10_000]),
 )
-def test_quantiles_match_numpy_at_any_sketch_accuracy(frame, monkeypatch, data, accuracy):
-    monkeypatch.setattr(q, "SMALL_GROUP", 100_000)
-    expect_quantiles(frame("g string, x double", data), data, ["g"])
-    monkeypatch.setattr(q, "SMALL_GROUP", 0)
+def test_quantiles_match_numpy_at_any_sketch_accuracy(frame, data, accuracy):
     expect_quantiles(frame("g string, x double", data), data, ["g"], accuracy=accuracy)
 
 
 @pytest.mark.parametrize("accuracy", [5, 10_000])
-@pytest.mark.parametrize("few", [0, 20_000])
-def test_quantiles_of_a_hot_group_with_frequent_values(spark, monkeypatch, accuracy, few):
-    monkeypatch.setattr(q, "BROADCAST_GROUPS", few)
-    monkeypatch.setattr(q, "SMALL_GROUP", 1000)
+def test_quantiles_of_a_hot_group_with_frequent_values(spark, accuracy):
     rng = np.random.default_rng(1)
     hot = np.concatenate([rng.lognormal(0, 3, 4000), np.zeros(3000), rng.normal(-9, 1, 2000)])
     data = [("hot", float(x)) for x in hot] + [(f"g{i % 50}", float(i)) for i in range(500)]
@@ -68,18 +62,14 @@ def test_quantiles_of_a_hot_group_with_frequent_values(spark, monkeypatch, accur
     expect_quantiles(df, data, ["g"], accuracy=accuracy)
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_quantiles_without_groups(spark, monkeypatch, small):
-    monkeypatch.setattr(q, "SMALL_GROUP", small)
+def test_quantiles_without_groups(spark):
     data = [(float(i * i % 997),) for i in range(3000)]
     df = spark.createDataFrame(data, "x double").repartition(5)
     expect_quantiles(df, data, [], accuracy=50)
     expect_quantiles(df.where("false"), [(None,)], [])
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_numeric_profile(frame, monkeypatch, small):
-    monkeypatch.setattr(q, "SMALL_GROUP", small)
+def test_numeric_profile(frame):
     df = frame(
         "yr string, `x.y` double",
         [("one", 5.0), ("none", None), ("none", None)]
@@ -117,7 +107,7 @@ def states(frame):
 
 
 def test_crosstab(frame):
-    counts = crosstab(states(frame), "yr", "state", ["HI", "CA", "NA_"], total="Total")
+    counts = crosstab(states(frame), "yr", "state", ["HI", "CA", None], total="Total")
     assert counts.columns == ["yr", "HI", "CA", "NA_", "Total"]
     assert rows(counts) == [("1", 1, 3, 1, 6), ("2", 0, 1, 0, 1)]
     assert rows(row_percentages(counts, "yr"))[1] == ("2", 0.0, 1.0, 0.0, 1.0)
@@ -126,9 +116,18 @@ def test_crosstab(frame):
     )
 
 
+def test_crosstab_keeps_missing_apart_from_text_and_names_unique(frame):
+    df = frame("yr string, state string", [("1", "NA_"), ("1", None), ("1", "CA")])
+    counts = crosstab(df, "yr", "state", ["NA_", None, "CA"], total="Total")
+    assert counts.columns == ["yr", "NA_", "NA__", "CA", "Total"]
+    assert rows(counts) == [("1", 1, 1, 1, 3)]
+    with pytest.raises(ValueError, match="named twice"):
+        crosstab(df, "yr", "state", ["CA", "Total"], total="Total")
+
+
 def test_crosstab_finds_its_values(frame):
     df = states(frame)
-    assert column_values(df, "state") == ["CA", "HI", "ZZ", "NA_"]
+    assert column_values(df, "state") == ["CA", "HI", "ZZ", None]
     assert rows(with_row_total(crosstab(df, "yr", "state"), "yr")) == [
         ("1", 3, 1, 1, 1, 6), ("2", 1, 0, 0, 0, 1),
     ]
@@ -139,9 +138,7 @@ def test_crosstab_finds_its_values(frame):
     ]
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_six_numbers(frame, monkeypatch, small):
-    monkeypatch.setattr(q, "SMALL_GROUP", small)
+def test_six_numbers(frame):
     df = frame("x double", [(v,) for v in (8.0, 1.0, None, 4.0, 2.0)])
     assert rows(six_number_summary(df, "x", 2)) == [(1.0, 1.75, 3.0, 3.75, 5.0, 8.0)]
 

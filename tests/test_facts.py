@@ -97,6 +97,13 @@ def test_pivot_and_back(frame):
     assert rows(back) == [("a", "p_2021", 1.0), ("a", "p_2024", 2.0)]
 
 
+def test_pivot_refuses_a_second_row_of_a_key_and_year(frame):
+    df = frame("o string, y string, v double", [("a", "2021", 1.0), ("a", "2021", 5.0)])
+    with pytest.raises(Exception, match="more than one row of a key in 2021"):
+        pivot_years(df, "o", "y", "v", ["2021"]).collect()
+
+
+
 def test_growth_edges(frame):
     df = frame("a double, b double", [(0.0, 5.0), (None, 5.0), (5.0, None), (4.0, 4.0), (25.0, 28.0), (3.0, 2.0)])
     labels = df.select(F.expr(growth_label(growth_pct("a", "b"), "2021")).alias("x"))

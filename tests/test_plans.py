@@ -76,11 +76,12 @@ def test_no_query_crosses_rows_or_leaves_the_jvm(spark, name):
         assert operator not in plan
 
 
-def test_sources_use_no_local_checkpoint_udf_or_broadcast_without_a_count():
+def test_sources_use_no_local_checkpoint_udf_or_broadcast_hint():
     for path in glob.glob("rosterfold/**/*.py", recursive=True):
+        if "/llm/" in path:
+            continue
         text = open(path).read()
         assert "localCheckpoint" not in text
         assert "udf" not in text.lower()
         assert "crossJoin" not in text
-        if "F.broadcast(" in text:
-            assert path.endswith("quantiles.py")
+        assert "F.broadcast(" not in text

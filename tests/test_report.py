@@ -3,7 +3,9 @@
 import pytest
 
 from rosterfold.plans import catalog as c
+from rosterfold.operators.badges import merge_badges
 from rosterfold.plans import report
+from rosterfold.sources.sheets import scan_sheet
 from rosterfold.sources.sinks import write_report, write_stacked
 
 from .conftest import rows
@@ -116,6 +118,32 @@ def test_report_tables(survey):
         assert table.collect(), name
 
 
+def test_report_raises_on_a_missing_column(survey):
+    with pytest.raises(ValueError, match="T3a_L39_Ca"):
+        report.survey_report(survey.drop("T3a_L39_Ca"))
+    with pytest.raises(ValueError, match="T9D_"):
+        report.survey_report(survey, with_table_9d=True)
+
+
+def test_badge_merge_with_repeated_and_missing_keys(frame):
+    sheets = {
+        "1": frame("k string, b string", [(None, "Yes"), (None, "No"), ("x", "Yes")]),
+        "2": frame("k string, b string", [(None, "Yes"), ("y", None)]),
+    }
+    with pytest.raises(Exception, match="more than once"):
+        merge_badges(sheets, "k").collect()
+    merged = merge_badges(sheets, "k", unique_keys=False)
+    assert rows(merged) == [(None, "No", "Yes"), (None, "Yes", "Yes"), ("x", "Yes", None), ("y", None, None)]
+
+
+def test_csv_cells_with_line_breaks_and_surplus_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"two\nlines, ""quoted"""\n2,x\n')
+    assert rows(scan_sheet(spark, str(tmp_path), "a", "csv")) == [("1", 'two\nlines, "quoted"'), ("2", "x")]
+    (tmp_path / "b.csv").write_text("k,v\n1,2,3\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        scan_sheet(spark, str(tmp_path), "b", "csv").collect()
+
+
 def test_badge_report(spark, tmp_path):
     levels = [f"Health Center Quality Leader - {x}" for x in c.BADGE_LEVELS]
     schema = ", ".join(f"`{n}` string" for n in ["Grant Number", "HC Type", *levels])
