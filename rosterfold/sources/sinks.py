@@ -31,5 +31,5 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write one report table."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"')  # as the scan reads it
     writer.format(fmt).save(path)

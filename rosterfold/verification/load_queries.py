@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from rosterfold.functions.columns import group_by
+from rosterfold.functions.labels import money_label
 from rosterfold.functions.numbers import exact_sum, safe_div
 from rosterfold.operators.badges import merge_badges
+from rosterfold.operators.change import growth_label
 from rosterfold.operators.checks import row_count_check
 from rosterfold.operators.measures import row_total, rows, summarise, total
 from rosterfold.operators.merge import fact_join, outer_merge, stack_years
@@ -23,9 +27,9 @@ from rosterfold.operators.projection import (
 )
 from rosterfold.operators.roster import key_cleanup, period_filter, roster_filter
 from rosterfold.plans.load import load_all_years, load_year
-from rosterfold.sources.pinning import shared_folder
-from rosterfold.sources.sheets import roster_sheet, scan_sheet, year_registry
-from rosterfold.sources.sinks import write_stacked
+from rosterfold.sources.pinning import pinned, shared_folder
+from rosterfold.sources.sheets import roster_sheet, scan_sheet, scan_text_sheet, year_registry
+from rosterfold.sources.sinks import write_report, write_stacked
 from rosterfold.verification import standin as s
 from rosterfold.verification.registry import registered
 
@@ -42,19 +46,38 @@ def sheet_scan(spark, sf):
 
 @registered(
     "year_registry",
-    f"""SELECT CAST(year(l_shipdate) AS VARCHAR) AS yr, count(*) AS n FROM lineitem
-    WHERE year(l_shipdate) BETWEEN {s.YEARS[0]} AND {s.YEARS[-1]} GROUP BY 1""",
+    """SELECT CAST(year(l_shipdate) AS VARCHAR) AS yr, count(*) AS n,
+    CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty FROM lineitem GROUP BY 1""",
 )
 def registry_of_years(spark, sf):
-    files = year_registry(sf, s.YEARS, pattern="{root}")
-    parts = []
+    """Each year's lines are written under a folder of their own and found through the registry."""
+    root = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+    files = year_registry(root, s.YEARS, pattern="{root}/H80{year}")
+    items = scan_sheet(spark, sf, "lineitem", columns=["l_shipdate", "l_suppkey", "l_quantity"])
     for year, path in files.items():
-        df = scan_sheet(spark, path, "lineitem", columns=["l_shipdate"])
-        inside = df.where(
-            f"l_shipdate >= '{year}-01-01' AND l_shipdate < '{int(year) + 1}-01-01'"
-        )
-        parts.append(inside.selectExpr(f"'{year}' AS yr"))
-    return summarise(stack_years(parts), "yr", [rows("n")])
+        of_year = items.where(f"l_shipdate >= '{year}-01-01' AND l_shipdate < '{int(year) + 1}-01-01'")
+        write_report(of_year, f"{path}/Lines.parquet")
+    parts = [
+        scan_sheet(spark, path, "Lines", columns=["l_quantity"]).selectExpr(f"'{year}' AS yr", "l_quantity")
+        for year, path in files.items()
+    ]
+    return summarise(stack_years(parts), "yr", [rows("n"), total("qty", "l_quantity", s.PLACES)])
+
+
+@registered(
+    "csv_scan",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, 'priority ' || o_orderpriority || chr(10) || '"of" '
+    || o_orderstatus AS note FROM orders""",
+)
+def csv_scan(spark, sf):
+    """Cells with line breaks, quotes and commas through a CSV sheet under an explicit schema."""
+    root = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    notes = s.table(spark, sf, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS o_orderkey",
+        """concat('priority ', o_orderpriority, '\\n', '"of" ', o_orderstatus) AS note""",
+    )
+    write_report(notes, f"{root}/Notes.csv", "csv")
+    return scan_text_sheet(spark, f"{root}/Notes.csv", ["o_orderkey", "note"])
 
 
 @registered(
@@ -72,12 +95,13 @@ def sheet_of_roster(spark, sf):
 )
 def one_year(spark, sf):
     return load_year(
-        s.workbook(spark, sf, s.NEW), s.NEW, s.KEY, s.INFO_TEXT, roster=s.text_roster(spark, sf)
+        s.workbook(spark, sf, s.NEW, s.year_cells(spark, sf, (s.NEW,))), s.NEW, s.KEY, s.INFO_TEXT, roster=s.text_roster(spark, sf)
     )
 
 
 def _all_years(spark, sf):
-    workbooks = {y: s.workbook(spark, sf, y) for y in s.YEARS}
+    cells = pinned(s.year_cells(spark, sf))
+    workbooks = {y: s.workbook(spark, sf, y, cells) for y in s.YEARS}
     return load_all_years(workbooks, s.KEY, s.INFO_TEXT, roster=s.text_roster(spark, sf))
 
 
@@ -100,13 +124,40 @@ def report_sink(spark, sf):
 
 @registered(
     "row_count_check",
-    f"""WITH {s.WIDE_SQL}, newest AS (SELECT * FROM wide WHERE yr = '{s.NEW}')
-    SELECT (SELECT count(*) FROM newest) AS n_rows, (SELECT count(*) FROM supplier) AS expected,
-    (SELECT count(*) FROM newest) = (SELECT count(*) FROM supplier) AS as_expected""",
+    f"""WITH {s.WIDE_SQL} SELECT (SELECT count(*) FROM wide) AS n_rows,
+    (SELECT count(*) * {len(s.YEARS)} FROM supplier) AS expected,
+    (SELECT count(*) FROM wide) = (SELECT count(*) * {len(s.YEARS)} FROM supplier) AS as_expected""",
 )
 def count_check(spark, sf):
-    newest = period_filter(s.wide(spark, sf), "yr", s.NEW)
-    return row_count_check(newest, s.table(spark, sf, "supplier"))
+    """An organisation that misses a year would show."""
+    expected = s.table(spark, sf, "supplier").select(F.explode(F.array(*map(F.lit, s.YEARS))))
+    return row_count_check(s.wide(spark, sf), expected)
+
+
+@registered(
+    "roster_literal",
+    "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey IN (1, 2, 3, 5, 8)",
+)
+def on_literal_roster(spark, sf):
+    items = scan_sheet(spark, sf, "lineitem", columns=["l_orderkey", "l_linenumber", "l_suppkey"])
+    return roster_filter(items, "l_suppkey", [1, 2, 3, 5, 8])
+
+
+_CHANGE = "CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE round(s_acctbal / 100, 1) END"
+
+
+@registered(
+    "label_forms",
+    f"""SELECT s_suppkey, coalesce({s.signed_sql(_CHANGE, '% since 1997')}, 'NA% since 1997') AS growth,
+    '$' || lpad(format('{{:,}}', CAST(round_even(abs(s_acctbal), 0) AS BIGINT)), 9, ' ') AS amount FROM supplier""",
+)
+def label_forms(spark, sf):
+    """Labels with a text for missing numbers, and amounts aligned to a width."""
+    return s.table(spark, sf, "supplier").selectExpr(
+        "s_suppkey",
+        f"{growth_label(_CHANGE, '1997', na_text='NA')} AS growth",
+        f"{money_label('abs(s_acctbal)', '9')} AS amount",
+    )
 
 
 @registered(
@@ -193,7 +244,8 @@ def reordered(spark, sf):
     f"WITH {s.LINES_SQL} SELECT org, yr, qty FROM lines WHERE yr IN ('{s.OLD}', '{s.NEW}')",
 )
 def of_period(spark, sf):
-    return period_filter(s.lines(spark, sf), "yr", s.OLD, s.NEW).select("org", "yr", "qty")
+    lines = s.lines(spark, sf, (s.OLD, s.NEW))
+    return period_filter(lines, "yr", s.OLD, s.NEW).select("org", "yr", "qty")
 
 
 @registered(
@@ -285,8 +337,8 @@ def _five_sheets(spark, sf):
     return {
         "sheet1": s.table(spark, sf, "part").selectExpr("p_partkey AS part", "p_size"),
         "sheet2": sheet("qty_a", "l_returnflag = 'A'", "l_quantity"),
-        "sheet3": sheet("qty_n", "l_returnflag = 'N' AND l_discount = 0", "l_quantity"),
-        "sheet4": sheet("price_r", "l_returnflag = 'R' AND l_tax = 0", "l_extendedprice"),
+        "sheet3": sheet("qty_n", "l_returnflag = 'N' AND l_partkey % 5 <> 1", "l_quantity"),
+        "sheet4": sheet("price_r", "l_returnflag = 'R' AND l_partkey % 7 <> 2", "l_extendedprice"),
         "sheet5": sheet("price_f", "l_linestatus = 'F'", "l_extendedprice"),
     }
 
@@ -302,8 +354,8 @@ _FIVE_SQL = " ".join(
     f"FULL JOIN {x} USING (part)"
     for x in (
         _part_sheet_sql("qty_a", "l_returnflag = 'A'", "l_quantity"),
-        _part_sheet_sql("qty_n", "l_returnflag = 'N' AND l_discount = 0", "l_quantity"),
-        _part_sheet_sql("price_r", "l_returnflag = 'R' AND l_tax = 0", "l_extendedprice"),
+        _part_sheet_sql("qty_n", "l_returnflag = 'N' AND l_partkey % 5 <> 1", "l_quantity"),
+        _part_sheet_sql("price_r", "l_returnflag = 'R' AND l_partkey % 7 <> 2", "l_extendedprice"),
         _part_sheet_sql("price_f", "l_linestatus = 'F'", "l_extendedprice"),
     )
 )
@@ -349,13 +401,12 @@ def badges(spark, sf):
 
 @registered(
     "fact_join",
-    f"""WITH {s.WIDE_SQL} SELECT org, n, s_name FROM wide JOIN supplier ON org = s_suppkey
-    WHERE yr = '{s.NEW}'""",
+    f"WITH {s.WIDE_SQL} SELECT org, yr, n, s_name FROM wide JOIN supplier ON org = s_suppkey",
 )
 def joined(spark, sf):
-    newest = period_filter(s.wide(spark, sf), "yr", s.NEW).select("org", "n")
+    counted = s.wide(spark, sf).select("org", "yr", "n")
     names = s.table(spark, sf, "supplier").selectExpr("s_suppkey AS org", "s_name")
-    return fact_join(newest, names, "org")
+    return fact_join(counted, names, "org")
 
 
 @registered(

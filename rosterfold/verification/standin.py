@@ -26,7 +26,7 @@ from rosterfold.plans.facts import FactColumns
 from rosterfold.sources.sheets import scan_sheet
 
 OLD, NEW = "1997", "2000"
-YEARS = ("1997", "1998", "1999", "2000")
+YEARS = tuple(str(y) for y in range(1995, 2002))
 PLACES = 2
 MIN_ROWS = 16
 
@@ -46,13 +46,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 YEAR_TEXT = "CAST(year(l_shipdate) AS STRING)"
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line item as a survey row; absent categories are NULL."""
+def lines(spark: SparkSession, sf_dir: str, years: tuple[str, ...] = ()) -> DataFrame:
+    """Every line item as a survey row; absent categories are NULL.
+
+    ``years`` are tested on the stored date too, where the scan can use the test.
+    """
 
     def only(column: str, value: str) -> str:
         return f"IF({column} = '{value}', l_quantity, NULL)"
 
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    items = table(spark, sf_dir, "lineitem")
+    if years:
+        spans = [f"(l_shipdate >= '{y}-01-01' AND l_shipdate < '{int(y) + 1}-01-01')" for y in years]
+        items = items.where(" OR ".join(spans))
+    return items.selectExpr(
         "l_suppkey AS org",
         f"{YEAR_TEXT} AS yr",
         "l_quantity AS qty",
@@ -264,9 +271,10 @@ BADGES_SQL = (
 BADGE_COLUMNS = [f"{BADGE.format(level)}_{y}" for level in LEVELS for y in YEARS]
 
 
-# A workbook of text sheets for one year. The price sheet lists only
-# organisations with enough line items, so the outer merge has gaps to fill.
-PRICE_MIN = 80
+# A workbook of text sheets for one year. The price sheet lacks every seventh
+# organisation and the info sheet every eleventh, so the outer merge has gaps to fill.
+PRICED = "{org} % 7 <> 3"
+INFORMED = "{org} % 11 <> 5"
 KEY = "GrantNumber"
 INFO_TEXT = ("GrantNumber", "ReportingYear", "HealthCenterName", "HealthCenterState")
 
@@ -282,27 +290,34 @@ def _text_cells(column: str, prefix: str) -> list[str]:
     return out
 
 
-def workbook(spark: SparkSession, sf_dir: str, year: str) -> dict[str, DataFrame]:
-    """The sheets of one year, every cell text."""
-    of_year = (
+def year_cells(spark: SparkSession, sf_dir: str, years: tuple[str, ...] = YEARS) -> DataFrame:
+    """The cells of both table sheets by organisation and year, one scan for all."""
+    low, high = min(years), int(max(years)) + 1
+    items = (
         table(spark, sf_dir, "lineitem")
-        .where(f"l_shipdate >= '{year}-01-01' AND l_shipdate < '{int(year) + 1}-01-01'")
+        .where(f"l_shipdate >= '{low}-01-01' AND l_shipdate < '{high}-01-01'")
         .selectExpr(
-            "l_suppkey AS org", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"
+            "l_suppkey AS org", f"{YEAR_TEXT} AS yr",
+            "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice",
         )
     )
-    key = f"CAST(org AS STRING) AS {KEY}"
+    cells = [*_text_cells("l_quantity", "T3"), *_text_cells("l_extendedprice", "T8")]
+    return group_by(items, ["org", "yr"], cells)
 
-    def sheet(cells: list[str]) -> DataFrame:
-        return group_by(of_year, ["org"], ["count(1) AS __n", *cells])
 
-    def shown(df: DataFrame) -> DataFrame:
-        return df.selectExpr(key, *[quoted(c) for c in df.columns if c not in ("org", "__n")])
+def workbook(spark: SparkSession, sf_dir: str, year: str, cells: DataFrame) -> dict[str, DataFrame]:
+    """The sheets of one year, every cell text."""
+    key = f"CAST(org AS STRING) AS {KEY}"
+    of_year = cells.where(f"yr = '{year}'")
+
+    def sheet(prefix: str) -> DataFrame:
+        return of_year.selectExpr(key, "org", *[quoted(c) for c in cells.columns if c.startswith(prefix)])
 
     named_orgs = table(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey AS org", "s_name", "s_acctbal"
     )
-    info = fact_join(named_orgs, states(spark, sf_dir), "org").selectExpr(
+    informed = named_orgs.where(INFORMED.format(org="org"))
+    info = fact_join(informed, states(spark, sf_dir), "org").selectExpr(
         key,
         f"'{year}' AS ReportingYear",
         "s_name AS HealthCenterName",
@@ -311,8 +326,8 @@ def workbook(spark: SparkSession, sf_dir: str, year: str) -> dict[str, DataFrame
     )
     return {
         "HealthCenterInfo": info,
-        "Table3": shown(sheet(_text_cells("l_quantity", "T3"))),
-        "Table8": shown(sheet(_text_cells("l_extendedprice", "T8")).where(f"__n >= {PRICE_MIN}")),
+        "Table3": sheet("T3").drop("org"),
+        "Table8": sheet("T8").where(PRICED.format(org="org")).drop("org"),
     }
 
 
@@ -332,12 +347,12 @@ def workbook_sql(year: str) -> str:
     return f"""
     i{year} AS (SELECT CAST(s_suppkey AS VARCHAR) AS "{KEY}", s_name AS "HealthCenterName",
         n_name AS "HealthCenterState", s_acctbal AS "FundingCHC"
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey
+        WHERE {INFORMED.format(org="s_suppkey")}),
     t{year} AS (SELECT CAST(l_suppkey AS VARCHAR) AS "{KEY}", {cells("l_quantity", "T3")}
         FROM lineitem WHERE year(l_shipdate) = {year} GROUP BY l_suppkey),
     p{year} AS (SELECT CAST(l_suppkey AS VARCHAR) AS "{KEY}", {cells("l_extendedprice", "T8")}
-        FROM lineitem WHERE year(l_shipdate) = {year} GROUP BY l_suppkey
-        HAVING count(*) >= {PRICE_MIN}),
+        FROM lineitem WHERE year(l_shipdate) = {year} AND {PRICED.format(org="l_suppkey")} GROUP BY l_suppkey),
     y{year} AS (SELECT *, '{year}' AS "ReportingYear" FROM i{year}
         FULL JOIN t{year} USING ("{KEY}") FULL JOIN p{year} USING ("{KEY}")
         WHERE CAST("{KEY}" AS BIGINT) IN (SELECT s_suppkey FROM roster))"""

@@ -81,7 +81,7 @@ def main() -> int:
     oracle = entry.oracle_sql()
     failed = 0
     for name, query in entry.queries().items():
-        if len(sys.argv) > 2 and name not in sys.argv[2:]:
+        if name not in oracle or len(sys.argv) > 2 and name not in sys.argv[2:]:
             continue
         started = time.time()
         try:
