@@ -44,6 +44,36 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
 
 
+def _quality_sql() -> str:
+    """The ledger's columns from lists of words and lines."""
+    word, letter = r"[^\x20\x09-\x0D]+", r"[A-ZÀ-ÖØ-Þa-zß-öø-ÿ\x{100}-\x{10FFFF}]"
+    insults = ", ".join(f"'{w}'" for w in quality.INSULTS)
+    bits = " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(quality.RULES.values()))
+    fails = {p: " OR ".join(f"({quality.RULES[r]})" for r in rules) for p, rules in quality.POLICIES.items()}
+    return rf"""
+    WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+    cut AS (SELECT *, regexp_extract_all(t, '{word}') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM texts),
+    windows AS (SELECT row, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+        FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM cut)),
+    counted AS (SELECT row, i, count(*) OVER (PARTITION BY row, a, b, c) AS n FROM windows),
+    repeated AS (SELECT row, count(DISTINCT i + k) AS n_repeat_words
+        FROM counted, (VALUES (0), (1), (2)) AS near(k) WHERE n > 1 GROUP BY row),
+    measured AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+        CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words,
+        CAST(length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS BIGINT) AS n_upper,
+        CAST(length(regexp_replace(t, '[^a-zß-öø-ÿ]', '', 'g')) AS BIGINT) AS n_lower,
+        CAST(coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS longest_word,
+        CAST(len(list_filter(w, lambda x: regexp_matches(x, '{letter}'))) AS BIGINT) AS n_letter_words,
+        CAST(len(list_filter(regexp_extract_all(lower(t), '[0-9a-z_\x{{80}}-\x{{10FFFF}}]+'), lambda x: x IN ({insults}))) AS BIGINT) AS n_insults
+        FROM cut LEFT JOIN repeated USING (row))
+    SELECT *, CAST({bits} AS BIGINT) AS failed, ({fails["base_v1"]}) AS base_failed, NOT ({fails["web_v2"]}) AS kept
+    FROM measured"""
+
+
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.ledger(table(spark, sf_dir, "documents"))
@@ -81,3 +111,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op5_quality_rules"] = _quality_sql()
