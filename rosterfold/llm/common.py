@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import os
 import tempfile
@@ -18,8 +20,13 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 SLICE = 1024
 
 
+#: Bytes of an Arrow batch that Spark sends to a Python worker.
+BATCH_BYTES = 1 << 22
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let the Python workers import this package where it is not installed."""
+    """Bound the session's Arrow batches by bytes, and let workers import this package where it is not installed."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.sparkContext.environment["PYTHONPATH"] = ROOT
 
 
@@ -60,7 +67,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches, rows: int = SLICE, limit: int = 1 << 23):
+def slices(batches, rows: int = SLICE, limit: int = 1 << 20):
     """Batches of at most ``rows`` rows and about ``limit`` bytes each (one row at least)."""
     for batch in batches:
         start = 0
@@ -70,6 +77,14 @@ def slices(batches, rows: int = SLICE, limit: int = 1 << 23):
                 n = (n + 1) // 2
             yield batch.slice(start, n)
             start += n
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def _nbytes(batch: pa.RecordBatch, start: int, n: int) -> int:
