@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rosterfold.functions.columns import named, quoted
-from rosterfold.functions.numbers import row_sum
+from rosterfold.functions.numbers import pct, row_sum
 from rosterfold.operators import badges as b
+from rosterfold.operators.checks import row_count_check
 from rosterfold.operators.crosstab import count_percent_labels, crosstab, row_percentages
-from rosterfold.operators.distribution import histogram_bins, six_number_summary
+from rosterfold.operators.distribution import histogram_bins, share_of_universe, six_number_summary
 from rosterfold.operators.measures import long_form, reconcile_total, rows, summarise
 from rosterfold.operators.profile import profile_numeric, profile_text
 from rosterfold.operators.roster import Roster, roster_filter
@@ -58,6 +60,7 @@ def survey_report(
     yearly = summarise(
         survey, c.YEAR, [m for m in c.YEARLY if with_table_9d or m not in c.TABLE_9D]
     )
+    facts = fact_sheet(survey, c.FACTS, old, new)
     row_total = named(row_sum([quoted(x) for x in c.ROW_TOTAL_COLUMNS]), "row_total")
     totals = survey.selectExpr(row_total)
     return {
@@ -80,11 +83,35 @@ def survey_report(
         "profile_by_organisation": profile_numeric(survey, c.PROFILED[0], [c.YEAR, c.KEY]),
         "row_total_summary": six_number_summary(totals, "row_total"),
         "row_total_histogram": histogram_bins(totals, "row_total"),
-        "fact_sheet": fact_sheet(survey, c.FACTS, old, new),
+        "fact_sheet": facts,
+        "fact_sheet_check": row_count_check(facts, len(c.ROSTER)),
         "members": summarise(survey, c.YEAR, [rows("members")]),
     }
 
 
+def universe_report(
+    universe: DataFrame, badges: DataFrame, roster: Roster = c.ROSTER, lag: int = 1
+) -> dict[str, DataFrame]:
+    """The roster's part of everyone, from a survey loaded with ``roster=None``.
+
+    Badges of a year are earned with the survey of ``lag`` years before; the rate is
+    the roster's badges in percent of all organisations of that survey.
+    """
+    patients = next(m for m in c.YEARLY if m.name == "patients")
+    earned = b.badge_cells(roster_filter(badges, c.BADGE_KEY, roster), c.BADGE_YEARS, "").unpivot(
+        [], list(c.BADGE_YEARS), "badge_year", "badges"
+    )
+    everyone = summarise(universe, c.YEAR, [rows("organisations")])
+    same_year = F.expr(f"CAST(badge_year AS INT) - {lag} = CAST({quoted(c.YEAR)} AS INT)")
+    return {
+        "universe_shares": share_of_universe(universe, c.KEY, roster, c.YEAR, [patients, rows("members")]),
+        "badge_rates": everyone.join(earned, same_year).selectExpr(
+            quoted(c.YEAR), "badge_year", "badges", "organisations",
+            named(pct("badges", "organisations", 6), "badge_rate"),
+        ),
+    }
+
+
 def badge_report(badges: DataFrame, roster: Roster = c.ROSTER) -> dict[str, DataFrame]:
     """Badge tables for the roster and for everyone."""
     members = roster_filter(badges, c.BADGE_KEY, roster)

@@ -118,6 +118,22 @@ def test_report_tables(survey):
         assert table.collect(), name
 
 
+def test_universe_report(frame):
+    universe = frame(
+        "GrantNumber string, ReportingYear string, T3a_L39_Ca double, T3a_L39_Cb double",
+        [(c.ROSTER[0], "2021", 10.0, 15.0), ("other", "2021", 75.0, None), ("other", "2024", 5.0, 5.0)],
+    )
+    levels = [f"Health Center Quality Leader - {x}" for x in c.BADGE_LEVELS]
+    names = [f"{x}_{y}" for y in c.BADGE_YEARS for x in levels]
+    schema = ", ".join(f"`{n}` string" for n in [c.BADGE_KEY, *names])
+    badges = frame(schema, [(c.ROSTER[0], *["Yes"] * len(names)), ("other", *["Yes"] * len(names))])
+    tables = report.universe_report(universe, badges)
+    shares = rows(tables["universe_shares"], "ReportingYear", "patients_pct", "members_pct")
+    assert shares == [("2021", 25.0, 50.0), ("2024", 0.0, 0.0)]
+    got = rows(tables["badge_rates"], "ReportingYear", "badge_year", "badges", "organisations", "badge_rate")
+    assert got == [("2021", "2022", 3, 2, 150.0), ("2024", "2025", 3, 1, 300.0)]
+
+
 def test_report_raises_on_a_missing_column(survey):
     with pytest.raises(ValueError, match="T3a_L39_Ca"):
         report.survey_report(survey.drop("T3a_L39_Ca"))
