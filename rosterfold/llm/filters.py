@@ -10,7 +10,7 @@ from rosterfold.llm.common import blob, slices, texts
 from rosterfold.llm.words import mix
 
 #: Most bits of a filter.
-BITS = 1 << 28
+BITS = 1 << 27
 PROBES = 4
 
 _SALTS = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)

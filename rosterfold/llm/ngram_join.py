@@ -186,8 +186,23 @@ def _linkable(n1: np.ndarray, n2: np.ndarray, overlap: np.ndarray, threshold: in
     return 100 * overlap >= threshold * (n1 + n2 - overlap)
 
 
+def _group(nodes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """One number for the nodes under each key: keys with the same nodes have the same."""
+    if not len(begin):
+        return np.zeros(0, np.int64)
+    return np.add.reduceat(mix(nodes.view(np.uint64)), begin).view(np.int64)
+
+
+def _different(nodes: np.ndarray, begin: np.ndarray, count: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Frequent keys of two nodes or more, one of those with the same nodes: the combinations of a group of copies say the same."""
+    out = np.zeros(len(begin), bool)
+    some = np.flatnonzero((count > 1) & often[begin])
+    out[some[np.unique(_group(nodes, begin)[some], return_index=True)[1]]] = True
+    return out
+
+
 def candidates(found: DataFrame, threshold: int) -> DataFrame:
-    """Kind 0: pairs under rare keys (a, b). Kind 1: frequent keys of two sets or more (a: key, b: node, n)."""
+    """Kind 0: pairs under rare keys (a, b). Kind 1: nodes that share a frequent key (a: group, b: node, n)."""
 
     def meet(group):
         keys, nodes = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("keys", "<u8"), ("nodes", "<i8")))
@@ -211,11 +226,11 @@ def candidates(found: DataFrame, threshold: int) -> DataFrame:
                 good = _linkable(sizes[i], sizes[j], most, threshold)
                 pairs.append(np.unique(np.stack([nodes[i[good]], nodes[j[good]]], 1), axis=0))
         pairs_ = np.unique(np.concatenate(pairs), axis=0)
-        several = np.repeat(count > 1, count) & often
+        several = np.repeat(_different(nodes, begin, count, often), count)
         return pa.table(
             {
                 "kind": pa.array([0] * len(pairs_) + [1] * int(several.sum()), pa.int32()),
-                "a": pa.array(np.concatenate([pairs_[:, 0], keys[several].view(np.int64)])),
+                "a": pa.array(np.concatenate([pairs_[:, 0], np.repeat(_group(nodes, begin), count)[several]])),
                 "b": pa.array(np.concatenate([pairs_[:, 1], nodes[several]])),
                 "n": pa.array(np.concatenate([np.zeros(len(pairs_), np.int64), sizes[several]])),
             }
@@ -253,7 +268,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int, nbytes: int, width: int)
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["key", "keys"])
 
     found = docs.select("text").mapInArrow(build, "key bigint, keys binary")
-    return pin(found.join(nodes, "key", "left_semi").groupBy("key").agg(F.any_value("keys").alias("keys")))
+    out = pin(found.join(nodes, "key", "left_semi").groupBy("key").agg(F.any_value("keys").alias("keys")))
+    wanted.unpersist()
+    return out
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -289,7 +306,7 @@ def links(docs: DataFrame, found: DataFrame, n: int, nbytes: int, width: int, th
     """Links (a, b) between nodes that give the same components as all links."""
     met = candidates(found, threshold)
     rare = met.where("kind = 0").select("a", "b").distinct()
-    often = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
+    often = pin(met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n").distinct())
     often_nodes = often.select(F.col("node").alias("key")).distinct()
     paired = rare.select(F.explode(F.array("a", "b")).alias("key"))
     sets = sets_of(docs, pin(paired.union(often_nodes).distinct()), n, nbytes, width)
@@ -332,6 +349,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     n = parts(nbytes, BUCKET_BYTES)
     filters = spark.sparkContext.broadcast(token_filters(docs, n, nbytes, lambda found: shingle_sets(found, width)[0], (1, COMMON)))
     found = index(docs, n, filters, width, threshold)
+    filters.unpersist()
+    del filters
     own = found.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "key")
     label = components(links(docs, found, n, nbytes, width, threshold))
     labelled = (
