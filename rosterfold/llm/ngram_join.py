@@ -302,20 +302,18 @@ def _tokens(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def links(docs: DataFrame, found: DataFrame, n: int, nbytes: int, width: int, threshold: int) -> DataFrame:
-    """Links (a, b) between nodes that give the same components as all links."""
+def labels(docs: DataFrame, found: DataFrame, n: int, nbytes: int, width: int, threshold: int) -> DataFrame:
+    """node, component of every node that has a link."""
     met = candidates(found, threshold)
     rare = met.where("kind = 0").select("a", "b").distinct()
     often = pin(met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n").distinct())
     often_nodes = often.select(F.col("node").alias("key")).distinct()
     paired = rare.select(F.explode(F.array("a", "b")).alias("key"))
     sets = sets_of(docs, pin(paired.union(often_nodes).distinct()), n, nbytes, width)
-    linked = pin(verify(rare, sets, threshold))
+    label = components(verify(rare, sets, threshold))
     sets = pin(sets.join(often_nodes, "key", "left_semi"))
+    fits = F.expr(f"100 * least(n, other_n) >= {threshold} * greatest(n, other_n)")
     for round_ in range(HUB_ROUNDS + 1):
-        if not often.take(1):
-            break
-        label = components(linked)
         labelled = often.join(label, "node", "left").select(
             "key", "node", "n", F.coalesce("component", "node").alias("component")
         )
@@ -325,10 +323,11 @@ def links(docs: DataFrame, found: DataFrame, n: int, nbytes: int, width: int, th
             F.min_by("node", F.xxhash64("node", F.lit(round_))).alias("hub"),
         ).where("low < high")
         left = pin(labelled.join(spread.select("key", "hub"), "key"))
-        hubs = left.where("node = hub").select("key", F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-        fits = F.expr(f"100 * least(n, other_n) >= {threshold} * greatest(n, other_n)")
+        if not left.take(1):
+            break
         if round_ < HUB_ROUNDS:
-            pairs = left.join(hubs, "key").withColumnRenamed("hub_n", "other_n").where("component <> hub_component").where(fits).select(
+            hubs = left.where("node = hub").select("key", F.col("n").alias("other_n"), F.col("component").alias("hub_component"))
+            pairs = left.join(hubs, "key").where("component <> hub_component").where(fits).select(
                 F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
             )
         else:
@@ -336,9 +335,11 @@ def links(docs: DataFrame, found: DataFrame, n: int, nbytes: int, width: int, th
             pairs = left.join(other, "key").where("node < other AND component <> other_component").where(fits).select(
                 F.col("node").alias("a"), F.col("other").alias("b")
             )
-        linked = pin(linked.unionByName(verify(pairs, sets, threshold)))
+        more = pin(verify(pairs, sets, threshold))
+        if more.take(1):  # components so far are stars already, so merging takes few rounds
+            label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
         often = left.select("key", "node", "n")
-    return linked
+    return label
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
@@ -352,7 +353,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     filters.unpersist()
     del filters
     own = found.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "key")
-    label = components(links(docs, found, n, nbytes, width, threshold))
+    label = labels(docs, found, n, nbytes, width, threshold)
     labelled = (
         own.where("key IS NOT NULL")
         .join(label.withColumnRenamed("node", "key"), "key", "left")
@@ -370,6 +371,6 @@ def representatives(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     Rows that repeat an id are one document; rows with a null id cannot be told
     apart by it and stay.
     """
-    labels = near_duplicates(docs.select("doc_id", "text"), width, threshold)
-    stays = labels.where("doc_id = component_id").select("doc_id").distinct()
+    found = near_duplicates(docs.select("doc_id", "text"), width, threshold)
+    stays = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
