@@ -55,7 +55,7 @@ PAIRED = 400
 BUCKET_BYTES = 1 << 24
 
 #: Rounds of hubs before the pairs that are left are verified one by one.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 8
 
 _PAIR, _SINGLE = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
@@ -338,7 +338,7 @@ def labels(docs: DataFrame, found: DataFrame, n: int, nbytes: int, width: int, t
         more = pin(verify(pairs, sets, threshold))
         if more.take(1):  # components so far are stars already, so merging takes few rounds
             label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-        often = left.select("key", "node", "n")
+        often = left.where("node <> hub").select("key", "node", "n")  # a hub's pairs are all verified
     return label
 
 
