@@ -1,7 +1,7 @@
 """Documents to packed training sequences: quality, near duplicates, repeated passages, benchmarks, packing.
 
 Each stage works on all that the stage before it kept, and its decisions take
-effect: documents that the quality rules reject go, one document of each group of near
+effect: documents that the quality rules reject, or that are toxic by what the ``labels`` teach, go, one document of each group of near
 duplicates stays, repeated passages are cut out of the texts, documents that hold a
 benchmark item go, and what is left is packed. All stages but the last return the columns of
 ``documents``.
@@ -14,12 +14,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterfold.llm import decontaminate, ngram_join, packing, quality, suffix_dedup
+from rosterfold.llm import decontaminate, ngram_join, packing, quality, suffix_dedup, toxicity
 from rosterfold.llm.common import pin
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.passing(docs, "web_v2")
+    markers = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.passing(docs, "web_v3", markers)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

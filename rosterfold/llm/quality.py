@@ -6,6 +6,9 @@ decided later: a policy is a named, versioned set of rules, so applying one or
 another is a bitwise AND over the ledger, and so is an ablation, which tells how
 many documents a policy rejects by one rule alone.
 
+Given the markers that ``toxicity.fit`` learned from labels, the ledger also counts toxic words in every
+language of the labels, and the rules of ``LEARNED`` have the bits after the others; the policies of ``LEARNED_POLICIES`` need them.
+
 Words are the stretches without ASCII white space. Null texts count as empty; an
 empty text has no words, all counts are 0, and it fails ``few_words``; rows that
 repeat give rows that repeat; null ids stay; only ``doc_id`` and ``text`` are
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from rosterfold.llm.common import prepare, slices, texts
+from rosterfold.llm.toxicity import count_toxic
 from rosterfold.llm.words import is_space, joined, mix, prefix_hashes, runs, span_hashes
 
 #: Insults that mark abusive text.
@@ -52,6 +56,10 @@ POLICIES = {
     "web_v2": tuple(RULES),
 }
 
+#: Rules on what was learned from labels, and policies that use them.
+LEARNED = {"toxic": "100 * n_toxic > n_words"}
+LEARNED_POLICIES = {"web_v3": (*POLICIES["web_v2"], *LEARNED)}
+
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
     "n_upper", "n_lower", "longest_word", "n_letter_words", "n_insults",
@@ -122,37 +130,50 @@ def _repeats(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return repeated, ~later, later
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements, and ``failed``: bit k is set if rule k of ``RULES`` fails."""
+def _measures(docs: DataFrame, markers: np.ndarray | None):
+    """Names of the measurements, and a function that makes them of texts; with the toxic words if there are markers."""
+    if markers is None:
+        return MEASURES, measure
+    sent = docs.sparkSession.sparkContext.broadcast(markers)
+    return (*MEASURES, "n_toxic"), lambda found: measure(found) | {"n_toxic": count_toxic(found, sent.value)}
+
+
+def ledger(docs: DataFrame, markers: np.ndarray | None = None) -> DataFrame:
+    """doc_id, the measurements, and ``failed``: bit k is set if rule k of ``RULES`` (then ``LEARNED``, given markers) fails."""
     prepare(docs.sparkSession)
+    names, measured_by = _measures(docs, markers)
 
     def evaluate(batches):
         for batch in slices(batches):
-            found = measure(texts(batch.column("text")))
+            found = measured_by(texts(batch.column("text")))
             yield pa.record_batch({"doc_id": batch.column("doc_id")} | {k: pa.array(v) for k, v in found.items()})
 
-    columns = ", ".join(f"{m} bigint" for m in MEASURES)
+    columns = ", ".join(f"{m} bigint" for m in names)
     measured = docs.select("doc_id", "text").mapInArrow(evaluate, f"doc_id bigint, {columns}")
-    bits = [F.when(F.expr(condition), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, condition in enumerate(RULES.values())]
+    rules = RULES if markers is None else RULES | LEARNED
+    bits = [F.when(F.expr(condition), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, condition in enumerate(rules.values())]
     failed = bits[0]
     for bit in bits[1:]:
         failed = failed.bitwiseOR(bit)
     return measured.withColumn("failed", failed)
 
 
-def passing(docs: DataFrame, policy: str) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the policy keeps."""
+def passing(docs: DataFrame, policy: str, markers: np.ndarray | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the policy keeps; those of ``LEARNED_POLICIES`` need markers."""
     prepare(docs.sparkSession)
+    if policy in LEARNED_POLICIES and markers is None:
+        raise ValueError(f"policy {policy} needs markers")
     columns = docs.columns
-    names = {m: f"__{m}" for m in MEASURES}
+    made, measured_by = _measures(docs, markers)
+    names = {m: f"__{m}" for m in made}
 
     def evaluate(batches):
         for batch in slices(batches):
-            found = measure(texts(batch.column(columns.index("text"))))
-            yield pa.record_batch([*batch.columns, *(pa.array(found[m]) for m in MEASURES)], names=[*columns, *names.values()])
+            found = measured_by(texts(batch.column(columns.index("text"))))
+            yield pa.record_batch([*batch.columns, *(pa.array(found[m]) for m in made)], names=[*columns, *names.values()])
 
     schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names.values())])
-    fails = " OR ".join(f"({RULES[rule]})" for rule in POLICIES[policy])
+    fails = " OR ".join(f"({(RULES | LEARNED)[rule]})" for rule in (POLICIES | LEARNED_POLICIES)[policy])
     for name, hidden in names.items():
         fails = re.sub(rf"\b{name}\b", hidden, fails)
     return docs.mapInArrow(evaluate, schema).where(f"NOT ({fails})").select(*columns)
@@ -160,20 +181,24 @@ def passing(docs: DataFrame, policy: str) -> DataFrame:
 
 def mask(rules: tuple[str, ...]) -> int:
     """The bits of these rules."""
-    names = list(RULES)
+    names = [*RULES, *LEARNED]
     return sum(1 << names.index(r) for r in rules)
 
 
 def kept(policy: str) -> Column:
     """Whether a ledger's document passes every rule of the policy."""
-    return F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0
+    return F.col("failed").bitwiseAND(F.lit(mask((POLICIES | LEARNED_POLICIES)[policy]))) == 0
 
 
 def ablation(found: DataFrame) -> DataFrame:
-    """policy, rule, n_docs, n_failed (by the rule), n_only (rejected by no other rule of the policy)."""
-    names = list(RULES)
+    """policy, rule, n_docs, n_failed (by the rule), n_only (rejected by no other rule of the policy).
+
+    The policies of ``LEARNED_POLICIES`` are there if the ledger had markers.
+    """
+    names = [*RULES, *LEARNED]
     counts = []
-    for policy, rules in POLICIES.items():
+    policies = POLICIES | LEARNED_POLICIES if "n_toxic" in found.columns else POLICIES
+    for policy, rules in policies.items():
         for rule in rules:
             bit = 1 << names.index(rule)
             hit = F.col("failed").bitwiseAND(F.lit(bit)) != 0
