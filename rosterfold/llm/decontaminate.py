@@ -4,18 +4,21 @@ Texts are cut into tokens (letters, digits and characters beyond ASCII). A token
 becomes a typed placeholder if it is a number, a unit behind a number, or a name
 (a capital inside a sentence); other tokens are lower-cased. Windows of
 ``WINDOW`` template tokens of all documents are hash-joined with those of the
-benchmark. The hits of a document and an item are then aligned, and a run of them
+benchmark, and so are windows of the lower-cased tokens themselves. Template windows of more than
+``SLOTS`` placeholders say too little to start a hit; literal ones have no such limit, so copies are
+found however many numbers or names they hold and whatever their case. The hits of a document and an item
+are then aligned, and on each alignment that has a hit all windows are compared, dense ones too. A run
 counts only if its slots are consistent: one value of the item always stands for
 one and the same value in the document, so "3 apples and 3 pears" matches
 "5 apples and 5 pears" but not "5 apples and 7 pears". A document is contaminated by
-an item if consistent hits cover ``SHARE`` of the item's windows.
+an item if consistent runs cover ``SHARE`` of all the item's windows.
 
 The benchmark is the query set. It is held in blocks of ``BLOCK_BYTES`` of text, so
 what tasks are sent is bounded; a larger benchmark makes more passes.
 
 Null and empty texts, of documents or items, match nothing. An item with fewer tokens
-than a window is one window of its own length if it has ``SHORTEST``; below
-that it cannot be told from chance and is never matched. Rows that repeat give
+than a window is one window of its own length; below ``SHORTEST`` it is matched literally
+only, as its template cannot be told from chance. Rows that repeat give
 results that repeat; null ids stay. Other columns are not read.
 """
 
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterfold.llm.common import parts, prepare, slices, text_bytes, texts
-from rosterfold.llm.words import joined, mix, prefix_hashes, runs, span_hashes
+from rosterfold.llm.words import joined, mix, powers, prefix_hashes, runs, span_hashes
 
 WINDOW = 8
 SHORTEST = 5
@@ -83,18 +86,21 @@ class Templates:
         self.kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(big & ~opens, NAME, 0)))
         self.key = np.where(self.kind > 0, _PLACEHOLDERS[self.kind], self.hash)
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens and hashes of the windows of ``size`` tokens with enough literal words."""
+        self._slots = np.concatenate(([0], np.cumsum(self.kind > 0)))
+        up, _ = powers(len(self.key))
+        self._sums = [np.concatenate(([np.uint64(0)], np.cumsum(x * up))) for x in (self.key, self.hash)]
+
+    def windows(self, size: int, literal: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """First tokens and hashes of the windows of ``size`` tokens: literal ones, or templates with enough literal words."""
         n = len(self.key) - size + 1
         if n < 1:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        total = np.full(n, size, np.uint64)
-        for k in range(size):
-            total = mix(total + self.key[k : k + n])
-        slots = np.concatenate(([0], np.cumsum(self.kind > 0)))
-        good = (self.owner[:n] == self.owner[size - 1 :]) & (slots[size:] - slots[:n] <= min(SLOTS, size // 2))
+        good = self.owner[:n] == self.owner[size - 1 :]
+        if not literal:
+            good &= self._slots[size:] - self._slots[:n] <= min(SLOTS, size // 2)
         places = np.flatnonzero(good)
-        return places, total[places]
+        sums, (_, down) = self._sums[literal], powers(len(self.key))
+        return places, mix((sums[places + size] - sums[places]) * down[places] + np.uint64(2 * size + literal))
 
     def token(self, k: int) -> bytes:
         return self.small[self.starts[k] : self.ends[k]].tobytes()
@@ -112,52 +118,72 @@ class Benchmark:
         t = self.templates = Templates(found)
         sizes = np.bincount(t.owner, minlength=len(ids))
         self.first = np.concatenate(([0], np.cumsum(sizes)))
-        self.size = np.where(sizes >= WINDOW, WINDOW, np.where(sizes >= SHORTEST, sizes, 0))
-        self.n_windows = np.zeros(len(ids), np.int64)
-        self.by_size = {}
+        self.size = np.minimum(sizes, WINDOW)
+        self.n_windows = np.where(sizes > 0, sizes - self.size + 1, 0)
+        self.tables = []
         for size in np.unique(self.size[self.size > 0]).tolist():
-            places, keys = t.windows(size)
-            own = self.size[t.owner[places]] == size
-            places, keys = places[own], keys[own]
-            order = np.argsort(keys, kind="stable")
-            self.by_size[size] = (keys[order], places[order])
-            self.n_windows += np.bincount(t.owner[places], minlength=len(ids))
+            for literal in (False, True) if size >= SHORTEST else (True,):
+                places, keys = t.windows(size, literal)
+                own = self.size[t.owner[places]] == size
+                places, keys = places[own], keys[own]
+                order = np.argsort(keys, kind="stable")
+                if len(order):
+                    self.tables.append((size, literal, keys[order], places[order]))
 
     def hits(self, docs: Templates) -> dict[tuple[int, int], set]:
-        """By document and item: (token of the document, token of the item, window size) of each equal window."""
+        """By document and item: (token of the document minus token of the item) of each alignment with an equal window."""
         out = defaultdict(set)
-        for size, (keys, places) in self.by_size.items():
-            at, found = docs.windows(size)
+        for size, literal, keys, places in self.tables:
+            at, found = docs.windows(size, literal)
             low = np.searchsorted(keys, found)
-            hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == found) if len(keys) else []
-            for k in hit:
-                for j in range(low[k], np.searchsorted(keys, found[k], side="right")):
-                    here, there = int(at[k]), int(places[j])
-                    out[int(docs.owner[here]), int(self.templates.owner[there])].add((here, there, size))
+            hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == found)
+            high = np.searchsorted(keys, found[hit], side="right")
+            times = high - low[hit]
+            here = np.repeat(at[hit], times)
+            there = places[np.repeat(low[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+            all_ = np.stack([docs.owner[here], self.templates.owner[there], here - there], axis=1)
+            for d, i, shift in np.unique(all_, axis=0).tolist():
+                out[d, i].add(shift)
         return out
 
-    def judge(self, docs: Templates, hits: set) -> tuple[set, bool, int, int]:
+    def judge(self, docs: Templates, d: int, i: int, shifts: set) -> tuple[set, bool, int, int]:
         """The item's windows that consistent runs cover, whether all slots are equal, first and last token."""
-        runs_ = defaultdict(list)
-        for here, there, size in hits:
-            runs_[here - there].append((here, there, size))
+        t, size = self.templates, int(self.size[i])
         covered, exact, low, high = set(), True, None, None
-        for run in runs_.values():
-            pairs: dict[bytes, set] = defaultdict(set)
-            tokens = {(here + k, there + k) for here, there, size in run for k in range(size)}
-            for here, there in tokens:
-                if docs.kind[here]:
-                    pairs[self.templates.token(there)].add(docs.token(here))
-            if any(len(values) > 1 for values in pairs.values()):
+        for shift in sorted(shifts):
+            # the part of the item that lies on the document in this alignment
+            first, past = max(int(self.first[i]), -shift), min(int(self.first[i + 1]), len(docs.key) - shift)
+            there = np.arange(first, past)
+            here = there + shift
+            inside = docs.owner[here] == d
+            literal = _full(inside & (docs.hash[here] == t.hash[there]), size)
+            same = _full(inside & (docs.key[here] == t.key[there]), size) if size >= SHORTEST else literal & False
+            slots = np.concatenate(([0], np.cumsum(t.kind[there] > 0)))
+            seeds = same & (slots[size:] - slots[:-size] <= min(SLOTS, size // 2))
+            # dense windows count beside a seed, unless only they are inconsistent
+            for run in (same | literal, seeds | literal, seeds) if seeds.any() else (literal,):
+                tokens = np.unique(np.flatnonzero(run)[:, None] + np.arange(size))
+                pairs: dict[bytes, set] = defaultdict(set)
+                for k in tokens[(docs.kind[here[tokens]] > 0) | (t.kind[there[tokens]] > 0)].tolist():
+                    pairs[t.token(there[k])].add(docs.token(here[k]))
+                if all(len(values) == 1 for values in pairs.values()):
+                    break
+            else:
                 continue
-            covered |= {there for _, there, _ in run}
+            covered |= set(there[np.flatnonzero(run)].tolist())
             exact &= all(values == {value} for value, values in pairs.items())
-            ends = [here for here, _ in tokens]
-            low = min(ends) if low is None else min(low, *ends)
-            high = max(ends) if high is None else max(high, *ends)
+            ends = (int(here[tokens[0]]), int(here[tokens[-1]]))
+            low = ends[0] if low is None else min(low, ends[0])
+            high = ends[1] if high is None else max(high, ends[1])
         return covered, exact, low, high
 
 
+def _full(equal: np.ndarray, size: int) -> np.ndarray:
+    """Whether each window of ``size`` tokens is equal throughout."""
+    sums = np.concatenate(([0], np.cumsum(equal)))
+    return sums[size:] - sums[:-size] == size
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, n_hits, n_windows, coverage, exact, start, past.
 
@@ -209,8 +235,8 @@ def search(queries: Benchmark, found: list[bytes], share: float):
     """(number of the text, (item_id, hits, windows, coverage, exact, start, past)) of each item found."""
     templates = Templates(found)
     base = np.cumsum([0, *(len(t) + 1 for t in found)])
-    for (d, i), hits in queries.hits(templates).items():
-        covered, exact, low, high = queries.judge(templates, hits)
+    for (d, i), shifts in queries.hits(templates).items():
+        covered, exact, low, high = queries.judge(templates, d, i, shifts)
         total = int(queries.n_windows[i])
         if covered and len(covered) >= share * total:
             start, past = int(templates.starts[low] - base[d]), int(templates.ends[high] - base[d])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rosterfold.llm import quality, toxicity
+from rosterfold.llm import decontaminate, quality, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -46,3 +46,43 @@ def test_ledger_has_a_bit_for_toxic_words(spark):
         quality.passing(docs, "web_v3")
     assert toxicity.count_toxic([b"gromelu GROMELU", b""], np.zeros(0, np.uint64)).tolist() == [0, 0]
     assert toxicity.count_toxic([b"gromelu GROMELU", b""], markers).tolist() == [2, 0]
+
+
+def test_copies_of_dense_short_and_re_cased_items_are_found():
+    dense = "Solve 12 + 30 = 42, 14 + 16 = 30 and 7 + 8 = 15 now"
+    plain = "each of the small boxes on that table holds exactly seven red marbles and one blue marble"
+    title = plain.title()
+    half = "the price of 17 19 23 29 31 37 41 43 47 53 59 61 67 71 73 79"
+    items = [dense, title, plain.upper(), "Ada Lovelace 1843", "Paris", "sum 4 and 5 6", half]
+    bench = decontaminate.Benchmark(list(range(len(items))), [t.encode() for t in items])
+
+    def found(text):
+        return {i: (n, total, exact) for _, (i, n, total, _, exact, _, _) in decontaminate.search(bench, [text.encode()], decontaminate.SHARE)}
+
+    assert bench.n_windows.tolist() == [5, 10, 10, 1, 1, 1, 12]
+    assert found(f"Well. {dense} Right.") == {0: (5, 5, True)}
+    for text in (plain, title, plain.upper()):
+        assert found(f"so {text} then") == {1: (10, 10, True), 2: (10, 10, True)}
+    assert found("by ADA LOVELACE 1843 and in paris") == {3: (1, 1, True), 4: (1, 1, True)}
+    assert found("the Sum 4 and 5 6 is") == {5: (1, 1, True)}
+    # one window of twelve is not the item, and numbers filled anew beside nothing else are no hit
+    assert found("the price of 17 19 23 29 31 is high") == {}
+    assert found("Solve 13 + 31 = 44, 15 + 17 = 32 and 8 + 9 = 17 now") == {}
+    assert found("sum 8 and 9 7") == {}
+
+
+def test_dense_windows_beside_a_hit_count_for_items_filled_anew():
+    item = "so the boxes on the long table hold 3 4 5 6 7 8 red ones"
+    bench = decontaminate.Benchmark([1], [item.encode()])
+
+    def found(text, queries=bench):
+        return [(n, total, exact) for _, (_, n, total, _, exact, _, _) in decontaminate.search(queries, [text.encode()], decontaminate.SHARE)]
+
+    assert found("so the boxes on the long table hold 9 1 2 3 5 6 red ones") == [(9, 9, False)]
+    # one value stands for two: the windows with both do not count
+    twice = decontaminate.Benchmark([1], [b"so the boxes on the long table hold 3 3 red and 5 6 7 8 ones"])
+    assert found("so the boxes on the long table hold 1 2 red and 5 6 7 8 ones", twice) == []
+    # eight tokens of twenty-four are not the item, however few of its windows have literal words
+    names = " ".join(f"Ab{k} Cd{k} Ef{k}" for k in range(6))
+    few = decontaminate.Benchmark([1], [f"and then all of us went by {names}".encode()])
+    assert found("and then all of us went by Xy", few) == []
