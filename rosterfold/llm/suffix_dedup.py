@@ -51,18 +51,32 @@ def _strings(found: list[bytes], length: int, gram: int):
         return data, first, none, none.astype(bool), none, none.astype(np.uint64)
     starts = np.arange(len(data) - gram + 1)
     hashes = span_hashes(prefix_hashes(data), starts, starts + gram)
-    least = (hashes & ~np.uint64(0xFFFFFF)) | starts.astype(np.uint64)  # ties: the first
-    span, done = length - gram + 1, 1
-    while done < span:
-        step = min(done, span - done)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        done += step
-    anchor = (least & np.uint64(0xFFFFFF)).astype(np.int64)
+    anchor = _least(hashes, length - gram + 1)
     owner = np.repeat(np.arange(len(found)), last - first + 1)[: len(anchor)]
     valid = np.arange(len(anchor)) + length <= last[owner]
     return data, first, owner, valid, anchor, hashes[anchor]
 
 
+def _least(hashes: np.ndarray, span: int, piece: int = 1 << 24) -> np.ndarray:
+    """Of each ``span`` neighbouring hashes the place of the least (by all but 24 bits; ties: the first).
+
+    The low 24 bits of a hash give way to its place, so places count from the start of a
+    piece; pieces overlap by ``span`` - 1 places.
+    """
+    low = np.uint64(0xFFFFFF)
+    out = np.empty(len(hashes) - span + 1, np.int64)
+    for at in range(0, len(out), piece - span + 1):
+        part = hashes[at : at + piece]
+        least = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        done = 1
+        while done < span:
+            step = min(done, span - done)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            done += step
+        out[at : at + len(least)] = (least & low).astype(np.int64) + at
+    return out
+
+
 def _stretches(key: np.ndarray, owner: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last of each stretch of valid strings of one text with one key."""
     if not len(key):

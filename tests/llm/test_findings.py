@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rosterfold.llm import decontaminate, quality, toxicity
+from rosterfold.llm import decontaminate, quality, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -86,3 +86,25 @@ def test_dense_windows_beside_a_hit_count_for_items_filled_anew():
     names = " ".join(f"Ab{k} Cd{k} Ef{k}" for k in range(6))
     few = decontaminate.Benchmark([1], [f"and then all of us went by {names}".encode()])
     assert found("and then all of us went by Xy", few) == []
+
+
+def test_passage_beyond_16_mib_of_a_text_is_cut(spark):
+    rnd = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    long = letters[rnd.integers(0, 27, (1 << 24) + 100_000)].tobytes()
+    at = (1 << 24) + 40_000
+    passage = long[at : at + 700]
+    short = b"0" * 150 + passage + b"1" * 150
+    whole, piece = (set(suffix_dedup.anchors([t]).tolist()) for t in (long, passage))
+    assert piece <= whole
+    docs = spark.createDataFrame([(1, long.decode()), (2, short.decode())], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in suffix_dedup.digest(suffix_dedup.dedup_substrings(docs)).collect()}
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans) for k, r in got.items()} == {1: (len(long), 700, 1), 2: (1000, 700, 1)}
+
+
+def test_least_places_do_not_depend_on_pieces():
+    hashes = np.random.default_rng(6).integers(0, 1 << 63, 5000).astype(np.uint64)
+    hashes[::3] = hashes[7]
+    expected = [min(range(k, k + 40), key=lambda j: (int(hashes[j]) >> 24, j)) for k in range(4961)]
+    for piece in (1 << 24, 64, 41, 40):
+        assert suffix_dedup._least(hashes, 40, piece).tolist() == expected
