@@ -36,7 +36,7 @@ FAMILIES = (
     ("mit", "(?:mit|expat|x11)(?: license)?", ("mit", "expat", "x11"), ()),
     ("bsd", "(?:bsd(?: license)?|berkeley software distribution)", ("bsd", "berkeley"), ("2 clause", "3 clause", "4 clause")),
     ("isc", "isc license", ("isc",), ()),
-    ("zlib", "(?:zlib|libpng|zlib libpng)(?: license)?", ("zlib", "libpng"), ()),
+    ("zlib", "(?:zlib libpng|zlib|libpng)(?: license)?", ("zlib", "libpng"), ()),
     ("boost", "boost software license", ("boost",), ("1 0",)),
     ("gpl", "(?:gnu )?(?:gpl|general public license)", ("gpl", "general"), ("1", "2", "3", "1 0", "2 0", "3 0")),
     ("lgpl", "(?:gnu )?(?:lgpl|(?:lesser|library) general public license)", ("lgpl", "lesser", "library"), ("2", "2 0", "2 1", "3", "3 0")),
@@ -80,25 +80,31 @@ FORMS = (
 #: Rules without a family: label, regex, keywords, priority.
 SINGLE = (
     ("reserved", "(?:all|some|no) rights reserved", ("reserved",), 2),
-    ("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", ("copyright",), 1),
+    ("copyright", "copyright (?:(?:c|©) ?)?(?:19|20)[0-9]{2}", ("copyright",), 1),
     ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", ("proprietary",), 3),
     ("permissive", "permission is hereby granted free of charge", ("granted",), 3),
     ("bsd", "redistribution and use in source and binary forms", ("redistribution",), 3),
-    ("noncommercial", "for non ?commercial (?:use|purposes) only", ("commercial",), 2),
+    ("noncommercial", "for non ?commercial (?:use|purposes) only", ("commercial", "noncommercial"), 2),
 )
 
-#: Rules run on texts that hold one of these (any case), or "cc" and "by" as words in a row.
+#: Rules run on texts that hold one of these (any case), one of ``SHORT_GATES`` as words, "under" and one of
+#: ``UNDER_GATES``, or "cc" and "by" as words in a row. Each rule needs one of them; the tests hold the forms that the rules accept against them.
 GATES = (
     "licen", "reserved", "copyright", "spdx", "gpl", "apache", "mozilla", "commons", "cc0", "domain", "granted",
     "redistribution", "proprietary", "commercial", "bsd", "zlib", "cddl", "eupl", "wtfpl",
+    "gfdl", "odbl", "libpng", "expat", "x11", "berkeley",
 )
+SHORT_GATES = ("mpl", "epl", "cpl", "ofl", "ms pl", "cc zero", "cc attribution")
+UNDER_GATES = ("mit",)
 
 #: Confidence of a detection by priority, and of a base label.
 WEIGHTS = {1: 0.5, 2: 0.7, 3: 0.9, 4: 1.0}
 BASE_WEIGHT = 0.8
 
 _WORD = r"[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
-_CC_BY = r"(?<![0-9a-z\\x{80}-\\x{10FFFF}])cc[\\x00-/:-`{-\\x7f]+by"
+_EDGE = r"(?<![0-9a-z\\x{80}-\\x{10FFFF}])"
+_GAP = r"[\\x00-/:-`{-\\x7f]+"
+_CC_BY = f"{_EDGE}cc{_GAP}by"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -122,10 +128,15 @@ def rules() -> list[tuple[str, str, str, int]]:
             kept = f"{label}-{version.replace(' ', '.')}" if version else label
             out.append((kept, more or keys[0], keys, form.format(body), priority if version or priority != 2 else 1))
     rows = [(label, key, regex, p) for label, first, keys, regex, p in out for key in ([first] if first != keys[0] else keys)]
-    rows += [(label, keys[0], regex, p) for label, regex, keys, p in SINGLE]
+    rows += [(label, key, regex, p) for label, regex, keys, p in SINGLE for key in keys]
     return list(dict.fromkeys(rows))
 
 
+def _as_words(phrases: tuple[str, ...]) -> str:
+    """A regex for these, as words of a text in lower case; a version may be glued to the last."""
+    return f"{_EDGE}(?:{'|'.join(p.replace(' ', _GAP) for p in phrases)})(?:v?[0-9]+)?{_EDGE.replace('?<!', '?!')}"
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -135,7 +146,9 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     found = docs.select("doc_id", text.alias("text"), F.regexp_count(text, F.lit(_WORD.replace("\\\\", "\\"))).cast("bigint").alias("n_words"))
     gate = " OR ".join(
-        [f"contains(__low, {_text(k)})" for k in GATES] + [f"(contains(__low, 'cc') AND __low RLIKE '{_CC_BY}')"]
+        [f"contains(__low, {_text(k)})" for k in GATES]
+        + [f"(contains(__low, 'cc') AND __low RLIKE '{_CC_BY}')", f"__low RLIKE '{_as_words(SHORT_GATES)}'"]
+        + [f"(contains(__low, 'under') AND __low RLIKE '{_as_words(UNDER_GATES)}')"]
     )
     found = found.withColumn("__low", F.lower("text")).withColumn(
         "__words",
@@ -152,8 +165,9 @@ def scan(docs: DataFrame) -> DataFrame:
                 f" THEN filter(sequence(0, size(__words) - {len(words)}), i -> {same}) ELSE array() END"
             ),
         )
+    # a version may be glued to a name, so the keyword of a rule with one is the beginning of a word
     table = ", ".join(
-        f"named_struct('key', {_text(' ' + key + ' ')}, 'regex', {_text('(?<= )' + regex + '(?= )')},"
+        f"named_struct('key', {_text(' ' + key + ('' if ' ?v?' in regex else ' '))}, 'regex', {_text('(?<= )' + regex + '(?= )')},"
         f" 'label', {_text(label)}, 'priority', {priority}, 'rule', {n})"
         for n, (label, key, regex, priority) in enumerate(rules())
     )

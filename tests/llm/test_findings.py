@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re._parser as regex
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rosterfold.llm import decontaminate, quality, suffix_dedup, toxicity
+from rosterfold.llm import decontaminate, licenses, quality, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -108,3 +110,45 @@ def test_least_places_do_not_depend_on_pieces():
     expected = [min(range(k, k + 40), key=lambda j: (int(hashes[j]) >> 24, j)) for k in range(4961)]
     for piece in (1 << 24, 64, 41, 40):
         assert suffix_dedup._least(hashes, 40, piece).tolist() == expected
+
+
+def forms(parsed) -> list[str]:
+    """The shortest text of a regex, and others so that each branch and option stands in one."""
+    parts = []
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            parts.append([chr(arg)])
+        elif kind == "IN":
+            parts.append([chr(a if str(o) == "LITERAL" else a[0]) for o, a in arg])
+        elif kind == "SUBPATTERN":
+            parts.append(forms(arg[3]))
+        elif kind == "BRANCH":
+            parts.append([t for branch in arg[1] for t in forms(branch)])
+        else:
+            assert kind == "MAX_REPEAT"
+            parts.append(list(dict.fromkeys(t * n for n in sorted({arg[0], arg[1]}) for t in forms(arg[2]))))
+    shortest = [min(p, key=len) for p in parts]
+    return list(dict.fromkeys(["".join(shortest)] + ["".join([*shortest[:k], t, *shortest[k + 1 :]]) for k, p in enumerate(parts) for t in p]))
+
+
+def test_each_license_rule_fires_on_its_own_forms_alone(spark):
+    texts = list(dict.fromkeys(t.strip() for _, _, rule, _ in licenses.rules() for t in forms(regex.parse(rule))))
+    assert "released under mpl" in texts and "for noncommercial use only" in texts
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    missed = [
+        texts[r.doc_id] for r in licenses.scan(docs).collect()
+        if not r.labels or not any(d.start == 0 and d.past == r.n_words for d in r.detections)
+    ]
+    assert len(missed) == 0, missed[:40]
+
+
+def test_license_texts_without_a_common_gate(spark):
+    texts = {
+        "Distributed under MPL 2.0": "mpl-2.0", "EPL-2.0": "epl-2.0", "GFDL 1.3": "gfdl-1.3", "OFL 1.1": "ofl-1.1",
+        "MS-PL": "ms-pl", "MPLv2.0": "mpl-2.0", "GPLv3": "gpl-3", "Released under the MIT": "mit", "for noncommercial use only": "noncommercial",
+        "for non-commercial use only": "noncommercial", "Copyright \u00a9 2020": "copyright", "copyright \u00a92021": "copyright",
+        "Copyright (c) 2020": "copyright", "the simple example, mit dem understatement": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r.labels for r in licenses.scan(docs).orderBy("doc_id").collect()] == list(texts.values())
