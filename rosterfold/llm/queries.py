@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterfold.llm import context_tree, decontaminate, language, licenses, ngram_join, packing, quality, records, suffix_dedup, token_counts
+from rosterfold.llm import (
+    context_tree,
+    decontaminate,
+    importance,
+    language,
+    licenses,
+    merkle,
+    ngram_join,
+    packing,
+    quality,
+    records,
+    suffix_dedup,
+    token_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -113,4 +126,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.digest(merkle.manifest(docs, {"text": merkle.without_line_feeds(docs)}))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLE["op5_quality_rules"] = _quality_sql()
