@@ -27,7 +27,10 @@ BATCH_BYTES = 1 << 22
 def prepare(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes, and let workers import this package where it is not installed."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.sparkContext.environment["PYTHONPATH"] = ROOT
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([p for p in known if p] + [ROOT])
 
 
 def shared_dir(spark: SparkSession) -> str:

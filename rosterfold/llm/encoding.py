@@ -5,7 +5,8 @@ its pre-tokens in a row. ``Encoder`` splits a text by the vocabulary's own
 pre-token pattern and looks each piece up; a piece not met before is encoded by
 the library. Characters on whose class two Unicode tables could differ (all but
 ASCII and the letters of Latin-1) are never split here: the library gets the
-whole white-space delimited stretch or text around them.
+whole white-space delimited stretch or text around them, and every text that holds an added token
+(``<|endoftext|>``), which it treats as it does by default.
 
 Lower-cased texts are cut and looked up as arrays: pieces are told apart by 64-bit
 hashes, within a batch and in what an encoder remembers.
@@ -66,12 +67,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
             about = json.load(file)
         self.kind = _kind(about)
+        added = [t["content"] for t in about["added_tokens"]]
+        # lower-cased added tokens: texts that may hold one go to the library whole
+        pattern = "|".join(re.escape(t.lower()) for t in added) or "(?!)"
+        self.added, self.added_bytes = re.compile(pattern), re.compile(pattern.encode())
+        #: Characters behind a place that can decide whether something ends there.
+        self.reach = max([len(_SHORT.split("|")[-1]), *map(len, added)])
         self.known: dict[str, bytes] = {}
         # of lower-cased pieces: the row of each hash, and of each row the number of its ids among all ids
         self.rows: dict[int, int] = {}
@@ -101,7 +107,13 @@ class Encoder:
 
     def _lowered(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text for a vocabulary of lower-cased texts."""
-        data, first, last = joined([t.lower() for t in texts])
+        lowered = [t.lower() for t in texts]
+        apart = [k for k, t in enumerate(lowered) if self.added_bytes.search(t)]
+        if apart:
+            out = dict(zip(apart, self._library([texts[k].decode() for k in apart]), strict=True))
+            others = iter(self._lowered([t for k, t in enumerate(texts) if k not in out]))
+            return [out[k] if k in out else next(others) for k in range(len(texts))]
+        data, first, last = joined(lowered)
         starts, ends = _cut(data)
         if not len(starts):
             return [b""] * len(texts)
@@ -131,7 +143,9 @@ class Encoder:
 
     def spans(self, text: str) -> list[str]:
         """Pre-tokens of a ``spaced`` text; the whole text where it may not be split here."""
-        return _SPACED.findall(text) if self.kind == "spaced" and _SAFE.fullmatch(text) else [text]
+        if self.kind == "spaced" and _SAFE.fullmatch(text) and not self.added.search(text.lower()):
+            return _SPACED.findall(text)
+        return [text]
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text, encoded together so that new pieces meet the library once."""

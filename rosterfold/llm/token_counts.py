@@ -6,7 +6,7 @@ on whatever task Spark deals it to. Two neighbours are spliced at the first plac
 in their overlap where both start a pre-token. That place is proven stable: a
 byte-level BPE never merges across pre-tokens, its pattern reads from left to
 right, so what follows a common start is the same in both, and what precedes it
-depends on no more than the next ``LOOK_AHEAD`` characters, which both can see.
+depends on no more characters than the longest added token or contraction has, which both can see.
 Where the overlap holds no such place, the document is encoded again with chunk
 and overlap doubled, in the end as one chunk.
 
@@ -27,9 +27,6 @@ from rosterfold.llm.encoding import encoder
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
 
-#: Characters after a pre-token that can change where it ends: the pattern's contractions have up to three.
-LOOK_AHEAD = 3
-
 _PLACES = "array<struct<at:bigint,before:bigint>>"
 
 
@@ -118,7 +115,7 @@ def encode_chunks(rows: DataFrame, vocabulary: str, chunk: int, overlap: int) ->
             for part, start, k, last in zip(*(batch.column(c).to_pylist() for c in ("part", "start", "k", "last")), strict=True):
                 places, total = pre_tokens(own, part)
                 cut_at, end = (k * chunk, (k + 1) * chunk), start + len(part)
-                seen = [(start + p, n) for p, n in places[1:] if start + p <= end - LOOK_AHEAD]
+                seen = [(start + p, n) for p, n in places[1:] if start + p <= end - own.reach]
                 lefts.append([{"at": 0, "before": 0}] if k == 0 else _within(seen, cut_at[0] - overlap, cut_at[0] + overlap))
                 rights.append([{"at": end, "before": total}] if last else _within(seen, cut_at[1] - overlap, cut_at[1] + overlap))
             places = pa.list_(pa.struct({"at": pa.int64(), "before": pa.int64()}))

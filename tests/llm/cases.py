@@ -34,6 +34,7 @@ def documents() -> list[tuple]:
         "same line\nsame line\nother\n" + base[::-1], "é" * 300, "日本語 テスト " * 40, "x" * 900,
         "Licensed under the Apache License, Version 2.0. All rights reserved.", "Text about nothing. " + item + ". More text.",
         "\x00\x01 odd \x7f bytes   here", "scum idiot " * 30, "Cc By all rights reserved cc-by 4.0",
+        "a <|endoftext|> b", ("some words here  <|endoftext|>" + "x" * 7) * 60, "<|STARTOFTEXT|>don't<|startoftext|>",
     ]
     rows = [(k, t, ("en", "fr", None)[k % 3], k, "x", "y", None) for k, t in enumerate(texts)]
     rows.append((3, texts[3], "en", 0, None, None, None))  # a row that repeats
