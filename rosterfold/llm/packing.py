@@ -3,12 +3,13 @@
 Only lengths matter to a packing, and a window has at most ``capacity`` of them,
 so the search runs over the histogram of lengths: at most ``capacity`` counts,
 whatever the number of documents. Bin completion takes the largest piece left and
-looks for the best filling around it by branch and bound: fillings are
-enumerated from large to small, those that another one dominates (the same place
-filled by larger pieces) are skipped, branches whose waste cannot fall under the
-incumbent's are cut, and the first incumbent is the best-fit filling. The
-filling found is used as often as the counts allow, so the number of steps
-follows the number of lengths, not of documents.
+looks for fillings around it. The incumbent takes the fullest one (found by branch and bound from the best-fit
+filling on, by reachable sums where branches run out) as often as the counts allow, so the number of steps
+follows the number of lengths, not of documents. Where it needs more windows than a lower bound says, its
+last windows are packed again: a branch and bound over whole solutions enumerates
+undominated fillings (none whose pieces could be exchanged for a larger one that is left over), bounds their waste by
+what all windows together may waste, and never looks at the same pieces twice. That proves small tables optimal;
+in large ones a window more than the bound may stay when the budget of branches ends.
 
 Spark then deals the pieces: each piece has a rank among those of its length
 (counted in buckets, so that a frequent length is not one task's work), and the
@@ -21,6 +22,7 @@ ids stay; only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -32,88 +34,237 @@ from pyspark.sql.window import Window
 from rosterfold.llm.common import pin, prepare, slices, texts
 from rosterfold.llm.encoding import encoder
 
-#: Branches that the search for one filling may open before its incumbent stands.
+#: Branches that a search opens: one filling is then decided by reachable sums, a tail keeps the windows it has.
 BRANCHES = 20_000
 
+#: Windows at the end of an incumbent that are packed again at once, at most.
+TAIL = 64
+
 #: Pieces whose ranks one task counts.
 RANKED = 1 << 20
 
 
-def fill(lengths: list[int], counts: dict[int, int], room: int, branches: int = BRANCHES) -> list[int]:
-    """Lengths (falling, as often as used) that leave the least of ``room`` empty.
+def _below(lengths: list[int], counts: dict[int, int]) -> list[int]:
+    """All that is left from each place of ``lengths`` on."""
+    below = [0]
+    for size in reversed(lengths):
+        below.append(below[-1] + size * counts[size])
+    return below[::-1]
+
 
-    ``lengths`` holds the lengths of ``counts`` that are left, from large to small.
+def _fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int):
+    """Fillings ((length, times), ...) that leave at most ``waste`` of ``room`` and no place for another piece.
+
+    Larger pieces come first, each length as often as it goes in, then one time less.
     """
-    best: list[int] = []
-    rest = room
-    for size in lengths:  # best fit: the largest that still goes in, again and again
-        n = min(counts[size], rest // size) if size <= rest else 0
-        best += [size] * n
-        rest -= n * size
-        if not rest:
-            return best
-    least, opened = rest, 0
-    chosen: list[int] = []
-    left: Counter = Counter()
-    below = [0]  # all that is left from a length on, for the bound on waste
+    below = _below(lengths, counts)
+    if room - below[0] > waste:
+        return
+    stack: list[tuple[int, int, tuple[tuple[int, int], ...], int]] = [(0, room, (), 0)]  # place, rest, chosen, the smallest length left behind
+    while stack:
+        at, rest, chosen, behind = stack.pop()
+        while at < len(lengths) and lengths[at] > rest:
+            at += 1
+        if at == len(lengths) or not rest:
+            if rest <= waste and not (behind and behind <= rest):
+                yield chosen
+            else:
+                yield None  # a branch that came to nothing
+            continue
+        size = lengths[at]
+        most = min(counts[size], rest // size)
+        for k in range(most + 1):  # the last one pushed is looked at first
+            left = rest - k * size
+            if left - below[at + 1] > waste:
+                continue
+            stack.append((at + 1, left, (*chosen, (size, k)) if k else chosen, size if k < counts[size] else behind))
+
+
+def _fullest(lengths: list[int], counts: dict[int, int], room: int) -> tuple[tuple[int, int], ...]:
+    """The filling that leaves least of ``room``, by the sums that can be reached: exact, at a cost that ``room`` bounds."""
+    sums, history, mask = 1, [], (1 << (room + 1)) - 1
     for size in reversed(lengths):
-        below.append(below[-1] + size * counts[size])
-    below.reverse()
-
-    def branch(at: int, rest: int) -> bool:
-        """Go on from length number ``at``; true when nothing can be better.
-
-        Larger pieces come first, so a filling that another one dominates meets an
-        incumbent that wastes less and is not taken.
-        """
-        nonlocal best, least, opened
-        if rest < least:
-            best, least = list(chosen), rest
-        if counts.get(rest, 0) > left[rest]:
-            best, least = [*chosen, rest], 0
+        history.append(sums)
+        left, step = min(counts[size], room // size), 1
+        while left:
+            step = min(step, left)
+            sums |= (sums << (step * size)) & mask
+            left -= step
+            step *= 2
+    rest, out = sums.bit_length() - 1, []
+    for size, before in zip(lengths, reversed(history), strict=True):
+        k = 0
+        while not before >> rest & 1:
+            rest -= size
+            k += 1
+        if k:
+            out.append((size, k))
+    return tuple(out)
+
+
+def fill(lengths: list[int], counts: dict[int, int], room: int, branches: int = BRANCHES) -> list[int]:
+    """Lengths (falling, as often as used) that leave the least of ``room`` empty."""
+    return [n for n, k in _filling(lengths, counts, room, branches) for _ in range(k)]
+
+
+def _filling(lengths: list[int], counts: dict[int, int], room: int, branches: int) -> tuple[tuple[int, int], ...]:
+    """The same as ((length, times), ...).
+
+    ``lengths`` holds the lengths of ``counts`` that are left, from large to small. The first filling is
+    the best-fit one; after ``branches`` branches the sums that can be reached decide.
+    """
+    lengths = [n for n in lengths if counts[n] and n <= room]
+    best, least = (), room
+    for opened, found in enumerate(_fillings(lengths, counts, room, room)):
+        if found is not None:
+            rest = room - sum(n * k for n, k in found)
+            if rest < least:
+                best, least = found, rest
         if not least:
-            return True
-        for k in range(at, len(lengths)):
-            if rest - below[k] >= least:
-                break
-            size = lengths[k]
-            if size > rest or counts[size] <= left[size]:
-                continue
-            opened += 1
-            if opened > branches:
-                return True
-            chosen.append(size)
-            left[size] += 1
-            over = branch(k, rest - size)
-            left[size] -= 1
-            chosen.pop()
-            if over:
+            return best
+        if opened >= branches:
+            return _fullest(lengths, counts, room)
+    return best
+
+
+def _dominated(filling: tuple[tuple[int, int], ...], counts: dict[int, int], lengths: list[int], room: int) -> bool:
+    """Whether pieces of a filling (one, or several together) can be exchanged for one larger piece that is left over."""
+    rest = room - sum(n * k for n, k in filling)
+    sums = {0: 0}  # sum of some of the filling's pieces: the fewest lengths that make it
+    pieces = [n for n, k in filling for _ in range(min(k, 3))][:8]
+    for n in pieces:
+        sums |= {s + n: c + 1 for s, c in sums.items() if s + n not in sums}
+    used = dict(filling)
+    spare = sorted(n for n in lengths if counts[n] > used.get(n, 0))
+    for total, parts in sums.items():
+        if parts:
+            k = bisect_left(spare, total + (parts == 1))
+            if k < len(spare) and spare[k] <= total + rest and spare[k] <= room:
                 return True
-        return False
+    return False
 
-    branch(0, room)
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Windows that any packing needs: by the sum, and by the pieces that cannot share a window."""
+    best = -(-sum(n * c for n, c in counts.items()) // capacity)
+    for small in sorted({0, *(n for n in counts if 2 * n <= capacity)}):
+        large = sum(c for n, c in counts.items() if n > capacity - small)
+        half = [(n, c) for n, c in counts.items() if capacity - small >= n and 2 * n > capacity]
+        rest = sum(n * c for n, c in counts.items() if small <= n and 2 * n <= capacity)
+        middle = sum(c for _, c in half)
+        over = rest - (middle * capacity - sum(n * c for n, c in half))
+        best = max(best, large + middle + max(0, -(-over // capacity)))
     return best
 
 
+def complete(counts: dict[int, int], capacity: int, most: int, branches: int) -> list[tuple[tuple[int, int], ...]] | None:
+    """A packing into at most ``most`` windows by branch and bound over bin completions; None if none was found.
+
+    Each step takes the largest piece left and tries the undominated fillings around it, those that waste
+    least first; what all windows together may waste bounds each filling's waste.
+    """
+    slack = most * capacity - sum(n * c for n, c in counts.items())
+    if slack < 0:
+        return None
+    budget = branches
+
+    def options(left: dict[int, int], waste: int):
+        nonlocal budget
+        first = max(left)
+        rest = dict(left)
+        rest[first] -= 1
+        lengths = sorted((n for n, c in rest.items() if c and n <= capacity - first), reverse=True)
+        found = []
+        for filling in _fillings(lengths, rest, capacity - first, waste):
+            budget -= 1
+            if budget < 0:
+                break
+            if filling is not None and not _dominated(filling, rest, lengths, capacity - first):
+                found.append((capacity - first - sum(n * k for n, k in filling), filling))
+        found.sort(key=lambda x: (x[0], [(-n, -k) for n, k in x[1]]))
+        for wasted, filling in found:
+            after = dict(rest)
+            for n, k in filling:
+                after[n] -= k
+            window = Counter(dict(filling))
+            window[first] += 1
+            yield wasted, tuple(sorted(window.items(), reverse=True)), {n: c for n, c in after.items() if c}
+
+    left = {n: c for n, c in counts.items() if c}
+    if not left:
+        return []
+    seen: set[tuple] = set()
+    done: list[tuple[tuple[int, int], ...]] = []
+    stack = [(options(left, slack), slack)]
+    while stack:
+        step = next(stack[-1][0], None)
+        if step is None or budget < 0:
+            if budget < 0:
+                return None
+            stack.pop()
+            if done:
+                done.pop()
+            continue
+        wasted, window, after = step
+        state = tuple(sorted(after.items()))
+        if state in seen:
+            continue
+        seen.add(state)
+        done.append(window)
+        if not after:
+            return done
+        slack_left = stack[-1][1] - wasted
+        if len(done) + lower_bound(after, capacity) > most:
+            done.pop()
+            continue
+        stack.append((options(after, slack_left), slack_left))
+    return None
+
+
 def plan(histogram: dict[int, int], capacity: int, branches: int = BRANCHES) -> list[tuple[int, list[int]]]:
-    """(times, lengths) of each kind of window; all pieces of the histogram are used."""
+    """(times, lengths) of each kind of window; all pieces of the histogram are used.
+
+    The incumbent fills one window after another around the largest piece left, as often as the counts allow.
+    While it needs more windows than ``lower_bound``, its last windows (4, 8, 16, ... of them, up to ``TAIL``, and in a small table all)
+    are packed again by ``complete`` into one window less.
+    """
     counts = {n: c for n, c in histogram.items() if c}
     lengths = sorted(counts, reverse=True)
     if lengths and (lengths[0] > capacity or lengths[-1] < 1):
         raise ValueError("a piece does not fit")
-    out = []
+    least = lower_bound(counts, capacity)
+    windows: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     while lengths:
         first = lengths[0]
         counts[first] -= 1
-        inner = fill(lengths, counts, capacity - first, branches)
+        need = Counter(dict(_filling(lengths, counts, capacity - first, branches)))
         counts[first] += 1
-        need = Counter([first, *inner])
+        need[first] += 1
         times = min(counts[n] // k for n, k in need.items())
-        out.append((times, sorted(need.elements(), reverse=True)))
+        windows.append((times, tuple(sorted(need.items(), reverse=True))))
         for n, k in need.items():
             counts[n] -= k * times
         lengths = [n for n in lengths if counts[n]]
-    return out
+    tail = 4
+    while sum(t for t, _ in windows) > least and tail <= TAIL:
+        whole = sum(t for t, _ in windows)
+        taken, again, kept = 0, Counter(), list(windows)
+        while kept and taken < tail:
+            times, window = kept.pop()
+            use = min(times, tail - taken)
+            if use < times:
+                kept.append((times - use, window))
+            for n, k in window:
+                again[n] += k * use
+            taken += use
+        better = complete(dict(again), capacity, taken - 1, branches)
+        if better is not None:
+            windows = kept + [(t, w) for w, t in Counter(better).items()]
+        elif taken == whole:
+            break
+        else:
+            tail *= 2
+    return [(times, [n for n, k in window for _ in range(k)]) for times, window in windows]
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:

@@ -48,7 +48,6 @@ def empty(spark):
 
 def library_ids(path: str, texts: list[str]) -> list[list[int]]:
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -57,6 +56,9 @@ def test_encoder_gives_the_library_s_ids():
     alphabet = list("aBs '\n\t.,9é½Σ́\xa0²\x1c😀Ǆ|")
     texts = ["", " ", "it's DON'T'll", "ΟΔΟΣ", "é x İ", "<|endoftext|>", "a\r\n\r\n  b   "]
     texts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 30))) for _ in range(3000)]
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "<|endoftext|><|endoftext|>"]
+    texts += [a + t + b for t in special for a in ("", "don't é", "  ", "a\n", "<|") for b in ("", " b", "  ", "|>", "日本 x")]
+    texts += ["".join(rnd.choice([*alphabet, *special]) for _ in range(rnd.randint(1, 12))) for _ in range(1000)]
     for path in (BYTES, WORDS):
         got = encoding.Encoder(path).batch([t.encode() for t in texts])
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == library_ids(path, texts)
@@ -248,6 +250,83 @@ def test_packing(docs, pairs, empty):
     assert packing.pack_documents(empty, WORDS).collect() == []
 
 
+def fewest(sizes: list[int], capacity: int) -> int:
+    """The optimum, by trying every window for every piece."""
+    best = len(sizes)
+
+    def place(k: int, rooms: list[int]) -> None:
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for i in {room: i for i, room in enumerate(rooms) if room >= sizes[k]}.values():
+            place(k + 1, [r - sizes[k] * (j == i) for j, r in enumerate(rooms)])
+        place(k + 1, [*rooms, capacity - sizes[k]])
+
+    sizes = sorted(sizes, reverse=True)
+    place(0, [])
+    return best
+
+
+def windows_of(counts: Counter, capacity: int) -> int:
+    """Number of windows of the plan, which must use all pieces."""
+    found = packing.plan(counts, capacity)
+    assert all(times > 0 and sum(sizes) <= capacity for times, sizes in found)
+    used = Counter()
+    for times, sizes in found:
+        for size in sizes:
+            used[size] += times
+    assert used == Counter({n: c for n, c in counts.items() if c})
+    return sum(times for times, _ in found)
+
+
+def test_plan_is_optimal_on_small_tables():
+    rnd = random.Random(1)
+    hard = [57, 57, 48, 45, 45, 39, 38, 37, 32, 32, 24, 15]
+    assert windows_of(Counter(hard), 100) == 5
+    for _ in range(400):
+        capacity = rnd.choice([20, 50, 100])
+        sizes = [rnd.randint(1, max(1, int(capacity * rnd.choice([0.3, 0.6, 1])))) for _ in range(12)]
+        assert windows_of(Counter(sizes), capacity) == fewest(sizes, capacity), sizes
+
+
+def test_plan_fills_windows_that_were_cut_from_full_ones():
+    for seed in range(4):
+        rnd = random.Random(seed)
+        counts: Counter = Counter()
+        for _ in range(400):
+            rest = 2048
+            while rest:
+                size = min(rest, rnd.randint(1, rnd.choice([300, 900, 2048])))
+                counts[size] += 1
+                rest -= size
+        assert windows_of(counts, 2048) == 400
+
+
+def test_plan_of_single_lengths():
+    for n in [*range(1, 70), *range(70, 2049, 97), 2048]:
+        assert windows_of(Counter({n: 5000}), 2048) == -(-5000 // (2048 // n))
+        assert windows_of(Counter({n: 5000, 3: 1}), 2048) <= -(-5000 // (2048 // n)) + 1
+    assert windows_of(Counter({2: 5000, 3: 1}), 2048) == 5
+
+
+def test_fullest_filling_by_sums():
+    rnd = random.Random(9)
+    for _ in range(300):
+        counts = Counter(rnd.randint(1, 40) for _ in range(rnd.randint(0, 9)))
+        room = rnd.randint(0, 90)
+        lengths = sorted(counts, reverse=True)
+        found = packing._fullest(lengths, counts, room)
+        assert all(0 < k <= counts[n] for n, k in found)
+        reach = {0}
+        for n in counts.elements():
+            reach |= {s + n for s in reach}
+        assert sum(n * k for n, k in found) == max(s for s in reach if s <= room)
+        assert sum(packing.fill(lengths, counts, room)) == max(s for s in reach if s <= room)
+
+
 def test_plan_uses_every_piece_and_few_windows():
     rnd = random.Random(3)
     for n in (1, 50, 20_000):
