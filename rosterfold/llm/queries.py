@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rosterfold.llm import (
     context_tree,
+    cover_tree,
     decontaminate,
     importance,
     language,
@@ -19,6 +20,7 @@ from rosterfold.llm import (
     packing,
     quality,
     records,
+    sql,
     suffix_dedup,
     token_counts,
 )
@@ -137,4 +139,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op13_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 ORACLE["op5_quality_rules"] = _quality_sql()
+ORACLE["op11_merkle_manifest"] = sql.MANIFEST
+ORACLE["op12_importance_resampling"] = sql.RESAMPLING
+ORACLE["op13_cover_tree"] = sql.VECTORS
