@@ -52,7 +52,16 @@ def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there: its lineage ends, its rows stay the same."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.pinned_at = path
+    return out
+
+
+def unpin(df: DataFrame) -> None:
+    """Delete the table behind a pinned frame; nothing that reads it may run afterwards."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.pinned_at)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_bytes(docs: DataFrame) -> int:

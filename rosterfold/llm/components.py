@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterfold.llm.common import pin
+from rosterfold.llm.common import pin, unpin
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,12 +13,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points every node's larger neighbours, then its smaller ones, at
     the smallest; rounds end when nothing changes (after about the logarithm of
-    the number of nodes). Edges are written out between rounds, so no lineage grows.
+    the number of nodes). Edges are written out between rounds, so no lineage grows,
+    and those of the round before are deleted.
     """
     edges = pin(_ordered(edges.select("a", "b")))
     before = None
     while True:
-        edges = pin(_small_star(_large_star(edges)))
+        last, edges = edges, pin(_small_star(_large_star(edges)))
+        unpin(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

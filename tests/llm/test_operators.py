@@ -131,11 +131,13 @@ def test_ngram_join(docs, pairs, empty):
     assert ngram_join.representatives(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("common, paired", [(2, 400), (2, 30)])
-def test_ngram_join_frequent_tokens(spark, monkeypatch, common, paired):
+@pytest.mark.parametrize("common, paired, block, columns", [(2, 400, 1024, 2048), (2, 30, 3, 7)])
+def test_ngram_join_frequent_tokens(spark, monkeypatch, common, paired, block, columns):
     """Large groups of near copies, and passages that dissimilar documents share, through the frequent class."""
     monkeypatch.setattr(ngram_join, "COMMON", common)
     monkeypatch.setattr(ngram_join, "PAIRED", paired)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(ngram_join, "_COLUMNS", columns)
     rnd = random.Random(5)
     vocabulary = [f"w{k}" for k in range(300)]
     rows = []
@@ -153,6 +155,27 @@ def test_ngram_join_frequent_tokens(spark, monkeypatch, common, paired):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == cases.components(rows)
 
 
+def test_bands_of_sizes_hold_all_links():
+    """Sizes whose ratio is the threshold itself are in neighbouring bands."""
+    step = -math.log(0.8) * (1 + 1e-9)
+    for small in range(1, 20_000):
+        large = small * 100 // 80
+        assert math.floor(math.log(large) / step) - math.floor(math.log(small) / step) in (0, 1)
+
+
+def test_representatives_are_rows(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [
+        (None, text, "b", 1), (None, text, "a", 2), (None, text, "a", 2), (7, text + " more", "c", 3),  # one group
+        (9, "quite another text than the others have here", "d", 4), (9, "and one more of the same id but unlike it", "e", 5),
+        (None, "a text that stands alone without an id", "f", 6), (None, "a text that stands alone without an id", "g", 7),
+        (1, None, "h", 8), (1, None, "h", 8), (2, " \n", "i", 9), (None, "", "j", 10),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, key string, n int").repartition(3)
+    kept = Counter(tuple(r) for r in ngram_join.representatives(docs).collect())
+    assert kept == Counter([rows[3], rows[4], rows[5], rows[6], *rows[8:]])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (3, 2)]
     got = dict(components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
