@@ -17,14 +17,14 @@ def merge_badges(
     key: str,
     drop_prefixes: Sequence[str] = ("HC Type",),
     keep_null_key: bool = True,
-    unique_keys: bool = True,
+    unique_keys: bool | None = True,
 ) -> DataFrame:
     """Outer merge of ``{year: sheet}``; value columns get ``_<year>`` appended.
 
     Dropping columns by prefix first keeps them out of the shuffle. NULL keys match
     each other unless ``keep_null_key`` is off. A key that a sheet repeats is an
     error; with ``unique_keys=False`` full joins are chained, where repeated keys,
-    NULL among them, multiply.
+    NULL among them, multiply; with ``unique_keys=None`` that is done for those keys alone.
     """
     renamed = {
         year: suffix_columns(drop_by_prefix(sheet, *drop_prefixes), f"_{year}", key)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 
 from rosterfold.functions.columns import (
     as_names,
@@ -21,10 +21,9 @@ from rosterfold.functions.columns import (
 from rosterfold.operators.roster import Roster, roster_filter
 
 
-def _check_names(sheets: Mapping[str, DataFrame], key: str) -> None:
-    for name, df in sheets.items():
-        require_columns(df, [key], f"sheet {name}")
-    seen = Counter(c for df in sheets.values() for c in set(df.columns) - {key})
+def check_names(sheets: Mapping[str, Sequence[str]], keys: Sequence[str]) -> None:
+    """Fail where two sheets (name to columns) both hold a column that is no key."""
+    seen = Counter(c for columns in sheets.values() for c in set(columns) - set(keys))
     clash = sorted(c for c, n in seen.items() if n > 1)
     if clash:
         raise ValueError(f"column(s) in more than one sheet: {', '.join(clash)}")
@@ -32,69 +31,148 @@ def _check_names(sheets: Mapping[str, DataFrame], key: str) -> None:
 
 def outer_merge(
     sheets: Mapping[str, DataFrame],
-    key: str,
+    key: str | Sequence[str],
     roster: Roster | None = None,
     keep_null_key: bool = False,
-    unique_keys: bool = True,
+    unique_keys: bool | None = True,
+    roster_key: str | None = None,
 ) -> DataFrame:
-    """Full outer merge of any number of sheets on one key.
+    """Full outer merge of any number of sheets on one key column, or several.
 
     With ``unique_keys`` (one row per key and sheet) all sheets are stacked and
     folded by one aggregation: one shuffle, where chained full joins shuffle at
-    every step, and column pruning reaches each scan. A key that occurs twice
+    every step. A row travels as a struct of its own sheet's columns, so its width
+    does not grow with the number of sheets. A key that occurs twice
     in a sheet stops the job with an error instead of losing a row. With
-    ``unique_keys=False`` full joins are chained and repeated keys multiply.
+    ``unique_keys=False`` full joins are chained and repeated keys multiply. With
+    ``unique_keys=None`` only the keys that some sheet repeats are joined, and all others folded.
 
     ``keep_null_key`` lets NULL keys match each other; otherwise rows with a
-    NULL key are dropped.
+    NULL key (in any key column) are dropped. ``roster`` holds values of ``roster_key``, by default the only key.
+    """
+    keys = as_names(key)
+    for name, df in sheets.items():
+        require_columns(df, keys, f"sheet {name}")
+    check_names({name: df.columns for name, df in sheets.items()}, keys)
+    parts = narrowed(sheets, keys, roster, keep_null_key, roster_key)
+    if unique_keys is False:
+        return _chained_full_join(parts, keys, keep_null_key)
+    if unique_keys:
+        return fold(parts, keys)
+    once, again = _fold(parts, keys).where("__most <= 1"), _repeated(parts, keys)
+    joined = _chained_full_join([_matching(p, again, keys) for p in parts], keys, keep_null_key)
+    return once.selectExpr(*map(quoted, joined.columns)).unionByName(joined)
+
+
+def narrowed(
+    sheets: Mapping[str, DataFrame], keys: Sequence[str], roster: Roster | None, keep_null_key: bool = False, roster_key: str | None = None
+) -> list[DataFrame]:
+    """The rows of each sheet that take part in a merge."""
+    known = " AND ".join(f"{quoted(k)} IS NOT NULL" for k in keys)
+    parts = [df if keep_null_key else df.where(known) for df in sheets.values()]
+    if roster is None:
+        return parts
+    if roster_key is None and len(keys) > 1:
+        raise ValueError("name the key column that the roster holds")
+    return [roster_filter(p, roster_key or keys[0], roster) for p in parts]
+
+
+def fold(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """One row per key from parts that hold each key at most once; a column of several parts is taken from the one that has a value.
+
+    A key that a part repeats raises when its row is read.
+    """
+    folded = _fold(parts, keys)
+    what = literal(f"key {', '.join(keys)} occurs more than once in a sheet: ")
+    shown = ", ', ', ".join(f"coalesce(CAST({quoted(k)} AS STRING), 'NULL')" for k in keys)
+    checked = f"IF(__most <= 1, true, CAST(raise_error(concat({what}, {shown})) AS BOOLEAN))"
+    return folded.where(checked).drop("__most")
+
+
+def _in_place(dtype: T.DataType) -> bool:
+    """Whether a hash aggregation can keep a running maximum of the type in its rows."""
+    return isinstance(dtype, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _fold(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Keys, all other columns, and ``__most``: how often the part that repeats a key most holds it.
+
+    Each part is packed into two structs of its own, one of numbers and one of texts, and NULL stands
+    for those of the other parts. Numbers are folded by their maximum, texts as the list of the one struct
+    there is: neither needs a sort of rows with text.
     """
-    _check_names(sheets, key)
-    if not unique_keys:
-        return _chained_full_join(sheets, key, roster, keep_null_key)
-    values = [c for df in sheets.values() for c in df.columns if c != key]
-    tagged = [
-        _with_key(df, key, keep_null_key).withColumn("__sheet", F.lit(i))
-        for i, df in enumerate(sheets.values())
-    ]
-    stacked = stack_years(tagged)
-    if roster is not None:
-        stacked = roster_filter(stacked, key, roster)
-    # keys are unique per sheet: combining before the shuffle would find nothing
+    packed, values = [], {}
+    for i, df in enumerate(parts):
+        number, text = [], []
+        for f in df.schema.fields:
+            if f.name not in keys:
+                (number if _in_place(f.dataType) else text).append(f.name)
+                values.setdefault(f.name, []).append((i, _in_place(f.dataType)))
+        structs = [
+            named(f"named_struct({', '.join(f'{literal(c)}, {quoted(c)}' for c in columns)})", f"__{kind}{i}")
+            for kind, columns in (("n", number), ("t", text))
+            if columns
+        ]
+        packed.append(df.selectExpr(*map(quoted, keys), f"{i} AS __sheet", *structs))
+    # keys are unique per part: combining before the shuffle would find nothing
+    stacked = stack_years(packed).repartition(*map(col_q, keys))
+    texts = [c for c in stacked.columns if c.startswith("__t")]
+    numbers = {c: homes for c, homes in values.items() if homes[0][1]}
     folded = group_by(
-        stacked.repartition(col_q(key)),
-        [key],
+        stacked,
+        keys,
         [
-            *[named(f"max({quoted(c)})", c) for c in values],
-            f"greatest({', '.join(['0L', *(f'count_if(__sheet = {i})' for i in range(len(tagged)))])}) AS __most",
+            *[named(f"max({_first(f'__n{i}.{quoted(c)}' for i, _ in homes)})", c) for c, homes in numbers.items()],
+            *[f"collect_list({t}) AS {t}" for t in texts],
+            f"greatest({', '.join(['0L', *(f'count_if(__sheet = {i})' for i in range(len(packed)))])}) AS __most",
+        ],
+    )
+    return folded.selectExpr(
+        *map(quoted, keys),
+        *[
+            quoted(c) if c in numbers else named(_first(f"get(__t{i}, 0).{quoted(c)}" for i, _ in homes), c)
+            for c, homes in values.items()
         ],
+        "__most",
     )
-    return _stop_on_repeats(folded, key).selectExpr(*map(quoted, [key, *values]))
 
 
-def _with_key(df: DataFrame, key: str, keep_null_key: bool) -> DataFrame:
-    return df if keep_null_key else df.where(f"{quoted(key)} IS NOT NULL")
+def _first(values: Iterable[str]) -> str:
+    values = list(values)
+    return values[0] if len(values) == 1 else f"coalesce({', '.join(values)})"
 
 
-def _stop_on_repeats(folded: DataFrame, key: str) -> DataFrame:
-    """Keep rows that saw no sheet twice; any other row raises when it is read."""
-    what = literal(f"key {key} occurs more than once in a sheet: ")
-    message = f"concat({what}, coalesce(CAST({quoted(key)} AS STRING), 'NULL'))"
-    return folded.where(f"IF(__most <= 1, true, CAST(raise_error({message}) AS BOOLEAN))")
+def _repeated(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """The keys that some part holds more than once, from the key columns alone."""
+    counted = [group_by(p, keys, ["count(1) AS __n"]).where("__n > 1").drop("__n") for p in parts]
+    return stack_years(counted).distinct()
 
 
-def _chained_full_join(
-    sheets: Mapping[str, DataFrame], key: str, roster: Roster | None, keep_null_key: bool
-) -> DataFrame:
-    parts = [_with_key(df, key, keep_null_key) for df in sheets.values()]
-    if roster is not None:
-        parts = [roster_filter(p, key, roster) for p in parts]
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], names: Sequence[str]) -> Column:
+    """Key columns equal, NULL included."""
+    return reduce(lambda a, b: a & b, (left[quoted(k)].eqNullSafe(right[n]) for k, n in zip(keys, names)))
+
+
+def _matching(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is among ``wanted``."""
+    names = [f"__key{i}" for i in range(len(keys))]
+    right = wanted.selectExpr(*[f"{quoted(k)} AS {n}" for k, n in zip(keys, names)])
+    return df.join(right, _same(df, right, keys, names), "left_semi")
+
+
+def _chained_full_join(parts: Sequence[DataFrame], keys: Sequence[str], keep_null_key: bool) -> DataFrame:
     if not keep_null_key:
-        return reduce(lambda a, b: a.join(b, key, "full"), parts)
+        return reduce(lambda a, b: a.join(b, list(keys), "full"), parts)
+    names = [f"__key{i}" for i in range(len(keys))]
     merged = parts[0]
     for part in parts[1:]:
-        right = part.withColumnRenamed(key, "__key")
-        merged = merged.join(right, col_q(key).eqNullSafe(F.col("__key")), "full")
-        merged = merged.withColumn(key, F.coalesce(col_q(key), F.col("__key"))).drop("__key")
+        rest = [quoted(c) for c in part.columns if c not in keys]
+        right = part.selectExpr(*[f"{quoted(k)} AS {n}" for k, n in zip(keys, names)], *rest)
+        both = merged.join(right, _same(merged, right, keys, names), "full")
+        merged = both.selectExpr(
+            *[named(f"coalesce({quoted(k)}, {n})", k) for k, n in zip(keys, names)],
+            *[quoted(c) for c in both.columns if c not in keys and c not in names],
+        )
     return merged
 
 

@@ -18,7 +18,7 @@ from rosterfold.operators.profile import profile_numeric, profile_text
 from rosterfold.operators.roster import Roster, roster_filter
 from rosterfold.plans import catalog as c
 from rosterfold.plans.facts import fact_sheet
-from rosterfold.plans.load import load_all_years, scan_all_years
+from rosterfold.plans.load import load_stacked, scan_stacked
 from rosterfold.sources.sheets import scan_sheet, year_registry
 
 
@@ -33,16 +33,16 @@ def load_survey(
     """One row per roster organisation and year, from workbooks under ``root``."""
     files = year_registry(root, years, c.WORKBOOK)
     info = [*c.INFO_TEXT, *c.INFO_NUMBERS]
-    workbooks = scan_all_years(spark, files, c.INFO_SHEET, info, table_sheets, c.KEY, fmt)
-    return load_all_years(workbooks, c.KEY, c.INFO_TEXT, roster=roster, year_column=c.YEAR)
+    sheets = scan_stacked(spark, files, c.INFO_SHEET, info, table_sheets, c.KEY, fmt)
+    return load_stacked(sheets, c.KEY, c.INFO_TEXT, roster=roster, year_column=c.YEAR)
 
 
 def load_badges(
     spark: SparkSession, workbook: str, years: tuple[str, ...] = c.BADGE_YEARS, fmt: str = "parquet"
 ) -> DataFrame:
-    """All organisations with their badges of every year side by side."""
+    """All organisations with their badges of every year side by side; repeated and blank keys are joined."""
     sheets = {y: scan_sheet(spark, workbook, c.BADGE_SHEET.format(year=y), fmt) for y in years}
-    return b.merge_badges(sheets, c.BADGE_KEY)
+    return b.merge_badges(sheets, c.BADGE_KEY, unique_keys=None)
 
 
 def survey_report(

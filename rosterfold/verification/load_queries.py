@@ -26,7 +26,7 @@ from rosterfold.operators.projection import (
     suffix_columns,
 )
 from rosterfold.operators.roster import key_cleanup, period_filter, roster_filter
-from rosterfold.plans.load import load_all_years, load_year
+from rosterfold.plans.load import load_all_years, load_stacked, load_year
 from rosterfold.sources.pinning import pinned, shared_folder
 from rosterfold.sources.sheets import roster_sheet, scan_sheet, scan_text_sheet, year_registry
 from rosterfold.sources.sinks import write_report, write_stacked
@@ -100,20 +100,31 @@ def one_year(spark, sf):
 
 
 def _all_years(spark, sf):
+    sheets = s.stacked_sheets(spark, sf, s.year_cells(spark, sf))
+    return load_stacked(sheets, s.KEY, s.INFO_TEXT, roster=s.text_roster(spark, sf))
+
+
+def _year_by_year(spark, sf):
+    """The same years as workbooks of their own, stacked sheet by sheet."""
     cells = pinned(s.year_cells(spark, sf))
     workbooks = {y: s.workbook(spark, sf, y, cells) for y in s.YEARS}
     return load_all_years(workbooks, s.KEY, s.INFO_TEXT, roster=s.text_roster(spark, sf))
 
 
-@registered(
-    "load_all_years",
-    f"""WITH {s.ROSTER_SQL}, {", ".join(s.workbook_sql(y) for y in s.YEARS)}
-    {" UNION ALL BY NAME ".join(f"SELECT * FROM y{y}" for y in s.YEARS)}""",
-)
+_ALL_YEARS_SQL = f"""WITH {s.ROSTER_SQL}, {", ".join(s.workbook_sql(y) for y in s.YEARS)}
+    {" UNION ALL BY NAME ".join(f"SELECT * FROM y{y}" for y in s.YEARS)}"""
+
+
+@registered("load_all_years", _ALL_YEARS_SQL)
 def all_years(spark, sf):
     return _all_years(spark, sf)
 
 
+@registered("load_workbooks", _ALL_YEARS_SQL)
+def workbooks(spark, sf):
+    return _year_by_year(spark, sf)
+
+
 @registered("report_sink", f"WITH {s.WIDE_SQL} SELECT * FROM wide")
 def report_sink(spark, sf):
     path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
@@ -394,6 +405,30 @@ def merged_by_joins(spark, sf):
     return outer_merge(sheets, "part", keep_null_key=True, unique_keys=False)
 
 
+_ASSORTED_SQL = f"""WITH kept AS (SELECT CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END AS k, o_orderkey, o_orderpriority AS p,
+    o_orderdate AS d FROM orders),
+    a AS (SELECT k, p AS first_priority FROM kept WHERE year(d) = 1996 AND o_orderkey % 40 = 0),
+    b AS (SELECT k, p AS second_priority FROM kept WHERE year(d) = 1997 AND o_orderkey % 40 = 0),
+    c AS (SELECT k, CAST(count(*) AS BIGINT) AS n FROM kept GROUP BY k)
+    SELECT coalesce(a.k, b.k, c.k) AS k, first_priority, second_priority, n
+    FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k FULL JOIN c ON coalesce(a.k, b.k) IS NOT DISTINCT FROM c.k"""
+
+
+@registered("outer_merge_assorted_keys", _ASSORTED_SQL)
+def merged_with_assorted_keys(spark, sf):
+    """Sheets in which some keys repeat, some are blank and most occur once: only the former are joined."""
+    kept = s.table(spark, sf, "orders").selectExpr(
+        "IF(o_custkey % 10 = 0, NULL, o_custkey) AS k", "o_orderkey", "o_orderpriority AS p", "o_orderdate AS d"
+    )
+    some = kept.where("o_orderkey % 40 = 0")
+    sheets = {
+        "a": some.where("d >= '1996-01-01' AND d < '1997-01-01'").selectExpr("k", "p AS first_priority"),
+        "b": some.where("d >= '1997-01-01' AND d < '1998-01-01'").selectExpr("k", "p AS second_priority"),
+        "c": group_by(kept, ["k"], ["count(1) AS n"]),
+    }
+    return outer_merge(sheets, "k", keep_null_key=True, unique_keys=None)
+
+
 @registered("badge_merge", f"WITH {s.BADGES_SQL} SELECT * FROM badges")
 def badges(spark, sf):
     return merge_badges(s.badge_sheets(spark, sf), s.BADGE_KEY)

@@ -23,7 +23,7 @@ from rosterfold.functions.columns import group_by, named, quoted
 from rosterfold.functions.numbers import exact_sum
 from rosterfold.operators.merge import fact_join
 from rosterfold.plans.facts import FactColumns
-from rosterfold.sources.sheets import scan_sheet
+from rosterfold.sources.sheets import WORKBOOK, scan_sheet
 
 OLD, NEW = "1997", "2000"
 YEARS = tuple(str(y) for y in range(1995, 2002))
@@ -331,6 +331,31 @@ def workbook(spark: SparkSession, sf_dir: str, year: str, cells: DataFrame) -> d
     }
 
 
+def stacked_sheets(spark: SparkSession, sf_dir: str, cells: DataFrame, years: tuple[str, ...] = YEARS) -> dict[str, DataFrame]:
+    """The sheets of all years stacked, as a scan over the workbooks gives them."""
+    key = f"CAST(org AS STRING) AS {KEY}"
+
+    def sheet(prefix: str, rows: DataFrame) -> DataFrame:
+        return rows.selectExpr(key, f"yr AS {WORKBOOK}", *[quoted(c) for c in cells.columns if c.startswith(prefix)])
+
+    named_orgs = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS org", "s_name", "s_acctbal")
+    informed = fact_join(named_orgs.where(INFORMED.format(org="org")), states(spark, sf_dir), "org")
+    each = f"explode(array({', '.join(f"'{y}'" for y in years)})) AS {WORKBOOK}"
+    info = informed.selectExpr("*", each).selectExpr(
+        key,
+        WORKBOOK,
+        f"{WORKBOOK} AS ReportingYear",
+        "s_name AS HealthCenterName",
+        "state AS HealthCenterState",
+        "CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS STRING) AS FundingCHC",
+    )
+    return {
+        "HealthCenterInfo": info,
+        "Table3": sheet("T3", cells),
+        "Table8": sheet("T8", cells.where(PRICED.format(org="org"))),
+    }
+
+
 def workbook_sql(year: str) -> str:
     def cells(column: str, prefix: str) -> str:
         out = []

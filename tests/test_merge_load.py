@@ -76,6 +76,48 @@ def test_repeated_key_stops_the_fold_but_joins(frame):
     assert rows(outer_merge(sheets, "k", roster=["9"])) == []
 
 
+def test_only_repeated_keys_are_joined(frame):
+    sheets = {
+        "a": frame("k string, x int", [("1", 1), ("1", 2), ("2", 3), (None, 4), (None, 5), ("5", 9)]),
+        "b": frame("k string, y string", [("1", "p"), ("2", "q"), ("3", "r"), (None, "s")]),
+        "c": frame("k string, z double", [("3", 0.5), ("4", 1.5), ("4", 2.5)]),
+    }
+    want = [
+        (None, 4, "s", None), (None, 5, "s", None), ("1", 1, "p", None), ("1", 2, "p", None), ("2", 3, "q", None),
+        ("3", None, "r", 0.5), ("4", None, None, 1.5), ("4", None, None, 2.5), ("5", 9, None, None),
+    ]
+    for unique in (None, False):
+        assert rows(outer_merge(sheets, "k", keep_null_key=True, unique_keys=unique)) == want
+        assert rows(outer_merge(sheets, "k", unique_keys=unique)) == want[2:]
+    with pytest.raises(Exception, match="more than once"):
+        outer_merge(sheets, "k").collect()
+
+
+def test_keys_of_several_columns(frame):
+    sheets = {
+        "a": frame("y string, k string, x int, t string", [("1", "a", 1, "one"), ("2", "a", 2, None), (None, "a", 3, "no")]),
+        "b": frame("k string, y string, z date", [("a", "2", None), ("b", "2", None)]),
+    }
+    want = [("1", "a", 1, "one", None), ("2", "a", 2, None, None), ("2", "b", None, None, None)]
+    assert rows(outer_merge(sheets, ["y", "k"])) == want
+    assert rows(outer_merge(sheets, ["y", "k"], unique_keys=None)) == want
+    assert rows(outer_merge(sheets, ["y", "k"], roster=["b"], roster_key="k")) == want[2:]
+    with pytest.raises(ValueError, match="roster"):
+        outer_merge(sheets, ["y", "k"], roster=["b"])
+
+
+def test_columns_that_move_between_sheets_and_types_between_years(frame):
+    books = {
+        "2021": {"a": frame("k string, m string", [("x", "1")]), "b": frame("k string, n double", [("x", 2.0)])},
+        "2022": {"a": frame("k string, n string", [("x", "-")]), "b": frame("k string, m double, o string", [("x", 5.0, "7")])},
+    }
+    loaded = load_all_years(books, "k", ["o"])
+    assert rows(loaded, "ReportingYear", "k", "m", "n", "o") == [("2021", "x", 1.0, 2.0, None), ("2022", "x", 5.0, None, "7")]
+    assert rows(load_all_years(books, "k", ["o"], unique_keys=False), "ReportingYear", "m") == [("2021", 1.0), ("2022", 5.0)]
+    with pytest.raises(ValueError, match="more than one sheet: m"):
+        load_all_years({"2021": {"a": books["2021"]["a"], "b": books["2022"]["b"]}}, "k", ["o"])
+
+
 def test_name_clash_is_an_error(frame):
     df = frame("k string, x int", [("1", 1)])
     with pytest.raises(ValueError, match="more than one sheet: x"):

@@ -58,6 +58,44 @@ def test_merge_shuffles_once(spark):
     assert "p_retailprice" not in "".join(scans(pruned, "part"))
 
 
+def test_merge_shuffles_rows_of_one_sheet_and_sorts_no_text(spark):
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    sheets = {
+        "a": part.selectExpr("p_partkey AS k", "p_size", "p_retailprice", "p_name"),
+        "b": part.selectExpr("p_partkey AS k", "p_retailprice * 2 AS price", "p_type"),
+    }
+    plan = physical(outer_merge(sheets, "k"))
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan and "ObjectHashAggregate" in plan
+    # the union below the shuffle has the key, the sheet's number and a struct or two for each sheet
+    (union,) = re.findall(r"Exchange hashpartitioning.*?\n.*?Union", plan, re.S)
+    below = plan[plan.index(union) :]
+    widths = [len(re.findall(r"#\d+", line)) for line in below.splitlines() if "Project" in line]
+    assert widths and "named_struct(p_size" in below and "named_struct(price" in below
+    fields = outer_merge(sheets, "k").select("k", "p_name", "p_type")
+    assert "p_size" not in "".join(scans(physical(fields), "part"))
+
+
+def test_scans_of_a_load_do_not_grow_with_the_years(spark, tmp_path):
+    from rosterfold.plans.load import load_stacked, scan_stacked
+    from rosterfold.sources.sheets import year_registry
+
+    for n, year in enumerate(range(2001, 2008)):
+        info = spark.createDataFrame([(f"h{i}", str(year), "CA") for i in range(3)], "k string, yr string, state string")
+        cells = spark.createDataFrame([(f"id{i}", f"h{i}", str(i + n), "-") for i in range(4)], "id string, k string, a string, b string")
+        info.coalesce(1).write.parquet(f"{tmp_path}/W+ {year}/Info.parquet")
+        cells.coalesce(1).write.parquet(f"{tmp_path}/W+ {year}/Cells.parquet")
+
+    def load(*years):
+        files = year_registry(str(tmp_path), years, "{root}/W+ {year}")
+        sheets = scan_stacked(spark, files, "Info", ["k", "yr", "state"], {"Cells": None}, "k")
+        return load_stacked(sheets, "k", ["state"], roster=["h0", "h1", "h3"], year_column="yr")
+
+    plans = [physical(load(*years)) for years in ((2001,), range(2001, 2008))]
+    assert [p.count("FileScan") for p in plans] == [2, 2] and [p.count("Exchange") for p in plans] == [1, 1]
+    got = sorted(tuple(r) for r in load(*range(2001, 2008)).select("yr", "k", "state", "a", "b").collect())
+    assert got == sorted((str(y), f"h{i}", "CA" if i < 3 else None, float(i + y - 2001), None) for y in range(2001, 2008) for i in (0, 1, 3))
+
+
 def test_literal_roster_reaches_the_scan(spark):
     items = spark.read.parquet(f"{SF}/lineitem.parquet")
     plan = physical(roster_filter(items, "l_suppkey", [1, 2, 3]).select("l_quantity"))
