@@ -85,13 +85,68 @@ def exact_sum(x: str, places: int | None = None) -> str:
     plain = f"sum(CAST({x} AS DOUBLE))"
     if places is None:
         return plain
+    return f"CAST({_units_sum(_units(x, places))} AS DOUBLE) / 1e{places}D"
+
+
+def _units(x: str, places: int) -> str:
+    """Whole units of the last place, rounded half away from zero."""
     unit = f"1e{places}D"
     units = f"IF(({x}) < 0, ceil(({x}) * {unit} - 0.5D), floor(({x}) * {unit} + 0.5D))"
     too_large = f"raise_error(concat('too large for an exact sum: ', CAST({x} AS STRING)))"
-    checked = f"IF(abs({x}) * {unit} >= {MAX_UNITS}, CAST({too_large} AS BIGINT), {units})"
-    high = f"CAST(sum({checked} DIV {LOW_UNITS}L) AS DECIMAL(38,0))"
-    low = f"sum({checked} % {LOW_UNITS}L)"
-    return f"CAST({high} * {LOW_UNITS} + {low} AS DOUBLE) / {unit}"
+    return f"IF(abs({x}) * {unit} >= {MAX_UNITS}, CAST({too_large} AS BIGINT), {units})"
+
+
+def _units_sum(units: str) -> str:
+    """Exact sum of BIGINTs as DECIMAL(38,0)."""
+    return f"(CAST(sum(({units}) DIV {LOW_UNITS}L) AS DECIMAL(38,0)) * {LOW_UNITS} + sum(({units}) % {LOW_UNITS}L))"
+
+
+#: Units of a fraction, and units of what is left of a fraction's unit.
+FRACTIONS = 1 << 62
+
+
+def steady_sum(x: str) -> str:
+    """Sum of doubles with any number of decimals that does not depend on their order, NULL for no values.
+
+    The whole part of an addend, its fraction in units of 2^-62 and what that leaves in units of 2^-124 are integers, and
+    integers are summed: each in two parts as BIGINTs, which merge in any order. An addend loses
+    less than 2^-124. From 9e18 on an addend has no fraction; sums with such addends are plain ones.
+    """
+    small = f"IF(abs({x}) < {MAX_UNITS}, CAST({x} AS DOUBLE), 0D)"
+    whole = f"CAST({small} AS BIGINT)"
+    scaled = f"(({small} - {whole}) * {FRACTIONS}D)"
+    fraction = f"CAST({scaled} AS BIGINT)"
+    rest = f"CAST(({scaled} - {fraction}) * {FRACTIONS}D AS BIGINT)"
+
+    def halves(part: str) -> str:
+        return f"(CAST(sum(shiftright({part}, 31)) AS DECIMAL(38,0)) * {1 << 31} + sum({part} & {(1 << 31) - 1}L))"
+
+    def over(total: str) -> str:
+        return f"CAST({total} DIV CAST({FRACTIONS} AS DECIMAL(38,0)) AS DECIMAL(38,0))"
+
+    rests = halves(rest)
+    fractions = f"({halves(fraction)} + {over(rests)})"
+    left = [f"CAST({total} - {over(total)} * {FRACTIONS} AS DOUBLE)" for total in (fractions, rests)]
+    steady = f"CAST({_units_sum(f'IF(({x}) IS NULL, NULL, {whole})')} + {over(fractions)} AS DOUBLE) + ({left[0]} + {left[1]} / {FRACTIONS}D) / {FRACTIONS}D"
+    return f"IF(max(abs({x})) < {MAX_UNITS}, {steady}, sum(CAST({x} AS DOUBLE)))"
+
+
+def sample_sd(x: str, places: int | None = None) -> str:
+    """Sample standard deviation, NULL for fewer than two values.
+
+    With ``places`` sums and sums of squares of whole units are exact integers, so that it does not depend on the
+    order; squares that add up beyond 38 digits are an error.
+    """
+    if places is None:
+        return f"IF(count({x}) > 1, stddev_samp({x}), NULL)"
+    units = _units(x, places)
+    total, n = _units_sum(units), f"count({x})"
+    squares = f"sum(CAST({units} AS DECIMAL(19,0)) * CAST({units} AS DECIMAL(19,0)))"
+    # sum and squares around the mean's whole part q: what is left of the sum, r, is less than n
+    q = f"CAST({total} DIV {n} AS DECIMAL(38,0))"
+    r = f"({total} - {q} * {n})"
+    around = f"CAST({squares} - {q} * {q} * {n} - 2 * {q} * {r} AS DOUBLE) - CAST({r} AS DOUBLE) * CAST({r} AS DOUBLE) / {n}"
+    return f"IF({n} > 1, sqrt(greatest(0D, {around}) / ({n} - 1)) / 1e{places}D, NULL)"
 
 
 def pct(numerator: str, denominator: str, digits: int = 1) -> str:

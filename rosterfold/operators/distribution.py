@@ -28,7 +28,7 @@ def six_number_summary(
         [0.25, 0.5, 0.75],
         ["q1", "median", "q3"],
         accuracy,
-        second=ends,
+        others=ends,
     )
     return found.select("min", "q1", "median", "mean", "q3", "max")
 

@@ -21,7 +21,7 @@ from rosterfold.functions.columns import (
     quoted,
     require_columns,
 )
-from rosterfold.functions.numbers import exact_sum, or_zero, row_sum, safe_div
+from rosterfold.functions.numbers import exact_sum, or_zero, row_sum, safe_div, steady_sum
 
 @dataclass(frozen=True)
 class Measure:
@@ -41,7 +41,7 @@ class Measure:
 
     ``places`` makes sums exact decimals with that many digits; leave it None
     for columns with an unknown number of decimals. A ratio's terms are quotients,
-    so ``places`` is for its weights alone; its terms are summed as they are unless
+    so ``places`` is for its weights alone; its terms are summed as they are, in units of 2^-62, unless
     ``term_places`` says to how many digits each may be rounded. ``digits`` rounds
     the result. ``strict`` makes a ratio's denominator use only rows that its
     numerator used.
@@ -161,7 +161,8 @@ def _ratio(m: Measure, cells: list[str], when: str | None) -> str:
     term = f"{safe_div(part, base)} * {weight}"
     if m.strict:
         weight = f"IF({term} IS NOT NULL, {weight}, NULL)"
-    numerator = _zero_if_none(exact_sum(term, m.term_places))
+    terms = steady_sum(term) if m.term_places is None else exact_sum(term, m.term_places)
+    numerator = _zero_if_none(terms)
     return safe_div(numerator, exact_sum(weight, m.places))
 
 

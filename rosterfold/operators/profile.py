@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from rosterfold.functions.columns import as_names, group_by, quoted
-from rosterfold.functions.numbers import exact_sum, safe_div
+from rosterfold.functions.numbers import exact_sum, safe_div, sample_sd
 from rosterfold.operators.quantiles import ACCURACY, cells, named_groups, quantile_passes
 
 # Bar characters of the inline histogram, lowest first.
@@ -73,8 +73,7 @@ def profile_numeric(
 ) -> DataFrame:
     """Per group: missing, complete rate, mean, sd, five quantiles, bar sketch.
 
-    A group without any value keeps its row, with NULL statistics. Runs a job for
-    the sketches, see :func:`quantile_passes`.
+    A group without any value keeps its row, with NULL statistics.
     """
     keys = as_names(by)
     group, rows = cells(df, column, keys)
@@ -82,7 +81,7 @@ def profile_numeric(
         "n_missing": "count_if(__v IS NULL)",
         "complete_rate": safe_div("count(__v)", "count(1)"),
         "mean": safe_div(exact_sum("__v", places), "count(__v)"),
-        "sd": "IF(count(__v) > 1, stddev_samp(__v), NULL)",
+        "sd": sample_sd("__v", places),
     }
     bins = _bin_counts()
     found = quantile_passes(
@@ -91,8 +90,7 @@ def profile_numeric(
         [0.25, 0.5, 0.75],
         ["p25", "p50", "p75"],
         accuracy,
-        first={"__min": "min(__v)", "__max": "max(__v)"},
-        second={**moments, **bins},
+        others={**moments, **bins},
     )
     shown = found.selectExpr(
         *group,

@@ -1,11 +1,14 @@
 """Exact grouped quantiles that never gather a whole group.
 
-A bounded sketch *proposes* cut points on both sides of each wanted rank; exact
-counts then say between which cuts each rank lies, and only the rows of those
-narrow slices are counted by value and ordered. The sketch decides how much is
-ordered, never the result: were it off, a slice would be wider, not wrong. A
-slice is about ``4 / accuracy`` of its group's rows, so what one task orders
-follows the group's different values divided by ``accuracy / 4``.
+Wanted ranks are narrowed down by counting. A first pass counts values by sign and magnitude;
+each further pass cuts the interval between the smallest and the largest value of the cell that holds a rank into
+``cells`` of equal width and counts again; the last one counts single values. A cell is a
+non-decreasing function of the value, so whatever rounding does, counts of lower cells are counts of lower values, and the result is exact.
+
+A double has no more than 2^50 neighbours within a cell of the first pass, and every pass leaves about
+``cells / 2`` times fewer, so after ``PASSES`` of them at most about 2^20 different values are left to be ordered. Every window
+orders cells, or at most that many values: its size does not depend on the size of the group.
+Nothing is sampled or sketched, so no intermediate result has to be fixed, and no job runs while the plan is built.
 """
 
 from __future__ import annotations
@@ -16,9 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterfold.functions.columns import as_names, group_by, named, quoted
-from rosterfold.sources.pinning import pinned
+from rosterfold.functions.numbers import finite
 
-ACCURACY = 10_000
+#: Cells that an interval is cut into.
+ACCURACY = 1 << 16
+
+#: Passes that cut intervals.
+PASSES = 2
 
 
 def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -41,110 +48,109 @@ def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.join(right, same, "inner").drop(*keys)
 
 
-def _greatest(terms: Sequence[str]) -> str:
-    return f"greatest(0L, {', '.join(terms)})"
-
-
 def _keep(columns: Sequence[str]) -> list[str]:
     """Columns that are constant within the group."""
     return [f"any_value({c}) AS {c}" for c in columns]
 
 
+#: Cell of a value by sign and magnitude: eight to each power of e, counted from below the smallest double.
+_MAGNITUDE = "CASE WHEN __v = 0 THEN 0L WHEN __v > 0 THEN 1 + floor((ln(__v) + 750) * 8) ELSE -1 - floor((ln(-__v) + 750) * 8) END"
+
+
+def _running(by: Sequence[str]) -> str:
+    return f"sum(__c) OVER (PARTITION BY {', '.join(by)} ORDER BY __cell ROWS UNBOUNDED PRECEDING)"
+
+
+def _held(ranks: Sequence[int], here: str, before: str) -> list[str]:
+    """For each rank, the ends of the cell that holds it and the number of values below that."""
+    out = []
+    for i in ranks:
+        test = here.format(i=i)
+        found = (("lo", "__low"), ("hi", "__high"), ("b", before.format(i=i)))
+        out += [f"max(IF({test}, {value}, NULL)) AS __{name}{i}" for name, value in found]
+    return out
+
+
 def quantile_passes(
     rows: DataFrame,
     group: Sequence[str],
     probabilities: Sequence[float],
     names: Sequence[str],
     accuracy: int = ACCURACY,
-    first: Mapping[str, str] | None = None,
-    second: Mapping[str, str] | None = None,
+    others: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Quantiles plus any other statistics, in three passes: sketch, counts, slices.
-
-    ``rows`` and ``group`` come from :func:`cells`. ``first`` are named SQL
-    aggregates; ``second`` may also use their results as columns. Every group
-    gets a row; without values its quantiles are NULL.
+    """Quantiles, ``__min`` and ``__max``, plus any other statistics.
 
-    Only scalars travel with the rows, so that the aggregations over all rows
-    stay hash-based. The sketches, one row per group, are computed at once and
-    pinned: a sketch may come out differently when a lost task is repeated.
+    ``rows`` and ``group`` come from :func:`cells`. ``others`` are named SQL aggregates over the rows, which
+    may use ``__min`` and ``__max`` of their group as columns (if there are groups). Every group
+    gets a row; without values its quantiles are NULL. ``accuracy`` is the number of cells of a pass; results do not depend on it.
     """
-    first, second = dict(first or {}), dict(second or {})
-    margin = 2.0 / accuracy
-    cut_at = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-margin, margin)]
-    cuts = [f"__cut{i}" for i in range(len(cut_at))]
-    ends = [f"__end{i}" for i in range(len(cut_at))]
-
-    # pass 1: sketch
-    sketch = f"percentile_approx(__v, array({', '.join(f'{c!r}D' for c in cut_at)}), {accuracy})"
-    proposed = pinned(
-        group_by(
-            rows,
-            group,
-            [
-                "count(__v) AS __n",
-                f"{sketch} AS __cuts",
-                *[f"{x} AS {n}" for n, x in first.items()],
-            ],
-        ).selectExpr(*group, "__n", *[f"get(__cuts, {i}) AS {c}" for i, c in enumerate(cuts)], *first)
-    )
-    # pass 2: values below the lower edge, and up to the upper edge, of each bracket
-    past = [f"__v {'>=' if i % 2 == 0 else '>'} {c}" for i, c in enumerate(cuts)]
-    counted = group_by(
-        attach(rows, proposed, group),
-        group,
-        [
-            *_keep(["__n", *cuts, *first]),
-            *[f"count_if(NOT {test}) AS {e}" for test, e in zip(past, ends)],
-            *[f"{x} AS {n}" for n, x in second.items()],
-        ],
-    )
+    others = dict(others or {})
+    if not group:
+        return _ungrouped(rows, probabilities, names, accuracy, others)
+    counts = ["count(__v) AS __c", "min(__v) AS __low", "max(__v) AS __high"]
+    ranks = range(2 * len(probabilities))
+    rank = []
+    for p in probabilities:
+        below = f"floor((__n - 1) * {float(p)!r}D)"
+        rank += [f"({below} + 1)", f"least({below} + 2, __n)"]
+
+    # by sign and magnitude
+    whole = f"OVER (PARTITION BY {', '.join(group)})"
+    first = group_by(rows.withColumn("__cell", F.expr(_MAGNITUDE)), [*group, "__cell"], counts)
+    placed = first.selectExpr("*", f"{_running(group)} AS __to", f"sum(__c) {whole} AS __n")
+    placed = placed.selectExpr("*", *[f"{r} AS __r{i}" for i, r in zip(ranks, rank)])
+    extent = ["any_value(__n) AS __n", "min(__low) AS __min", "max(__high) AS __max"]
+    held = _held(ranks, "__to - __c < __r{i} AND __r{i} <= __to", "__to - __c")
+    targets = group_by(placed, group, [*extent, *held])
+
+    # by intervals of equal width, and last by value
+    for last in [False] * PASSES + [True]:
+        constant = [c for c in targets.columns if c not in group]
+        inside = [f"__v >= __lo{i} AND __v <= __hi{i}" for i in ranks]
+        ends = [
+            f"coalesce({', '.join(f'IF({test}, __{end}{i}, NULL)' for i, test in zip(ranks, inside))}) AS __{name}"
+            for end, name in (("lo", "from"), ("hi", "upto"))
+        ]
+        cut = f"IF(__upto > __from, floor((__v - __from) / (__upto - __from) * {int(accuracy)}), 0L)"
+        near = attach(rows, targets, group).selectExpr("*", *ends).where("__from IS NOT NULL OR __n = 0")
+        counted = group_by(
+            near.withColumn("__cell", F.expr("__v" if last else cut)), [*group, "__from", "__cell"], [*counts, *_keep(constant)]
+        )
+        # dealt by group once, for the counts within intervals and for the groups
+        placed = counted.repartition(*group).withColumn("__to", F.expr(_running([*group, "__from"])))
+        placed = placed.selectExpr("*", *[f"{r} AS __r{i}" for i, r in zip(ranks, rank)])
+        here = "__from = __lo{i} AND __b{i} + __to - __c < __r{i} AND __r{i} <= __b{i} + __to"
+        kept = _keep(["__n", "__min", "__max"])
+        targets = group_by(placed, group, [*kept, *_held(ranks, here, "__b{i} + __to - __c")])
 
-    # pass 3: order the slices that hold a wanted rank. A slice is known by the
-    # number of values before it: the largest count among the edges it is past.
-    ranks = [f"__rank{i}" for i in range(2 * len(probabilities))]
-    homes = [f"__home{i}" for i in range(len(ranks))]
-    below = [f"floor((__n - 1) * {float(p)!r}D)" for p in probabilities]
-    rank_values = [x for b in below for x in (f"{b} + 1", f"least({b} + 2, __n)")]
-    targets = counted.selectExpr(
-        "*", *[f"{x} AS {r}" for x, r in zip(rank_values, ranks)]
-    ).selectExpr(
-        "*",
-        *[
-            f"{_greatest([f'IF({e} < {r}, {e}, 0L)' for e in ends])} AS {h}"
-            for h, r in zip(homes, ranks)
-        ],
-    )
-    before = _greatest([f"IF({test}, {e}, 0L)" for test, e in zip(past, ends)])
-    kept = ["__n", *first, *second]
-    sliced = group_by(
-        attach(rows, targets, group)
-        .withColumn("__before", F.expr(before))
-        .where(f"(__v IS NOT NULL AND __before IN ({', '.join(homes)})) OR __n = 0"),
-        [*group, "__before", "__v"],
-        ["count(1) AS __c", *_keep([*kept, *ranks])],
-    )
-    slice_keys = ", ".join([*group, "__before"])
-    running = f"sum(__c) OVER (PARTITION BY {slice_keys} ORDER BY __v ROWS UNBOUNDED PRECEDING)"
-    picked = group_by(
-        sliced.withColumn("__to", F.expr(f"__before + {running}")),
-        group,
-        [
-            *_keep(kept),
-            *[
-                f"max(IF(__to - __c < {r} AND {r} <= __to, __v, NULL)) AS {r}_v"
-                for r in ranks
-            ],
-        ],
-    )
     quantiles = []
     for i, (p, name) in enumerate(zip(probabilities, names)):
-        low, high = f"{ranks[2 * i]}_v", f"{ranks[2 * i + 1]}_v"
+        low, high = f"__lo{2 * i}", f"__lo{2 * i + 1}"
         position = f"((__n - 1) * {float(p)!r}D)"
         share = f"({position} - floor({position}))"
         between = f"{low} * (1 - {share}) + {high} * {share}"
         quantiles.append(named(f"IF({low} = {high}, {low}, {between})", name))
-    return picked.selectExpr(*group, *first, *second, *quantiles)
+    found = targets.selectExpr(*group, "__min", "__max", *quantiles)
+    if not others:
+        return found
+    if any("__min" in x or "__max" in x for x in others.values()):
+        rows = attach(rows, group_by(first, group, extent[1:]), group)
+    more = group_by(rows, group, [named(x, n) for n, x in others.items()])
+    return attach(found, more, group)
+
+
+def _ungrouped(
+    rows: DataFrame, probabilities: Sequence[float], names: Sequence[str], accuracy: int, others: Mapping[str, str]
+) -> DataFrame:
+    """All rows as one group, under a key that is 0 in every row; one more NULL makes sure that there is the group."""
+    keyed = rows.selectExpr("pmod(hash(__v), 1) AS __all", "__v")
+    none = rows.sparkSession.range(1).selectExpr("0 AS __all", "CAST(NULL AS DOUBLE) AS __v")
+    found = quantile_passes(keyed.unionByName(none), ["__all"], probabilities, names, accuracy).drop("__all")
+    if not others:
+        return found
+    more = group_by(rows, [], [named(x, n) for n, x in others.items()])
+    return attach(found, more, [])
 
 
 def exact_quantiles(
@@ -159,15 +165,16 @@ def exact_quantiles(
     keys = as_names(by)
     group, rows = cells(df, value, keys)
     out = list(names or [f"q{p:g}" for p in probabilities])
-    return named_groups(quantile_passes(rows, group, probabilities, out, accuracy), group, keys)
+    found = quantile_passes(rows, group, probabilities, out, accuracy).drop("__min", "__max")
+    return named_groups(found, group, keys)
 
 
 def cells(df: DataFrame, value: str, keys: Sequence[str]) -> tuple[list[str], DataFrame]:
-    """Only the group columns, under plain names, and the value as a double ``__v``."""
+    """Only the group columns, under plain names, and the value as a finite double ``__v``."""
     group = [f"__g{i}" for i in range(len(keys))]
     return group, df.selectExpr(
         *[f"{quoted(k)} AS {g}" for k, g in zip(keys, group)],
-        f"CAST({quoted(value)} AS DOUBLE) AS __v",
+        f"{finite(f'CAST({quoted(value)} AS DOUBLE)')} AS __v",
     )
 
 

@@ -116,13 +116,12 @@ def mean_table(spark, sf):
     return m.summarise(s.wide(spark, sf), "yr", means)
 
 
-RATIO_DIGITS = 9
-_RATIO = s.rounded_ratio_sql("disc_part", "price", "qty", RATIO_DIGITS)
+_RATIO = s.ratio_sql("disc_part", "price", "qty")
 
 
 @registered("weighted_ratio", f"WITH {s.LINES_SQL} SELECT yr, {_RATIO} AS ratio FROM lines GROUP BY yr")
 def weighted_ratio(spark, sf):
-    ratio = m.weighted_ratio("ratio", "disc_part", "price", "qty", P, digits=RATIO_DIGITS)
+    ratio = m.weighted_ratio("ratio", "disc_part", "price", "qty", P)
     return m.summarise(s.lines(spark, sf), "yr", [ratio])
 
 
@@ -133,9 +132,8 @@ _SPARSE = "CASE WHEN l_discount > 0.02 THEN l_extendedprice END"
     "weighted_ratio_strict",
     f"""WITH cells AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS yr, l_quantity AS w,
     l_extendedprice * l_tax AS part, {_SPARSE} AS base FROM lineitem)
-    SELECT yr, {s.rounded_ratio_sql("part", "base", "w", RATIO_DIGITS)} AS loose,
-    round(coalesce(sum(part / base * w), 0)
-    / nullif(CAST(sum(CAST(CASE WHEN base IS NOT NULL THEN w END AS DECIMAL(18,2))) AS DOUBLE), 0), {RATIO_DIGITS}) AS strict
+    SELECT yr, {s.ratio_sql("part", "base", "w")} AS loose, {s.steady_sql("(part / base * w)")}
+    / nullif(CAST(sum(CAST(CASE WHEN base IS NOT NULL THEN w END AS DECIMAL(18,2))) AS DOUBLE), 0) AS strict
     FROM cells GROUP BY yr""",
 )
 def weighted_ratio_strict(spark, sf):
@@ -149,8 +147,8 @@ def weighted_ratio_strict(spark, sf):
         cells,
         "yr",
         [
-            m.weighted_ratio("loose", "part", "base", "w", P, digits=RATIO_DIGITS),
-            m.weighted_ratio("strict", "part", "base", "w", P, strict=True, digits=RATIO_DIGITS),
+            m.weighted_ratio("loose", "part", "base", "w", P),
+            m.weighted_ratio("strict", "part", "base", "w", P, strict=True),
         ],
     )
 
@@ -160,7 +158,7 @@ def weighted_ratio_strict(spark, sf):
     f"WITH {s.LINES_SQL} SELECT org, yr, {_RATIO} AS ratio FROM lines GROUP BY org, yr",
 )
 def weighted_ratio_by_org(spark, sf):
-    ratio = m.weighted_ratio("ratio", "disc_part", "price", "qty", P, digits=RATIO_DIGITS)
+    ratio = m.weighted_ratio("ratio", "disc_part", "price", "qty", P)
     return m.summarise(s.lines(spark, sf), ["org", "yr"], [ratio])
 
 
@@ -264,7 +262,7 @@ def _numeric_profile_sql(x: str, by: str, source: str) -> str:
     return f"""m AS (SELECT {by}, count(*) - count({x}) AS n_missing,
         count({x}) / count(*) AS complete_rate,
         CAST(sum(CAST({x} AS DECIMAL(18,2))) AS DOUBLE) / nullif(count({x}), 0) AS mean,
-        round(stddev_samp({x}), 4) AS sd, min({x}) AS lo, quantile_cont({x}, 0.25) AS p25,
+        {s.sd_sql(x)} AS sd, min({x}) AS lo, quantile_cont({x}, 0.25) AS p25,
         quantile_cont({x}, 0.5) AS p50, quantile_cont({x}, 0.75) AS p75, max({x}) AS hi
         FROM {source} GROUP BY {by}),
     h AS (SELECT {", ".join("m." + k for k in keys)}, {counts} FROM
@@ -279,7 +277,7 @@ def _numeric_profile_sql(x: str, by: str, source: str) -> str:
     f"WITH {s.LINES_SQL}, {_numeric_profile_sql('price', 'yr', 'lines')}",
 )
 def numeric_profile(spark, sf):
-    return profile_numeric(s.lines(spark, sf), "price", "yr", P).withColumn("sd", F.round("sd", 4))
+    return profile_numeric(s.lines(spark, sf), "price", "yr", P)
 
 
 @registered(
@@ -287,8 +285,7 @@ def numeric_profile(spark, sf):
     f"WITH {s.LINES_SQL}, {_numeric_profile_sql('qty_f', 'org, yr', 'lines')}",
 )
 def numeric_profile_two_key(spark, sf):
-    found = profile_numeric(s.lines(spark, sf), "qty_f", ["org", "yr"], P)
-    return found.withColumn("sd", F.round("sd", 4))
+    return profile_numeric(s.lines(spark, sf), "qty_f", ["org", "yr"], P)
 
 
 def _count_sql(wrap: str = "{}") -> str:
@@ -394,28 +391,24 @@ def histogram(spark, sf):
 
 @registered(
     "org_year_grain",
-    f"""WITH {s.GRAIN_SQL} SELECT * REPLACE (round(control_ratio, {RATIO_DIGITS}) AS control_ratio,
-    round(uncontrolled_ratio, {RATIO_DIGITS}) AS uncontrolled_ratio) FROM grain""",
+    f"WITH {s.GRAIN_SQL} SELECT * FROM grain",
 )
 def grain(spark, sf):
-    found = org_year_grain(s.lines(spark, sf), s.FACTS)
-    return found.withColumns(
-        {c: F.round(c, RATIO_DIGITS) for c in ("control_ratio", "uncontrolled_ratio")}
-    )
+    return org_year_grain(s.lines(spark, sf), s.FACTS)
 
 
 @registered(
     "weighted_ratio_small_terms",
-    f"""WITH small AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS yr, l_tax * 1e-9 AS part,
+    f"""WITH small AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS yr, l_tax * 1e-9::DOUBLE AS part,
     l_extendedprice AS base, l_quantity AS w FROM lineitem)
-    SELECT yr, round(1e15 * {s.ratio_sql("part", "base", "w")}, 3) AS ratio FROM small GROUP BY yr""",
+    SELECT yr, {s.ratio_sql("part", "base", "w")} AS ratio FROM small GROUP BY yr""",
 )
 def weighted_ratio_small_terms(spark, sf):
     small = s.table(spark, sf, "lineitem").selectExpr(
         f"{s.YEAR_TEXT} AS yr", "l_tax * 1e-9D AS part", "l_extendedprice AS base", "l_quantity AS w"
     )
     ratio = m.weighted_ratio("ratio", "part", "base", "w", P)
-    return m.summarise(small, "yr", [ratio]).withColumn("ratio", F.round(F.col("ratio") * 1e15, 3))
+    return m.summarise(small, "yr", [ratio])
 
 
 _STATE_CELL = """CASE WHEN n_nationkey = 3 THEN NULL WHEN n_nationkey = 4 THEN 'NA_' ELSE n_name END"""
@@ -449,8 +442,8 @@ def _catalogue() -> list[tuple[m.Measure, str]]:
             (m.reported(f"reported_{c}", x), f"count({x})"),
             (m.suppressed(f"suppressed_{c}", x), f"count(*) - count({x})"),
             (
-                m.weighted_ratio(f"ratio_{c}", x, "qua_all", "n", P, digits=RATIO_DIGITS),
-                s.rounded_ratio_sql(x, "qua_all", "n", RATIO_DIGITS),
+                m.weighted_ratio(f"ratio_{c}", x, "qua_all", "n", P),
+                s.ratio_sql(x, "qua_all", "n"),
             ),
         ]
     for f in s.FLAGS:

@@ -183,14 +183,34 @@ def row_sum_sql(*columns: str) -> str:
     return sum_sql(" + ".join(f"coalesce({c}, 0)" for c in columns))
 
 
+def steady_sql(x: str) -> str:
+    """Sum by whole parts, fractions in units of 2^-62, and what these leave, as integers."""
+    unit = "4611686018427387904"
+    whole = f"trunc({x})"
+    scaled = f"(({x} - {whole}) * {unit}::DOUBLE)"
+    rest = f"(({scaled} - trunc({scaled})) * {unit}::DOUBLE)"
+    w, f, r = (f"sum(CAST(trunc({part}) AS HUGEINT))" for part in (whole, scaled, rest))
+    f = f"({f} + {r} // {unit})"
+    return (
+        f"coalesce(CAST(CAST({w} + {f} // {unit} AS BIGINT) AS DOUBLE) + (CAST(CAST({f} % {unit} AS BIGINT) AS DOUBLE)"
+        f" + CAST(CAST({r} % {unit} AS BIGINT) AS DOUBLE) / {unit}::DOUBLE) / {unit}::DOUBLE, 0)"
+    )
+
+
 def ratio_sql(part: str, base: str, weight: str) -> str:
-    numerator = f"coalesce(sum({part} / nullif({base}, 0) * {weight}), 0)"
+    numerator = steady_sql(f"({part} / nullif({base}, 0) * {weight})")
     return f"{numerator} / nullif({sum_sql(weight, zero=False)}, 0)"
 
 
-def rounded_ratio_sql(part: str, base: str, weight: str, digits: int) -> str:
-    """Sums of quotients depend on their order in the last bits, so results are compared rounded."""
-    return f"round({ratio_sql(part, base, weight)}, {digits})"
+def sd_sql(x: str) -> str:
+    """Sample standard deviation by sums and squares of whole hundredths."""
+    units = f"CAST(round({x} * 100) AS HUGEINT)"
+    total, n = f"sum({units})", f"CAST(count({x}) AS HUGEINT)"
+    q = f"({total} // nullif({n}, 0))"
+    r = f"({total} - {q} * {n})"
+    around = f"CAST(CAST(sum({units} * {units}) - {q} * {q} * {n} - 2 * {q} * {r} AS VARCHAR) AS DOUBLE)"
+    left = f"CAST(CAST({r} AS BIGINT) AS DOUBLE)"
+    return f"CASE WHEN count({x}) > 1 THEN sqrt(greatest(0, {around} - {left} * {left} / count({x})) / (count({x}) - 1)) / 100 END"
 
 
 def pct_sql(n: str, total: str, digits: int = 1) -> str:

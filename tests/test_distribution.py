@@ -151,3 +151,32 @@ def test_histogram(frame):
     flat = histogram_bins(frame("x double", [(3.0,), (3.0,)]), "x", 2)
     assert [r["n"] for r in flat.collect()] == [2, 0]
     assert histogram_bins(frame("x double", [(None,)]), "x").count() == 0
+
+
+def test_quantiles_of_awkward_doubles(spark):
+    """Neighbours in the last bit, all magnitudes, subnormals, both zeros, and what is no number."""
+    near = [1.0]
+    for _ in range(300):
+        near.append(float(np.nextafter(near[-1], 2)))
+    rng = np.random.default_rng(4)
+    wide = [float(s * 10.0**e) for e in range(-320, 308, 7) for s in (1, -1)] + [0.0, -0.0, 5e-324, 1.7e308, -1.7e308]
+    data = [("near", x) for x in near for _ in range(2)] + [("wide", x) for x in wide] + [("one", 3.5)] * 50
+    data += [("odd", x) for x in (float("nan"), float("inf"), float("-inf"), None, 2.0, 4.0)]
+    order = rng.permutation(len(data))
+    df = spark.createDataFrame([data[k] for k in order], "g string, x double").repartition(5)
+    finite = [(g, x if x is not None and np.isfinite(x) else None) for g, x in data]
+    found = {r[0]: list(r[1:]) for r in q.exact_quantiles(df, "x", [0.0, 0.25, 0.5, 1.0], ["g"], accuracy=64).collect()}
+    for g in ("near", "one", "odd"):
+        values = [x for h, x in finite if h == g and x is not None]
+        assert found[g] == list(np.quantile(values, [0.0, 0.25, 0.5, 1.0]))
+    values = sorted(x for h, x in finite if h == "wide")
+    assert found["wide"][0] == values[0] and found["wide"][-1] == values[-1] and found["wide"][2] == values[len(values) // 2]
+
+
+def test_quantiles_run_no_job_before_they_are_read(spark):
+    df = spark.range(100).selectExpr("CAST(id AS DOUBLE) AS x", "id % 3 AS g")
+    spark.sparkContext.setJobGroup("planning", "quantiles")
+    plans = [six_number_summary(df, "x"), profile_numeric(df, "x", "g")]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == 0
+    assert [p.count() for p in plans] == [1, 3]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) > 0

@@ -1,6 +1,7 @@
 """Declarative measures, suppression accounting, badges, shares."""
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -173,3 +174,49 @@ def test_published_shares(frame, n, of, share):
     df = frame("org string, v double", [("m", float(n)), ("o", float(of - n))])
     out = share_of_universe(df, "org", ["m"], [], [m.total("v", "v")], digits=3)
     assert out.first()["v_pct"] == share
+
+
+def test_steady_sum_does_not_depend_on_the_order(spark):
+    import math
+    import random
+
+    from rosterfold.functions.numbers import steady_sum
+
+    rnd = random.Random(3)
+    groups = {
+        "mixed": [rnd.uniform(-1, 1) * 10.0 ** rnd.randint(-12, 9) for _ in range(2000)],
+        "tiny": [rnd.uniform(-1, 1) * 1e-25 for _ in range(500)],
+        "large": [9e18, 1.0, -9e18],
+        "none": [None, None],
+        "zero": [0.1, -0.1],
+    }
+    seen = set()
+    for seed in range(3):
+        data = [(g, x) for g, values in groups.items() for x in [*values, None]]
+        random.Random(seed).shuffle(data)
+        df = spark.createDataFrame(data, "g string, x double").repartition(1 + 2 * seed)
+        got = {r.g: r.s for r in df.groupBy("g").agg(F.expr(f"{steady_sum('x')} AS s")).collect()}
+        seen.add((got["mixed"], got["tiny"], got["zero"]))
+        assert got["none"] is None and abs(got["large"]) < 2048
+        for g in ("mixed", "tiny"):
+            assert got[g] == pytest.approx(math.fsum(groups[g]), rel=1e-13)
+        assert got["zero"] == 0
+    assert len(seen) == 1
+
+
+def test_sample_sd_of_units(spark):
+    import statistics
+    from fractions import Fraction
+
+    from rosterfold.functions.numbers import sample_sd
+
+    groups = {"a": [1e9 + k / 100 for k in range(500)], "b": [5.25] * 7, "c": [3.0], "d": [None], "e": [-2.5, 2.5, None, 0.01]}
+    data = [(g, x) for g, values in groups.items() for x in values]
+    df = spark.createDataFrame(data, "g string, x double").repartition(3)
+    got = {r.g: r.s for r in df.groupBy("g").agg(F.expr(f"{sample_sd('x', 2)} AS s")).collect()}
+    for g, values in groups.items():
+        exact = [Fraction(round(x * 100), 100) for x in values if x is not None]
+        if len(exact) < 2:
+            assert got[g] is None
+        else:
+            assert got[g] == pytest.approx(float(statistics.variance(exact)) ** 0.5, rel=1e-14, abs=0)
