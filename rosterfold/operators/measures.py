@@ -7,10 +7,11 @@ aggregation per task and one small shuffle, however many measures there are.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rosterfold.functions.columns import (
     as_names,
@@ -22,6 +23,7 @@ from rosterfold.functions.columns import (
     require_columns,
 )
 from rosterfold.functions.numbers import exact_sum, or_zero, row_sum, safe_div, steady_sum
+from rosterfold.sources.pinning import pinned
 
 @dataclass(frozen=True)
 class Measure:
@@ -203,11 +205,68 @@ def summarise(
     return group_by(df, keys, [named(m.sql(), m.name) for m in measures])
 
 
+def grouping_sets(df: DataFrame, tables: Mapping[str, tuple[str | Sequence[str], Sequence[Measure]]]) -> DataFrame:
+    """One aggregation for tables of several grains: a row for each group of each different set of keys.
+
+    ``tables`` maps a name to its keys and measures. Columns: every key, ``__grain`` (which set of keys a row belongs to), and
+    ``__m<n>`` for each different aggregate. The table is read once; each row is counted in
+    every grain, and partial sums of a task are merged before the shuffle.
+    """
+    grains = _grains(tables)
+    keys = as_names([k for grain in grains for k in grain])
+    for name, (by, measures) in tables.items():
+        require_columns(df, [*as_names(by), *(c for m in measures for c in m.columns)], f"table {name}")
+    aggregates = [F.expr(named(sql, name)) for sql, name in _aggregates(tables).items()]
+    # bit k of the grouping id, from the left, says that key k is not grouped by
+    ids = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in grain): n for n, grain in enumerate(grains)}
+    numbered = "CASE __id " + " ".join(f"WHEN {i} THEN {n}" for i, n in ids.items()) + " END AS __grain"
+    if not keys:
+        return df.agg(*aggregates).selectExpr("0 AS __grain", "*")
+    grouped = df.groupingSets([[col_q(k) for k in grain] for grain in grains], *map(col_q, keys))
+    return grouped.agg(F.grouping_id().alias("__id"), *aggregates).selectExpr(numbered, "*").drop("__id")
+
+
+def _grains(tables) -> list[tuple[str, ...]]:
+    return list(dict.fromkeys(tuple(as_names(by)) for by, _ in tables.values()))
+
+
+def _aggregates(tables) -> dict[str, str]:
+    """Each different aggregate and its column."""
+    found = dict.fromkeys(m.sql() for _, measures in tables.values() for m in measures)
+    return {sql: f"__m{i}" for i, sql in enumerate(found)}
+
+
+def summarise_tables(
+    df: DataFrame, tables: Mapping[str, tuple[str | Sequence[str], Sequence[Measure]]]
+) -> dict[str, DataFrame]:
+    """:func:`summarise` for many tables of different grains by one aggregation, which runs at once and is pinned.
+
+    Tables are read off the pinned result, so ``df`` is read once for all of them.
+    """
+    for name, (by, measures) in tables.items():
+        names = [*as_names(by), *(m.name for m in measures)]
+        if len(set(names)) < len(names):
+            raise ValueError(f"result column(s) named twice in table {name}")
+    found, grains, columns = pinned(grouping_sets(df, tables)), _grains(tables), _aggregates(tables)
+    return {
+        name: found.where(f"__grain = {grains.index(tuple(as_names(by)))}").selectExpr(
+            *map(quoted, as_names(by)), *[named(columns[m.sql()], m.name) for m in measures]
+        )
+        for name, (by, measures) in tables.items()
+    }
+
+
 def with_places(measures: Sequence[Measure], places: int | None) -> list[Measure]:
     """The same measures with exact sums of ``places`` digits."""
     return [replace(m, places=places) for m in measures]
 
 
+def exact_totals(measures: Sequence[Measure], places: int) -> list[Measure]:
+    """The same measures; sums of reported cells that state no places get ``places``, means and ratios stay."""
+    sums = ("total", "row_total", "gap")
+    return [replace(m, places=places) if m.kind in sums and m.places is None else m for m in measures]
+
+
 def long_form(wide: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     """One row per group and measure: ``measure``, ``value`` (double)."""
     ids = as_names(keys)
@@ -241,12 +300,12 @@ def reconcile_total(
     places: int | None = None,
 ) -> DataFrame:
     """Reported total, sum of its components, and components minus total."""
-    return summarise(
-        df,
-        by,
-        [
-            total("reported_total", total_column, places),
-            row_total("component_total", components, places),
-            gap("difference", total_column, components, places),
-        ],
-    )
+    return summarise(df, by, reconciliation(total_column, components, places))
+
+
+def reconciliation(total_column: str, components: Sequence[str], places: int | None = None) -> list[Measure]:
+    return [
+        total("reported_total", total_column, places),
+        row_total("component_total", components, places),
+        gap("difference", total_column, components, places),
+    ]

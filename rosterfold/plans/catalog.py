@@ -18,6 +18,9 @@ YEAR = "ReportingYear"
 STATE = "HealthCenterState"
 BADGE_KEY = "Grant Number"
 
+#: Decimals of reported cells: counts, staff in hundredths, amounts.
+PLACES = 2
+
 # Member organisations by grant number.
 ROSTER = (
     "H80CS02327", "H80CS29016", "H80CS26615", "H80CS00773",
@@ -103,6 +106,7 @@ TABLE_3A = [
     ],
 ]
 
+# Lines of table 3B by measure.
 TABLE_3B = [
     total("asian", "T3b_L1_Cd"),
     total("native_hawaiian", "T3b_L2a_Cd"),
@@ -140,6 +144,7 @@ DETAIL_ASIAN_SUPPRESSED = [suppressed(n, c) for n, c in ASIAN_WITH_TOTAL.items()
 DETAIL_PACIFIC = [total(n, c) for n, c in PACIFIC_WITH_TOTAL.items()]
 DETAIL_BY_STATE = [total(n, c) for n, c in {**ASIAN_DETAIL, **PACIFIC_DETAIL}.items()]
 
+# Lines of table 4 by measure.
 TABLE_4 = [
     row_total("fpl_101_200", ["T4_L2_Ca", "T4_L3_Ca"]),
     total("fpl_over_200", "T4_L4_Ca"),
@@ -191,13 +196,14 @@ STAFF = {
     "other_enabling": "T5_L28_Ca",
 }
 TABLE_5 = [total(n, c) for n, c in STAFF.items()]
+# Physician lines of table 5 and their total.
 PHYSICIAN_PARTS = tuple(f"T5_L{line}_Ca" for line in (1, 2, 3, 4, 5, 7))
 PHYSICIAN_TOTAL = "T5_L8_Ca"
 PHYSICIAN_MEANS = [
     mean(n, c, digits=2)
     for n, c in zip(("FM", "GP", "IM", "OBGYN", "Peds", "OtherSpec"), PHYSICIAN_PARTS)
 ]
-# published with the physician lines; pass the right ones where they are known
+# Published with the physician lines; pass the right ones where they are known
 PHARMACY_DETAIL = [
     total("ClinicalPharm", "T5_L1_Ca"),
     total("PharmTech", "T5_L2_Ca"),
@@ -205,6 +211,7 @@ PHARMACY_DETAIL = [
     total("TotalPharmPersonnel", "T5_L4_Ca"),
 ]
 
+# Lines of table 6A by measure.
 TABLE_6A = [
     total("tuberculosis", "T6a_L3_Cb"),
     total("hepatitis_b", "T6a_L4a_Cb"),
@@ -237,6 +244,7 @@ CLINICAL = {
 }
 TABLE_6B = [mean(n, c) for n, c in CLINICAL.items()]
 
+# Columns of the controlled and uncontrolled ratios: part, base, weight.
 CONTROL = ("T7_Li_C2c", "T7_Li_C2b", "T7_Li_C2a")
 UNCONTROLLED = ("T7_Li_C3f", "T7_Li_C3b", "T7_Li_C3a")
 TABLE_7 = [
@@ -265,7 +273,7 @@ COSTS = {
 }
 TABLE_8A = [total(n, f"T8a_L{line}_Cc") for n, line in COSTS.items()]
 
-# table 9D is not among the loaded sheets; its measures need it added
+# Table 9D is not among the loaded sheets; its measures need it added
 TABLE_9D = [
     total("medicaid_collected", "T9D_L3_Cb"),
     total("medicare_collected", "T9D_L6_Cb"),
@@ -275,7 +283,7 @@ TABLE_9D = [
 ]
 TABLE_9E = [total("other_revenue", "T9E_L11_Ca")]
 
-# Workforce lines 2.1 to 2.25 with both columns, except that of line 2.11 only
+# Workforce lines 2.1 to 2.25 with both columns, except that of line 2.11 only
 # Cb is counted; lines 2.1a to 2.1f have Cb, line 2.10a has both.
 WORKFORCE_COLUMNS = (
     _lines("Twfc", ["2.1"])

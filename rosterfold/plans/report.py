@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from rosterfold.functions.columns import named, quoted
 from rosterfold.functions.numbers import pct, row_sum
 from rosterfold.operators import badges as b
-from rosterfold.operators.checks import row_count_check
+from rosterfold.operators.checks import written_rows
 from rosterfold.operators.crosstab import count_percent_labels, crosstab, row_percentages
 from rosterfold.operators.distribution import histogram_bins, share_of_universe, six_number_summary
-from rosterfold.operators.measures import long_form, reconcile_total, rows, summarise
+from rosterfold.operators.measures import exact_totals, long_form, reconciliation, rows, summarise, summarise_tables
 from rosterfold.operators.profile import profile_numeric, profile_text
 from rosterfold.operators.roster import Roster, roster_filter
 from rosterfold.plans import catalog as c
 from rosterfold.plans.facts import fact_sheet
 from rosterfold.plans.load import load_stacked, scan_stacked
 from rosterfold.sources.sheets import scan_sheet, year_registry
+from rosterfold.sources.sinks import write_report
 
 
 def load_survey(
@@ -51,29 +52,33 @@ def survey_report(
     new: str = c.YEARS[-1],
     with_table_9d: bool = False,
 ) -> dict[str, DataFrame]:
-    """Published tables by name. All yearly measures come from one aggregation.
+    """Published tables by name.
 
+    All measures, by year and by year and state, come from one aggregation with grouping sets, which runs when the
+    report is built; their tables are read off its result. Sums of cells are exact to ``c.PLACES`` decimals.
     A column that the survey lacks is an error. Table 9D is not among the loaded
     sheets, so its measures are only there if asked for.
     """
     states = crosstab(survey, c.YEAR, c.STATE, c.STATE_ORDER, total="Total")
-    yearly = summarise(
-        survey, c.YEAR, [m for m in c.YEARLY if with_table_9d or m not in c.TABLE_9D]
-    )
-    facts = fact_sheet(survey, c.FACTS, old, new)
+    by_year = {
+        "yearly_measures": [m for m in c.YEARLY if with_table_9d or m not in c.TABLE_9D],
+        "asian_detail": c.DETAIL_ASIAN,
+        "asian_detail_reported": c.DETAIL_ASIAN_REPORTED,
+        "asian_detail_suppressed": c.DETAIL_ASIAN_SUPPRESSED,
+        "pacific_detail": c.DETAIL_PACIFIC,
+        "physician_means": c.PHYSICIAN_MEANS,
+        "physician_gap": reconciliation(c.PHYSICIAN_TOTAL, c.PHYSICIAN_PARTS),
+        "pharmacy_detail": c.PHARMACY_DETAIL,
+        "members": [rows("members")],
+    }
+    grains = {name: (c.YEAR, measures) for name, measures in by_year.items()}
+    grains["detail_by_state"] = ([c.YEAR, c.STATE], c.DETAIL_BY_STATE)
+    measured = summarise_tables(survey, {name: (by, exact_totals(found, c.PLACES)) for name, (by, found) in grains.items()})
     row_total = named(row_sum([quoted(x) for x in c.ROW_TOTAL_COLUMNS]), "row_total")
     totals = survey.selectExpr(row_total)
     return {
-        "yearly_measures": yearly,
-        "yearly_measures_long": long_form(yearly, c.YEAR),
-        "asian_detail": summarise(survey, c.YEAR, c.DETAIL_ASIAN),
-        "asian_detail_reported": summarise(survey, c.YEAR, c.DETAIL_ASIAN_REPORTED),
-        "asian_detail_suppressed": summarise(survey, c.YEAR, c.DETAIL_ASIAN_SUPPRESSED),
-        "pacific_detail": summarise(survey, c.YEAR, c.DETAIL_PACIFIC),
-        "detail_by_state": summarise(survey, [c.YEAR, c.STATE], c.DETAIL_BY_STATE),
-        "physician_means": summarise(survey, c.YEAR, c.PHYSICIAN_MEANS),
-        "physician_gap": reconcile_total(survey, c.YEAR, c.PHYSICIAN_TOTAL, c.PHYSICIAN_PARTS),
-        "pharmacy_detail": summarise(survey, c.YEAR, c.PHARMACY_DETAIL),
+        **measured,
+        "yearly_measures_long": long_form(measured["yearly_measures"], c.YEAR),
         "state_counts": states,
         "state_shares": row_percentages(states, c.YEAR),
         "state_labels": count_percent_labels(states, c.YEAR),
@@ -83,9 +88,22 @@ def survey_report(
         "profile_by_organisation": profile_numeric(survey, c.PROFILED[0], [c.YEAR, c.KEY]),
         "row_total_summary": six_number_summary(totals, "row_total"),
         "row_total_histogram": histogram_bins(totals, "row_total"),
-        "fact_sheet": facts,
-        "fact_sheet_check": row_count_check(facts, len(c.ROSTER)),
-        "members": summarise(survey, c.YEAR, [rows("members")]),
+        "fact_sheet": fact_sheet(survey, c.FACTS, old, new),
+    }
+
+
+def write_survey_report(
+    tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet", expected: Mapping[str, int] | None = None
+) -> dict[str, int]:
+    """Write every table under ``root`` and return their numbers of rows.
+
+    Rows are counted by the jobs that write them; a table with another number than
+    ``expected`` (by default one row of the fact sheet for each organisation on the roster) is an error.
+    """
+    expected = {"fact_sheet": len(c.ROSTER)} if expected is None else expected
+    return {
+        name: written_rows(table, lambda df, name=name: write_report(df, f"{root.rstrip('/')}/{name}.{fmt}", fmt), expected.get(name))
+        for name, table in tables.items()
     }
 
 

@@ -462,3 +462,17 @@ CATALOGUE = [measure for measure, _ in _catalogue()]
 )
 def fused_measures(spark, sf):
     return m.summarise(s.wide(spark, sf), "yr", CATALOGUE)
+
+
+@registered(
+    "measures_by_grain",
+    f"""WITH {s.STATE_SQL} SELECT yr, state, CAST(CASE WHEN grouping(yr) = 1 THEN 2 WHEN grouping(state) = 1 THEN 0 ELSE 1 END AS INTEGER) AS grain,
+    {s.sum_sql("qua_all")} AS patients, count(*) AS members, count(*) - count("qua_AF") AS hidden
+    FROM stated GROUP BY GROUPING SETS ((yr), (yr, state), ())""",
+)
+def measures_by_grain(spark, sf):
+    """Tables by year, by year and state and of everything from one aggregation."""
+    patients, members, hidden = m.total("patients", "qua_all", P), m.rows("members"), m.suppressed("hidden", "qua_AF")
+    tables = {"yearly": ("yr", [patients, members]), "states": (["yr", "state"], [hidden, patients]), "all": ([], [members])}
+    found = m.grouping_sets(s.wide_with_state(spark, sf), tables)
+    return found.selectExpr("yr", "state", "__grain AS grain", "__m0 AS patients", "__m1 AS members", "__m2 AS hidden")

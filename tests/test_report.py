@@ -172,3 +172,52 @@ def test_badge_report(spark, tmp_path):
     assert rows(tables["badge_holders_members"]) == [(1, 1, 1, 1)]
     assert rows(tables["badge_count"])[0][:5] == (1, 1, 1, 1, 0)
     assert tables["badge_members"].count() == 1
+
+
+def test_tables_of_several_grains_come_from_one_scan(spark, survey):
+    from rosterfold.operators import measures as m
+
+    found = m.grouping_sets(survey, {"a": (c.YEAR, c.YEARLY[:5]), "b": ([c.YEAR, c.STATE], c.DETAIL_BY_STATE), "c": ([], [m.rows("n")])})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Expand" in plan
+    tables = m.summarise_tables(survey, {"years": (c.YEAR, [m.rows("n")]), "states": ([c.STATE, c.YEAR], [m.rows("n")]), "all": ([], [m.rows("n")])})
+    assert rows(tables["all"]) == [(6,)] and rows(tables["years"]) == [("2021", 3), ("2024", 3)]
+    assert rows(tables["states"]) == rows(m.summarise(survey, [c.STATE, c.YEAR], [m.rows("n")]))
+    assert rows(m.summarise_tables(survey, {"all": ([], [m.rows("n")])})["all"]) == [(6,)]
+    with pytest.raises(ValueError, match="twice"):
+        m.summarise_tables(survey, {"x": (c.YEAR, [m.rows("n"), m.rows("n")])})
+
+
+def test_groups_of_missing_keys_are_not_totals(frame):
+    from rosterfold.operators import measures as m
+
+    df = frame("a string, b string, x double", [("1", None, 1.0), (None, "p", 2.0), ("1", "p", None)])
+    tables = m.summarise_tables(df, {"a": ("a", [m.total("t", "x", 2)]), "ab": (["a", "b"], [m.total("t", "x", 2)]), "all": ([], [m.total("t", "x", 2)])})
+    assert rows(tables["a"]) == [(None, 2.0), ("1", 1.0)] and rows(tables["all"]) == [(3.0,)]
+    assert rows(tables["ab"]) == [(None, "p", 2.0), ("1", None, 1.0), ("1", "p", 0.0)]
+
+
+def test_rows_are_counted_by_the_job_that_writes_them(spark, survey, tmp_path):
+    facts = report.survey_report(survey)["fact_sheet"]
+    spark.sparkContext.setJobGroup("write", "counted")
+    found = report.write_survey_report({"fact_sheet": facts}, str(tmp_path), expected={"fact_sheet": 3})
+    counted = len(spark.sparkContext.statusTracker().getJobIdsForGroup("write"))
+    spark.sparkContext.setJobGroup("plain", "not counted")
+    facts.write.parquet(f"{tmp_path}/plain")
+    assert counted == len(spark.sparkContext.statusTracker().getJobIdsForGroup("plain")) and found == {"fact_sheet": 3}
+    assert spark.read.parquet(f"{tmp_path}/fact_sheet.parquet").count() == 3
+    with pytest.raises(ValueError, match="3 rows, expected 28"):
+        report.write_survey_report({"fact_sheet": facts}, f"{tmp_path}/again")
+
+
+def test_badges_with_repeated_and_blank_keys_are_loaded(spark, tmp_path):
+    levels = [f"Health Center Quality Leader - {x}" for x in c.BADGE_LEVELS]
+    schema = ", ".join(f"`{n}` string" for n in ["Grant Number", "HC Type", *levels])
+    for n, year in enumerate(c.BADGE_YEARS):
+        data = [(c.ROSTER[0], "x", "Yes", None, None), (None, "x", "Yes", None, None), (None, "y", None, "Yes", None)]
+        data += [("twice", "x", "Yes", None, None)] * (2 if n == 1 else 1)
+        write_report(spark.createDataFrame(data, schema), f"{tmp_path}/{c.BADGE_SHEET.format(year=year)}.parquet")
+    badges = report.load_badges(spark, str(tmp_path))
+    got = rows(badges, "Grant Number")
+    assert got == [(None,)] * 2 ** len(c.BADGE_YEARS) + [(c.ROSTER[0],)] + [("twice",)] * 2
+    assert rows(report.badge_report(badges)["badge_members"], "Grant Number") == [(c.ROSTER[0],)]
