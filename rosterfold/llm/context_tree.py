@@ -1,27 +1,29 @@
-"""Language-model scoring by context-tree weighting over the bytes of words.
+"""Language-model scoring by context-tree weighting over the bytes of a text.
 
 A token is coded as its bytes and a closing blank, each byte as eight binary
-decisions. The context of a byte is what stands before it in its token, up to ``DEPTH``
-bytes back, with a blank as the token's start. Every context of every depth has one
+decisions. The context of a byte is what stands before it, up to ``DEPTH``
+bytes back: the bytes of its token, the blank before it and the last ``TAIL`` bytes of the token before that. Every context of every depth has one
 binary estimator for each node of the byte's decision tree (Krichevsky-Trofimov:
 (n + 1/2) / (total + 1)). Weighting mixes all depths: a node's probability of what it has
 seen is half its own estimate and half the product of its longer contexts', and the
 share of either half is the weight with which it predicts. A longer context that
 was never seen has no say. A text is its tokens and then one end token.
 
-As contexts do not leave a token, everything follows from the counts of
-different words, and the probability of a word is the same wherever it stands:
+As contexts reach ``TAIL`` bytes into the token before, everything follows from the counts of
+different units, a word with that tail before it:
 
-1. words are counted, in buckets by hash; nothing is left out, so what is
+1. units are counted, in buckets by hash of the word; nothing is left out, so what is
    gathered grows with the corpus;
-2. the (context, byte) pairs of each bucket's words go to the group of the last two
+2. the (context, byte) pairs of each bucket's units go to the group of the last two
    bytes of their context, where the tree of longer contexts is built bottom-up;
    only the nodes of contexts of up to two bytes (at most 65,536 times 255) meet on the driver;
 3. each group answers each bucket's pairs with their probabilities, and the bucket sums
-   them to one for each word;
-4. texts look frequent words up in a table sent to all tasks (words with at least one
-   in ``2**20`` of all tokens, so at most ``2**20`` of them); the other words of a text
-   meet the table of their bucket in a shuffle, and are summed by text.
+   them to one for each unit;
+4. texts look frequent units up in a table sent to all tasks (units with at least one
+   in ``2**20`` of all tokens, so at most ``2**20`` of them); the other units of a block of texts
+   meet the table of their bucket in a shuffle, come back as one row for each block and bucket, and are summed by text.
+
+``bits_per_byte`` is the text's code length, over its words' bytes with a blank each and the end token.
 
 Texts are lower-cased (A-Z) and words are what is between ASCII white space. Null and
 empty texts have the end token alone; texts with a null id are learned from; rows that
@@ -32,6 +34,7 @@ repeat are learned from and scored each; without anything to learn from all coun
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +44,12 @@ from pyspark.sql import functions as F
 
 from rosterfold.llm.common import blob, parts, pin, prepare, remainders, slices, text_bytes, texts
 
-DEPTH = 8
+DEPTH = 6
+
+#: Bytes of the token before that belong to a token's contexts.
+TAIL = 2
 
-#: Words of at least one in this many training tokens are looked up without a shuffle.
+#: Units of at least one in this many training tokens are looked up without a shuffle.
 FREQUENT = 1 << 20
 
 BUCKET_BYTES = 24 << 20
@@ -56,8 +62,19 @@ _END = 10
 _KEY = np.uint64(48)
 
 
+def units(words: list[bytes]) -> list[bytes]:
+    """Each word of a text behind a blank and the last bytes of the word before."""
+    if not words:
+        return []
+    return [b" " + words[0], *[a[-TAIL:] + b" " + b for a, b in zip(words, words[1:])]]
+
+
+def _word(unit: bytes) -> bytes:
+    return unit[unit.index(b" ") + 1 :]
+
+
 def word_counts(docs: DataFrame, n: int, modulus: int, held_out: int) -> DataFrame:
-    """bucket, words (joined by line feeds, sorted), counts (in training texts), n_tokens, n_known; pinned."""
+    """bucket, words (units joined by line feeds, sorted), counts (in training texts), of_word (of the unit's word), n_tokens, n_known; pinned."""
 
     def count(batches):
         learned, other = Counter(), set()
@@ -68,7 +85,7 @@ def word_counts(docs: DataFrame, n: int, modulus: int, held_out: int) -> DataFra
                     learned[word] = 0
             by: list[list] = [[] for _ in range(n)]
             for word in learned:
-                by[xxhash.xxh3_64_intdigest(word) % n].append(word)
+                by[xxhash.xxh3_64_intdigest(_word(word)) % n].append(word)
             for bucket, words in enumerate(by):
                 if words:
                     words.sort()
@@ -83,7 +100,7 @@ def word_counts(docs: DataFrame, n: int, modulus: int, held_out: int) -> DataFra
         for batch in slices(batches):
             kept_out = remainders(batch.column("doc_id"), modulus) == held_out
             for text, out in zip(texts(batch.column("text")), kept_out, strict=True):
-                (other if out else learned).update(text.lower().split())
+                (other if out else learned).update(units(text.lower().split()))
             if len(learned) + len(other) > HELD:
                 yield from flush()
                 learned, other = Counter(), set()
@@ -96,41 +113,51 @@ def word_counts(docs: DataFrame, n: int, modulus: int, held_out: int) -> DataFra
                 total[word] += c
         words = sorted(total)
         counts = np.array([total[w] for w in words], "<i8")
+        of: Counter = Counter()
+        for word, c in total.items():
+            of[_word(word)] += c
+        of_word = np.array([of[_word(w)] for w in words], "<i8")
         return pa.table(
             {
                 "bucket": group.column("bucket")[:1],
                 "words": pa.array([b"\n".join(words)], pa.binary()),
                 "counts": pa.array([blob(counts)], pa.binary()),
+                "of_word": pa.array([blob(of_word)], pa.binary()),
                 "n_tokens": pa.array([int(counts.sum())], pa.int64()),
-                "n_known": pa.array([int((counts > 0).sum())], pa.int64()),
+                "n_known": pa.array([sum(c > 0 for c in of.values())], pa.int64()),
             }
         )
 
     return pin(
         docs.mapInArrow(count, "bucket int, words binary, counts binary")
         .groupBy("bucket")
-        .applyInArrow(merge, "bucket int, words binary, counts binary, n_tokens bigint, n_known bigint")
+        .applyInArrow(merge, "bucket int, words binary, counts binary, of_word binary, n_tokens bigint, n_known bigint")
     )
 
 
 def contexts(words: bytes, counts: np.ndarray):
-    """Different (context, byte) pairs of these words and of the end token, in order.
+    """Different (context, byte) pairs of these units (or words without a tail) and of the end token, in order.
 
     Gives contexts (nearest byte on top), bytes, counts, the pair of each position,
-    and the first position of each word; the end token is the last position.
+    and the first position of each unit; the end token is the last position.
     """
-    data = np.frombuffer(b" " + words.replace(b"\n", b" ") + b" ", np.uint8)
-    at = np.arange(1, len(data))
-    blanks = np.where(data == 32, np.arange(len(data)), 0)
-    back = at - np.maximum.accumulate(blanks)[:-1]
+    if b" " not in words:
+        words = b" " + words.replace(b"\n", b"\n ")
+    data = np.frombuffer(words.replace(b"\n", b" \n") + b" ", np.uint8)
+    breaks, blanks = data == 10, data == 32
+    unit = np.cumsum(breaks)
+    starts = np.append(0, np.flatnonzero(breaks) + 1)
+    # a unit has two blanks: what is coded stands behind the first, and the second is the last of it
+    at = np.flatnonzero(~breaks & (np.cumsum(blanks) - blanks - 2 * unit == 1))
+    back = at - starts[unit[at]]
     context = np.zeros(len(at), np.uint64)
     for k in range(1, DEPTH + 1):
         byte = np.where(k <= back, data[np.maximum(at - k, 0)], 0).astype(np.uint64)
         context |= byte << np.uint64(8 * (8 - k))
-    first = np.flatnonzero(back == 1)
+    first = np.flatnonzero(np.append(True, unit[at][1:] != unit[at][:-1]))
     weight = np.repeat(counts, np.diff(np.append(first, len(at))))
     context = np.append(context, _START)
-    byte = np.append(data[1:], np.uint8(_END))
+    byte = np.append(data[at], np.uint8(_END))
     weight = np.append(weight, 0)
     order, begin = _grouped(context, byte)
     pair = np.zeros(len(order), np.int64)
@@ -344,8 +371,8 @@ def word_scores(vocabulary: DataFrame, n_tokens: int, n_texts: int) -> DataFrame
     def total(left, right):
         names = ("hashes", "counts", "scores", "often", "often_counts", "often_scores")
         rows = []
-        for bucket, words, counts in zip(*(left.column(c).to_pylist() for c in ("bucket", "words", "counts")), strict=True):
-            counts = np.frombuffer(counts, "<i8")
+        for bucket, words, counts, of_word in zip(*(left.column(c).to_pylist() for c in ("bucket", "words", "counts", "of_word")), strict=True):
+            counts, of_word = np.frombuffer(counts, "<i8"), np.frombuffer(of_word, "<i8")
             _, _, _, pair, first = contexts(words, counts)
             order = np.argsort(right.column("key").to_numpy())
             given = right.column("answers").to_pylist()
@@ -357,14 +384,14 @@ def word_scores(vocabulary: DataFrame, n_tokens: int, n_texts: int) -> DataFrame
             order = np.argsort(hashes)
             often = np.flatnonzero(counts >= least)
             rows.append(
-                (bucket, float(end_score), blob(hashes[order]), blob(counts[order]), blob(scores[order]),
-                 b"\n".join([words[k] for k in often]), blob(counts[often]), blob(scores[often]))
+                (bucket, float(end_score), blob(hashes[order]), blob(of_word[order]), blob(scores[order]),
+                 b"\n".join([words[k] for k in often]), blob(of_word[often]), blob(scores[often]))
             )
         kinds = (pa.int32(), pa.float64(), *[pa.binary()] * 6)
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "end_score", *names])
 
     return pin(
-        vocabulary.select("bucket", "words", "counts")
+        vocabulary.select("bucket", "words", "counts", "of_word")
         .groupBy("bucket")
         .cogroup(answers.groupBy("bucket"))
         .applyInArrow(
@@ -375,96 +402,129 @@ def word_scores(vocabulary: DataFrame, n_tokens: int, n_texts: int) -> DataFrame
     )
 
 
+#: Texts and rare units of a block.
+BLOCK_TEXTS = 50_000
+BLOCK_UNITS = 1_500_000
+
 _PARTS = (
-    "kind int, row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double,"
-    " bucket int, hashes binary, places binary, rows binary"
+    "kind int, block bigint, place int, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, coded bigint, base double, score double,"
+    " bucket int, hashes binary, places binary"
 )
 
 
 def look_up(docs: DataFrame, n: int, often, modulus: int, held_out: int) -> DataFrame:
-    """Kind 0: a text with what its frequent words give. Kind 1: other words of texts, by bucket. Pinned."""
+    """Kind 0: a text, its place in a block, and what its frequent units give. Kind 1: other units of a block's texts, by bucket. Pinned."""
 
     def work(batches):
         names = [c.split()[0] for c in _PARTS.split(",")]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), *[pa.binary()] * 3]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
         words, counts, scores, end = often.value
         number = {w: k for k, w in enumerate(words)}
-        # the last entry is for words that are not frequent
+        # the last entry is for units that are not frequent
         base = np.append(np.log10(np.frombuffer(counts, "<i8") + 1.0), 0.0)
         score = np.append(np.frombuffer(scores, "<f8"), 0.0)
         end_base, end_score, end_known = end
         held: list = []
-        kept = 0
-
-        def table(rows):
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        block, n_texts, kept = None, 0, 0
 
         def flush():
-            hashes, rows = (np.concatenate(c) for c in zip(*held, strict=True))
-            bucket = (hashes % np.uint64(n)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-            for b, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if e > s:
-                    own, place = np.unique(rows[order[s:e]], return_inverse=True)
-                    yield table([(1, *[None] * 7, b, blob(hashes[order[s:e]]), blob(place.astype("<u4")), blob(own))])
+            hashes, buckets, places = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(buckets, kind="stable")
+            cuts = np.searchsorted(buckets[order], np.arange(n + 1))
+            rows = [
+                (1, block, *[None] * 8, b, blob(hashes[order[s:e]]), blob(places[order[s:e]].astype("<u4")))
+                for b, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
+                if e > s
+            ]
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in slices(batches):
-            row = batch.column("row").to_numpy()
-            split = [t.lower().split() for t in texts(batch.column("text"))]
+            if block is None:
+                block = batch.column("row")[0].as_py()
+            found = [t.lower().split() for t in texts(batch.column("text"))]
+            split = [units(words) for words in found]
             sizes = np.array([len(s) for s in split])
-            flat = [w for s in split for w in s]
-            at = np.fromiter(map(number.get, flat, [-1] * len(flat)), np.int64, len(flat))
+            flat = [u for s in split for u in s]
+            at = np.fromiter(map(number.get, flat, repeat(-1)), np.int64, len(flat))
             owner = np.repeat(np.arange(len(split)), sizes)
             known = at >= 0
-            one = np.flatnonzero(~known)
-            held.append((np.array([xxhash.xxh3_64_intdigest(flat[k]) for k in one], np.uint64), row[owner[one]]))
-            kept += len(one)
+            one = np.flatnonzero(~known).tolist()
+            hashes = np.array([xxhash.xxh3_64_intdigest(flat[k]) for k in one], np.uint64)
+            buckets = np.array([xxhash.xxh3_64_intdigest(_word(flat[k])) % n for k in one], np.int64)
+            held.append((hashes, buckets, n_texts + owner[one]))
             sums = [np.bincount(owner, x[at], len(split)) if len(flat) else np.zeros(len(split)) for x in (base, score)]
             n_known = np.bincount(owner[known], minlength=len(split))
             out = remainders(batch.column("doc_id"), modulus) == held_out
+            coded = [sum(map(len, words)) + len(words) + 1 for words in found]
             yield pa.record_batch(
                 [
-                    pa.array([0] * len(split), pa.int32()), pa.array(row), batch.column("doc_id"), pa.array(out),
-                    pa.array(sizes + 1, pa.int64()), pa.array(n_known + end_known, pa.int64()),
+                    pa.array([0] * len(split), pa.int32()), pa.array([block] * len(split), pa.int64()),
+                    pa.array(np.arange(n_texts, n_texts + len(split)), pa.int32()), batch.column("doc_id"), pa.array(out),
+                    pa.array(sizes + 1, pa.int64()), pa.array(n_known + end_known, pa.int64()), pa.array(coded, pa.int64()),
                     pa.array(sums[0] + end_base), pa.array(sums[1] + end_score),
-                    *(pa.nulls(len(split), k) for k in kinds[8:]),
+                    *(pa.nulls(len(split), k) for k in kinds[10:]),
                 ],
                 names=names,
             )
-            if kept > 1_500_000:
+            n_texts += len(split)
+            kept += len(one)
+            if kept >= BLOCK_UNITS or n_texts >= BLOCK_TEXTS:
                 yield from flush()
-                held, kept = [], 0
-        if kept:
+                held, block, n_texts, kept = [], None, 0, 0
+        if held:
             yield from flush()
 
     return pin(docs.mapInArrow(work, _PARTS))
 
 
 def meet(found: DataFrame, table: DataFrame) -> DataFrame:
-    """row, n_known, base, score: what the words that are not frequent give to their texts, by bucket."""
+    """One row for each block and bucket: what units that are not frequent give to the block's texts."""
 
     def add(left, right):
         hashes, counts, scores = (np.frombuffer(right.column(c)[0].as_py(), t) for c, t in (("hashes", "<u8"), ("counts", "<i8"), ("scores", "<f8")))
         base = np.log10(counts + 1.0)
-        out = []
-        for own, places, rows in zip(*(left.column(c).to_pylist() for c in ("hashes", "places", "rows")), strict=True):
+        rows = []
+        for block, own, places in zip(*(left.column(c).to_pylist() for c in ("block", "hashes", "places")), strict=True):
             at = np.searchsorted(hashes, np.frombuffer(own, "<u8"))
-            places, rows = np.frombuffer(places, "<u4"), np.frombuffer(rows, "<i8")
-            sums = (np.bincount(places, x[at], len(rows)) for x in ((counts > 0).astype(float), base, scores))
-            out.append((rows, *sums))
-        row, known, base_sum, score = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0)] * 4
-        return pa.table({"row": row.astype(np.int64), "n_known": known.astype(np.int64), "base": base_sum, "score": score})
+            places, number = np.unique(np.frombuffer(places, "<u4"), return_inverse=True)
+            sums = (np.bincount(number, x[at], len(places)) for x in ((counts > 0).astype(float), base, scores))
+            rows.append((block, blob(places), *map(blob, sums)))
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        kinds = (pa.int64(), *[pa.binary()] * 4)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "places", "known", "base", "score"])
 
     return (
-        found.where("kind = 1").select("bucket", "hashes", "places", "rows").groupBy("bucket")
+        found.where("kind = 1").select("bucket", "block", "hashes", "places").groupBy("bucket")
         .cogroup(table.select("bucket", "hashes", "counts", "scores").groupBy("bucket"))
-        .applyInArrow(add, "row bigint, n_known bigint, base double, score double")
+        .applyInArrow(add, "block bigint, places binary, known binary, base binary, score binary")
     )
 
 
+_SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, coded bigint, base double, score double"
+
+
+def _add_blocks(left, right):
+    """The texts of a block with all their sums."""
+    place = left.column("place").to_numpy()
+    sums = np.zeros((3, int(place.max()) + 1 if len(place) else 0))
+    for places, *found in zip(*(right.column(c).to_pylist() for c in ("places", "known", "base", "score")), strict=True):
+        at = np.frombuffer(places, "<u4")
+        for k, x in enumerate(found):
+            sums[k, at] += np.frombuffer(x, "<f8")
+    return pa.table(
+        {
+            **{c: left.column(c) for c in ("doc_id", "held_out", "n_tokens")},
+            "n_known": left.column("n_known").to_numpy() + sums[0, place].astype(np.int64),
+            "coded": left.column("coded"),
+            "base": left.column("base").to_numpy() + sums[1, place],
+            "score": left.column("score").to_numpy() + sums[2, place],
+        }
+    )
+
+
 def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every text.
 
     Texts whose crc32(doc_id) leaves ``held_out`` are scored but not learned from.
     """
@@ -488,26 +548,12 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
         end_score = 0.0  # no text has a word: the end token is certain
     end = (float(np.log10(n_texts + 1)), end_score, int(n_texts > 0))
     often = spark.sparkContext.broadcast((words, b"".join(counts), b"".join(scores), end))
-    keyed = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    found = look_up(keyed, n, often, modulus, held_out)
-    whole = found.where("kind = 0").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", F.lit(1).alias("copies"))
-    more = meet(found, table).select(
-        "row", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"),
-        F.lit(0).cast("bigint").alias("n_tokens"), "n_known", "base", "score", F.lit(0).alias("copies"),
-    )
-    # equal rows share a key: their sums are taken together and given to each
-    copies = F.sum("copies")
-    joined = whole.unionByName(more).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        (F.sum("n_tokens") / copies).cast("bigint").alias("n_tokens"),
-        (F.sum("n_known") / copies).cast("bigint").alias("n_known"),
-        (F.sum("base") / copies).alias("base"),
-        (F.sum("score") / copies).alias("score"),
-        F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("copy"),
-    )
+    # the number of a block's first row tells blocks apart; both kinds of rows are written by one job
+    found = look_up(rows.withColumn("row", F.monotonically_increasing_id()), n, often, modulus, held_out)
+    own = found.where("kind = 0").select("block", "place", "doc_id", "held_out", "n_tokens", "n_known", "coded", "base", "score")
+    scored = own.groupBy("block").cogroup(meet(found, table).groupBy("block")).applyInArrow(_add_blocks, _SCORED)
     rest = float(np.log10(n_tokens + n_known + 1))
-    return joined.select(
+    return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -515,4 +561,5 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
         F.lit(n_tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.lit(rest)).alias("base_score"),
         "score",
+        (-F.col("score") * F.lit(float(np.log2(10))) / F.col("coded")).alias("bits_per_byte"),
     )

@@ -103,6 +103,74 @@ def test_context_tree_matches_a_plain_recursion():
     assert found == Counter((k, round(weighted(2, p, k), 7) + 0.0) for p, k in keys)
 
 
+def _mixed_probability(prefix: bytes, byte: int, history: Counter) -> float:
+    """Probability of a byte after ``prefix`` (nearest byte last), by the definition of the weighted tree."""
+
+    def own(zeros, ones):
+        return math.exp(math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(zeros + ones + 1))
+
+    def counts(suffix, number):
+        level = number.bit_length() - 1
+        here = [(b, c) for (p, b), c in history.items() if p.endswith(suffix) and (1 << level | b >> (8 - level)) == number]
+        ones = sum(c for b, c in here if b >> (7 - level) & 1)
+        return sum(c for _, c in here) - ones, ones
+
+    def weight(suffix, number):
+        zeros, ones = counts(suffix, number)
+        if len(suffix) == context_tree.DEPTH:
+            return own(zeros, ones)
+        longer = 1.0
+        for before in {p[-len(suffix) - 1] for p, _ in history if p.endswith(suffix)}:
+            longer *= weight(bytes([before]) + suffix, number)
+        return 0.5 * own(zeros, ones) + 0.5 * longer
+
+    out = 1.0
+    for j in range(8):
+        number, bit = 1 << j | byte >> (8 - j), byte >> (7 - j) & 1
+        mixed = None
+        for d in range(context_tree.DEPTH, -1, -1):
+            suffix = prefix[len(prefix) - d :]
+            zeros, ones = counts(suffix, number)
+            estimate = ((ones if bit else zeros) + 0.5) / (zeros + ones + 1)
+            if mixed is None or not sum(counts(prefix[len(prefix) - d - 1 :], number)):
+                mixed = estimate
+            else:
+                share = 0.5 * own(zeros, ones) / weight(suffix, number)
+                mixed = share * estimate + (1 - share) * mixed
+        out *= mixed
+    return out
+
+
+def test_context_tree_scores_by_the_definition(spark):
+    rows = [(1, "ab ba"), (2, "ab ab b"), (3, "ba é"), (5, "ab ba q"), (None, "b")]
+    found = {r.doc_id: r for r in context_tree.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+
+    def coded(text):
+        words = text.lower().encode().split()
+        for unit in context_tree.units(words):
+            tail = unit[: unit.index(b" ") + 1]
+            data = unit + b" "
+            for k in range(len(tail), len(data)):
+                yield data[:k].rjust(context_tree.DEPTH, b"\0")[-context_tree.DEPTH :], data[k]
+        yield b" ".rjust(context_tree.DEPTH, b"\0"), 10
+
+    history = Counter(p for d, t in rows if cases.remainder(d, 7) != 2 for p in coded(t))
+    for doc_id, text in rows:
+        bits = [math.log10(_mixed_probability(prefix, byte, history)) for prefix, byte in coded(text)]
+        assert found[doc_id].score == pytest.approx(sum(bits), rel=1e-9), text
+        assert found[doc_id].bits_per_byte == pytest.approx(-sum(bits) * math.log2(10) / len(bits), rel=1e-9)
+
+
+def test_context_tree_sees_the_order_of_words(spark, monkeypatch):
+    monkeypatch.setattr(context_tree, "BLOCK_TEXTS", 7)
+    text = "the cat sat on the mat"
+    rows = [(k, text) for k in range(61)] + [(100, "mat the on sat cat the"), (101, "cat the the mat on sat"), (102, "the " * 30_000)]
+    found = {r.doc_id: r for r in context_tree.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert len(found) == 64
+    assert found[0].score > max(found[k].score for k in (100, 101)) + 1
+    assert found[100].base_score == pytest.approx(found[0].base_score) and found[102].n_tokens == 30_001
+
+
 def test_context_tree_prefers_what_it_learned(spark):
     rows = [(k, "the cat sat on the mat") for k in range(60)] + [(1000, "the cat sat"), (1001, "zqj xvk wpf")]
     got = {r.doc_id: r.score for r in context_tree.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
