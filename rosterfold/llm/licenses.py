@@ -6,7 +6,8 @@ spaces, with a label, a priority and a keyword. Texts without any of ``GATES`` a
 not cut at all, and a rule runs only where its keyword occurs, so most texts cost
 one scan. Detections are word intervals. Of these, one
 that lies inside another of the same or a higher priority is suppressed; what is
-left is the method's labels.
+left is the method's labels. Long texts are scanned by windows of ``CORE`` words that overlap by more than two rules are
+long, so that the work follows the text.
 
 Rules come from ``FAMILIES`` (a name, its keywords, its versions) and
 ``FORMS`` (tag, grant, versioned name, bare name), in that order of priority.
@@ -97,6 +98,10 @@ GATES = (
 SHORT_GATES = ("mpl", "epl", "cpl", "ofl", "ms pl", "cc zero", "cc attribution")
 UNDER_GATES = ("mit",)
 
+#: Words whose detections are looked for at once, and words beside them that are looked at too: more than two rules are long.
+CORE = 1024
+MARGIN = 96
+
 #: Confidence of a detection by priority, and of a base label.
 WEIGHTS = {1: 0.5, 2: 0.7, 3: 0.9, 4: 1.0}
 BASE_WEIGHT = 0.8
@@ -171,6 +176,14 @@ def scan(docs: DataFrame) -> DataFrame:
         f" 'label', {_text(label)}, 'priority', {priority}, 'rule', {n})"
         for n, (label, key, regex, priority) in enumerate(rules())
     )
+    # A long text is worked on by windows; a window's own detections start in its core, and all that could
+    # contain them lie within its margins.
+    windows = f"""
+      transform(sequence(0, (size(__words) - 1) div {CORE}), k -> named_struct(
+        'from', greatest(CAST(k * {CORE} - {MARGIN} AS INT), 0), 'core', CAST(k * {CORE} AS INT),
+        'norm', concat(' ', array_join(slice(__words, greatest(CAST(k * {CORE} - {MARGIN} AS INT), 0) + 1,
+          least(CAST(k * {CORE} AS INT), {MARGIN}) + {CORE + MARGIN}), ' '), ' ')))"""
+    found = found.withColumn("__windows", F.expr(f"CASE WHEN size(__words) > 0 THEN {windows} ELSE array() END"))
     spaces = "(char_length({0}) - char_length(replace({0}, ' ', '')))"
     intervals = f"""
       aggregate(
@@ -187,27 +200,27 @@ def scan(docs: DataFrame) -> DataFrame:
       array_sort(array_distinct(flatten(transform(
         filter(
           transform(
-            filter(array({table}), r -> contains(__norm, r.key)),
-            r -> named_struct('found', regexp_extract_all(__norm, r.regex, 0), 'regex', r.regex,
+            filter(array({table}), r -> contains(w.norm, r.key)),
+            r -> named_struct('found', regexp_extract_all(w.norm, r.regex, 0), 'regex', r.regex,
                               'priority', r.priority, 'rule', r.rule, 'label', r.label)),
           m -> size(m.found) > 0),
-        m -> transform(array(named_struct('found', m.found, 'parts', split(__norm, m.regex, -1),
+        m -> transform(array(named_struct('found', m.found, 'parts', split(w.norm, m.regex, -1),
                               'priority', m.priority, 'rule', m.rule, 'label', m.label)), p -> {intervals})[0]))))"""
-    found = found.withColumn("__hits", F.expr(f"CASE WHEN __words IS NOT NULL THEN {hits} END"))
     # Sorted by start, then from long to short, then from high to low priority: what contains a
     # detection comes before it, so the furthest end so far of each priority tells.
     tops = ", ".join(f"greatest(s.ends[{p - 1}], CASE WHEN d.over <= -{p} THEN -d.past ELSE -1 END)" for p in sorted(WEIGHTS))
     detections = f"""
       aggregate(
-        __hits,
+        {hits},
         named_struct('ends', array({', '.join('-1' for _ in WEIGHTS)}),
                      'out', CAST(array() AS array<struct<label:string,start:int,past:int,priority:int>>)),
         (s, d) -> named_struct(
           'ends', array({tops}),
-          'out', CASE WHEN s.ends[-d.over - 1] >= -d.past THEN s.out
-                      ELSE array_append(s.out, named_struct('label', d.label, 'start', d.start, 'past', -d.past, 'priority', -d.over)) END),
+          'out', CASE WHEN s.ends[-d.over - 1] >= -d.past OR w.from + d.start < w.core OR w.from + d.start >= w.core + {CORE} THEN s.out
+                      ELSE array_append(s.out, named_struct(
+                        'label', d.label, 'start', w.from + d.start, 'past', w.from - d.past, 'priority', -d.over)) END),
         s -> s.out)"""
-    found = found.withColumn("detections", F.expr(f"CASE WHEN size(__hits) > 0 THEN {detections} ELSE array() END"))
+    found = found.withColumn("detections", F.expr(f"flatten(transform(__windows, w -> {detections}))"))
     places = f"concat({', '.join(f'__at{k}' for k in range(len(BASE)))})"
     labels = "array_compact(array(" + ", ".join(
         f"CASE WHEN size(__at{k}) > 0 THEN {_text(label)} END" for k, label in enumerate(BASE.values())

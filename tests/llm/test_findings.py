@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re._parser as regex
 
 import numpy as np
@@ -152,3 +153,23 @@ def test_license_texts_without_a_common_gate(spark):
     }
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert [r.labels for r in licenses.scan(docs).orderBy("doc_id").collect()] == list(texts.values())
+
+
+def test_license_windows_find_what_the_whole_text_holds(spark, monkeypatch):
+    rnd = random.Random(1)
+    lines = [
+        "Licensed under the Apache License, Version 2.0.", "CC BY-SA 4.0", "all rights reserved", "released under the MIT license",
+        "GPL v3 or later", "copyright 2020", "for noncommercial use only", "creative commons attribution non commercial 4.0 license",
+    ]
+    rows = [(k, " ".join(rnd.choice(lines) if rnd.random() < 0.3 else f"w{rnd.randrange(50)}" for _ in range(rnd.choice([5, 300, 900])))) for k in range(20)]
+    docs = spark.createDataFrame([*rows, (100, None), (101, ""), (102, "...")], "doc_id bigint, text string")
+    monkeypatch.setattr(licenses, "CORE", 1 << 20)
+    whole = sorted(licenses.scan(docs).collect())
+    monkeypatch.setattr(licenses, "CORE", 100)
+    assert sorted(licenses.scan(docs).collect()) == whole and sum(len(r.detections) for r in whole) > 500
+
+
+def test_license_scan_of_a_long_text(spark):
+    text = "Licensed under the MIT License. " * 8000
+    found = licenses.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert len(found.detections) == 8000 and found.labels == "mit" and found.n_words == 40_000
