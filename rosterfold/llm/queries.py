@@ -148,3 +148,4 @@ ORACLE["op5_quality_rules"] = _quality_sql()
 ORACLE["op11_merkle_manifest"] = sql.MANIFEST
 ORACLE["op12_importance_resampling"] = sql.RESAMPLING
 ORACLE["op13_cover_tree"] = sql.VECTORS
+ORACLE["op3_ngram_join"] = sql.SHINGLES

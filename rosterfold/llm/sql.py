@@ -77,3 +77,17 @@ VECTORS = """
     least AS (SELECT a AS row, min(vec_id) AS component_id FROM reach JOIN vectors ON vectors.row = b GROUP BY a),
     counted AS (SELECT a AS row, count(*) AS n FROM links GROUP BY a)
     SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM vectors JOIN least USING (row) LEFT JOIN counted USING (row)"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SHINGLES = rf"""
+    WITH RECURSIVE texts AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    shingles AS (SELECT DISTINCT row, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM texts WHERE len(w) >= 5)
+        UNION ALL SELECT row, array_to_string(w, ' ') FROM texts WHERE len(w) BETWEEN 1 AND 4),
+    sizes AS (SELECT row, count(*) AS n FROM shingles GROUP BY row),
+    met AS (SELECT x.row AS a, y.row AS b, count(*) AS o FROM shingles x JOIN shingles y USING (s) WHERE x.row <> y.row GROUP BY ALL),
+    links AS (SELECT a, b FROM met JOIN sizes x ON x.row = a JOIN sizes y ON y.row = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+    reach AS (SELECT row AS a, row AS b FROM texts UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+    least AS (SELECT a AS row, min(doc_id) AS component_id FROM reach JOIN texts ON texts.row = b GROUP BY a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM texts JOIN least USING (row) LEFT JOIN sizes USING (row)"""
