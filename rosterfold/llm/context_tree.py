@@ -34,7 +34,7 @@ repeat are learned from and scored each; without anything to learn from all coun
 from __future__ import annotations
 
 from collections import Counter
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +55,7 @@ FREQUENT = 1 << 20
 BUCKET_BYTES = 24 << 20
 
 #: Different words a task holds before it passes them on.
-HELD = 400_000
+HELD = 600_000
 
 _START = np.uint64(0x20 << 56)
 _END = 10
@@ -84,8 +84,9 @@ def word_counts(docs: DataFrame, n: int, modulus: int, held_out: int) -> DataFra
                 if word not in learned:
                     learned[word] = 0
             by: list[list] = [[] for _ in range(n)]
+            digest = xxhash.xxh3_64_intdigest
             for word in learned:
-                by[xxhash.xxh3_64_intdigest(_word(word)) % n].append(word)
+                by[digest(word[word.index(b" ") + 1 :]) % n].append(word)
             for bucket, words in enumerate(by):
                 if words:
                     words.sort()
@@ -107,16 +108,18 @@ def word_counts(docs: DataFrame, n: int, modulus: int, held_out: int) -> DataFra
         yield from flush()
 
     def merge(group):
-        total: Counter = Counter()
+        total: dict[bytes, int] = {}
+        known = total.get
         for words, counts in zip(group.column("words").to_pylist(), group.column("counts").to_pylist(), strict=True):
             for word, c in zip(words.split(b"\n"), np.frombuffer(counts, "<u4").tolist(), strict=True):
-                total[word] += c
+                total[word] = known(word, 0) + c
         words = sorted(total)
-        counts = np.array([total[w] for w in words], "<i8")
-        of: Counter = Counter()
-        for word, c in total.items():
-            of[_word(word)] += c
-        of_word = np.array([of[_word(w)] for w in words], "<i8")
+        counts = np.fromiter(map(total.__getitem__, words), "<i8", len(words))
+        alone = list(map(_word, words))
+        of: dict[bytes, int] = {}
+        for word, c in zip(alone, counts.tolist(), strict=True):
+            of[word] = of.get(word, 0) + c
+        of_word = np.fromiter(map(of.__getitem__, alone), "<i8", len(alone))
         return pa.table(
             {
                 "bucket": group.column("bucket")[:1],
@@ -426,6 +429,7 @@ def look_up(docs: DataFrame, n: int, often, modulus: int, held_out: int) -> Data
         end_base, end_score, end_known = end
         held: list = []
         block, n_texts, kept = None, 0, 0
+        digest = xxhash.xxh3_64_intdigest
 
         def flush():
             hashes, buckets, places = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -445,13 +449,13 @@ def look_up(docs: DataFrame, n: int, often, modulus: int, held_out: int) -> Data
             found = [t.lower().split() for t in texts(batch.column("text"))]
             split = [units(words) for words in found]
             sizes = np.array([len(s) for s in split])
-            flat = [u for s in split for u in s]
+            flat, alone = list(chain.from_iterable(split)), list(chain.from_iterable(found))
             at = np.fromiter(map(number.get, flat, repeat(-1)), np.int64, len(flat))
             owner = np.repeat(np.arange(len(split)), sizes)
             known = at >= 0
             one = np.flatnonzero(~known).tolist()
-            hashes = np.array([xxhash.xxh3_64_intdigest(flat[k]) for k in one], np.uint64)
-            buckets = np.array([xxhash.xxh3_64_intdigest(_word(flat[k])) % n for k in one], np.int64)
+            hashes = np.fromiter((digest(flat[k]) for k in one), np.uint64, len(one))
+            buckets = (np.fromiter((digest(alone[k]) for k in one), np.uint64, len(one)) % np.uint64(n)).astype(np.int64)
             held.append((hashes, buckets, n_texts + owner[one]))
             sums = [np.bincount(owner, x[at], len(split)) if len(flat) else np.zeros(len(split)) for x in (base, score)]
             n_known = np.bincount(owner[known], minlength=len(split))
