@@ -96,6 +96,20 @@ def test_scans_of_a_load_do_not_grow_with_the_years(spark, tmp_path):
     assert got == sorted((str(y), f"h{i}", "CA" if i < 3 else None, float(i + y - 2001), None) for y in range(2001, 2008) for i in (0, 1, 3))
 
 
+def test_years_from_a_table_prune_the_partitions_that_are_read(spark, tmp_path):
+    from rosterfold.sources.sinks import write_stacked
+
+    rows_ = spark.range(600).selectExpr("CAST(2001 + id % 6 AS STRING) AS ReportingYear", "id AS org", "CAST(id AS DOUBLE) AS v")
+    write_stacked(rows_, f"{tmp_path}/stacked")
+    spark.createDataFrame([("2001", 1), ("2004", 1), ("2005", 0)], "yr string, wanted int").write.parquet(f"{tmp_path}/years")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    stacked = spark.read.schema("org bigint, v double, ReportingYear string").parquet(f"{tmp_path}/stacked")
+    wanted = spark.read.parquet(f"{tmp_path}/years").where("wanted = 1").select("yr")
+    found = roster_filter(stacked, "ReportingYear", wanted)
+    assert len(found.collect()) == 200
+    assert re.search(r"PartitionFilters: \[.*dynamicpruning", physical(found))
+
+
 def test_literal_roster_reaches_the_scan(spark):
     items = spark.read.parquet(f"{SF}/lineitem.parquet")
     plan = physical(roster_filter(items, "l_suppkey", [1, 2, 3]).select("l_quantity"))
