@@ -57,8 +57,12 @@ def _keep(columns: Sequence[str]) -> list[str]:
 _MAGNITUDE = "CASE WHEN __v = 0 THEN 0L WHEN __v > 0 THEN 1 + floor((ln(__v) + 750) * 8) ELSE -1 - floor((ln(-__v) + 750) * 8) END"
 
 
+def _within(by: Sequence[str]) -> str:
+    return f"PARTITION BY {', '.join(by)}" if by else ""
+
+
 def _running(by: Sequence[str]) -> str:
-    return f"sum(__c) OVER (PARTITION BY {', '.join(by)} ORDER BY __cell ROWS UNBOUNDED PRECEDING)"
+    return f"sum(__c) OVER ({_within(by)} ORDER BY __cell ROWS UNBOUNDED PRECEDING)"
 
 
 def _held(ranks: Sequence[int], here: str, before: str) -> list[str]:
@@ -86,8 +90,6 @@ def quantile_passes(
     gets a row; without values its quantiles are NULL. ``accuracy`` is the number of cells of a pass; results do not depend on it.
     """
     others = dict(others or {})
-    if not group:
-        return _ungrouped(rows, probabilities, names, accuracy, others)
     counts = ["count(__v) AS __c", "min(__v) AS __low", "max(__v) AS __high"]
     ranks = range(2 * len(probabilities))
     rank = []
@@ -96,7 +98,7 @@ def quantile_passes(
         rank += [f"({below} + 1)", f"least({below} + 2, __n)"]
 
     # by sign and magnitude
-    whole = f"OVER (PARTITION BY {', '.join(group)})"
+    whole = f"OVER ({_within(group)})"
     first = group_by(rows.withColumn("__cell", F.expr(_MAGNITUDE)), [*group, "__cell"], counts)
     placed = first.selectExpr("*", f"{_running(group)} AS __to", f"sum(__c) {whole} AS __n")
     placed = placed.selectExpr("*", *[f"{r} AS __r{i}" for i, r in zip(ranks, rank)])
@@ -113,12 +115,15 @@ def quantile_passes(
             for end, name in (("lo", "from"), ("hi", "upto"))
         ]
         cut = f"IF(__upto > __from, floor((__v - __from) / (__upto - __from) * {int(accuracy)}), 0L)"
-        near = attach(rows, targets, group).selectExpr("*", *ends).where("__from IS NOT NULL OR __n = 0")
+        # targets without groups are known to be one row, which goes to where the rows are
+        beside = attach(rows, targets, group) if group else rows.crossJoin(targets)
+        near = beside.selectExpr("*", *ends).where("__from IS NOT NULL OR __n = 0")
         counted = group_by(
             near.withColumn("__cell", F.expr("__v" if last else cut)), [*group, "__from", "__cell"], [*counts, *_keep(constant)]
         )
         # dealt by group once, for the counts within intervals and for the groups
-        placed = counted.repartition(*group).withColumn("__to", F.expr(_running([*group, "__from"])))
+        dealt = counted.repartition(*group) if group else counted
+        placed = dealt.withColumn("__to", F.expr(_running([*group, "__from"])))
         placed = placed.selectExpr("*", *[f"{r} AS __r{i}" for i, r in zip(ranks, rank)])
         here = "__from = __lo{i} AND __b{i} + __to - __c < __r{i} AND __r{i} <= __b{i} + __to"
         kept = _keep(["__n", "__min", "__max"])
@@ -140,19 +145,6 @@ def quantile_passes(
     return attach(found, more, group)
 
 
-def _ungrouped(
-    rows: DataFrame, probabilities: Sequence[float], names: Sequence[str], accuracy: int, others: Mapping[str, str]
-) -> DataFrame:
-    """All rows as one group, under a key that is 0 in every row; one more NULL makes sure that there is the group."""
-    keyed = rows.selectExpr("pmod(hash(__v), 1) AS __all", "__v")
-    none = rows.sparkSession.range(1).selectExpr("0 AS __all", "CAST(NULL AS DOUBLE) AS __v")
-    found = quantile_passes(keyed.unionByName(none), ["__all"], probabilities, names, accuracy).drop("__all")
-    if not others:
-        return found
-    more = group_by(rows, [], [named(x, n) for n, x in others.items()])
-    return attach(found, more, [])
-
-
 def exact_quantiles(
     df: DataFrame,
     value: str,

@@ -180,3 +180,17 @@ def test_quantiles_run_no_job_before_they_are_read(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == 0
     assert [p.count() for p in plans] == [1, 3]
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) > 0
+
+
+def test_quantiles_without_groups_shuffle_counts_but_no_rows(spark):
+    """All rows once met the one row of targets in a join by a constant, which one task then read."""
+    df = spark.range(5000).selectExpr("CAST(id * 37 % 4999 AS DOUBLE) AS x").repartition(6)
+    for found in (six_number_summary(df, "x", 2), q.exact_quantiles(df, "x", [0.5])):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastNestedLoopJoin") == q.PASSES + 1
+    numbers = sorted(float(k * 37 % 4999) for k in range(5000))
+    want = (numbers[0], *np.quantile(numbers, [0.25, 0.5]), sum(numbers) / 5000, np.quantile(numbers, 0.75), numbers[-1])
+    assert rows(six_number_summary(df, "x", 2)) == [want]
+    for empty in ("false", "x IS NULL"):
+        none = df.selectExpr("CAST(NULL AS DOUBLE) AS x").where(empty)
+        assert rows(six_number_summary(none, "x", 2)) == [(None,) * 6]
