@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterfold.functions.columns import (
@@ -21,6 +22,10 @@ from rosterfold.functions.columns import (
 from rosterfold.operators.roster import Roster, roster_filter
 
 
+#: Rows of the result that a piece of a repeated key is meant to give.
+PIECE_ROWS = 1 << 18
+
+
 def check_names(sheets: Mapping[str, Sequence[str]], keys: Sequence[str]) -> None:
     """Fail where two sheets (name to columns) both hold a column that is no key."""
     seen = Counter(c for columns in sheets.values() for c in set(columns) - set(keys))
@@ -45,7 +50,8 @@ def outer_merge(
     does not grow with the number of sheets. A key that occurs twice
     in a sheet stops the job with an error instead of losing a row. With
     ``unique_keys=False`` full joins are chained and repeated keys multiply. With
-    ``unique_keys=None`` only the keys that some sheet repeats are joined, and all others folded.
+    ``unique_keys=None`` only the keys that some sheet repeats are joined, and all others folded; the rows of a repeated key are
+    multiplied in pieces, none of which passes through one task as a whole (:func:`_multiplied`; it gives all zeros and NaN one form).
 
     ``keep_null_key`` lets NULL keys match each other; otherwise rows with a
     NULL key (in any key column) are dropped. ``roster`` holds values of ``roster_key``, by default the only key.
@@ -59,9 +65,9 @@ def outer_merge(
         return _chained_full_join(parts, keys, keep_null_key)
     if unique_keys:
         return fold(parts, keys)
-    once, again = _fold(parts, keys).where("__most <= 1"), _repeated(parts, keys)
-    joined = _chained_full_join([_matching(p, again, keys) for p in parts], keys, keep_null_key)
-    return once.selectExpr(*map(quoted, joined.columns)).unionByName(joined)
+    again = _repeated(parts, keys)
+    once = _fold([_beside(p, again, keys, "left_anti") for p in parts], keys).drop("__most")
+    return once.unionByName(_multiplied(parts, again, keys))
 
 
 def narrowed(
@@ -143,9 +149,32 @@ def _first(values: Iterable[str]) -> str:
 
 
 def _repeated(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """The keys that some part holds more than once, from the key columns alone."""
-    counted = [group_by(p, keys, ["count(1) AS __n"]).where("__n > 1").drop("__n") for p in parts]
-    return stack_years(counted).distinct()
+    """The keys (``__key0``...) that some part holds more than once, from the key columns alone.
+
+    ``__pieces`` is the number of pieces that their rows are multiplied in, and ``__dealt`` the part with most of them.
+    """
+    names = _key_names(keys)
+    counted = [
+        group_by(p, keys, ["count(1) AS __n"]).selectExpr(*[f"{quoted(k)} AS {n}" for k, n in zip(keys, names)], f"{i} AS __sheet", "__n")
+        for i, p in enumerate(parts)
+    ]
+    each = [f"sum(IF(__sheet = {i}, __n, 0L)) AS __n{i}" for i in range(len(parts))]
+    ns = ", ".join(f"__n{i}" for i in range(len(parts)))
+    most = f"greatest(1L, {ns})"
+    product = " * ".join(f"CAST(greatest({n}, 1L) AS DOUBLE)" for n in ns.split(", "))
+    return (
+        group_by(stack_years(counted), names, each)
+        .where(f"{most} > 1")
+        .selectExpr(
+            *names,
+            f"CAST(least({product} / {PIECE_ROWS}, CAST({most} - 1 AS DOUBLE)) AS BIGINT) + 1 AS __pieces",
+            f"CAST(array_position(array({ns}), {most}) AS INT) - 1 AS __dealt",
+        )
+    )
+
+
+def _key_names(keys: Sequence[str]) -> list[str]:
+    return [f"__key{i}" for i in range(len(keys))]
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], names: Sequence[str]) -> Column:
@@ -153,11 +182,55 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], names: Sequenc
     return reduce(lambda a, b: a & b, (left[quoted(k)].eqNullSafe(right[n]) for k, n in zip(keys, names)))
 
 
-def _matching(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is among ``wanted``."""
-    names = [f"__key{i}" for i in range(len(keys))]
-    right = wanted.selectExpr(*[f"{quoted(k)} AS {n}" for k, n in zip(keys, names)])
-    return df.join(right, _same(df, right, keys, names), "left_semi")
+def _beside(df: DataFrame, again: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Rows of a part with what is known of their repeated key, or those without one."""
+    return df.join(again, _same(df, again, keys, _key_names(keys)), how)
+
+
+def _dealt(df: DataFrame, i: int, again: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Different rows of part ``i`` under repeated keys, by key and piece (``__at{i}``), and how often they occur (``__m{i}``).
+
+    The occurrences of the part that has most rows of a key are dealt to its pieces, those of other parts are in every piece.
+    """
+    names, rest = _key_names(keys), [c for c in df.columns if c not in keys]
+    told = [quoted(f.name) for f in df.schema.fields if f.name in rest and isinstance(f.dataType, T.AtomicType)]
+    rows = group_by(_beside(df, again, keys, "inner"), [*names, "__pieces", "__dealt", *rest], ["count(1) AS __m"])
+    return (
+        rows.withColumn("__mine", F.expr(f"__dealt = {i}"))
+        .selectExpr("*", "explode(sequence(0L, IF(__mine, least(__m, __pieces), __pieces) - 1)) AS __j")
+        .withColumn("__piece", F.expr(f"IF(__mine, pmod(pmod(xxhash64({', '.join([*names, *told])}), __pieces) + __j, __pieces), __j)"))
+        .selectExpr(
+            f"struct({', '.join(names)}, __piece) AS __at{i}",
+            *map(quoted, rest),
+            f"IF(__mine, __m div __pieces + IF(__j < __m % __pieces, 1L, 0L), __m) AS __m{i}",
+        )
+    )
+
+
+def _multiplied(parts: Sequence[DataFrame], again: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Repeated keys with every combination of their rows in the parts, NULL for parts without the key.
+
+    Equal rows are combined once and written as often as they occur. All parts meet on the same key and piece, so
+    nothing multiplied is shuffled or sorted, and a piece holds about ``PIECE_ROWS`` rows however often a key occurs.
+    """
+    names, n = _key_names(keys), range(len(parts))
+    # a struct is never NULL itself, and NULL fields of structs are equal
+    pieces = again.selectExpr(*names, "__dealt", "explode(sequence(0L, __pieces - 1)) AS __piece")
+    merged = pieces.selectExpr(f"struct({', '.join(names)}, __piece) AS __at", "__dealt")
+    # by a number that adaptive execution keeps: pieces are small before they are multiplied
+    merged = merged.repartition(int(parts[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), "__at")
+    for i, part in enumerate(parts):
+        dealt = _dealt(part, i, again, keys)
+        merged = merged.join(dealt, merged["__at"] == dealt[f"__at{i}"], "left").drop(f"__at{i}")
+    rest = [quoted(c) for part in parts for c in part.columns if c not in keys]
+    out = [*[named(f"__at.{name}", k) for name, k in zip(names, keys)], *rest]
+    return (
+        merged.where(f"get(array({', '.join(f'__m{i}' for i in n)}), __dealt) IS NOT NULL")
+        .selectExpr(*out, f"{' * '.join(f'coalesce(__m{i}, 1L)' for i in n)} AS __times")
+        .selectExpr("*", "explode(sequence(0L, (__times - 1) div 4096)) AS __run")
+        .selectExpr(*map(quoted, keys), *rest, "explode(sequence(1L, least(4096L, __times - 4096 * __run))) AS __one")
+        .drop("__one")
+    )
 
 
 def _chained_full_join(parts: Sequence[DataFrame], keys: Sequence[str], keep_null_key: bool) -> DataFrame:

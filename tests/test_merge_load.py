@@ -1,9 +1,13 @@
 """Roster, merges, stacking, yearly load and sheets on disk."""
 
+from collections import Counter
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from rosterfold.operators import merge
 from rosterfold.operators.checks import assert_row_count, row_count_check
 from rosterfold.operators.measures import summarise, total
 from rosterfold.operators.merge import fact_join, outer_merge, stack_years
@@ -93,6 +97,35 @@ def test_only_repeated_keys_are_joined(frame):
         outer_merge(sheets, "k").collect()
 
 
+@pytest.mark.parametrize("size", [1, 7, 1 << 18])
+def test_repeated_keys_are_multiplied_in_pieces(frame, monkeypatch, size):
+    monkeypatch.setattr(merge, "PIECE_ROWS", size)
+    sheets = {
+        "a": frame("k string, x int", [(None, i % 3) for i in range(40)] + [("1", i) for i in range(20)] + [("2", 5), ("4", 1), ("4", 1)]),
+        "b": frame("k string, y string", [(None, None), (None, "p"), (None, "p"), ("1", "q"), ("3", "r"), ("5", "s"), ("5", "t")]),
+        "c": frame("k string, z array<int>", [("1", [i % 9]) for i in range(30)] + [("2", None), ("4", [1]), ("4", [2]), ("4", [2])]),
+    }
+    for null in (True, False):
+        found, want = (outer_merge(sheets, "k", keep_null_key=null, unique_keys=unique) for unique in (None, False))
+        assert found.columns == want.columns
+        assert Counter(map(str, found.collect())) == Counter(map(str, want.collect()))
+
+
+def test_a_frequent_key_is_not_multiplied_in_one_task(spark):
+    """A sheet's 3,000 rows of the blank key against another's: the 9 million were shuffled to one task of the next join."""
+    blank = spark.range(3000)
+    sheets = {
+        "a": blank.selectExpr("CAST(NULL AS BIGINT) AS k", "id % 5 AS x"),
+        "b": blank.selectExpr("CAST(NULL AS BIGINT) AS k", "id AS y"),
+        "c": spark.range(3).selectExpr("IF(id = 0, NULL, id) AS k", "id AS z"),
+    }
+    merged = outer_merge(sheets, "k", keep_null_key=True, unique_keys=None)
+    by_task = merged.groupBy(F.spark_partition_id().alias("task"))
+    found = [r["n"] for r in by_task.agg(F.count("*").alias("n")).collect()]
+    assert sum(found) == 3000 * 3000 + 2 and max(found) < 0.6 * sum(found)
+    assert merged.agg(F.sum("x"), F.sum("y"), F.sum("z")).first()[:] == (2 * 9_000_000, 3000 * 2999 // 2 * 3000, 3)
+
+
 def test_keys_of_several_columns(frame):
     sheets = {
         "a": frame("y string, k string, x int, t string", [("1", "a", 1, "one"), ("2", "a", 2, None), (None, "a", 3, "no")]),
