@@ -13,7 +13,7 @@ As contexts reach ``TAIL`` bytes into the token before, everything follows from
 different units, a word with that tail before it:
 
 1. units are counted, in buckets by hash of the word; nothing is left out, so what is
-   gathered grows with the corpus;
+   gathered grows with the corpus. Units and words are told apart by 64-bit hashes;
 2. the (context, byte) pairs of each bucket's units go to the group of the last two
    bytes of their context, where the tree of longer contexts is built bottom-up;
    only the nodes of contexts of up to two bytes (at most 65,536 times 255) meet on the driver;
@@ -33,9 +33,6 @@ repeat are learned from and scored each; without anything to learn from all coun
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import chain, repeat
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -54,8 +51,8 @@ FREQUENT = 1 << 20
 
 BUCKET_BYTES = 24 << 20
 
-#: Different words a task holds before it passes them on.
-HELD = 600_000
+#: Bytes of texts whose units a task counts before it passes them on.
+HELD_BYTES = 12 << 20
 
 _START = np.uint64(0x20 << 56)
 _END = 10
@@ -63,71 +60,162 @@ _KEY = np.uint64(48)
 
 
 def units(words: list[bytes]) -> list[bytes]:
-    """Each word of a text behind a blank and the last bytes of the word before."""
+    """Each word of a text behind a blank and the last bytes of the word before: what :func:`split` finds."""
     if not words:
         return []
     return [b" " + words[0], *[a[-TAIL:] + b" " + b for a, b in zip(words, words[1:])]]
 
 
-def _word(unit: bytes) -> bytes:
-    return unit[unit.index(b" ") + 1 :]
+_FOLDED = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\v\f\r", bytes(range(97, 123)) + b" " * 5)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], "<u8")
+
+#: Longer words are hashed one by one.
+_LONG = 64
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Units:
+    """Words within ``flat`` (eight more bytes follow the last one), each with ``tail`` bytes of the word before, which end at ``before``.
+
+    A unit is told by a 64-bit hash, and so is its word.
+    """
+
+    def __init__(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, before: np.ndarray, tail: np.ndarray) -> None:
+        self.flat, self.start, self.size, self.before, self.tail = flat, start, size, before, tail
+        self._loads = np.ndarray(len(flat) - 7, "<u8", flat, strides=(1,))
+        self.word_hash = self._word_hash()
+        code = (tail > 0) + flat[before - 1].astype(np.int64) * (tail > 0) + ((flat[before - 2].astype(np.int64) << 8) + (1 << 16)) * (tail > 1)
+        self.hash = _scrambled(self.word_hash ^ (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+    def _word_hash(self) -> np.ndarray:
+        found = self.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        todo = np.arange(len(self.start))
+        for k in range(0, _LONG, 8):
+            if not len(todo):
+                return found
+            left = self.size[todo] - k
+            eight = self._loads[self.start[todo] + k] & _MASKS[np.minimum(left, 8)]
+            found[todo] = _scrambled(found[todo] ^ eight)
+            todo = todo[left > 8]
+        for i in todo.tolist():
+            found[i] = xxhash.xxh3_64_intdigest(self.flat[self.start[i] : self.start[i] + self.size[i]].tobytes())
+        return found
+
+    def in_order(self, some: np.ndarray, bucket: np.ndarray | None = None) -> np.ndarray:
+        """These units by bucket, those whose words begin alike side by side."""
+        first = (self._loads[self.start[some]] & _MASKS[np.minimum(self.size[some], 8)]).byteswap()
+        order = np.argsort(first)
+        return order if bucket is None else order[np.argsort(bucket[order], kind="stable")]
+
+    def joined(self, some: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """These units (tail, blank, word and line feed each), and where each ends."""
+        start, size, before, tail = self.start[some], self.size[some], self.before[some], self.tail[some]
+        end = np.cumsum(size + tail + 2)
+        begin = end - size - tail - 2
+        kind = np.int32 if len(self.flat) < 1 << 31 else np.int64
+        at = np.repeat((start - begin - tail - 1).astype(kind), size + tail + 2)
+        at += np.arange(len(at), dtype=kind)
+        out = self.flat[at]
+        out[begin + tail], out[end - 1] = 32, 10
+        one, two = np.flatnonzero(tail > 0), np.flatnonzero(tail > 1)
+        out[(begin + tail - 1)[one]] = self.flat[before[one] - 1]
+        out[begin[two]] = self.flat[before[two] - 2]
+        return out.tobytes(), end
+
+
+def split(found: list[bytes]) -> tuple[Units, np.ndarray]:
+    """The units of these texts, and how many each text has."""
+    flat = np.frombuffer(b"".join((b" ", b" ".join(found).translate(_FOLDED), b" " * 9)), np.uint8)
+    blank = flat == 32
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, end = edges[::2], edges[1::2]
+    bounds = np.cumsum([1, *(len(t) + 1 for t in found)])
+    cuts = np.searchsorted(start, bounds)
+    size = end - start
+    tail = np.minimum(np.append(0, size[:-1]), TAIL)[: len(size)]
+    tail[cuts[:-1][cuts[:-1] < len(tail)]] = 0
+    return Units(flat, start, size, np.append(0, end[:-1])[: len(size)], tail), np.diff(cuts)
+
+
+def parse(words: bytes) -> Units:
+    """The units of a blob, which are joined by line feeds."""
+    flat = np.frombuffer(words + b"\n" + b" " * 8, np.uint8)
+    end = np.flatnonzero(flat == 10)
+    begin = np.append(0, end[:-1] + 1)
+    tail = np.where(flat[begin] == 32, 0, np.where(flat[begin + 1] == 32, 1, 2))
+    start = begin + tail + 1
+    return Units(flat, start, end - start, start - 1, tail)
+
+
+def _alike(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the hashes, and where in it a new one begins."""
+    order = np.argsort(hashes)
+    here = hashes[order]
+    return order, np.flatnonzero(np.append(True, here[1:] != here[:-1]))
 
 
 def word_counts(docs: DataFrame, n: int, modulus: int, held_out: int) -> DataFrame:
-    """bucket, words (units joined by line feeds, sorted), counts (in training texts), of_word (of the unit's word), n_tokens, n_known; pinned."""
+    """bucket, words (units joined by line feeds), counts (in training texts), of_word (of the unit's word), n_tokens, n_known; pinned."""
 
     def count(batches):
-        learned, other = Counter(), set()
+        held, learned, nbytes = [], [], 0
 
         def flush():
-            for word in other:
-                if word not in learned:
-                    learned[word] = 0
-            by: list[list] = [[] for _ in range(n)]
-            digest = xxhash.xxh3_64_intdigest
-            for word in learned:
-                by[digest(word[word.index(b" ") + 1 :]) % n].append(word)
-            for bucket, words in enumerate(by):
-                if words:
-                    words.sort()
-                    yield pa.record_batch(
-                        {
-                            "bucket": pa.array([bucket], pa.int32()),
-                            "words": pa.array([b"\n".join(words)], pa.binary()),
-                            "counts": pa.array([blob(np.array([learned[w] for w in words], "<u4"))], pa.binary()),
-                        }
-                    )
+            found, sizes = split(held)
+            if not len(found.hash):
+                return
+            weight = np.repeat(np.concatenate(learned), sizes)
+            order, begin = _alike(found.hash)
+            total, one = np.add.reduceat(weight[order], begin), order[begin]
+            bucket = (found.word_hash[one] % np.uint64(n)).astype(np.int32)
+            order = found.in_order(one, bucket)
+            total, one, bucket = total[order], one[order], bucket[order]
+            words, end = found.joined(one)
+            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield pa.record_batch(
+                    {
+                        "bucket": pa.array([bucket[s]], pa.int32()),
+                        "words": pa.array([words[end[s - 1] if s else 0 : end[e - 1] - 1]], pa.binary()),
+                        "counts": pa.array([blob(total[s:e].astype("<u4"))], pa.binary()),
+                    }
+                )
 
         for batch in slices(batches):
-            kept_out = remainders(batch.column("doc_id"), modulus) == held_out
-            for text, out in zip(texts(batch.column("text")), kept_out, strict=True):
-                (other if out else learned).update(units(text.lower().split()))
-            if len(learned) + len(other) > HELD:
+            own = texts(batch.column("text"))
+            held += own
+            learned.append((remainders(batch.column("doc_id"), modulus) != held_out).astype(np.int64))
+            nbytes += sum(map(len, own))
+            if nbytes >= HELD_BYTES:
                 yield from flush()
-                learned, other = Counter(), set()
-        yield from flush()
+                held, learned, nbytes = [], [], 0
+        if held:
+            yield from flush()
 
     def merge(group):
-        total: dict[bytes, int] = {}
-        known = total.get
-        for words, counts in zip(group.column("words").to_pylist(), group.column("counts").to_pylist(), strict=True):
-            for word, c in zip(words.split(b"\n"), np.frombuffer(counts, "<u4").tolist(), strict=True):
-                total[word] = known(word, 0) + c
-        words = sorted(total)
-        counts = np.fromiter(map(total.__getitem__, words), "<i8", len(words))
-        alone = list(map(_word, words))
-        of: dict[bytes, int] = {}
-        for word, c in zip(alone, counts.tolist(), strict=True):
-            of[word] = of.get(word, 0) + c
-        of_word = np.fromiter(map(of.__getitem__, alone), "<i8", len(alone))
+        found = parse(b"\n".join(group.column("words").to_pylist()))
+        counts = np.concatenate([np.frombuffer(c, "<u4") for c in group.column("counts").to_pylist()]).astype(np.int64)
+        order, begin = _alike(found.hash)
+        counts, one = np.add.reduceat(counts[order], begin), order[begin]
+        order = found.in_order(one)
+        counts, one = counts[order], one[order]
+        order, begin = _alike(found.word_hash[one])
+        of = np.add.reduceat(counts[order], begin)
+        of_word = np.zeros(len(one), np.int64)
+        of_word[order] = np.repeat(of, np.diff(np.append(begin, len(one))))
         return pa.table(
             {
                 "bucket": group.column("bucket")[:1],
-                "words": pa.array([b"\n".join(words)], pa.binary()),
-                "counts": pa.array([blob(counts)], pa.binary()),
-                "of_word": pa.array([blob(of_word)], pa.binary()),
+                "words": pa.array([found.joined(one)[0][:-1]], pa.binary()),
+                "counts": pa.array([blob(counts.astype("<i8"))], pa.binary()),
+                "of_word": pa.array([blob(of_word.astype("<i8"))], pa.binary()),
                 "n_tokens": pa.array([int(counts.sum())], pa.int64()),
-                "n_known": pa.array([sum(c > 0 for c in of.values())], pa.int64()),
+                "n_known": pa.array([int((of > 0).sum())], pa.int64()),
             }
         )
 
@@ -171,11 +259,8 @@ def contexts(words: bytes, counts: np.ndarray):
 
 def _grouped(context: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the pairs, and where in it a new pair begins."""
-    order = np.lexsort((byte, context))
-    c, b = context[order], byte[order]
-    new = np.ones(len(c), bool)
-    new[1:] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
-    return order, np.flatnonzero(new)
+    # contexts leave their last byte free
+    return _alike(context | byte)
 
 
 _REQUESTS = "bucket int, key int, contexts binary, bytes binary, counts binary"
@@ -338,7 +423,7 @@ def _merged(group, n_texts: int):
 
 
 def word_scores(vocabulary: DataFrame, n_tokens: int, n_texts: int) -> DataFrame:
-    """bucket, hashes (sorted), counts, scores, and of frequent words: names, their counts and scores; pinned."""
+    """bucket, hashes (sorted), counts, scores, and the same of frequent units; pinned."""
     asked = requests(vocabulary)
     spark = asked.sparkSession
 
@@ -382,14 +467,10 @@ def word_scores(vocabulary: DataFrame, n_tokens: int, n_texts: int) -> DataFrame
             score = np.concatenate([np.frombuffer(given[k], "<f8") for k in order])[pair]
             end_score = score[-1]
             scores = np.add.reduceat(score[:-1], first)
-            words = words.split(b"\n")
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+            hashes = parse(words).hash
             order = np.argsort(hashes)
             often = np.flatnonzero(counts >= least)
-            rows.append(
-                (bucket, float(end_score), blob(hashes[order]), blob(of_word[order]), blob(scores[order]),
-                 b"\n".join([words[k] for k in often]), blob(of_word[often]), blob(scores[often]))
-            )
+            rows.append((bucket, float(end_score), *(blob(x[k]) for k in (order, often) for x in (hashes, of_word, scores))))
         kinds = (pa.int32(), pa.float64(), *[pa.binary()] * 6)
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "end_score", *names])
 
@@ -421,15 +502,10 @@ def look_up(docs: DataFrame, n: int, often, modulus: int, held_out: int) -> Data
     def work(batches):
         names = [c.split()[0] for c in _PARTS.split(",")]
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
-        words, counts, scores, end = often.value
-        number = {w: k for k, w in enumerate(words)}
         # the last entry is for units that are not frequent
-        base = np.append(np.log10(np.frombuffer(counts, "<i8") + 1.0), 0.0)
-        score = np.append(np.frombuffer(scores, "<f8"), 0.0)
-        end_base, end_score, end_known = end
+        table, base, score, (end_base, end_score, end_known) = often.value
         held: list = []
         block, n_texts, kept = None, 0, 0
-        digest = xxhash.xxh3_64_intdigest
 
         def flush():
             hashes, buckets, places = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -446,32 +522,32 @@ def look_up(docs: DataFrame, n: int, often, modulus: int, held_out: int) -> Data
         for batch in slices(batches):
             if block is None:
                 block = batch.column("row")[0].as_py()
-            found = [t.lower().split() for t in texts(batch.column("text"))]
-            split = [units(words) for words in found]
-            sizes = np.array([len(s) for s in split])
-            flat, alone = list(chain.from_iterable(split)), list(chain.from_iterable(found))
-            at = np.fromiter(map(number.get, flat, repeat(-1)), np.int64, len(flat))
-            owner = np.repeat(np.arange(len(split)), sizes)
-            known = at >= 0
-            one = np.flatnonzero(~known).tolist()
-            hashes = np.fromiter((digest(flat[k]) for k in one), np.uint64, len(one))
-            buckets = (np.fromiter((digest(alone[k]) for k in one), np.uint64, len(one)) % np.uint64(n)).astype(np.int64)
-            held.append((hashes, buckets, n_texts + owner[one]))
-            sums = [np.bincount(owner, x[at], len(split)) if len(flat) else np.zeros(len(split)) for x in (base, score)]
-            n_known = np.bincount(owner[known], minlength=len(split))
+            found, sizes = split(texts(batch.column("text")))
+            many = len(sizes)
+            owner = np.repeat(np.arange(many), sizes)
+            order = np.argsort(found.hash)
+            at = np.empty(len(order), np.int64)
+            at[order] = np.searchsorted(table[:-1], found.hash[order])
+            known = (table[at] == found.hash) & (at < len(table) - 1)
+            at[~known] = len(table) - 1
+            one = np.flatnonzero(~known)
+            buckets = (found.word_hash[one] % np.uint64(n)).astype(np.int64)
+            held.append((found.hash[one], buckets, n_texts + owner[one]))
+            sums = [np.bincount(owner, x[at], many) for x in (base, score)]
+            n_known = np.bincount(owner[known], minlength=many)
             out = remainders(batch.column("doc_id"), modulus) == held_out
-            coded = [sum(map(len, words)) + len(words) + 1 for words in found]
+            coded = np.bincount(owner, found.size, many).astype(np.int64) + sizes + 1
             yield pa.record_batch(
                 [
-                    pa.array([0] * len(split), pa.int32()), pa.array([block] * len(split), pa.int64()),
-                    pa.array(np.arange(n_texts, n_texts + len(split)), pa.int32()), batch.column("doc_id"), pa.array(out),
+                    pa.array([0] * many, pa.int32()), pa.array([block] * many, pa.int64()),
+                    pa.array(np.arange(n_texts, n_texts + many), pa.int32()), batch.column("doc_id"), pa.array(out),
                     pa.array(sizes + 1, pa.int64()), pa.array(n_known + end_known, pa.int64()), pa.array(coded, pa.int64()),
                     pa.array(sums[0] + end_base), pa.array(sums[1] + end_score),
-                    *(pa.nulls(len(split), k) for k in kinds[10:]),
+                    *(pa.nulls(many, k) for k in kinds[10:]),
                 ],
                 names=names,
             )
-            n_texts += len(split)
+            n_texts += many
             kept += len(one)
             if kept >= BLOCK_UNITS or n_texts >= BLOCK_TEXTS:
                 yield from flush()
@@ -542,16 +618,16 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     sums = vocabulary.agg(F.sum("n_tokens"), F.sum("n_known")).first()
     n_tokens, n_known = (sums[0] or 0) + n_texts, (sums[1] or 0) + (n_texts > 0)
     table = word_scores(vocabulary, n_tokens, n_texts)
-    words, counts, scores, end_score = [], [], [], 0.0
+    frequent, end_score = [], 0.0
     for r in table.select("often", "often_counts", "often_scores", "end_score").collect():
-        words += bytes(r.often).split(b"\n") if len(r.often) else []
-        counts.append(bytes(r.often_counts))
-        scores.append(bytes(r.often_scores))
+        frequent.append([np.frombuffer(x, t) for x, t in ((r.often, "<u8"), (r.often_counts, "<i8"), (r.often_scores, "<f8"))])
         end_score = r.end_score
-    if not counts and n_texts:
-        end_score = 0.0  # no text has a word: the end token is certain
+    # without any word the end token is certain
+    hashes, counts, scores = map(np.concatenate, zip(*frequent, strict=True)) if frequent else (np.zeros(0, t) for t in ("<u8", "<i8", "<f8"))
+    order = np.argsort(hashes)
     end = (float(np.log10(n_texts + 1)), end_score, int(n_texts > 0))
-    often = spark.sparkContext.broadcast((words, b"".join(counts), b"".join(scores), end))
+    last = (hashes[order], np.uint64(0)), (np.log10(counts[order] + 1.0), 0.0), (scores[order], 0.0)
+    often = spark.sparkContext.broadcast((*(np.append(*x) for x in last), end))
     # the number of a block's first row tells blocks apart; both kinds of rows are written by one job
     found = look_up(rows.withColumn("row", F.monotonically_increasing_id()), n, often, modulus, held_out)
     own = found.where("kind = 0").select("block", "place", "doc_id", "held_out", "n_tokens", "n_known", "coded", "base", "score")

@@ -75,6 +75,28 @@ def test_context_tree_base_and_cases(docs, pairs, empty):
     assert context_tree.score(empty).collect() == []
 
 
+def test_context_tree_units_of_whole_texts():
+    """Units are found for all texts of a batch at once; they once were one object each, which took most of the time."""
+    rng = np.random.default_rng(3)
+    pieces = [b"a", b"AB", b"\x00", b"\xc3\xa9", b" ", b"\t", b"\n\r", b"\x0b\x0c", b"\x1c", b"wordword", b"longer" * 30, b"longer" * 30 + b"s"]
+    found = [b"".join(pieces[k] for k in rng.integers(0, len(pieces), rng.integers(0, 40))) for _ in range(300)] + [b"", b" ", b"x"]
+    want = [context_tree.units(text.lower().split()) for text in found]
+    flat = [unit for own in want for unit in own]
+    got, sizes = context_tree.split(found)
+    assert sizes.tolist() == list(map(len, want))
+    blob, end = got.joined(np.arange(len(flat)))
+    assert blob == b"\n".join(flat) + b"\n" and end[-1] == len(blob)
+    again = context_tree.parse(blob[:-1])
+    for name in ("hash", "word_hash", "size"):
+        assert np.array_equal(getattr(got, name), getattr(again, name))
+    assert len(set(got.hash.tolist())) == len(set(flat))
+    assert len(set(got.word_hash.tolist())) == len({unit[unit.index(b" ") + 1 :] for unit in flat})
+    order = got.in_order(np.arange(len(flat)), got.word_hash.astype(np.int64) & 3)
+    assert sorted(order.tolist()) == list(range(len(flat)))
+    empty, sizes = context_tree.split([b"", b"\n"])
+    assert len(empty.hash) == 0 and sizes.tolist() == [0, 0]
+
+
 def test_context_tree_matches_a_plain_recursion():
     """Trees of a few words, by the definition: half the own estimate, half the longer contexts' product."""
     vocabulary = {b"ab": 3, b"abc": 1, b"b": 2, b"never": 0}
